@@ -87,7 +87,7 @@ w AS (SELECT *, CASE (k - 1) % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS w, 1.
 o AS (SELECT *, sum(2 * source_size) OVER (ORDER BY 2.0 * source_size / w, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS capped, sum(w) OVER (ORDER BY 2.0 * source_size / w, k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open_w, 2.0::DOUBLE * source_size / w AS cap_rate FROM w),
 f AS (SELECT *, (total - coalesce(capped, 0)::DOUBLE) / open_w::DOUBLE <= cap_rate AS fits FROM o),
 g AS (SELECT min(cap_rate) AS rate FROM f WHERE fits),
-r AS (SELECT o.*, g.rate, (SELECT total - coalesce(sum(2 * source_size), 0)::DOUBLE FROM o o2 WHERE g.rate IS NULL OR o2.cap_rate < g.rate) AS rest, (SELECT sum(w)::DOUBLE FROM o o3 WHERE o3.cap_rate >= g.rate) AS rest_w FROM o LEFT JOIN g ON true),
+r AS (SELECT o.*, g.rate, o.total - coalesce((SELECT sum(2 * o2.source_size) FROM o o2 WHERE o2.cap_rate < g.rate), 0)::DOUBLE AS rest, (SELECT sum(w)::DOUBLE FROM o o3 WHERE o3.cap_rate >= g.rate) AS rest_w FROM o LEFT JOIN g ON true),
 t AS (SELECT source, source_size, CASE WHEN rate IS NULL OR cap_rate < rate THEN 2.0::DOUBLE * source_size ELSE rest * w::DOUBLE / rest_w END AS target FROM r),
 p AS (SELECT doc_id, size::BIGINT AS size, source_size, target, sum(size) OVER (PARTITION BY d.source ORDER BY md5(coalesce(doc_id::VARCHAR, 'null') || ':11'), doc_id, size ROWS UNBOUNDED PRECEDING) - size AS start FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target, (least(size, greatest(0, floor(target + 0.5)::BIGINT - start)) + least(size, greatest(0, floor(target + 0.5)::BIGINT - start - source_size)))::BIGINT AS taken FROM p"""
@@ -106,7 +106,7 @@ COMPACTION_SQL = "SELECT doc_id, lang, source, n_chars, length(text)::BIGINT AS
 def oracle_sql() -> dict[str, str]:
     import corpus_pipeline
 
-    out = {"op3_mixing": MIXING_SQL, "op4_chat_format": CHAT_SQL.replace("\\\\", "\\"), "op5_license_scan": license_scan.oracle(), "op8_compaction": COMPACTION_SQL}
+    out = {"op3_mixing": MIXING_SQL, "op4_chat_format": CHAT_SQL, "op5_license_scan": license_scan.oracle(), "op8_compaction": COMPACTION_SQL}
     if corpus_pipeline.ORACLE_SQL:
         out["pipeline"] = corpus_pipeline.ORACLE_SQL
     return out
