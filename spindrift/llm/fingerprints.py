@@ -26,7 +26,7 @@ PAGE = 5
 PAGE_BIT = 45
 _EMPTY_CELL = "struct(0 AS n, 0L AS k, 0 AS h)"
 #: Rounds of peeling before a sketch counts as too small.
-ROUNDS = 10
+ROUNDS = 8
 #: Rows of one stretch of neighbouring ids, about, and stretches at most.
 STRETCH, MOST_STRETCHES = 500, 1_000_000
 
@@ -80,19 +80,19 @@ def peel(cells: Column, shape: tuple) -> Column:
     """
     width = shape[0]
     none = F.array().cast("array<bigint>")
-    start = F.struct(cells.alias("cells"), none.alias("plus"), none.alias("minus"))
+    start = F.struct(cells.alias("cells"), none.alias("plus"), none.alias("minus"), F.lit(True).alias("more"))
 
-    def step(s: Column, r: Column) -> Column:
+    def step(s: Column, _: Column) -> Column:
         pure = F.array_distinct(F.filter(s["cells"], lambda x: F.when(F.abs(x["n"]) == 1, x["h"] == F.hash(x["k"])).otherwise(F.lit(False))))
 
         def take(pure: Column) -> Column:
             side = lambda n: F.transform(F.filter(pure, lambda y: y["n"] == n), lambda y: y["k"])
             placed = F.transform(pure, lambda x: _placed(x["k"], x["h"], x["n"], shape))
             left = lambda items: F.concat(*(_table(F.slice(s["cells"], t * width + 1, width), items, -1, t) for t in range(3)))
-            new = let(placed, lambda items: F.struct(left(items).alias("cells"), F.concat(s["plus"], side(1)).alias("plus"), F.concat(s["minus"], side(-1)).alias("minus")))
-            return F.when(F.size(pure) == 0, s).otherwise(new)
+            new = let(placed, lambda items: F.struct(left(items).alias("cells"), F.concat(s["plus"], side(1)).alias("plus"), F.concat(s["minus"], side(-1)).alias("minus"), F.lit(True).alias("more")))
+            return F.when(F.size(pure) == 0, F.struct(s["cells"].alias("cells"), s["plus"].alias("plus"), s["minus"].alias("minus"), F.lit(False).alias("more"))).otherwise(new)
 
-        return let(pure, take)
+        return F.when(s["more"], let(pure, take)).otherwise(s)
 
     def end(s: Column) -> Column:
         return F.struct(F.forall(s["cells"], lambda x: (x["n"] == 0) & (x["k"] == 0)).alias("ok"), s["plus"].alias("plus"), s["minus"].alias("minus"))
@@ -146,12 +146,17 @@ def as_text(n: Column, cells: Column) -> Column:
     return F.concat(n.cast("string"), F.lit(":"), F.array_join(F.transform(cells, cell), ","))
 
 
+def _derived(rows: DataFrame) -> DataFrame:
+    """rows(..., text) + a, sa: the text's digests and small sketch."""
+    return rows.withColumn("a", paragraphs(F.col("text"))).withColumn("sa", sketch(F.col("a"), SMALL))
+
+
 def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """docs -> id, text, next_text: the text of the next row by ascending id (null ids last, equal ids by the text's MD5);
-    the last row's next is the first row.
+    """docs -> id, text, a, sa, next_text, next_a, next_sa: with those of the next row by ascending id (null ids last,
+    equal ids by the text's MD5); the last row's next is the first row.
 
-    Ids are cut into stretches; a window orders each stretch, and a stretch's last row takes the first of the next one.
-    Only the list of stretches is ordered in one task.
+    Ids are cut into stretches, which one shuffle brings together; a window orders each, and its last row takes
+    the first of the next stretch.  Only the list of stretches is ordered in one task.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     low, high, n = rows.agg(F.min("id"), F.max("id"), F.count("*")).first()
@@ -159,16 +164,19 @@ def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     stretches = max(1, min(MOST_STRETCHES, n // STRETCH))
     width = (high - low) // stretches + 1
     rows = rows.withColumn("stretch", F.coalesce(F.floor((F.col("id") - low) / width).cast("long"), F.lit(MOST_STRETCHES + 1)))
-    order = [F.col("id").asc_nulls_last(), F.md5("text")]
-    w = Window.partitionBy("stretch").orderBy(*order)
-    rows_w = rows.withColumn("next_text", F.lead("text").over(w))
-    firsts = rows.groupBy("stretch").agg(F.min("id").alias("first_id"))
-    first = rows.join(firsts.select(F.col("stretch").alias("s"), "first_id"), (F.col("stretch") == F.col("s")) & F.col("id").eqNullSafe(F.col("first_id")), "inner")
-    first = cut(first.groupBy("stretch").agg(F.min_by("text", F.md5("text")).alias("first_text")))
+    w = Window.partitionBy("stretch").orderBy(F.col("id").asc_nulls_last(), F.md5("text"))
+    led = _derived(rows.repartition("stretch"))
+    led = led.withColumn("last", F.lead(F.lit(1)).over(w).isNull()).withColumns({f"next_{c}": F.lead(c).over(w) for c in ("text", "a", "sa")})
+    # One row for each stretch, MOST_STRETCHES + 1 at most, 24 bytes each.
+    firsts = F.broadcast(rows.groupBy("stretch").agg(F.min("id").alias("first_id")).withColumnRenamed("stretch", "s"))
+    first = rows.join(firsts, (F.col("stretch") == F.col("s")) & F.col("id").eqNullSafe(F.col("first_id")))
+    first = cut(_derived(first.groupBy("stretch").agg(F.min_by("text", F.md5("text")).alias("text"))))
     ring = first.select("stretch", F.coalesce(F.lead("stretch").over(Window.orderBy("stretch")), F.min("stretch").over(Window.partitionBy())).alias("after"))
-    heads = ring.join(first.select(F.col("stretch").alias("after"), "first_text"), "after").select(F.col("stretch").alias("s"), "first_text", F.lit(True).alias("last"))
-    out = rows_w.withColumn("is_last", F.col("next_text").isNull()).join(heads, (F.col("stretch") == F.col("s")) & (F.col("is_last") == F.col("last")), "left")
-    return out.select("id", "text", F.coalesce("next_text", "first_text").alias("next_text"))
+    heads = first.select(F.col("stretch").alias("after"), *(F.col(c).alias(f"head_{c}") for c in ("text", "a", "sa")))
+    heads = ring.join(heads, "after").drop("after").withColumnRenamed("stretch", "s").withColumn("head", F.lit(True))
+    out = led.join(heads, (F.col("stretch") == F.col("s")) & (F.col("last") == F.col("head")), "left")
+    pick = lambda c: F.when(F.col("last"), F.col(f"head_{c}")).otherwise(F.col(f"next_{c}")).alias(f"next_{c}")
+    return out.select("id", "text", "a", "sa", pick("text"), pick("a"), pick("sa"))
 
 
 def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -182,9 +190,8 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half))
-    rows = rows.select("id", n.cast("long").alias("n_chars"), edited.alias("edited"), paragraphs(F.col("text")).alias("a"), paragraphs(F.col("next_text")).alias("c"))
-    rows = rows.select("id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "a", paragraphs(F.col("edited")).alias("b"), "c")
-    rows = rows.select("*", sketch(F.col("a"), SMALL).alias("sa"), sketch(F.col("b"), SMALL).alias("sb"), sketch(F.col("c"), SMALL).alias("sc"))
+    rows = rows.select("id", n.cast("long").alias("n_chars"), edited.alias("text"), F.col("a").alias("oa"), F.col("sa").alias("osa"), "next_a", "next_sa")
+    rows = _derived(rows).select("id", "n_chars", F.sha2("text", 256).alias("edited_sha256"), F.col("a").alias("b"), F.col("sa").alias("sb"), F.col("oa").alias("a"), F.col("osa").alias("sa"), F.col("next_a").alias("c"), F.col("next_sa").alias("sc"))
     rows = rows.select("*", reconcile(F.col("a"), F.col("b"), F.col("sa"), F.col("sb")).alias("ab"), reconcile(F.col("a"), F.col("c"), F.col("sa"), F.col("sc")).alias("ac"))
     size = lambda x: F.size(x).cast("long")
     return rows.select(F.col("id").alias(id_col), "n_chars", "edited_sha256", as_text(size("a"), F.col("sa")).alias("fingerprint"), as_text(size("b"), F.col("sb")).alias("edited_fingerprint"), likeness(F.size("a"), F.size("b"), F.col("ab")).alias("near_edited"), likeness(F.size("a"), F.size("c"), F.col("ac")).alias("near_next"), size("a").alias("n_paragraphs"), (size("ab.plus") + size("ab.minus")).alias("n_changed"))
