@@ -54,7 +54,7 @@ def _agreement(a: Column, b: Column) -> Column:
 
 
 def table_keys(reps: DataFrame, m: int) -> DataFrame:
-    """reps(id, minima) -> id, key: the table keys of the texts that may share one with another.
+    """reps(id, minima) -> id, t, key: the table keys, of table t, of the texts that may share one with another.
 
     A pair needs an equal group in either collection.  So the 2m single groups are counted first and
     only those that occur twice are combined: most texts have none and make no table key at all.
@@ -64,8 +64,18 @@ def table_keys(reps: DataFrame, m: int) -> DataFrame:
     twice = singles.groupBy("g").agg(F.count("*").alias("c")).where("c > 1").select("g")
     held = singles.join(twice, "g").groupBy("id").agg(F.collect_list(F.struct("j", "g")).alias("gs"))
     first, second = F.filter("gs", lambda x: x["j"] < m), F.filter("gs", lambda x: x["j"] >= m)
-    pairs = F.flatten(F.transform(first, lambda x: F.transform(second, lambda y: F.xxhash64(x["g"], y["g"]))))
-    return held.where((F.size(first) > 0) & (F.size(second) > 0)).select("id", F.explode(pairs).alias("key"))
+    pairs = F.flatten(F.transform(first, lambda x: F.transform(second, lambda y: F.struct((x["j"] * m + y["j"] - m).alias("t"), F.xxhash64(x["g"], y["g"]).alias("key")))))
+    return held.where((F.size(first) > 0) & (F.size(second) > 0)).select("id", F.inline(pairs))
+
+
+def first_common_table(a: Column, b: Column, m: int) -> Column:
+    """The first table in which two texts' minima agree (null: none), so that a pair that shares many keys is made once."""
+
+    def first(low: int) -> Column:
+        same = F.transform(F.sequence(F.lit(low), F.lit(low + m - 1)), lambda j: F.slice(a, j * R + 1, R) == F.slice(b, j * R + 1, R))
+        return F.array_position(same, F.lit(True)).cast("int") - 1
+
+    return first(0) * m + first(m)
 
 
 def verify(pairs: DataFrame, texts: DataFrame, percent: int, width: int) -> DataFrame:
@@ -88,15 +98,33 @@ def verify(pairs: DataFrame, texts: DataFrame, percent: int, width: int) -> Data
     return both.mapInPandas(run, "a long, b long")
 
 
+def unshared(texts: DataFrame, width: int) -> DataFrame:
+    """texts(id, text) -> id, u: how many of a text's shingles no other text has (texts without such have no row).
+
+    Those can be in no intersection, so they bound every link of the text without a look at pairs.  The count is grouped
+    by shingle and pre-aggregated, whatever a shingle's frequency.
+    """
+    text_batches(texts.sparkSession)
+
+    def run(batches):
+        for pdf in batches:
+            for i, s in zip(pdf["id"], shingle_sets(pdf["text"].tolist(), width), strict=True):
+                yield pd.DataFrame({"id": np.full(len(s), i, dtype=np.int64), "h": s.view(np.int64)})
+
+    rows = texts.mapInPandas(run, "id long, h long")
+    once = rows.groupBy("h").agg(F.count("*").alias("c"), F.min("id").alias("id")).where("c = 1")
+    return once.groupBy("id").agg(F.count("*").alias("u"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, width: int = 5) -> DataFrame:
     """docs -> id, n_shingles, component_id, kept; one row for each row of docs.
 
     component_id is the smallest id reachable over links of texts whose shingle sets have
     100 * intersection >= percent * union.  Texts with equal sets form one class first; links are
-    searched between classes.  Every key's texts are compared with the key's smallest id; then, for
-    keys that still hold several components, texts outside the largest are compared with all of
-    other components.  So a large group of near copies costs a few comparisons for each text, and
-    no pair of different components that shares a key stays uncompared.
+    searched between classes.  Every key's texts are compared with one centre; then, for keys that still hold several
+    components, texts outside the largest are compared with those of other components.  Shingles that only one text
+    has bound its links, and pairs that the bound rules out are not made.  So a large group of near copies costs a few
+    comparisons for each text, and no pair of different components that shares a key and could be linked stays uncompared.
 
     Null or empty texts have no shingles, are linked with nothing and keep their own id.  Rows with
     a null id are returned with a null component_id.  Rows that repeat an id count as one document;
@@ -107,18 +135,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sigs = cut(signatures(docs, m, width))
     classes = sigs.where("n > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("id"))
     reps = cut(sigs.where("n > 0").join(classes, ["digest", "id"], "left_semi").dropDuplicates(["id"]).select("id", "n", "minima"))
-    keys = cut(table_keys(reps, m).distinct())
-    centres = keys.groupBy("key").agg(F.min("id").alias("b"), F.count("*").alias("c")).where("c > 1").select("key", "b")
-    stars = keys.join(centres, "key").where("id <> b").select(F.col("id").alias("a"), "b").distinct()
+    all_keys = cut(table_keys(reps, m))
+    met = all_keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
+    met = cut(all_keys.join(met, "key"))
+    texts = cut(docs.join(met.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]))
+    # Of each text the size n of its set and the number s of shingles that it may share.
+    sizes = reps.select("id", "n").join(unshared(texts, width), "id", "left").select("id", "n", (F.col("n") - F.coalesce("u", F.lit(0))).alias("s"))
+    keys = cut(met.join(sizes.where(100 * F.col("s") >= percent * F.col("n")), "id"))
+
+    def can_link(a: str, b: str) -> Column:
+        common = F.least(f"s{a}", f"s{b}")
+        return 100 * common >= percent * (F.col(f"n{a}") + F.col(f"n{b}") - common)
+
+    side = lambda x: [F.col(c).alias(f"{c}{x}") for c in ("n", "s")]
+    # A key's centre is the text with fewest shingles of its own: of copies that were edited, the original.
+    centres = keys.groupBy("key").agg(F.max_by(F.struct("id", "n", "s"), F.struct(F.col("s") - F.col("n"), -F.col("id"))).alias("x")).select("key", F.col("x.id").alias("b"), F.col("x.n").alias("nb"), F.col("x.s").alias("sb"))
+    members = keys.select("key", F.col("id").alias("a"), *side("a"))
+    stars = members.join(centres, (members["key"] == centres["key"]) & (F.col("a") != F.col("b")) & can_link("a", "b")).select("a", "b").distinct()
     least = percent / 100 - SLACK
-    sketch = lambda side: reps.select(F.col("id").alias(side), F.col("n").alias(f"n_{side}"), F.col("minima").alias(f"m_{side}"))
+    sketch = lambda x: reps.select(F.col("id").alias(x), F.col("minima").alias(f"m_{x}"))
 
     def plausible(pairs: DataFrame) -> DataFrame:
-        """Pairs whose sizes and minima allow a link, with the number of equal minima."""
-        ratio = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-        return pairs.join(sketch("a"), "a").join(sketch("b"), "b").where(ratio).select("a", "b", _agreement(F.col("m_a"), F.col("m_b")).alias("same")).where(F.col("same") >= least * 2 * m * R)
+        """Pairs whose minima allow a link, with the number of equal minima."""
+        return pairs.join(sketch("a"), "a").join(sketch("b"), "b").select("a", "b", _agreement(F.col("m_a"), F.col("m_b")).alias("same")).where(F.col("same") >= least * 2 * m * R)
 
-    texts = cut(docs.join(keys.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]))
     stars = cut(plausible(stars))
     # 1. Each text and its likeliest centre.
     best = stars.groupBy("a").agg(F.max_by("b", F.struct("same", -F.col("b"))).alias("b"))
@@ -137,19 +177,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # 2. Each text and its other centres, unless already in their component.
     again(apart(stars.select("a", "b").join(best, ["a", "b"], "left_anti")))
     # 3. Keys that hold several components: all pairs between the texts outside the largest and the other components'.
-    held = keys.join(comps[-1].toDF("id", "c"), "id", "left").select("key", "id", F.coalesce("c", "id").alias("c"))
+    held = keys.join(comps[-1].toDF("id", "c"), "id", "left").select("key", "t", "id", F.coalesce("c", "id").alias("c"), "n", "s")
     parts = held.groupBy("key", "c").agg(F.count("*").alias("size"))
     largest = parts.groupBy("key").agg(F.max_by("c", F.struct("size", "c")).alias("top"), F.count("*").alias("k")).where("k > 1").select("key", "top")
-    mixed = cut(held.join(largest, "key").join(reps.select("id", "n"), "id").select("key", "id", "c", "n", (F.col("c") == F.col("top")).alias("inner")))
-    few, all_ = mixed.where("not inner").select("key", F.col("id").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na")), mixed.select("key", F.col("id").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"), "inner")
-    fits = (F.col("ca") != F.col("cb")) & (F.col("inner") | (F.col("a") < F.col("b"))) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    f, g = few.alias("f"), all_.alias("g")
-    rest = f.join(g, (F.col("f.key") == F.col("g.key")) & fits).select("a", "b").distinct()
+    mixed = cut(held.join(largest, "key").join(reps.select("id", "minima"), "id").select("key", "t", "id", "c", "n", "s", "minima", (F.col("c") == F.col("top")).alias("inner")))
+    few = mixed.where("not inner").select(F.col("key").alias("ka"), F.col("id").alias("a"), F.col("c").alias("ca"), F.col("minima").alias("ma"), "t", *side("a"))
+    others = mixed.select(F.col("key").alias("kb"), F.col("id").alias("b"), F.col("c").alias("cb"), F.col("minima").alias("mb"), *side("b"), "inner")
+    fits = (F.col("ca") != F.col("cb")) & (F.col("inner") | (F.col("a") < F.col("b"))) & can_link("a", "b")
+    once = first_common_table(F.col("ma"), F.col("mb"), m) == F.col("t")
+    near = _agreement(F.col("ma"), F.col("mb")) >= least * 2 * m * R
+    rest = few.join(others, (F.col("ka") == F.col("kb")) & fits & once & near).select("a", "b")
     done = stars.select("a", "b")
-    rest = plausible(rest).select("a", "b").join(done, ["a", "b"], "left_anti").join(done.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
+    rest = rest.join(done, ["a", "b"], "left_anti").join(done.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
     again(rest)
     named = reps.select("id").join(sigs.where("n > 0").select("id", "digest").distinct(), "id").join(comps[-1].toDF("id", "c"), "id", "left").groupBy("digest").agg(F.min(F.coalesce("c", "id")).alias("component_id"))
     named = cut(named)
     out = sigs.join(named, "digest", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
-    release(keys, texts, stars, mixed, reps, *links)
+    release(all_keys, met, keys, texts, stars, mixed, reps, *links)
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(False)))
