@@ -8,6 +8,7 @@ split in order, with a bounded buffer; nothing is shuffled.
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections import deque
 
@@ -22,7 +23,7 @@ from spindrift.llm.common import text_batches
 END_ID = 2
 BUFFER = 256
 #: Words whose ids a worker remembers, at most.
-WORDS_KEPT = 300_000
+WORDS_KEPT = 500_000
 
 
 def default_tokenizer() -> str:
@@ -35,30 +36,71 @@ class Encoder:
     """Token ids of texts, as little-endian unsigned 32-bit integers, end id included.
 
     The tokenizer drops white space, so what lies between ASCII white space is encoded on its own and
-    remembered: a text's ids are those of its words, end to end.
+    remembered: a text's ids are those of its words, end to end.  New words are encoded many at a time and told apart by
+    their numbers of pre-tokens, each of which ends in an id with a word end.
     """
 
     def __init__(self, path: str | None = None, end_id: int = END_ID):
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path or default_tokenizer())
         self.end = np.uint32(end_id).tobytes()
         self.known: dict[bytes, bytes] = {}
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        # The fixed value of the tokenizer file's own pre-tokenizer pattern.
+        spec = json.loads(self.tokenizer.to_str())["pre_tokenizer"] or {}
+        found = [p["pattern"]["Regex"] for p in spec.get("pretokenizers", []) if p["type"] == "Split"]
+        self.pattern = regex.compile(found[0]) if len(found) == 1 and self.ends.any() else None
+
+    def _one_by_one(self, words: list[bytes]) -> None:
+        found = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
+        self.known.update((w, np.array(e.ids, dtype="<u4").tobytes()) for w, e in zip(words, found, strict=True))
+
+    def _together(self, words: list[bytes]) -> None:
+        text = b" ".join(words).decode("utf-8", "replace")
+        normal = self.tokenizer.normalizer.normalize_str(text).split(" ")
+        counts = [1 if w.isalpha() else 2 if w[:-1].isalpha() and w[-1] in ".,;:!?" else len(self.pattern.findall(w)) for w in normal]
+        ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+        stops = np.flatnonzero(self.ends[ids]) + 1
+        upto = np.cumsum(counts)
+        if len(normal) != len(words) or len(stops) != upto[-1] or stops[-1] != len(ids) or 0 in counts:
+            return self._one_by_one(words)
+        data, at = ids.tobytes(), 0
+        for w, stop in zip(words, (4 * stops[upto - 1]).tolist(), strict=True):
+            self.known[w] = data[at:stop]
+            at = stop
+        return None
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         split = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
-        new = list({w for ws in split for w in ws if w not in self.known})
+        new = list(set().union(*split).difference(self.known))
         if len(self.known) + len(new) > WORDS_KEPT:
             self.known.clear()
-            new = list({w for ws in split for w in ws})
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            found = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-            self.known.update((w, np.array(e.ids, dtype="<u4").tobytes()) for w, e in zip(part, found, strict=True))
+            new = list(set().union(*split))
+        # Special tokens' strings inside a word are ids of their own.
+        odd = [w for w in new if b"<|" in w] if self.pattern else new
+        new = [w for w in new if b"<|" not in w] if self.pattern else []
+        for at in range(0, len(odd), 1024):
+            self._one_by_one(odd[at : at + 1024])
+        for at in range(0, len(new), 512):
+            self._together(new[at : at + 512])
         get = self.known.__getitem__
         return [b"".join(map(get, ws)) + self.end for ws in split]
 
 
+_ENCODERS: dict[str | None, Encoder] = {}
+
+
+def encoder(path: str | None) -> Encoder:
+    """A worker's encoder, kept from task to task with the words it knows."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
 class Item:
     """What is left of a document: its ids from `start` on."""
 
@@ -91,6 +133,8 @@ class Packer:
     def __init__(self, capacity: int = 4096, max_segments: int = 256, max_loss: int | None = None):
         self.limits = np.array([capacity, max_segments, capacity if max_loss is None else max_loss], dtype=float)
         self.held: list[Item] = []
+        #: Of each held item: ids left, and loss-bearing ids among them.
+        self.need = np.zeros((2, BUFFER + 1))
         self.open: list[tuple] = []
         self.room = self.limits.copy()
 
@@ -99,10 +143,14 @@ class Packer:
         while item.left() >= cap and item.loss_in(cap) <= loss:
             yield [item.cut(cap)]
         if item.left():
+            self._note(len(self.held), item)
             self.held.append(item)
         while len(self.held) >= BUFFER:
             yield from self._place()
 
+    def _note(self, at: int, item: Item) -> None:
+        self.need[:, at] = item.left(), item.loss_in(item.left())
+
     def finish(self):
         while self.held:
             yield from self._place()
@@ -112,8 +160,7 @@ class Packer:
         """Puts one more piece into the open sequence; closes it if it is full."""
         tokens, segments, loss = (int(x) for x in self.room)
         if segments and tokens:
-            n = np.fromiter((i.left() for i in self.held), float, len(self.held))
-            need = np.fromiter((i.loss_in(i.left()) for i in self.held), float, len(self.held))
+            n, need = self.need[:, : len(self.held)]
             share = self.room / self.limits
             score = n / self.limits[0] * share[0] + share[1] / self.limits[1] + need / self.limits[2] * share[2]
             score[(n > tokens) | (need > loss)] = -1
@@ -126,8 +173,11 @@ class Packer:
                 piece = item.cut(length)
                 self.open.append(piece)
                 self.room -= (length, 1, piece[5])
-                if not item.left():
+                if item.left():
+                    self._note(best, item)
+                else:
                     self.held[best] = self.held[-1]
+                    self.need[:, best] = self.need[:, len(self.held) - 1]
                     self.held.pop()
                 if self.room[0] and self.room[1]:
                     return
@@ -175,7 +225,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = 4096, ma
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches):
-        encode, packer = Encoder(tokenizer), Packer(capacity, max_segments, max_loss)
+        encode, packer = encoder(tokenizer), Packer(capacity, max_segments, max_loss)
         sequence = TaskContext.get().partitionId() << 33
 
         def table(sequences) -> pd.DataFrame:
