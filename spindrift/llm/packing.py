@@ -22,8 +22,8 @@ from spindrift.llm.common import text_batches
 
 END_ID = 2
 BUFFER = 256
-#: Words whose ids a worker remembers, at most.
-WORDS_KEPT = 500_000
+#: Words whose ids a worker remembers, at most about, in two halves; the half not used for longer goes first.
+WORDS_KEPT = 700_000
 
 
 def default_tokenizer() -> str:
@@ -47,6 +47,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path or default_tokenizer())
         self.end = np.uint32(end_id).tobytes()
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
@@ -63,7 +64,7 @@ class Encoder:
         text = b" ".join(words).decode("utf-8", "replace")
         normal = self.tokenizer.normalizer.normalize_str(text).split(" ")
         counts = [1 if w.isalpha() else 2 if w[:-1].isalpha() and w[-1] in ".,;:!?" else len(self.pattern.findall(w)) for w in normal]
-        ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
         stops = np.flatnonzero(self.ends[ids]) + 1
         upto = np.cumsum(counts)
         if len(normal) != len(words) or len(stops) != upto[-1] or stops[-1] != len(ids) or 0 in counts:
@@ -75,11 +76,15 @@ class Encoder:
         return None
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        split = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
-        new = list(set().union(*split).difference(self.known))
-        if len(self.known) + len(new) > WORDS_KEPT:
-            self.known.clear()
-            new = list(set().union(*split))
+        # The tokenizer lower-cases; doing so first for A-Z leaves fewer different words.  Special tokens' strings stay as they are.
+        raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+        split = [(b if b"<|" in b else b.lower()).split() for b in raw]
+        if len(self.known) > WORDS_KEPT // 2:
+            self.known, self.older = {}, self.known
+        new = set().union(*split).difference(self.known)
+        again = new.intersection(self.older)
+        self.known.update((w, self.older[w]) for w in again)
+        new = list(new.difference(again))
         # Special tokens' strings inside a word are ids of their own.
         odd = [w for w in new if b"<|" in w] if self.pattern else new
         new = [w for w in new if b"<|" not in w] if self.pattern else []
