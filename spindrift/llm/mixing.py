@@ -12,7 +12,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -86,20 +86,27 @@ def plan(sources: list[tuple], weights: list[float], share: float, shards: int,
     return out
 
 
+def row_keys(id_col: str, source_col: str, text_col: str) -> dict[str, Column]:
+    """Two hashes that tell a document from all others by its id, source and text, nulls included."""
+    cols = [F.col(c) for c in (id_col, source_col, text_col)]
+    parts = [*cols, *(c.isNull() for c in cols)]
+    return {"row_a": F.xxhash64(*parts), "row_b": F.xxhash64(F.lit(1), *parts)}
+
+
 def mix(docs: DataFrame, weights: tuple = (3.0, 1.0, 2.0), share: float = 1.5, shards: int = 16, block_words: int = 65_536, seed: int = 11, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """docs -> id, source, size, source_size, target, copies; one row for each row of docs.
+    """docs -> id, source, size, source_size, target, copies, row_a, row_b; one row for each row of docs.
 
     copies: array of (copy, first_word, words, block, shard, place), what the mix takes of the document; a shard's
     rows are ordered by place.  Documents are taken whole, except the one at which a source's target is met,
     which gives its first words.  size = number of words; null and empty texts have size 0 and are never
     taken.  Sources are ordered by code point, null last, and weigh `weights`, repeating.  The order in a source is by
-    an MD5 of the id, so reruns agree; rows that repeat an id and size are interchangeable, other columns are
-    ignored, and an empty table gives none.
+    an MD5 of the id, then by size and row_keys(), so reruns agree; rows that repeat an id are documents of their own, rows
+    that repeat id, source and text are interchangeable, other columns are ignored, and an empty table gives none.
     """
     spark = docs.sparkSession
     size = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long")
     key = F.md5(F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.lit(str(seed))))
-    rows = cut(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), key.alias("key")))
+    rows = cut(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), key.alias("key"), *(k.alias(c) for c, k in row_keys(id_col, source_col, text_col).items())))
     found = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("rows")).limit(MAX_SOURCES + 1).collect()
     if len(found) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
@@ -111,7 +118,7 @@ def mix(docs: DataFrame, weights: tuple = (3.0, 1.0, 2.0), share: float = 1.5, s
     side = _small(spark, [(p[0], p[1], p[3], p[4], p[5], p[6], p[7], p[8], buckets[p[0]]) for p in planned], schema)
     joined = rows.join(side, rows["source"].eqNullSafe(side["source"])).drop(side["source"])
     joined = joined.withColumn("bucket", F.shiftright(F.conv(F.substring("key", 1, 6), 16, 10).cast("long") * F.col("buckets"), 24))
-    w = Window.partitionBy("source", "bucket").orderBy("key", "id", "size")
+    w = Window.partitionBy("source", "bucket").orderBy("key", "id", "size", "row_a", "row_b")
     inner = F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
     sums = joined.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     before = F.sum("words").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("words")
@@ -129,7 +136,7 @@ def mix(docs: DataFrame, weights: tuple = (3.0, 1.0, 2.0), share: float = 1.5, s
     shard = lambda p: F.size(F.filter("bounds", lambda e: e <= F.pmod(F.col("a") * p["block"] + F.col("c"), F.col("blocks"))))
     place = lambda p: F.xxhash64(F.lit(seed), F.col("id"), p["copy"])
     full = F.transform("copies", lambda p: F.struct(p["copy"], p["first_word"], p["words"], p["block"], shard(p).alias("shard"), place(p).alias("place")))
-    return placed.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", full.alias("copies"))
+    return placed.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", full.alias("copies"), "row_a", "row_b")
 
 
 def _small(spark, rows: list[tuple], schema: T.StructType) -> DataFrame:
@@ -143,12 +150,21 @@ def _small(spark, rows: list[tuple], schema: T.StructType) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
-def expand(docs: DataFrame, mixed: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def expand(docs: DataFrame, mixed: DataFrame, shards: int, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """The mixed corpus: the rows of docs, each as often as it was taken, the last copy of a source cut to the words
-    taken, dealt to its shard and in the shard's order."""
-    picked = mixed.where(F.size("copies") > 0).select(F.col(id_col).alias("_mix_id"), F.explode("copies").alias("_mix"), F.col("size").alias("_mix_size"))
-    both = docs.join(picked, docs[id_col] == picked["_mix_id"])
+    taken, dealt to its shard and in the shard's order.
+
+    Rows without an id or with a repeated one are found by their source and text as well; of rows that repeat all three
+    one stands for each, so what was taken of them is there once.
+    """
+    mixed = cut(mixed)
+    picked = mixed.where(F.size("copies") > 0).select(F.col("row_a").alias("_mix_a"), F.col("row_b").alias("_mix_b"), F.explode("copies").alias("_mix"), F.col("size").alias("_mix_size"))
+    keys = row_keys(id_col, source_col, text_col)
+    texts = docs.withColumns({"_mix_row_a": keys["row_a"], "_mix_row_b": keys["row_b"]})
+    if mixed.groupBy("row_a", "row_b").count().where(F.col("count") > 1).take(1):
+        texts = texts.dropDuplicates(["_mix_row_a", "_mix_row_b"])
+    both = texts.join(picked, (F.col("_mix_row_a") == F.col("_mix_a")) & (F.col("_mix_row_b") == F.col("_mix_b")))
     words = F.slice(F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0)), 1, F.col("_mix.words").cast("int"))
     text = F.when(F.col("_mix.words") < F.col("_mix_size"), F.array_join(words, " ")).otherwise(F.col(text_col))
     out = both.withColumn(text_col, text).repartition(shards, F.col("_mix.shard")).sortWithinPartitions("_mix.shard", "_mix.place")
-    return out.drop("_mix_id", "_mix", "_mix_size")
+    return out.drop("_mix_row_a", "_mix_row_b", "_mix_a", "_mix_b", "_mix", "_mix_size")

@@ -140,8 +140,18 @@ def test_mixing(spark):
         assert sum(c["words"] for c in r["copies"]) <= 2 * r["size"] and all(0 <= c["shard"] < 4 for c in r["copies"])
         taken[r["source"], r["target"]] += sum(c["words"] for c in r["copies"])
     assert all(abs(n - target) <= 0.5 for (_, target), n in taken.items())
-    out = mixing.expand(d.where("doc_id is not null"), mixed, 4)
+    out = mixing.expand(d, mixed, 4)
     assert set(out.columns) == set(d.columns)
+    words = lambda t: len(re.findall(common.WORD, t or ""))
+    want, have = defaultdict(list), defaultdict(list)
+    for r in rows:
+        want[r.doc_id] += [c["words"] for c in r["copies"]]
+    for r in out.collect():
+        have[r.doc_id].append(words(r.text))
+    assert {i: sorted(x) for i, x in want.items() if x} == {i: sorted(x) for i, x in have.items()} and have[None]
+    same_id = docs(spark, [(1, "a b", "en", "s"), (1, "c d", "en", "s"), (1, "a b", "en", "t"), (1, "a b", "en", None)])
+    found = mixing.expand(same_id, mixing.mix(same_id, weights=(1.0,)), 4).groupBy("source").agg(F.sum(F.size(F.split("text", " "))).alias("n")).collect()
+    assert {r.source: r.n for r in found} == {"s": 4, "t": 4, None: 4}
 
 
 def test_chat(spark):
