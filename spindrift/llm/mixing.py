@@ -9,6 +9,7 @@ then owns disjoint blocks of each source's permuted block order, shuffled locall
 
 from __future__ import annotations
 
+import json
 import math
 
 import numpy as np
@@ -23,22 +24,26 @@ from spindrift.llm.common import WORD, cut
 ROWS_A_BUCKET = 50_000
 #: More sources than this are refused: their quotas are planned on the driver.
 MAX_SOURCES = 1_000_000
+#: Sources in one literal of the plan.
+PLAN_ROWS = 10_000
 
 
 def targets(sizes: list[int], weights: list[float], share: float = 1.5, most: float = 2.0) -> list[float]:
     """share * all sizes dealt out by weight; a source stops at most * its size and the excess is dealt
     again by weight among the others until none is above."""
-    total, out, open_ = share * sum(sizes), [0.0] * len(sizes), list(range(len(sizes)))
+    left, out, open_ = share * sum(sizes), [0.0] * len(sizes), list(range(len(sizes)))
     while open_:
-        left = total - sum(out[i] for i in range(len(sizes)) if i not in set(open_))
         all_w = sum(weights[i] for i in open_)
-        give = {i: left * weights[i] / all_w for i in open_}
-        over = [i for i in open_ if give[i] > most * sizes[i]]
-        for i in open_:
-            out[i] = most * sizes[i] if i in over else give[i]
+        over = [i for i in open_ if left * weights[i] / all_w > most * sizes[i]]
         if not over:
+            for i in open_:
+                out[i] = left * weights[i] / all_w
             break
-        open_ = [i for i in open_ if i not in set(over)]
+        for i in over:
+            out[i] = most * sizes[i]
+        left -= sum(out[i] for i in over)
+        full = set(over)
+        open_ = [i for i in open_ if i not in full]
     return out
 
 
@@ -140,14 +145,13 @@ def mix(docs: DataFrame, weights: tuple = (3.0, 1.0, 2.0), share: float = 1.5, s
 
 
 def _small(spark, rows: list[tuple], schema: T.StructType) -> DataFrame:
-    """The plan's rows (one for each source) as literals."""
-    names = [f.name for f in schema]
-    lit = lambda v, f: F.lit(v).cast(f.dataType) if not isinstance(v, list) else F.array(*(F.lit(x).cast("long") for x in v))
+    """The plan's rows (one for each source) as JSON literals, PLAN_ROWS in each: a JVM-only plan."""
     if not rows:
         return spark.range(0).select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in schema))
-    if len(rows) <= 2000:
-        return spark.range(1).select(F.inline(F.array(*(F.struct(*(lit(v, f).alias(f.name) for v, f in zip(r, schema, strict=True))) for r in rows)))).select(*names)
-    return spark.createDataFrame(rows, schema)
+    names = [f.name for f in schema]
+    packs = [json.dumps([dict(zip(names, r, strict=True)) for r in rows[at : at + PLAN_ROWS]]) for at in range(0, len(rows), PLAN_ROWS)]
+    table = F.array(*map(F.lit, packs))
+    return spark.range(1).select(F.explode(table).alias("pack")).select(F.inline(F.from_json("pack", T.ArrayType(schema)))).select(*names)
 
 
 def expand(docs: DataFrame, mixed: DataFrame, shards: int, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:

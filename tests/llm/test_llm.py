@@ -126,6 +126,8 @@ def test_mixing_targets():
     sizes = [100, 10, 50, 1000]
     t = mixing.targets(sizes, [3, 1, 2, 3])
     assert abs(sum(t) - 1.5 * sum(sizes)) < 1e-6 and all(x <= 2 * s for x, s in zip(t, sizes, strict=True))
+    many = mixing.targets([i % 97 for i in range(50_000)], [3, 1, 2] * 16_667)
+    assert abs(sum(many) - 1.5 * sum(i % 97 for i in range(50_000))) < 1e-3
     q = mixing.split_quotas([5, 0, 17, 100], 7, 3)
     assert q.sum(axis=0).tolist() == [5, 0, 17, 100] and np.ptp(q.sum(axis=1)) <= 3
 
@@ -154,6 +156,13 @@ def test_mixing(spark):
     assert {r.source: r.n for r in found} == {"s": 4, "t": 4, None: 4}
 
 
+def test_mixing_many_sources(spark):
+    d = spark.createDataFrame([(i, "a b c", f"s\"{i}\u00e9", i) for i in range(2500)], "doc_id long, text string, source string, size long")
+    rows = mixing.mix(d, shards=4).collect()
+    assert len(rows) == 2500 and sum(c["words"] for r in rows for c in r["copies"]) > 0
+    assert all(abs(sum(c["words"] for c in r["copies"]) - r["target"]) <= 0.5 for r in rows)
+
+
 def test_chat(spark):
     rows = [(1, 0, "system", "s"), (1, 1, "user", None), (1, 2, "assistant", "a:<b>\\ #"), (1, 3, "user", "tail"), (2, 0, None, "x"), (None, 0, "assistant", "nul"), (3, 0, "assistant", LONG)]
     ex = chat_format.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
