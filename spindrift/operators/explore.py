@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from spindrift.functions.text import lines
+from spindrift.operators.sparse import BROADCAST_ROWS
 
 SYMBOLS = "path string, kind string, name string, owner string, bases array<string>, args array<string>, calls array<string>, start_line int, end_line int"
 
@@ -107,9 +108,14 @@ def keyword_file_scores(files: DataFrame, keywords: DataFrame, id_col: str = "do
 
 
 def symbol_scores(table: DataFrame, keywords: DataFrame, exact: float = 2.0, partial: float = 1.0, k: int = 10) -> DataFrame:
-    """keywords(query, word): 2 for an equal name, 1 for a name that holds the word; top k of each query."""
+    """keywords(query, word): 2 for an equal name, 1 for a name that holds the word; top k of each query.
+
+    All keywords meet all names, so the keywords are broadcast, after their number is checked.
+    """
+    if keywords.count() > BROADCAST_ROWS:
+        raise ValueError(f"more than {BROADCAST_ROWS} keywords: score them in blocks")
     low, word = F.lower("name"), F.lower("word")
-    hits = table.join(F.broadcast(keywords.limit(10_000)), F.contains(low, word))
+    hits = table.join(F.broadcast(keywords), F.contains(low, word))
     scored = hits.groupBy("query", "path", "name", "kind").agg(F.sum(F.when(low == word, exact).otherwise(partial)).alias("score"))
     w = Window.partitionBy("query").orderBy(F.desc("score"), "path", "name")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
