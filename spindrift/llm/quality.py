@@ -16,10 +16,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import text_batches
+from spindrift.llm.common import cut, text_batches
 
 #: The classifier is fitted on this many labelled rows at most, those with the smallest hash of their id.
 FIT_ROWS = 20_000
+#: Sites are broadcast up to so many bytes, counted first; beyond, they are joined by a shuffle.
+SITE_BYTES = 32 << 20
 _SYMBOLS = b"#$%&*@^~=+<>{}[]\\_`"
 _UPPER = bytes(range(65, 91))
 _DIGITS = b"0123456789"
@@ -136,14 +138,17 @@ def judge(docs: DataFrame, model: Model, host_col: str = "source", path_col: str
     """docs + _q_doc, _q_host, _q_path, _q_share, _q_keep: the text's own probability, its host's and path's posterior
     shares, the probability with both, and whether that reaches the threshold.  One row for each row of docs.
 
-    The texts are read twice, for the sites' sums and for the rows themselves; no text is shuffled unless there
-    are too many sites to broadcast.  Empty and null texts have features of their own; null hosts and paths are groups;
+    The texts are read twice, for the sites' sums and for the rows themselves.  The sites are written to the shared folder
+    and measured at once; no text is shuffled unless they exceed SITE_BYTES.  Empty and null texts have features of their own; null hosts and paths are groups;
     a table without rows gives none.
     """
     text_batches(docs.sparkSession)
     odds = evidence(model, F.col(text_col))
     first = docs.select(F.col(host_col).alias("_h0"), F.col(path_col).alias("_p0"), (1 / (1 + F.exp(-odds))).alias("_p"))
-    sites = site_posteriors(first, "_h0", "_p0", "_p")
+    sites = cut(site_posteriors(first, "_h0", "_p0", "_p"))
+    width = sum(F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in ("_host", "_path")) + 64
+    if (sites.agg(F.sum(width)).first()[0] or 0) <= SITE_BYTES:
+        sites = F.broadcast(sites)
     out = docs.withColumn("_q_odds", odds)
     out = out.join(sites, F.col(host_col).eqNullSafe(F.col("_host")) & F.col(path_col).eqNullSafe(F.col("_path")), "left")
     both = F.col("_q_odds") + site_weight * (_logit(F.col("path_share")) - _logit(F.col("global_share")))
