@@ -24,6 +24,8 @@ from spindrift.llm.common import WORD, cut
 ROWS_A_BUCKET = 50_000
 #: More sources than this are refused: their quotas are planned on the driver.
 MAX_SOURCES = 1_000_000
+#: Words that one task writes, about.
+WORDS_A_TASK = 16_000_000
 #: Sources in one literal of the plan.
 PLAN_ROWS = 10_000
 
@@ -158,6 +160,9 @@ def expand(docs: DataFrame, mixed: DataFrame, shards: int, id_col: str = "doc_id
     """The mixed corpus: the rows of docs, each as often as it was taken, the last copy of a source cut to the words
     taken, dealt to its shard and in the shard's order.
 
+    A shard is written by as many tasks as its words need (WORDS_A_TASK), each with a range of the shard's places, so that
+    a task's rows don't grow with the corpus.
+
     Rows without an id or with a repeated one are found by their source and text as well; of rows that repeat all three
     one stands for each, so what was taken of them is there once.
     """
@@ -170,5 +175,10 @@ def expand(docs: DataFrame, mixed: DataFrame, shards: int, id_col: str = "doc_id
     both = texts.join(picked, (F.col("_mix_row_a") == F.col("_mix_a")) & (F.col("_mix_row_b") == F.col("_mix_b")))
     words = F.slice(F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0)), 1, F.col("_mix.words").cast("int"))
     text = F.when(F.col("_mix.words") < F.col("_mix_size"), F.array_join(words, " ")).otherwise(F.col(text_col))
-    out = both.withColumn(text_col, text).repartition(shards, F.col("_mix.shard")).sortWithinPartitions("_mix.shard", "_mix.place")
-    return out.drop("_mix_row_a", "_mix_row_b", "_mix_a", "_mix_b", "_mix", "_mix_size")
+    taken = mixed.agg(F.sum(F.aggregate("copies", F.lit(0).cast("long"), lambda s, c: s + c["words"]))).first()[0] or 0
+    parts = max(1, -(-taken // (shards * WORDS_A_TASK)))
+    # Equal ranges of the 64-bit place, in its order.
+    part = F.shiftright((F.shiftright(F.col("_mix.place"), 32) + F.lit(2**31)) * F.lit(parts), 32)
+    # A task for each range of each shard, by its number: hashes would put several into one.
+    out = both.withColumn(text_col, text).withColumn("_mix_part", F.col("_mix.shard") * parts + part).repartitionById(shards * parts, F.col("_mix_part").cast("int"))
+    return out.sortWithinPartitions("_mix.shard", "_mix.place").drop("_mix_row_a", "_mix_row_b", "_mix_a", "_mix_b", "_mix", "_mix_size", "_mix_part")

@@ -156,6 +156,20 @@ def test_mixing(spark):
     assert {r.source: r.n for r in found} == {"s": 4, "t": 4, None: 4}
 
 
+def test_mixing_shard_in_several_tasks(spark, monkeypatch):
+    d = docs(spark, [(i, "a b c " * (i % 9), "en", "s") for i in range(300)]).repartition(3)
+    mixed = mixing.mix(d, weights=(1.0,), share=1.0, shards=2, block_words=20)  # each document once
+    one = mixing.expand(d, mixed, 2).collect()
+    monkeypatch.setattr(mixing, "WORDS_A_TASK", 500)
+    rows = mixing.expand(d, mixed, 2).withColumn("task", F.spark_partition_id()).collect()
+    assert sorted(tuple(r) for r in one) == sorted(tuple(r)[:-1] for r in rows)
+    where = {r.doc_id: (r.copies[0].shard, r.copies[0].place) for r in mixed.collect() if r.copies}
+    tasks = defaultdict(list)
+    for r in rows:
+        tasks[r.task].append(where[r.doc_id])
+    assert len(tasks) > 2 and all(t == sorted(t) for t in tasks.values())
+
+
 def test_mixing_many_sources(spark):
     d = spark.createDataFrame([(i, "a b c", f"s\"{i}\u00e9", i) for i in range(2500)], "doc_id long, text string, source string, size long")
     rows = mixing.mix(d, shards=4).collect()
@@ -195,6 +209,14 @@ def test_quality(spark):
     assert quality.judge(hard, quality.fit(hard, labels.limit(0))).where("not _q_keep").count() == 0
 
 
+def test_quality_sites_by_shuffle(spark, monkeypatch):
+    model = quality.fit(d := docs(spark, HARD), spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int"))
+    rows = lambda: sorted(repr(tuple(r)) for r in quality.judge(d, model).collect())
+    broadcast = rows()
+    monkeypatch.setattr(quality, "SITE_BYTES", -1)
+    assert rows() == broadcast and len(broadcast) == len(HARD)
+
+
 def test_site_posteriors_shrink(spark):
     rows = [("big", "p", 0.0)] * 500 + [("big2", "p", 1.0)] * 500 + [("tiny", "q", 0.0)]
     got = {r["_host"]: r for r in quality.site_posteriors(spark.createDataFrame(rows, "h string, p string, x double"), "h", "p", "x").collect()}
