@@ -155,19 +155,26 @@ def assign(rows: DataFrame, router: Router, n: int) -> DataFrame:
 
 
 def top_block(q_ids: np.ndarray, q: np.ndarray, r_ids: np.ndarray, r: np.ndarray, k: int) -> list[tuple]:
-    """(query, id, score) of each query's k nearest of a block, equal scores by id, its own id left out."""
+    """(query, id, score) of each query's k nearest ids of a block, equal scores by id, its own id left out.
+
+    An id that has several rows counts once, with its best score.
+    """
     out = []
+    by_id = np.argsort(r_ids, kind="stable")
+    starts = np.flatnonzero(np.diff(r_ids[by_id], prepend=r_ids[by_id][0] - 1))
     rn, qn = np.sqrt((r * r).sum(axis=1)), np.sqrt((q * q).sum(axis=1))
     for at in range(0, len(q), 256):
         s = (q[at : at + 256] @ r.T) / rn / qn[at : at + 256, None]
         s[q_ids[at : at + 256, None] == r_ids[None, :]] = -np.inf
-        kk = min(k, s.shape[1])
-        floor = np.partition(s, s.shape[1] - kk, axis=1)[:, s.shape[1] - kk]
+        best = s if len(starts) == len(r_ids) else np.maximum.reduceat(s[:, by_id], starts, axis=1)
+        kk = min(k, best.shape[1])
+        floor = np.partition(best, best.shape[1] - kk, axis=1)[:, best.shape[1] - kk]
         for i in range(len(s)):
             near = np.flatnonzero((s[i] >= floor[i] - 1e-9) & (s[i] > -np.inf))
             # The same sum for equal vectors, in whatever block they are.
             exact = (r[near] * q[at + i]).sum(axis=1) / (rn[near] * qn[at + i])
-            order = np.lexsort((r_ids[near], -exact))[:k]
+            order = np.lexsort((r_ids[near], -exact))
+            order = order[np.sort(np.unique(r_ids[near][order], return_index=True)[1])][:k]
             out.extend((int(q_ids[at + i]), int(r_ids[near[o]]), float(exact[o])) for o in order)
     return out
 
@@ -175,12 +182,12 @@ def top_block(q_ids: np.ndarray, q: np.ndarray, r_ids: np.ndarray, r: np.ndarray
 def _search(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """rows(part, id, v), queries(part, id, v) -> the k nearest of each query in its parts, block by block.
 
-    A part is cut into blocks of ROW_BLOCK rows and of QUERY_BLOCK queries, by hash; so no task holds more than a block
-    of each, however many rows a part has.
+    A part is cut into blocks of ROW_BLOCK rows and of QUERY_BLOCK queries, by hash of id and vector; so no task holds more
+    than a block of each, however many rows a part or an id has, if rows are distinct.
     """
     n_r, n_q = (t.groupBy("part").agg(F.ceil(F.count("*") / size).alias(name)) for t, size, name in ((rows, ROW_BLOCK, "rb"), (queries, QUERY_BLOCK, "qb")))
     blocks = n_r.join(n_q, "part").select("part", F.col("rb").cast("int"), F.col("qb").cast("int"))
-    salt = lambda n, seed: F.pmod(F.xxhash64(F.lit(seed), F.col("id")), F.col(n)).cast("int")
+    salt = lambda n, seed: F.pmod(F.xxhash64(F.lit(seed), F.col("id"), F.col("v")), F.col(n)).cast("int")
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = rows.join(blocks, "part").select("part", salt("rb", 1).alias("r"), "qb", "id", "v").select("part", "r", spread("qb").alias("q"), "id", "v")
     right = queries.join(blocks, "part").select("part", salt("qb", 2).alias("q"), "rb", "id", "v").select(F.col("part").alias("q_part"), spread("rb").alias("q_r"), F.col("q").alias("q_q"), F.col("id").alias("q_id"), F.col("v").alias("q_v"))
@@ -191,7 +198,8 @@ def _search(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
     pairs = left.groupBy("part", "r", "q").cogroup(right.groupBy("q_part", "q_r", "q_q")).applyInPandas(run, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return pairs.dropDuplicates(["query_id", "vec_id"]).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    pairs = pairs.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    return pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
 def nearest(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id", vector_col: str = "embedding", rows_a_part: int = 1600) -> DataFrame:
@@ -199,13 +207,18 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_
 
     Scores are exact cosines in double precision, ties go to the smaller id.  Vectors that are null, empty, zero, or hold
     null or non-finite components take no part, nor do null ids and vectors of another length than the commonest; rows
-    that repeat an id count as that id's.  A query that finds fewer than k in its parts is searched over all rows.  The
+    that repeat an id count as that id's: two ids score as the nearest pair of their vectors.  A query that finds fewer than k in its parts is searched over all rows.  The
     number of parts is a power of two near rows / rows_a_part, MAX_PARTS at most.  An empty table gives no rows.
     """
     spark = vectors.sparkSession
     rows = _clean(vectors, id_col, vector_col)
-    sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").collect()
-    total = rows.count()
+    total, ids = rows.agg(F.count("*"), F.count_distinct("id")).first()
+    order = [F.xxhash64("id"), F.col("id")]
+    if ids < total:
+        rows = cut(rows.dropDuplicates(["id", "v"]))
+        total = rows.count()
+        order = [F.xxhash64("id", "v"), F.col("id")]
+    sample = rows.orderBy(*order).limit(SAMPLE).select("v").collect()
     if not sample:
         return spark.range(0).select(F.col("id").alias("query_id"), F.lit(0).alias("rank"), F.col("id").alias("vec_id"), F.lit(0.0).alias("score"))
     parts = 1 << int(np.clip(np.round(np.log2(max(1.0, total / rows_a_part))), 0, np.log2(MAX_PARTS)))

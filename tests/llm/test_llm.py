@@ -242,6 +242,28 @@ def test_ann(spark, sf):
     assert [r.vec_id for r in ann.nearest(same).orderBy("rank").collect()] == [1, 2, 3, 4, 5]
 
 
+def test_ann_repeated_ids(spark, sf):
+    e = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding")
+    found = lambda t, **o: [tuple(r) for r in ann.nearest(t, **o).orderBy("query_id", "rank").collect()]
+    ten = e.crossJoin(spark.range(10).select()).select("vec_id", "embedding")
+    assert found(ten) == found(e) and found(ten, rows_a_part=2000) == found(e, rows_a_part=200)
+    # Ids with several vectors, one of them with a third of the rows.
+    mixed = e.unionByName(e.select((F.col("vec_id") % 7 * 50).alias("vec_id"), "embedding")).unionByName(e.select(F.lit(11).cast(e.schema["vec_id"].dataType).alias("vec_id"), "embedding"))
+    rows = mixed.collect()
+    ids, x = np.array([r.vec_id for r in rows]), ann.unit(np.array([r.embedding for r in rows], dtype=float))
+    got = defaultdict(list)
+    for q, _, v, s in found(mixed, rows_a_part=10**6):
+        got[q].append((v, s))
+    names, where = np.unique(ids, return_inverse=True)
+    for q in names[names % 50 == 0]:
+        best = np.full(len(names), -2.0)
+        np.maximum.at(best, where, (x[ids == q] @ x.T).max(axis=0))
+        best[names == q] = -2
+        order = np.lexsort((names, -np.round(best, 9)))[:5]
+        assert [s for _, s in got[q]] == pytest.approx(best[order]) and len({v for v, _ in got[q]}) == 5
+        assert all(best[names == v][0] == pytest.approx(s) for v, s in got[q])
+
+
 def test_compaction(spark, tmp_path):
     store = compaction.ShardStore(spark, f"file://{tmp_path}/t", small_bytes=1000, fanout=3)
     d = docs(spark, HARD)
