@@ -1,8 +1,8 @@
 """Licence scans by canonical digest (DataFrame functions only).
 
 A text's canonical form drops what doesn't matter for a licence: case, punctuation, white space,
-copyright lines and spelling.  Whole texts are looked up by the digest of that form, an equality
-join with the known licences' digests.
+copyright lines and spelling.  Whole texts are looked up by the digest of that form with equivalent
+phrases made one, an equality join with the known licences' digests.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindrift.llm.common import UPPER, literal_table, lower_ascii
-from spindrift.llm.license_texts import KNOWN, SPELLINGS
+from spindrift.llm.license_texts import KNOWN, PHRASES, SPELLINGS, WHOLE
 
 #: ASCII punctuation and controls become spaces.
 _PUNCTUATION = r"[^a-z0-9\x{80}-\x{10FFFF}]+"
@@ -27,23 +27,33 @@ def canonical(text: Column) -> Column:
     return F.array_join(F.transform(words, lambda w: F.coalesce(F.element_at(table, w), w)), " ")
 
 
+def one_phrase(form: Column) -> Column:
+    """A canonical form with the variant phrases replaced."""
+    for variant, standard in PHRASES:
+        form = F.regexp_replace(form, f"(?<![^ ]){variant}(?![^ ])", standard)
+    return form
+
+
 def known_digests(spark: SparkSession, known: list[tuple[str, str]] | None = None) -> DataFrame:
     """digest, license_id of the known texts; a digest that two licences share keeps the first by name."""
-    rows = literal_table(spark, known or KNOWN, ["license_id", "license_text"])
-    return rows.groupBy(F.sha2(canonical(F.col("license_text")), 256).alias("digest")).agg(F.min("license_id").alias("license_id"))
+    rows = literal_table(spark, known or KNOWN + WHOLE, ["license_id", "license_text"])
+    return rows.groupBy(F.sha2(one_phrase(canonical(F.col("license_text"))), 256).alias("digest")).agg(F.min("license_id").alias("license_id"))
 
 
 def scan_licenses(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs -> id, digest, license_id, one row for each row; license_id is null unless the whole text is a known licence.
 
+    digest is the canonical form's; the lookup's differs from it only in texts that hold a variant phrase.
+
     Null and empty texts, and texts with nothing but punctuation and copyright lines, have the empty form's digest and
     match nothing.  Texts of any length are hashed whole; repeated rows each give a row; other columns are ignored.
     known(digest, license_id) has one row for each digest.
     """
-    form = canonical(F.col(text_col))
-    rows = docs.select(F.col(id_col), F.sha2(form, 256).alias("digest"))
+    rows = docs.select(F.col(id_col), canonical(F.col(text_col)).alias("_form")).select(id_col, "_form", F.sha2("_form", 256).alias("digest"))
+    variant = F.col("_form").rlike(f"(?<![^ ])(?:{'|'.join(v for v, _ in PHRASES)})(?![^ ])")
+    rows = rows.select(id_col, "digest", F.when(variant, F.sha2(one_phrase(F.col("_form")), 256)).otherwise(F.col("digest")).alias("_key"))
     empty = F.sha2(F.lit(""), 256)
-    return rows.join(known.where(F.col("digest") != empty), "digest", "left").select(id_col, "digest", "license_id")
+    return rows.join(known.where(F.col("digest") != empty).select(F.col("digest").alias("_key"), "license_id"), "_key", "left").select(id_col, "digest", "license_id")
 
 
 def _quote(s: str) -> str:

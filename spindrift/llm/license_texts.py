@@ -1,5 +1,7 @@
 """Texts of well-known licences and licence notices, by SPDX identifier."""
 
+from pathlib import Path
+
 _MIT_BODY = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 
 The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
@@ -49,6 +51,28 @@ KNOWN = [
     ("GPL-3.0-only", "This work is licensed under the GNU General Public License, version 3."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
 ]
+_END = "END OF TERMS AND CONDITIONS"
+
+
+def _whole() -> list[tuple[str, str]]:
+    """(SPDX identifier, text) of the files in `licenses`, name__form.txt, each also without what follows its terms."""
+    out = []
+    for f in sorted((Path(__file__).parent / "licenses").glob("*.txt")):
+        text = f.read_text(encoding="utf-8")
+        out += [(f.stem.split("__")[0], t) for t in dict.fromkeys([text, *(text[: text.index(_END) + n] for n in (0, len(_END)) if _END in text)])]
+    return out
+
+
+#: Licences whose whole text is too long for this file.
+WHOLE = _whole()
+#: (variant, standard), equivalent phrases of canonical forms, from the SPDX matching guidelines.
+PHRASES = [
+    ("copyright owner", "copyright holder"),
+    ("copyright owners", "copyright holders"),
+    ("non commercial", "noncommercial"),
+    ("per cent", "percent"),
+    ("sub license", "sublicense"),
+]
 #: (variant, standard), equivalent spellings of whole words, from the SPDX matching guidelines.
 SPELLINGS = [
     ("acknowledgement", "acknowledgment"),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from compare import duck_rows, spark_rows
 from spindrift.llm import ann, chat_format, common, compaction, components, fingerprints, license_scan, minhash_dedup, mixing, packing, quality, queries, url_filters
-from spindrift.llm.license_texts import KNOWN
+from spindrift.llm.license_texts import KNOWN, WHOLE
 from spindrift.llm.shingles import shingle_sets
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long, a string, size long, copies string, v string"
@@ -198,6 +198,16 @@ def test_licenses(spark):
     assert got[1] == "MIT" and got[2] is None and got[3] == "MIT" and got[8] is None
 
 
+def test_licenses_whole_texts_and_phrases(spark):
+    text = dict(KNOWN[:11])
+    variants = [("MIT", KNOWN[0][1].replace("sublicense", "sub-license")), ("MIT", KNOWN[0][1].replace("sublicense", "sub license")), ("BSD-3-Clause", text["BSD-3-Clause"].replace("COPYRIGHT HOLDER OR", "COPYRIGHT OWNER OR")), ("BSD-2-Clause", "Copyright 2020 X\n" + text["BSD-2-Clause"].replace("COPYRIGHT HOLDERS AND", "COPYRIGHT OWNERS AND"))]
+    whole = [(i, t.replace("[yyyy] [name of copyright owner]", "2021 Someone").replace("non-commercial", "noncommercial")) for i, t in WHOLE]
+    assert {"Apache-2.0", "GPL-2.0-only", "GPL-3.0-only", "LGPL-2.1-only", "LGPL-3.0-only", "MPL-2.0", "Unlicense", "CC0-1.0", "CC-BY-SA-4.0"} <= {i for i, _ in whole}
+    rows = variants + whole + [(None, whole[0][1] + " and more"), (None, "per cent sub license")]
+    got = {r.doc_id: r.license_id for r in license_scan.scan_licenses(docs(spark, [(n, t, "en", "s") for n, (_, t) in enumerate(rows)]), license_scan.known_digests(spark)).collect()}
+    assert [got[n] for n in range(len(rows))] == [i for i, _ in rows]
+
+
 def test_quality(spark):
     d, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     model = quality.fit(d, labels.where("doc_id % 2 = 0"))
