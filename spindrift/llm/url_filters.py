@@ -7,6 +7,7 @@ links and the normal form of each url.  In a class an explicit allow wins over a
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,19 +42,61 @@ def parse(df: DataFrame) -> DataFrame:
     return out.select("url", "host", "path", node("host", "path", "query").alias("node"), node("near", "bare", "kept").alias("normal"))
 
 
+#: One attribute after another from the start of a tag: name, and value in double quotes, single quotes or none.
+_ATTRIBUTE = r"""\G[\s/]*+([^\s/>=]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>"'][^\s>]*+)?+))?+"""
+#: The url of a refresh, after its delay, in quotes or none.
+_REFRESH = r"""(?is)^\s*+(?:[\d.]++(?:\s*+[;,]\s*+|\s++)(?:url\s*+=\s*+)?+|url\s*+=\s*+)(?:"([^"]*+)|'([^']*+)|([^"'].*+))"""
+
+
+def unescape(col: Column) -> Column:
+    """Character references of an attribute value replaced; a name without ; counts as one only before what can't go on with it."""
+
+    @F.pandas_udf("string")
+    def run(values: pd.Series) -> pd.Series:
+        import html
+        import re
+        from html.entities import html5
+
+        def one(m) -> str:
+            s = m.group()
+            return html.unescape(s) if s[1] == "#" or s[1:] in html5 else s
+
+        rx = re.compile(r"&(?:#(?:[0-9]++|[xX][0-9a-fA-F]++);?|[A-Za-z][A-Za-z0-9]*+(?:;|(?!=)))")
+        return values.map(lambda v: rx.sub(one, v), na_action="ignore")
+
+    return run(col)
+
+
 def page_links(pages: DataFrame) -> DataFrame:
-    """(url, target) of each page's canonical link and immediate redirect; relative targets are resolved."""
+    """(url, target) of each page's canonical link and immediate redirect; relative targets are resolved.
+
+    A tag is read attribute by attribute, whatever its length; a page is split at its link and meta tags, so each part is read once.
+    """
     html = F.coalesce(F.col("html"), F.lit(""))
-    tag = F.regexp_extract(html, "(?i)<link\\b[^>]{0,2000}?\\brel\\s*=\\s*[\"']?canonical\\b[^>]{0,2000}>", 0)
-    href = F.regexp_extract(tag, "(?i)\\bhref\\s*=\\s*[\"']?([^\"'\\s>]+)", 1)
-    meta = F.regexp_extract(html, "(?i)<meta\\b[^>]{0,2000}?\\bhttp-equiv\\s*=\\s*[\"']?refresh\\b[^>]{0,2000}>", 0)
-    moved = F.regexp_extract(meta, "(?i)url\\s*=\\s*([^\"'\\s>;]+)", 1)
     found = pages.where("url is not null").where(F.contains(F.lower(html), F.lit("canonical")) | F.contains(F.lower(html), F.lit("refresh")))
-    out = found.select("url", F.explode(F.array(href, moved)).alias("to")).where("to <> ''")
+    pieces = F.split(html, r"(?i)<(?=(?:link|meta)[\s/])")
+    pieces = F.filter(F.slice(pieces, 2, F.size(pieces)), lambda t: t.rlike("(?i)canonical|refresh"))
+    part = lambda t, i: F.regexp_extract_all(t, F.lit(_ATTRIBUTE), F.lit(i))
+    # The first attribute is the tag's name.  Of the four lists each match has a place in every one.
+    tags = F.transform(pieces, lambda t: F.arrays_zip(F.transform(part(t, 1), F.lower).alias("k"), part(t, 2).alias("a"), part(t, 3).alias("b"), part(t, 4).alias("c")))
+
+    def value(tag: Column, name: str) -> Column:
+        """The first attribute of that name counts."""
+        x = F.get(F.filter(tag, lambda x: x["k"] == name), F.lit(0))
+        return F.coalesce(F.concat(x["a"], x["b"], x["c"]), F.lit(""))
+
+    kind = lambda tag: F.get(tag, F.lit(0))["k"]
+    canonical = F.filter("tags", lambda t: (kind(t) == "link") & F.array_contains(F.split(F.lower(value(t, "rel")), r"\s+"), "canonical") & (value(t, "href") != ""))
+    refresh = F.filter("tags", lambda t: (kind(t) == "meta") & (F.lower(F.trim(value(t, "http-equiv"))) == "refresh") & value(t, "content").rlike("[^\\s\\d.;,]"))
+    out = found.select("url", tags.alias("tags")).select("url", F.get(canonical, F.lit(0)).alias("link"), F.get(refresh, F.lit(0)).alias("meta"))
+    out = out.select("url", F.inline(F.array(F.struct(F.lit(False).alias("moved"), value(F.col("link"), "href").alias("raw")), F.struct(F.lit(True).alias("moved"), value(F.col("meta"), "content").alias("raw"))))).where("raw <> ''")
+    out = out.select("url", "moved", unescape(F.col("raw")).alias("raw"))
+    to = F.when(F.col("moved"), F.concat(*(F.regexp_extract("raw", _REFRESH, i) for i in (1, 2, 3)))).otherwise(F.col("raw"))
+    out = out.select("url", F.regexp_replace(to, r"^\s++|\s++$", "").alias("to")).where("to <> ''")
     host, path, _ = split_url(F.col("url"))
     base = F.regexp_replace(path, "[^/]*$", "")
     to = F.col("to")
-    full = F.when(F.contains(to, F.lit("://")), to).when(to.startswith("//"), F.concat(F.lit("http:"), to))
+    full = F.when(to.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*+://"), to).when(to.startswith("//"), F.concat(F.lit("http:"), to))
     full = full.when(to.startswith("/"), F.concat(F.lit("http://"), host, to)).otherwise(F.concat(F.lit("http://"), host, F.when(base == "", F.lit("/")).otherwise(base), to))
     return out.select("url", full.alias("target"))
 

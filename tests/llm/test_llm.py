@@ -77,6 +77,27 @@ def test_url_aliases(spark):
     assert got[2].decided_by == "alias class" and got[4].decided_by == "default"
 
 
+def test_url_aliases_of_ordinary_html(spark):
+    far = "http://bad.example/" + "p" * 3000
+    to = "http://bad.example/x"
+    forms = {
+        to: ["<meta http-equiv=\"refresh\" content=\"0;url='{}'\">", "<META content='5; URL=\"{}\"' HTTP-EQUIV=Refresh />", "<meta http-equiv=refresh content=0;url={}>", "<meta http-equiv=refresh content='0; {}'>", "<link rel=canonical href={}>", "<link data-x='a>b'\n rel='x canonical' href = '{}'/>", "<link rel=icon href=/i><link rel=canonical><link rel=canonical href=' {} '>"],
+        "http://bad.example/x;jsessionid=1?a=1&b=2": ['<meta http-equiv="refresh" content="0; url={}">'],
+        "http://bad.example/x?a=1&copy=2&lt=3": ['<link rel="canonical" href="{}">'],
+        "http://bad.example/q?to=http://other.example/": ['<link rel="canonical" href="{}">'],
+        far: ["<link href={} rel=canonical>", '<meta content="0;url={}" http-equiv="refresh">'],
+    }
+    rows = [(n, f"http://h{n}.example/", "<p>" + f.format(u.replace("&", ("&amp;", "&#38;", "&#x26;")[n % 3])) + "</p>") for n, (u, f) in enumerate((u, f) for u, fs in forms.items() for f in fs)]
+    rows += [(100, "http://raw.example/", '<link rel="canonical" href="http://bad.example/x?a=1&copy=2&lt=3">'), (101, "http://rel.example/a/b", '<link rel="canonical" href="/q?to=http://bad.example/x">')]
+    rows += [(200, "http://no.example/1", '<meta http-equiv="refresh" content="5">'), (201, "http://no.example/2", '<link rel="stylesheet" href="http://bad.example/canonical">'), (202, "http://no.example/3", "<link " * 20_000 + "canonical"), (203, "http://no.example/4", None)]
+    rows += [(300 + n, u, "") for n, u in enumerate(forms)]
+    rules = common.literal_table(spark, [("bad.example/", "block")], ["rule", "action"])
+    got = by_id(url_filters.filter_urls(spark.createDataFrame(rows, "page_id long, url string, html string"), rules), "page_id")
+    assert {i: g.verdict for i, g in got.items()} == {i: "allow" if i in (101, 200, 201, 202, 203) else "block" for i in got} and len(got) == len(rows)
+    links = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.target for r in url_filters.page_links(links).collect()} == {*forms, "http://rel.example/q?to=http://bad.example/x"}
+
+
 def exact_components(rows, percent):
     sets = {}
     for i, t in rows:
