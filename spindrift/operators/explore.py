@@ -95,14 +95,14 @@ def call_edges(table: DataFrame) -> DataFrame:
 
 
 def keyword_file_scores(files: DataFrame, keywords: DataFrame, id_col: str = "doc", text_col: str = "text", k: int = 5) -> DataFrame:
-    """keywords(query, word) by documents: 1 for each line that holds the word as a token, 0.5 if the word is in the id's text; top k.
+    """keywords(query, word) by documents: 1 for each line that holds the word as a token, 1.5 if the word is in the id's text too; top k.
 
     The containment join runs by equality on tokens: lines are split once and only their distinct tokens meet the words.
     """
     words = keywords.select("query", F.lower("word").alias("word")).distinct()
     ls = files.select(F.col(id_col).alias("doc"), F.explode(F.transform(lines(F.lower(text_col)), lambda x: F.array_distinct(F.regexp_extract_all(x, F.lit("[a-z_][a-z0-9_]*"), F.lit(0))))).alias("ts"))
     tokens = ls.select("doc", F.explode("ts").alias("word")).groupBy("doc", "word").agg(F.count("*").alias("n"))
-    scored = tokens.join(words, "word").groupBy("query", "doc").agg(F.sum("n").cast("double").alias("score"))
+    scored = tokens.join(words, "word").groupBy("query", "doc").agg(F.sum(F.col("n") * F.when(F.contains(F.lower(F.col("doc").cast("string")), F.col("word")), 1.5).otherwise(1.0)).alias("score"))
     w = Window.partitionBy("query").orderBy(F.desc("score"), "doc")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

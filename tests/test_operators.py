@@ -140,3 +140,9 @@ def test_registry():
     with pytest.raises(ValueError, match="already"):
         registry.register("chunker", "own-test")(chunking.line_chunks)
     assert registry.get("chunker", "own-test") is chunking.line_chunks
+
+
+def test_file_scores_count_the_path(spark):
+    files = spark.createDataFrame([("src/Parser.py", "parser here\nand a parser"), ("src/b.py", "parser\nparser\nx"), ("src/c.py", "none")], "doc string, text string")
+    words = spark.createDataFrame([(1, "PARSER"), (1, "parser")], "query int, word string")
+    assert [(r.doc, r.score) for r in explore.keyword_file_scores(files, words).orderBy("rank").collect()] == [("src/Parser.py", 3.0), ("src/b.py", 2.0)]
