@@ -12,12 +12,12 @@ from __future__ import annotations
 import hashlib
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from spindrift.llm.common import text_batches
+from spindrift.llm.common import slices
+from spindrift.session import share_package
 
 #: Characters of context after which a row without a target is written, so that no row grows without bound.
 MAX_ROW = 1_000_000
@@ -46,27 +46,27 @@ def turn_text(role: str | None, text: str | None) -> tuple[str, int, int]:
 def format_conversations(conversations: DataFrame) -> DataFrame:
     """conversations(conv_id, turn, role, text) -> conv_id, example_no, target, addition, prefix_chars, loss_start, loss_end.
 
-    prefix_chars: characters of the conversation's text before the addition; loss_start and loss_end: the reply,
-    as positions in the addition (both 0 if target is false: context after the last assistant turn, or a part of a
-    very long context).  Null text or role: empty.  Rows are ordered by turn, then role and text; a null turn comes first; rows
-    with a null conv_id form one conversation with a null id; repeated rows each are a turn; other columns are ignored.
-    A conversation streams through one task in sorted order; memory holds one addition.
+    Storage is shared by prefix: a row holds what its example adds to the one before; expand_examples() gives the
+    examples whole, one after another.  prefix_chars: characters of the conversation's text before the addition; loss_start and
+    loss_end: the reply, as positions in the addition (both 0 if target is false: context after the last assistant turn,
+    or a part of a context of more than MAX_ROW characters).  Null text or role: empty.  Rows are ordered by turn, then role
+    and text; a null turn comes first; rows with a null conv_id form one conversation with a null id; repeated rows each are a
+    turn; other columns are ignored; no rows give none.  A conversation streams through one task in sorted order, as
+    its digests need; memory holds one addition.
     """
-    text_batches(conversations.sparkSession)
+    share_package(conversations.sparkSession)
     rows = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role"), F.col("text"))
     rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 
     def run(batches):
-        conv, no, before, held, size = None, 0, 0, [], 0
-        first = True
-        for pdf in batches:
+        conv, no, before, held, size = _NONE, 0, 0, [], 0
+        for b in slices(batches):
             out = []
-            for c, role, text in zip(pdf["conv_id"].astype("Int64"), pdf["role"], pdf["text"], strict=True):
-                c = None if c is pd.NA else int(c)
-                if first or c != conv:
+            for c, role, text in zip(b.column("conv_id").to_pylist(), b.column("role").to_pylist(), b.column("text").to_pylist(), strict=True):
+                if c != conv:
                     if held:
                         out.append((conv, no, False, "".join(held), before, 0, 0))
-                    conv, no, before, held, size, first = c, 0, 0, [], 0, False
+                    conv, no, before, held, size = c, 0, 0, [], 0
                 piece, lo, hi = turn_text(role, text)
                 held.append(piece)
                 target = role == "assistant"
@@ -75,24 +75,66 @@ def format_conversations(conversations: DataFrame) -> DataFrame:
                     no, before, held, size = no + 1, before + size + len(piece), [], 0
                 else:
                     size += len(piece)
-            yield _frame(out)
+            yield _batch(out, _EXAMPLE)
         if held:
-            yield _frame([(conv, no, False, "".join(held), before, 0, 0)])
+            yield _batch([(conv, no, False, "".join(held), before, 0, 0)], _EXAMPLE)
 
-    return rows.mapInPandas(run, SCHEMA)
+    return rows.mapInArrow(run, SCHEMA)
 
 
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")])
-    out["conv_id"] = out["conv_id"].astype("Int64")
-    return out
+#: No conversation yet; a null id is one of its own.
+_NONE = object()
+_EXAMPLE = pa.schema([("conv_id", pa.int64()), ("example_no", pa.int64()), ("target", pa.bool_()), ("addition", pa.string()), ("prefix_chars", pa.int64()), ("loss_start", pa.int64()), ("loss_end", pa.int64())])
+_WHOLE = pa.schema([("conv_id", pa.int64()), ("example_no", pa.int64()), ("text", pa.string()), ("loss_start", pa.int64()), ("loss_end", pa.int64())])
+_DIGEST = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) or [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
+
+
+def _in_order(examples: DataFrame) -> DataFrame:
+    share_package(examples.sparkSession)
+    return examples.repartition("conv_id").sortWithinPartitions("conv_id", "example_no")
+
+
+class Context:
+    """A conversation's text as its examples are read in order; says whether a row follows the ones before."""
+
+    def __init__(self):
+        self.conv, self.chars = _NONE, 0
+
+    def add(self, conv: int | None, addition: str, prefix_chars: int) -> bool:
+        """Whether a new conversation begins."""
+        new = conv != self.conv
+        if new:
+            self.conv, self.chars = conv, 0
+        if prefix_chars != self.chars:
+            raise ValueError(f"conversation {conv}: an example begins at {prefix_chars} of {self.chars} characters")
+        self.chars += len(addition)
+        return new
+
 
+def expand_examples(examples: DataFrame) -> DataFrame:
+    """conv_id, example_no, text, loss_start, loss_end of every example, whole: all preceding turns, then the reply.
 
-def example_texts(examples: DataFrame) -> DataFrame:
-    """conv_id, example_no, text, loss_start, loss_end of every example, whole (as long as its conversation up to it)."""
-    w = Window.partitionBy("conv_id").orderBy("example_no").rowsBetween(Window.unboundedPreceding, 0)
-    out = examples.withColumn("text", F.array_join(F.collect_list("addition").over(w), "")).where("target")
-    return out.select("conv_id", "example_no", "text", (F.col("prefix_chars") + F.col("loss_start")).alias("loss_start"), (F.col("prefix_chars") + F.col("loss_end")).alias("loss_end"))
+    A conversation's rows stream through a task in order; it holds one context, and gives one example at a time, so
+    that memory doesn't grow with the number of examples.  The output is as long as all contexts together, for
+    a conversation of n turns the square of n: readers that can, should read the shared prefixes instead.
+    """
+
+    def run(batches):
+        context, held = Context(), []
+        for b in slices(batches):
+            for c, no, target, add, before, lo, hi in zip(*(b.column(f.name).to_pylist() for f in _EXAMPLE), strict=True):
+                held = [add] if context.add(c, add, before) else [*held, add]
+                if target:
+                    text = "".join(held)
+                    held = [text]
+                    yield _batch([(c, no, text, before + lo, before + hi)], _WHOLE)
+
+    return _in_order(examples).mapInArrow(run, "conv_id long, example_no long, text string, loss_start long, loss_end long")
 
 
 def read_turns(formatted: str) -> list[tuple[str, str]]:
@@ -109,17 +151,17 @@ def read_turns(formatted: str) -> list[tuple[str, str]]:
 
 def read_back(examples: DataFrame) -> DataFrame:
     """One row for each conversation, from the formatted output alone: n_turns, turns_sha256, loss_chars, loss_sha256,
-    formatted_chars (characters of all its examples, each with its whole context, and of context that no example has)."""
-    text_batches(examples.sparkSession)
-    rows = examples.repartition("conv_id").sortWithinPartitions("conv_id", "example_no")
+    formatted_chars (characters of all its examples, each with its whole context, and of context that no example has).
+
+    Each example's context is followed row by row: an example that doesn't begin where its context ends is an error.
+    """
 
     def run(batches):
-        state = None
-        for pdf in batches:
+        context, state = Context(), None
+        for b in slices(batches):
             out = []
-            for c, target, add, before, lo, hi in zip(pdf["conv_id"].astype("Int64"), pdf["target"], pdf["addition"], pdf["prefix_chars"], pdf["loss_start"], pdf["loss_end"], strict=True):
-                c = None if c is pd.NA else int(c)
-                if state is None or state[0] != c:
+            for c, _, target, add, before, lo, hi in zip(*(b.column(f.name).to_pylist() for f in _EXAMPLE), strict=True):
+                if context.add(c, add, before):
                     if state:
                         out.append(_digest(state))
                     state = [c, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
@@ -130,21 +172,15 @@ def read_back(examples: DataFrame) -> DataFrame:
                     loss = unescape(add[lo:hi])
                     state[3] += len(loss)
                     state[4].update(loss.encode("utf-8", "surrogatepass"))
-                    state[5] += before + len(add)
+                    state[5] += context.chars
                 else:
                     state[5] += len(add)
-            yield _digests(out)
+            yield _batch(out, _DIGEST)
         if state:
-            yield _digests([_digest(state)])
+            yield _batch([_digest(state)], _DIGEST)
 
-    return rows.mapInPandas(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return _in_order(examples).mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def _digest(s: list) -> tuple:
     return s[0], s[1], s[2].hexdigest(), s[3], s[4].hexdigest(), s[5]
-
-
-def _digests(rows: list[tuple]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
-    out["conv_id"] = out["conv_id"].astype("Int64")
-    return out

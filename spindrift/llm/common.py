@@ -2,41 +2,58 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
-from pathlib import Path
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Separators of the contracts' words: space and the five ASCII controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-#: Rows in one Arrow batch of text, so that a worker holds a few MB at a time.
+#: Rows of text that a worker turns into Python objects at a time.
 TEXT_BATCH = 400
-ROOT = str(Path(__file__).resolve().parents[2])
+_OWN: dict[str, str] = {}
+_SCOPES: list[list[DataFrame]] = []
 
 
 def lower_ascii(col: Column) -> Column:
     return F.translate(col, UPPER, UPPER.lower())
 
 
-def text_batches(spark: SparkSession, rows: int = TEXT_BATCH) -> None:
-    """Bound what one Arrow batch carries to a Python worker (a runtime setting of the session), and
-    let workers that share the driver's file system import this package."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    env = spark.sparkContext.environment
-    if ROOT not in (have := env.get("PYTHONPATH", "").split(":")):
-        env["PYTHONPATH"] = ":".join([ROOT, *filter(None, have)])
+def slices(batches: Iterable[pa.RecordBatch], rows: int = TEXT_BATCH) -> Iterator[pa.RecordBatch]:
+    """Arrow batches cut to `rows` rows, so that a worker's memory doesn't depend on the session's batch size."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
+def raw(col: pa.Array) -> list[bytes | None]:
+    """Strings as UTF-8 bytes, whatever they hold."""
+    return col.cast(pa.binary()).to_pylist()
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder named by the session; a temporary one only where none is set (tests)."""
+    """The shared folder named by spark.checkpoint.dir.
+
+    Where it is unset a folder of this process is used if driver and workers are one machine (local[n], tests); a cluster
+    without the setting is refused, as a machine's own folder isn't seen by the others.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="scratch-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    if found:
+        return found.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _OWN:
+        _OWN[app] = tempfile.mkdtemp(prefix="scratch-")
+        atexit.register(shutil.rmtree, _OWN[app], True)
+    return "file://" + _OWN[app]
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -46,7 +63,15 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{scratch(spark)}/cut-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
-    out._cut_path = path
+    out._cuts = [path]
+    for s in _SCOPES:
+        s.append(out)
+    return out
+
+
+def reading(out: DataFrame, *tables: DataFrame) -> DataFrame:
+    """out, a lazy result that reads tables of cut(): release(out) removes them once it is used."""
+    out._cuts = [p for t in tables for p in getattr(t, "_cuts", [])]
     return out
 
 
@@ -59,11 +84,29 @@ def filesystem(spark: SparkSession, path: str):
 def release(*tables: DataFrame) -> None:
     """Remove tables of cut() that nothing lazy reads any more."""
     for t in tables:
-        if path := getattr(t, "_cut_path", None):
+        for path in getattr(t, "_cuts", []):
             fs, p = filesystem(t.sparkSession, path)
             fs.delete(p, True)
 
 
+class Scope:
+    """with Scope() as s: ... s.keep(df); at the end all tables that were cut inside go but those kept."""
+
+    def __enter__(self) -> Scope:
+        self.made: list[DataFrame] = []
+        self.kept: set[str] = set()
+        _SCOPES.append(self.made)
+        return self
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.kept.update(getattr(df, "_cuts", []))
+        return df
+
+    def __exit__(self, *_: object) -> None:
+        _SCOPES[:] = [s for s in _SCOPES if s is not self.made]
+        release(*(t for t in self.made if not self.kept.intersection(t._cuts)))
+
+
 def literal_table(spark: SparkSession, rows: list[tuple], columns: list[str]) -> DataFrame:
     """A small fixed table made of literals: a JVM-only plan, without a Python RDD."""
     structs = [F.struct(*(F.lit(v).alias(c) for v, c in zip(r, columns, strict=True))) for r in rows]

@@ -13,12 +13,13 @@ import zlib
 from collections import deque
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import text_batches
+from spindrift.llm.common import raw, slices
+from spindrift.session import share_package
 
 END_ID = 2
 BUFFER = 256
@@ -75,10 +76,10 @@ class Encoder:
             at = stop
         return None
 
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
+    def __call__(self, texts: list[str | bytes | None]) -> list[bytes]:
         # The tokenizer lower-cases; doing so first for A-Z leaves fewer different words.  Special tokens' strings stay as they are.
-        raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-        split = [(b if b"<|" in b else b.lower()).split() for b in raw]
+        texts = [t if isinstance(t, bytes) else (t or "").encode("utf-8", "surrogatepass") for t in texts]
+        split = [(b if b"<|" in b else b.lower()).split() for b in texts]
         if len(self.known) > WORDS_KEPT // 2:
             self.known, self.older = {}, self.known
         new = set().union(*split).difference(self.known)
@@ -223,32 +224,33 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = 4096, ma
     columns are ignored; a table without rows gives none.  The packing depends on the input's splits, which
     a lost task reads again in the same order.
     """
-    text_batches(docs.sparkSession)
+    share_package(docs.sparkSession)
     loss = F.col(loss_col).cast("long") if loss_col else F.lit(None).cast("long")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), loss.alias("loss"))
-    schema = f"{id_col} long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long" + ", ids binary" * with_ids
-    names = [c.split()[0] for c in schema.split(", ")]
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), loss.alias("loss"))
+    numbers = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "loss_tokens"]
+    schema = f"`{id_col}` long, " + ", ".join(f"{c} long" for c in numbers) + ", ids binary" * with_ids
 
     def run(batches):
         encode, packer = encoder(tokenizer), Packer(capacity, max_segments, max_loss)
         sequence = TaskContext.get().partitionId() << 33
 
-        def table(sequences) -> pd.DataFrame:
+        def table(sequences) -> pa.RecordBatch:
             nonlocal sequence
             out = []
             for s in sequences:
                 at = 0
                 for doc, start, length, crc, total, loss, ids in s:
-                    out.append((doc, start, length, crc, total, sequence, at, loss, ids)[: len(names)])
+                    out.append((doc, start, length, crc, total, sequence, at, loss, ids))
                     at += length
                 sequence += 1
-            pdf = pd.DataFrame(out, columns=names)
-            pdf[id_col] = pdf[id_col].astype("Int64")
-            return pdf
-
-        for pdf in batches:
-            docs = zip(pdf["doc_id"].astype("Int64"), encode(pdf["text"].tolist()), pdf["loss"].astype("Int64"), strict=True)
-            yield table(s for d, ids, n in docs for s in packer.add(Item(None if d is pd.NA else int(d), ids, None if n is pd.NA else int(n))))
+            cols = list(zip(*out, strict=True)) or [()] * 9
+            arrays = [pa.array(c, pa.int64()) for c in cols[:8]] + ([pa.array(cols[8], pa.binary())] if with_ids else [])
+            return pa.RecordBatch.from_arrays(arrays, [id_col, *numbers] + ["ids"] * with_ids)
+
+        # Ids are Python integers on their way: none, and large ones, stay what they are.
+        for b in slices(batches):
+            items = zip(b.column("id").to_pylist(), encode(raw(b.column("text"))), b.column("loss").to_pylist(), strict=True)
+            yield table(s for d, ids, n in items for s in packer.add(Item(d, ids, n)))
         yield table(packer.finish())
 
-    return rows.mapInPandas(run, schema)
+    return rows.mapInArrow(run, schema)

@@ -2,27 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
+import xxhash
 
 _RNG = np.random.default_rng(20240607)
-_BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_MIX = _RNG.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_BYTE[65:91] = _BYTE[97:123]  # A-Z count as a-z
-_BYTE[_SPACE] = 0
-_P = int(_RNG.integers(1, 2**62)) * 2 + 1
-_P_INV = pow(_P, -1, 2**64)
+#: Bytes whose words are Python objects at a time.
 _PIECE = 1 << 19
-_MIX = _RNG.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-
-def _powers(p: int, n: int) -> np.ndarray:
-    out = np.full(n, p, dtype=np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
-_POW, _POW_INV = _powers(_P, _PIECE + 1), _powers(_P_INV, _PIECE + 1)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -32,17 +22,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and start offsets of the words of at most _PIECE bytes (or of one longer word)."""
-    raw = np.frombuffer(data, dtype=np.uint8)
-    space = _SPACE[raw]
-    edge = np.diff(np.concatenate(([True], space, [True])).astype(np.int8))
-    starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    if not len(starts):
-        return np.zeros(0, np.uint64), starts
-    up, down = (_POW, _POW_INV) if len(raw) <= _PIECE else (_powers(_P, len(raw) + 1), _powers(_P_INV, len(raw) + 1))
-    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[raw] * up[: len(raw)], dtype=np.uint64)))
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64)), starts
+def _hashed(words: list[bytes]) -> np.ndarray:
+    """[word, 2]: 128 bits of each word."""
+    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), dtype="<u8").reshape(-1, 2)
 
 
 def _pieces(data: bytes):
@@ -61,62 +43,104 @@ def _pieces(data: bytes):
     yield data[at:]
 
 
-def shingle_sets(texts: list[str | None], width: int = 5) -> list[np.ndarray]:
-    """For each text the sorted distinct hashes of its shingles of width words; a text of fewer words
-    is one shingle; a text without words, or null, has none."""
-    out: list[np.ndarray] = []
-    group: list[bytes] = []
-    held = 0
+def _as_bytes(t: str | bytes | None) -> bytes:
+    """A-Z lower-cased; bytes.lower() and bytes.split() know ASCII only, as the contract's words do."""
+    return (t if isinstance(t, bytes) else (t or "").encode("utf-8", "surrogatepass")).lower()
+
+
+def shingle_hashes(texts: list[str | bytes | None], width: int = 5) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each text the sorted distinct hashes of its shingles of width words, and a second hash of each; a text of fewer
+    words is one shingle; a text without words, or null, has none."""
+    out: list[tuple[np.ndarray, np.ndarray]] = []
+    words: list[bytes] = []
+    bounds, held = [0], 0
 
     def flush() -> None:
         nonlocal held
-        if group:
-            lengths = np.array([len(b) + 1 for b in group])
-            first = np.concatenate(([0], np.cumsum(lengths)))
-            words, starts = _word_hashes(b"\n".join(group))
-            bounds = np.searchsorted(starts, first)
-            out.extend(_sets(words, bounds, width))
-            group.clear()
+        if len(bounds) > 1:
+            out.extend(_sets(_hashed(words), bounds, width))
+            words.clear()
+            bounds[:] = [0]
             held = 0
 
     for t in texts:
-        b = (t or "").encode("utf-8", "surrogatepass")
+        b = _as_bytes(t)
         if len(b) >= _PIECE // 2:
             flush()
-            words = np.concatenate([_word_hashes(p)[0] for p in _pieces(b)])
-            out.extend(_sets(words, np.array([0, len(words)]), width))
+            h = np.concatenate([_hashed(p.split()) for p in _pieces(b)])
+            out.extend(_sets(h, [0, len(h)], width))
             continue
-        if held + len(b) + 1 > _PIECE:
+        if held + len(b) > _PIECE:
             flush()
-        group.append(b)
+        words.extend(b.split())
+        bounds.append(len(words))
         held += len(b) + 1
     flush()
     return out
 
 
-def _sets(words: np.ndarray, bounds: np.ndarray, width: int) -> list[np.ndarray]:
+def shingle_sets(texts: list[str | bytes | None], width: int = 5) -> list[np.ndarray]:
+    return [s for s, _ in shingle_hashes(texts, width)]
+
+
+def set_digest(s: np.ndarray, second: np.ndarray) -> bytes:
+    """16 bytes that tell a set of shingles from any other, by 128 bits of each."""
+    return hashlib.blake2b(s.tobytes() + second.tobytes(), digest_size=16).digest()
+
+
+def _sets(words: np.ndarray, bounds: list[int], width: int) -> list[tuple[np.ndarray, np.ndarray]]:
     n = len(words)
+    rolled = np.zeros((max(0, n - width + 1), 2), np.uint64)
     if n >= width:
-        rolled = np.zeros(n - width + 1, np.uint64)
         for k in range(width):
             rolled += mix(words[k : n - width + 1 + k] ^ _MIX[k]) * _MIX[k]
         rolled = mix(rolled)
     out = []
     for s, e in zip(bounds[:-1], bounds[1:], strict=True):
         if e - s >= width:
-            out.append(np.unique(rolled[s : e - width + 1]))
+            found, at = np.unique(rolled[s : e - width + 1, 0], return_index=True)
+            out.append((found, rolled[s + at, 1]))
         elif e > s:
-            short = np.uint64(0)
-            with np.errstate(over="ignore"):
-                for k, w in enumerate(words[s:e]):
-                    short += mix(np.array([w ^ _MIX[k]]))[0] * _MIX[k]
-                short += np.uint64(e - s)
-            out.append(mix(np.array([short])))
+            short = np.full((1, 2), e - s, np.uint64)
+            for k in range(e - s):
+                short += mix(words[s + k : s + k + 1] ^ _MIX[k]) * _MIX[k]
+            short = mix(short)
+            out.append((short[:, 0], short[:, 1]))
         else:
-            out.append(np.zeros(0, np.uint64))
+            out.append((np.zeros(0, np.uint64), np.zeros(0, np.uint64)))
     return out
 
 
+class Words:
+    """A text's words by position, and where each of its shingles is first, for comparing shingles word by word."""
+
+    def __init__(self, text: str | bytes | None, width: int = 5):
+        self.data = _as_bytes(text)
+        space = np.concatenate(([True], _SPACE[np.frombuffer(self.data, dtype=np.uint8)], [True]))
+        edge = np.diff(space.astype(np.int8))
+        self.starts, self.ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+        self.width = min(width, len(self.starts))
+        h = np.concatenate([_hashed(p.split()) for p in _pieces(self.data)])
+        if len(h) >= width:
+            rolled = np.zeros(len(h) - width + 1, np.uint64)
+            for k in range(width):
+                rolled += mix(h[k : len(h) - width + 1 + k, 0] ^ _MIX[k]) * _MIX[k]
+            self.hashes, self.first = np.unique(mix(rolled), return_index=True)
+        else:
+            self.hashes, self.first = _sets(h, [0, len(h)], width)[0][0], np.zeros(min(1, len(h)), np.int64)
+
+    def __len__(self) -> int:
+        return len(self.hashes)
+
+    def shingle(self, at: int) -> list[bytes]:
+        return [self.data[s:e] for s, e in zip(self.starts[at : at + self.width], self.ends[at : at + self.width], strict=True)]
+
+    def common(self, other: Words) -> int:
+        """Shingles of both, equal word by word."""
+        _, i, j = np.intersect1d(self.hashes, other.hashes, assume_unique=True, return_indices=True)
+        return sum(self.shingle(a) == other.shingle(b) for a, b in zip(self.first[i].tolist(), other.first[j].tolist(), strict=True))
+
+
 class MinHasher:
     """n minima over linear hashes of a set; 32 bits are kept of each."""
 
