@@ -1,8 +1,9 @@
 """Approximate nearest neighbours by learned partitions.
 
-On a bounded sample: a neighbour graph is cut into balanced parts, and a small network learns to
-tell a vector's part (and its neighbours' parts).  Every row is then indexed under its likeliest
-part; a query visits its likeliest few parts, whose rows are ranked by exact cosine in blocks.
+On a bounded sample: a neighbour graph is cut into balanced parts, and a small classifier learns to
+tell a vector's part from its neighbours' parts.  Every row is then indexed under its likeliest
+part; a query visits its likeliest few parts, whose rows are ranked by exact cosine.  Parts are small and grow
+in number with the data, so that the parts that a query visits hold a share of all rows only.
 """
 
 from __future__ import annotations
@@ -10,227 +11,370 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from spindrift.llm.common import cut, text_batches
+from spindrift.llm.common import cut, reading, release, slices
+from spindrift.session import share_package
 
-#: Vectors that the graph, the partition and the network are fitted on, at most (smallest hashes of their ids).
-SAMPLE = 4096
-#: Parts at most, what the sample can tell apart.
-MAX_PARTS = 64
-ROW_BLOCK, QUERY_BLOCK = 8192, 1024
+#: Vectors that the graph, the partition and the classifiers are fitted on, at most, and three times as many others that
+#: choose how many parts a query visits (smallest hashes of their ids).
+SAMPLE = 16_384
+#: Parts that one classifier tells apart, at most, what the sample can teach it; beyond, a second one divides each part again.
+MAX_PARTS = 2048
+#: Rows of a block, the unit that a task holds while queries stream past it.
+ROW_BLOCK = 8192
+#: Recall of held-out queries at which probing stops.
+RECALL = 0.95
 
 
 @dataclass
 class Router:
-    w1: np.ndarray
-    b1: np.ndarray
-    w2: np.ndarray
-    b2: np.ndarray
-    probe: int
+    """One or two classifiers (weights, biases) of unit vectors; a row's part is its likeliest class of each."""
 
-    def scores(self, x: np.ndarray) -> np.ndarray:
-        return np.maximum(x @ self.w1 + self.b1, 0) @ self.w2 + self.b2
+    heads: list[tuple[np.ndarray, np.ndarray]]
+    probe: int
 
-    def parts(self, x: np.ndarray, n: int) -> np.ndarray:
-        """The n likeliest parts of each row of unit vectors."""
-        return np.argsort(-self.scores(x), axis=1, kind="stable")[:, :n]
+    def scores(self, x: np.ndarray, head: int) -> np.ndarray:
+        w, b = self.heads[head]
+        return x.astype(np.float32) @ w + b
 
+    def codes(self, x: np.ndarray) -> np.ndarray:
+        """[row, head]: the likeliest class."""
+        return np.stack([self.scores(x, h).argmax(axis=1) for h in range(len(self.heads))], axis=1)
 
-def unit(x: np.ndarray) -> np.ndarray:
-    return x / np.linalg.norm(x, axis=1, keepdims=True)
+    def visited(self, x: np.ndarray) -> np.ndarray:
+        """[row, head, class]: whether the class is one of the `probe` likeliest.  A part is visited if its classes all are."""
+        out = []
+        for h in range(len(self.heads)):
+            s = self.scores(x, h)
+            n = min(self.probe, s.shape[1])
+            hit = np.zeros(s.shape, dtype=bool)
+            np.put_along_axis(hit, np.argpartition(-s, n - 1, axis=1)[:, :n], True, axis=1)
+            out.append(hit)
+        return np.stack(out, axis=1)
 
 
-def neighbours(x: np.ndarray, k: int) -> np.ndarray:
-    out = np.empty((len(x), k), dtype=np.int64)
-    for at in range(0, len(x), 512):
-        s = x[at : at + 512] @ x.T
-        s[np.arange(len(s)), np.arange(at, at + len(s))] = -np.inf
-        out[at : at + 512] = np.argpartition(-s, k - 1, axis=1)[:, :k]
+def unit(x: np.ndarray) -> np.ndarray:
+    """Unit vectors; scaled by a power of two first, which changes no quotient, so that squares stay finite."""
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+
+
+def neighbours(x: np.ndarray, of: np.ndarray, k: int) -> np.ndarray:
+    """The k nearest rows of x to its rows `of`, themselves left out."""
+    out = np.empty((len(of), k), dtype=np.int64)
+    for at in range(0, len(of), 256):
+        rows = of[at : at + 256]
+        s = x[rows] @ x.T
+        s[np.arange(len(rows)), rows] = -np.inf
+        out[at : at + 256] = np.argpartition(-s, k - 1, axis=1)[:, :k]
     return out
 
 
-def balanced_parts(x: np.ndarray, graph: np.ndarray, parts: int, slack: float = 1.1, passes: int = 20) -> np.ndarray:
-    """Parts of nearly equal size with few graph edges between them: median splits along principal
-    directions, then moves of the vertices that gain most edges while a part has room."""
-    n = len(x)
+def balanced_parts(x: np.ndarray, graph: np.ndarray, parts: int, rng: np.random.Generator, slack: float = 1.3, rounds: int = 8) -> np.ndarray:
+    """Parts of nearly equal size, at most slack times the mean, that keep graph neighbours together.
+
+    Rows go to the nearest centre that has room, the closest ones first; then rows move to the part of most of
+    their neighbours while that has room, and centres follow.
+    """
+    n, room = len(x), int(slack * len(x) / parts) + 1
+    centres = x[rng.choice(n, parts, replace=False)].copy()
     label = np.zeros(n, dtype=np.int64)
-    count = 1
-    while count < parts:
-        new = label * 2
-        for c in range(count):
-            own = np.flatnonzero(label == c)
-            y = x[own] - x[own].mean(axis=0)
-            _, _, axes = np.linalg.svd(y, full_matrices=False)
-            new[own[np.argsort(y @ axes[0], kind="stable")[len(own) // 2 :]]] += 1
-        label, count = new, count * 2
-    room = int(slack * n / parts) + 1
-    sizes = np.bincount(label, minlength=parts)
-    for _ in range(passes):
-        edges = np.zeros((n, parts), dtype=np.int64)
-        for j in range(graph.shape[1]):
-            np.add.at(edges, (np.arange(n), label[graph[:, j]]), 1)
-            np.add.at(edges, (graph[:, j], label), 1)
-        best = edges.argmax(axis=1)
-        gain = edges[np.arange(n), best] - edges[np.arange(n), label]
-        moved = 0
-        for i in np.argsort(-gain, kind="stable"):
-            if gain[i] <= 0:
-                break
-            if sizes[best[i]] < room:
-                sizes[label[i]] -= 1
-                sizes[best[i]] += 1
-                label[i] = best[i]
-                moved += 1
-        if moved < n // 500:
-            break
+    for r in range(rounds):
+        near = np.empty((n, min(16, parts)), dtype=np.int64)
+        best = np.empty(n, dtype=x.dtype)
+        for at in range(0, n, 1024):
+            s = x[at : at + 1024] @ centres.T
+            top = np.argpartition(-s, near.shape[1] - 1, axis=1)[:, : near.shape[1]]
+            order = np.argsort(-np.take_along_axis(s, top, axis=1), axis=1, kind="stable")
+            near[at : at + 1024] = np.take_along_axis(top, order, axis=1)
+            best[at : at + 1024] = s.max(axis=1)
+        size = [0] * parts
+        choice = near.tolist()
+        spare = 0
+        for i in np.argsort(-best, kind="stable").tolist():
+            for c in choice[i]:
+                if size[c] < room:
+                    break
+            else:
+                while size[spare] >= room:
+                    spare += 1
+                c = spare
+            label[i] = c
+            size[c] += 1
+        if r == rounds - 1:
+            _towards_neighbours(label, graph, size, room)
+        centres = np.zeros_like(centres)
+        np.add.at(centres, label, x)
+        centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-9)
     return label
 
 
-def fit(sample: np.ndarray, parts: int, recall: float = 0.98, hidden: int = 128, epochs: int = 60, seed: int = 3) -> Router:
-    """The router; its probe count is the smallest that reaches `recall` for 10 neighbours within the sample."""
-    x = unit(np.unique(sample, axis=0).astype(np.float64))
-    dim = sample.shape[1]
-    rng = np.random.default_rng(seed)
-    if parts < 2 or len(x) < 8 * parts:
-        return Router(np.zeros((dim, 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1), 1)
-    graph = neighbours(x, 16)
-    label = balanced_parts(x, graph, parts)
-    goal = np.zeros((len(x), parts))
-    goal[np.arange(len(x)), label] += 4
-    for j in range(graph.shape[1]):
-        np.add.at(goal, (np.arange(len(x)), label[graph[:, j]]), 1)
-    goal /= goal.sum(axis=1, keepdims=True)
-    p = [rng.normal(0, (2 / dim) ** 0.5, (dim, hidden)), np.zeros(hidden), rng.normal(0, hidden**-0.5, (hidden, parts)), np.zeros(parts)]
+def _towards_neighbours(label: np.ndarray, graph: np.ndarray, size: list[int], room: int) -> None:
+    """Moves rows to the part that most of their graph neighbours are in."""
+    for i in range(len(label)):
+        parts, votes = np.unique(label[graph[i]], return_counts=True)
+        own = votes[parts == label[i]].sum()
+        to = int(parts[votes.argmax()])
+        if votes.max() > own + 1 and size[to] < room:
+            size[label[i]] -= 1
+            size[to] += 1
+            label[i] = to
+
+
+def _classifier(x: np.ndarray, graph: np.ndarray, label: np.ndarray, parts: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Softmax regression from the parts' centres on: a fifth of the goal is a row's own part, the rest its neighbours'."""
+    w = np.zeros((parts, x.shape[1]), dtype=np.float32)
+    np.add.at(w, label, x)
+    w = 8 * (w / np.maximum(np.linalg.norm(w, axis=1, keepdims=True), 1e-9)).T
+    p = [np.ascontiguousarray(w), np.zeros(parts, dtype=np.float32)]
     m, v, step = [np.zeros_like(a) for a in p], [np.zeros_like(a) for a in p], 0
-    for _ in range(epochs):
+    k = graph.shape[1]
+    for _ in range(max(4, min(20, 60_000 // len(x)))):
         order = rng.permutation(len(x))
-        for at in range(0, len(x), 128):
-            b = order[at : at + 128]
-            h = np.maximum(x[b] @ p[0] + p[1], 0)
-            s = h @ p[2] + p[3]
+        for at in range(0, len(x), 256):
+            b = order[at : at + 256]
+            s = x[b] @ p[0] + p[1]
             e = np.exp(s - s.max(axis=1, keepdims=True))
-            d = (e / e.sum(axis=1, keepdims=True) - goal[b]) / len(b)
-            back = (d @ p[2].T) * (h > 0)
+            d = e / e.sum(axis=1, keepdims=True)
+            row = np.arange(len(b))
+            np.add.at(d, (row, label[b]), -0.2)
+            np.add.at(d, (np.repeat(row, k), label[graph[b]].ravel()), -0.8 / k)
+            d /= len(b)
             step += 1
-            for i, g in enumerate((x[b].T @ back, back.sum(axis=0), h.T @ d, d.sum(axis=0))):
-                m[i] = 0.9 * m[i] + 0.1 * g
-                v[i] = 0.999 * v[i] + 0.001 * g * g
-                p[i] = p[i] - 3e-3 * (m[i] / (1 - 0.9**step)) / (np.sqrt(v[i] / (1 - 0.999**step)) + 1e-8)
-    router = Router(*p, probe=parts)
-    near, ranked = neighbours(x, 10), router.parts(x, parts)
-    place = np.argsort(ranked, axis=1)  # of each part in each row's ranking
-    at = np.take_along_axis(place, ranked[:, 0][near], axis=1)
-    router.probe = next(n for n in range(1, parts + 1) if (at < n).mean() >= recall)
+            for i, g in enumerate((x[b].T @ d, d.sum(axis=0))):
+                m[i] += 0.1 * (g - m[i])
+                v[i] += 0.001 * (g * g - v[i])
+                p[i] -= (0.02 * (m[i] / (1 - 0.9**step)) / (np.sqrt(v[i] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
+    return p[0], p[1]
+
+
+def fit(sample: np.ndarray, parts: int, others: np.ndarray | None = None, recall: float = RECALL, k: int = 5, heads: int = 1, seed: int = 3) -> Router:
+    """The router, fitted on the unit vectors `sample`; its probe count is the smallest that reaches `recall` for the k nearest.
+
+    If the sample is not the whole table, that is measured on others: queries and rows that the fit has not seen.
+    """
+    x = np.unique(sample, axis=0).astype(np.float32)
+    rng = np.random.default_rng(seed)
+    x = x[rng.permutation(len(x))]
+    dim = x.shape[1]
+    if parts < 2 or len(x) < 4 * parts or len(x) <= 4 * k:
+        return Router([(np.zeros((dim, 1), np.float32), np.zeros(1, np.float32))], 1)
+    graph = neighbours(x, np.arange(len(x)), 16 if len(x) > 16 else len(x) - 1)
+    router = Router([], parts)
+    for _ in range(heads):
+        label = balanced_parts(x, graph, parts, rng)
+        router.heads.append(_classifier(x, graph, label, parts, rng))
+    if others is not None and len(others) > 20 * k:
+        x = others.astype(np.float32)
+    asked = rng.permutation(len(x))[:2000]
+    codes, near = router.codes(x), neighbours(x, asked, k)
+    rank = np.zeros(near.shape, dtype=np.int64)
+    for h in range(heads):
+        place = np.argsort(np.argsort(-router.scores(x[asked], h), axis=1, kind="stable"), axis=1)
+        rank = np.maximum(rank, np.take_along_axis(place, codes[near, h], axis=1))
+    router.probe = int(np.sort(rank.ravel())[int(np.ceil(recall * rank.size)) - 1]) + 1
     return router
 
 
 def _clean(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """id, v of the rows that take part: an id, and a vector of the commonest length, finite and not zero."""
+    """id, v of the rows that take part: an id, and a vector whose components are finite and not all zero."""
     v = F.transform(F.col(vector_col), lambda a: a.cast("double"))
     ok = F.forall("v", lambda a: a.isNotNull() & ~F.isnan(a) & (F.abs(a) < float("inf"))) & F.exists("v", lambda a: a != 0)
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).where("id is not null and v is not null and size(v) > 0").where(ok)
-    common = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("c")).orderBy(F.desc("c"), F.desc("d")).first()
-    return rows.where(F.size("v") == (common["d"] if common else 0))
+    return vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).where("id is not null and v is not null and size(v) > 0").where(ok)
 
 
-def _stack(col: pd.Series) -> np.ndarray:
-    return np.stack([np.asarray(a, dtype=np.float64) for a in col])
+def _matrix(col: pa.Array) -> np.ndarray:
+    flat = col.flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(len(col), -1) if len(col) else np.zeros((0, 1))
 
 
-def assign(rows: DataFrame, router: Router, n: int) -> DataFrame:
-    """rows(id, v) -> id, v, parts (the n likeliest)."""
-    text_batches(rows.sparkSession, 4096)
+def _list(rows: np.ndarray, kind: pa.DataType) -> pa.Array:
+    ends = np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(rows.ravel(), kind))
+
+
+def assign(rows: DataFrame, router: Router) -> DataFrame:
+    """rows(id, v) -> part (of the first classifier), codes, id, v."""
+    share_package(rows.sparkSession)
 
     def run(batches):
-        for pdf in batches:
-            if len(pdf):
-                pdf["parts"] = list(router.parts(unit(_stack(pdf["v"])), n).astype(np.int32))
-                yield pdf
+        for b in slices(batches, 2048):
+            codes = router.codes(unit(_matrix(b.column("v"))))
+            yield pa.RecordBatch.from_arrays([pa.array(codes[:, 0], pa.int32()), _list(codes, pa.int32()), b.column("id"), b.column("v")], ["part", "codes", "id", "v"])
 
-    return rows.mapInPandas(run, "id long, v array<double>, parts array<int>")
+    return rows.select("id", "v").mapInArrow(run, "part int, codes array<int>, id long, v array<double>")
 
 
-def top_block(q_ids: np.ndarray, q: np.ndarray, r_ids: np.ndarray, r: np.ndarray, k: int) -> list[tuple]:
-    """(query, id, score) of each query's k nearest ids of a block, equal scores by id, its own id left out.
+def _asked(queries: DataFrame, router: Router, first: np.ndarray, count: np.ndarray) -> DataFrame:
+    """queries(id, v) -> block, id, v, visited: a row for each block that holds a part that the query visits.
 
-    An id that has several rows counts once, with its best score.
+    visited: the classes that it visits, a bit for each.
     """
-    out = []
-    by_id = np.argsort(r_ids, kind="stable")
-    starts = np.flatnonzero(np.diff(r_ids[by_id], prepend=r_ids[by_id][0] - 1))
-    rn, qn = np.sqrt((r * r).sum(axis=1)), np.sqrt((q * q).sum(axis=1))
-    for at in range(0, len(q), 256):
-        s = (q[at : at + 256] @ r.T) / rn / qn[at : at + 256, None]
-        s[q_ids[at : at + 256, None] == r_ids[None, :]] = -np.inf
-        best = s if len(starts) == len(r_ids) else np.maximum.reduceat(s[:, by_id], starts, axis=1)
+
+    def run(batches):
+        for b in slices(batches, 256):
+            hit = router.visited(unit(_matrix(b.column("v"))))
+            bits = np.packbits(hit.reshape(len(hit), -1), axis=1)
+            blocks = [np.unique(np.concatenate([np.arange(first[p], first[p] + count[p]) for p in np.flatnonzero(h[0])])) for h in hit]
+            at = pa.array(np.repeat(np.arange(len(blocks)), [len(x) for x in blocks]))
+            packed = pa.array([x.tobytes() for x in bits], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(blocks), pa.int64()), b.column("id").take(at), b.column("v").take(at), packed.take(at)], ["block", "id", "v", "visited"])
+
+    return queries.select("id", "v").mapInArrow(run, "block long, id long, v array<double>, visited binary")
+
+
+class Block:
+    """Rows that share a task, ordered by part; queries stream past."""
+
+    def __init__(self, codes: np.ndarray, ids: np.ndarray, v: np.ndarray):
+        order = np.lexsort((ids, *codes.T[::-1]))
+        self.codes, self.ids, self.v = codes[order], ids[order], v[order]
+        self.unit = unit(self.v)
+        edges = np.flatnonzero((np.diff(self.codes, axis=0) != 0).any(axis=1)) + 1
+        self.parts = list(zip([0, *edges.tolist()], [*edges.tolist(), len(ids)], strict=True))
+        self.by_id = np.argsort(self.ids, kind="stable")
+        self.starts = np.flatnonzero(np.diff(self.ids[self.by_id], prepend=self.ids[self.by_id][0] - 1))
+
+    def nearest(self, q_ids: np.ndarray, q: np.ndarray, visited: np.ndarray, k: int) -> tuple[list[tuple], int]:
+        """(query, id, score) of each query's k nearest ids among the rows of the parts that it visits, equal scores by id, its own
+        id left out, and the number of rows scored.  An id with several rows counts once, with its best score."""
+        qu, scored, out = unit(q), 0, []
+        s = np.full((len(q), len(self.ids)), -np.inf)
+        for lo, hi in self.parts:
+            who = visited[:, np.arange(self.codes.shape[1]), self.codes[lo]].all(axis=1).nonzero()[0]
+            if len(who):
+                s[who, lo:hi] = qu[who] @ self.unit[lo:hi].T
+                scored += len(who) * (hi - lo)
+        s[q_ids[:, None] == self.ids[None, :]] = -np.inf
+        best = s if len(self.starts) == len(self.ids) else np.maximum.reduceat(s[:, self.by_id], self.starts, axis=1)
         kk = min(k, best.shape[1])
         floor = np.partition(best, best.shape[1] - kk, axis=1)[:, best.shape[1] - kk]
         for i in range(len(s)):
             near = np.flatnonzero((s[i] >= floor[i] - 1e-9) & (s[i] > -np.inf))
             # The same sum for equal vectors, in whatever block they are.
-            exact = (r[near] * q[at + i]).sum(axis=1) / (rn[near] * qn[at + i])
-            order = np.lexsort((r_ids[near], -exact))
-            order = order[np.sort(np.unique(r_ids[near][order], return_index=True)[1])][:k]
-            out.extend((int(q_ids[at + i]), int(r_ids[near[o]]), float(exact[o])) for o in order)
-    return out
+            exact = (self.unit[near] * qu[i]).sum(axis=1)
+            order = np.lexsort((self.ids[near], -exact))
+            order = order[np.sort(np.unique(self.ids[near][order], return_index=True)[1])][:k]
+            out.extend((int(q_ids[i]), int(self.ids[near[o]]), float(exact[o])) for o in order)
+        return out, scored
 
 
-def _search(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """rows(part, id, v), queries(part, id, v) -> the k nearest of each query in its parts, block by block.
+def _search(index: DataFrame, queries: DataFrame, router: Router, k: int) -> DataFrame:
+    """index(part, codes, id, v), queries(id, v) -> query_id, vec_id, score, rank, scored: the k nearest of each query in its parts.
 
-    A part is cut into blocks of ROW_BLOCK rows and of QUERY_BLOCK queries, by hash of id and vector; so no task holds more
-    than a block of each, however many rows a part or an id has, if rows are distinct.
+    Parts are laid into blocks of about ROW_BLOCK rows, a large part into several by a hash.  A task holds one block's rows and
+    streams the queries that visit one of its parts past them, so neither a part's rows nor the queries need fit together.
     """
-    n_r, n_q = (t.groupBy("part").agg(F.ceil(F.count("*") / size).alias(name)) for t, size, name in ((rows, ROW_BLOCK, "rb"), (queries, QUERY_BLOCK, "qb")))
-    blocks = n_r.join(n_q, "part").select("part", F.col("rb").cast("int"), F.col("qb").cast("int"))
-    salt = lambda n, seed: F.pmod(F.xxhash64(F.lit(seed), F.col("id"), F.col("v")), F.col(n)).cast("int")
-    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = rows.join(blocks, "part").select("part", salt("rb", 1).alias("r"), "qb", "id", "v").select("part", "r", spread("qb").alias("q"), "id", "v")
-    right = queries.join(blocks, "part").select("part", salt("qb", 2).alias("q"), "rb", "id", "v").select(F.col("part").alias("q_part"), spread("rb").alias("q_r"), F.col("q").alias("q_q"), F.col("id").alias("q_id"), F.col("v").alias("q_v"))
-
-    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        found = top_block(b["q_id"].to_numpy(), _stack(b["q_v"]), a["id"].to_numpy(), _stack(a["v"]), k) if len(a) and len(b) else []
-        return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-
-    pairs = left.groupBy("part", "r", "q").cogroup(right.groupBy("q_part", "q_r", "q_q")).applyInPandas(run, "query_id long, vec_id long, score double")
+    sizes = np.zeros(router.heads[0][1].shape[0], dtype=np.int64)
+    for r in index.groupBy("part").count().collect():  # MAX_PARTS rows at most
+        sizes[r["part"]] = r["count"]
+    count = np.maximum(1, -(-sizes // ROW_BLOCK))
+    # Small parts share a block until it is full.
+    first, at, held = np.zeros(len(sizes), dtype=np.int64), 0, 0
+    for p, n in enumerate(sizes):
+        if held and (held + n > ROW_BLOCK or count[p] > 1):
+            at, held = at + 1, 0
+        first[p] = at
+        at, held = (at + int(count[p]), 0) if count[p] > 1 else (at, held + int(n))
+    n_heads, classes = len(router.heads), len(sizes)
+    place = F.array(*(F.struct(F.lit(int(f)).alias("first"), F.lit(int(c)).alias("n")) for f, c in zip(first, count, strict=True)))
+    where = F.element_at(place, F.col("part") + 1)
+    rows = index.select((where["first"] + F.pmod(F.xxhash64("id", "v"), where["n"])).cast("long").alias("block"), F.lit(0).alias("kind"), "id", "v", "codes", F.lit(None).cast("binary").alias("visited"))
+    asked = _asked(queries, router, first, count).select("block", F.lit(1).alias("kind"), "id", "v", F.lit(None).cast("array<int>").alias("codes"), "visited")
+    # Each block is a task's, by its number: hashes would put several into one.
+    both = rows.unionByName(asked).repartitionById(at + 1, F.col("block").cast("int")).sortWithinPartitions("block", "kind")
+
+    def run(batches):
+        now, held, block = None, [], None
+        for b in slices(batches, 1024):
+            numbers, kinds = b.column("block").to_numpy(), b.column("kind").to_numpy()
+            edges = np.flatnonzero((np.diff(numbers) != 0) | (np.diff(kinds) != 0)) + 1
+            for lo, hi in zip([0, *edges.tolist()], [*edges.tolist(), len(numbers)], strict=True):
+                part = b.slice(lo, hi - lo)
+                if numbers[lo] != now:
+                    now, held, block = numbers[lo], [], None
+                ids, v = part.column("id").to_numpy(), _matrix(part.column("v"))
+                if kinds[lo] == 0:
+                    held.append((_matrix(part.column("codes")), ids, v))
+                    continue
+                if block is None and held:
+                    block, held = Block(*(np.concatenate(x) for x in zip(*held, strict=True))), []
+                if block is not None:
+                    bits = np.frombuffer(b"".join(part.column("visited").to_pylist()), dtype=np.uint8).reshape(len(ids), -1)
+                    for at in range(0, len(ids), 256):
+                        seen = np.unpackbits(bits[at : at + 256], axis=1)[:, : n_heads * classes].astype(bool).reshape(-1, n_heads, classes)
+                        found, scored = block.nearest(ids[at : at + 256], v[at : at + 256], seen, k)
+                        # The rows scored are on the batch's first row.
+                        cols = list(zip(*found, strict=True)) or [(), (), ()]
+                        counted = np.zeros(len(found), dtype=np.int64)
+                        counted[:1] = scored
+                        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64()), pa.array(counted)], ["query_id", "vec_id", "score", "scored"])
+
+    pairs = both.mapInArrow(run, "query_id long, vec_id long, score double, scored long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    pairs = pairs.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    return pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    pairs = pairs.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"), F.sum("scored").alias("scored"))
+    pairs = pairs.withColumn("rank", F.row_number().over(best)).withColumn("all", F.sum("scored").over(Window.partitionBy("query_id"))).where(F.col("rank") <= k)
+    return pairs.withColumn("scored", F.when(F.col("rank") == 1, F.col("all")).otherwise(F.lit(0)).cast("long")).drop("all")
+
+
+def parts_for(rows: int) -> tuple[int, int]:
+    """(parts, classifiers): a power of two near 8 * sqrt(rows), two classifiers beyond MAX_PARTS."""
+    want = max(0, round(np.log2(8 * max(1.0, rows) ** 0.5)))
+    most = int(np.log2(MAX_PARTS))
+    heads = 1 if want <= most else 2
+    parts = 1 << min(most, want if heads == 1 else max(most - 2, -(-want // 2)))
+    return min(parts, 1 << max(0, int(np.log2(max(1, min(rows, SAMPLE) / 5))))), heads
 
 
-def nearest(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id", vector_col: str = "embedding", rows_a_part: int = 1600) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest found of each row whose id is divisible by `every`, among all others.
+def nearest(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id", vector_col: str = "embedding", recall: float = RECALL, parts: int | None = None, heads: int | None = None) -> DataFrame:
+    """query_id, rank, vec_id, score, scored: the k nearest found of each row whose id is divisible by `every`, among all others.
 
     Scores are exact cosines in double precision, ties go to the smaller id.  Vectors that are null, empty, zero, or hold
-    null or non-finite components take no part, nor do null ids and vectors of another length than the commonest; rows
-    that repeat an id count as that id's: two ids score as the nearest pair of their vectors.  A query that finds fewer than k in its parts is searched over all rows.  The
-    number of parts is a power of two near rows / rows_a_part, MAX_PARTS at most.  An empty table gives no rows.
+    null or non-finite components take no part, nor do null ids; a vector is searched among those of its own length.
+    Rows that repeat an id count as that id's: two ids score as the nearest pair of their vectors, and equal rows are indexed once.
+    A query that finds fewer than k in its parts is searched over all rows.  parts, heads: as parts_for() has them, unless
+    given.  scored, on the rows of rank 1: rows that were compared, summed over all queries of a batch.  An empty table gives no rows.
     """
     spark = vectors.sparkSession
     rows = _clean(vectors, id_col, vector_col)
+    lengths = [r[0] for r in rows.select(F.size("v")).distinct().collect()]  # one for each length
+    found = [_nearest(rows.where(F.size("v") == d), k, every, recall, parts, heads) for d in sorted(lengths)]
+    if not found:
+        return spark.range(0).select(F.col("id").alias("query_id"), F.lit(0).alias("rank"), F.col("id").alias("vec_id"), F.lit(0.0).alias("score"), F.col("id").alias("scored"))
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    if len(found) > 1:  # an id can have vectors of several lengths
+        best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        out = out.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"), F.sum("scored").alias("scored")).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return reading(out.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score", "scored"), *found)
+
+
+def _nearest(rows: DataFrame, k: int, every: int, recall: float, parts: int | None, heads: int | None) -> DataFrame:
+    """nearest() of vectors of one length."""
     total, ids = rows.agg(F.count("*"), F.count_distinct("id")).first()
-    order = [F.xxhash64("id"), F.col("id")]
-    if ids < total:
+    order, repeats = [F.xxhash64("id"), F.col("id")], ids < total
+    if repeats:
         rows = cut(rows.dropDuplicates(["id", "v"]))
         total = rows.count()
         order = [F.xxhash64("id", "v"), F.col("id")]
-    sample = rows.orderBy(*order).limit(SAMPLE).select("v").collect()
-    if not sample:
-        return spark.range(0).select(F.col("id").alias("query_id"), F.lit(0).alias("rank"), F.col("id").alias("vec_id"), F.lit(0.0).alias("score"))
-    parts = 1 << int(np.clip(np.round(np.log2(max(1.0, total / rows_a_part))), 0, np.log2(MAX_PARTS)))
-    router = fit(np.array([r["v"] for r in sample]), parts)
-    index = cut(assign(rows, router, router.probe))
-    own = index.select(F.element_at("parts", 1).alias("part"), "id", "v")
-    asked = index.where(F.col("id") % every == 0)
-    found = cut(_search(own, asked.select(F.explode("parts").alias("part"), "id", "v"), k))
-    short = asked.select("id", "v").join(found.groupBy("query_id").agg(F.count("*").alias("c")).where(F.col("c") >= k), F.col("id") == F.col("query_id"), "left_anti")
-    if total > 1 and router.probe < parts and short.take(1):
-        everywhere = _search(own.withColumn("part", F.lit(0)), short.select(F.lit(0).alias("part"), "id", "v"), k)
-        found = found.join(short.select(F.col("id").alias("query_id")).distinct(), "query_id", "left_anti").unionByName(everywhere)
-    return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
-
-
+    sample = unit(_matrix(rows.orderBy(*order).limit(4 * SAMPLE).select("v").toArrow().column("v").combine_chunks()))
+    n, h = parts_for(total)
+    router = fit(sample[:SAMPLE], parts or n, sample[SAMPLE:] if total > SAMPLE else None, recall, k, heads or h)
+    index = cut(assign(rows, router))
+    asked = index.where(F.col("id") % every == 0).select("id", "v")
+    found = cut(_search(index, asked, router, k))
+    full = found.groupBy("query_id").agg(F.count("*").alias("c")).where(F.col("c") >= k)
+    short = asked.join(full, F.col("id") == F.col("query_id"), "left_anti")
+    out = reading(found, found)
+    if ids > 1 and short.take(1):
+        short = cut(short)
+        every_part = Router(router.heads, router.heads[0][1].shape[0])
+        everywhere = cut(_search(index, short, every_part, k))
+        out = reading(found.join(short.select(F.col("id").alias("query_id")).distinct(), "query_id", "left_anti").unionByName(everywhere), found, short, everywhere)
+    release(index, *([rows] if repeats else []))
+    return out
