@@ -18,14 +18,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from spindrift.llm.common import WORD, cut
+from spindrift.llm.common import WORD, cut, reading
 
-#: Rows that one task orders at a time, about.
-ROWS_A_BUCKET = 50_000
+#: Different rows that one task orders at a time, about.
+ROWS_A_BUCKET = 4_000
 #: More sources than this are refused: their quotas are planned on the driver.
 MAX_SOURCES = 1_000_000
 #: Words that one task writes, about.
 WORDS_A_TASK = 16_000_000
+SPACED_WORD = r"[\x20\x09-\x0D]*+" + WORD
 #: Sources in one literal of the plan.
 PLAN_ROWS = 10_000
 
@@ -104,15 +105,16 @@ def mix(docs: DataFrame, weights: tuple = (3.0, 1.0, 2.0), share: float = 1.5, s
     """docs -> id, source, size, source_size, target, copies, row_a, row_b; one row for each row of docs.
 
     copies: array of (copy, first_word, words, block, shard, place), what the mix takes of the document; a shard's
-    rows are ordered by place.  Documents are taken whole, except the one at which a source's target is met,
-    which gives its first words.  size = number of words; null and empty texts have size 0 and are never
+    rows are ordered by place, and words that no shard's quota holds aren't taken.  Documents are taken whole, except the one at
+    which a source's target is met, which gives its first words.  size = number of words; null and empty texts have size 0 and are never
     taken.  Sources are ordered by code point, null last, and weigh `weights`, repeating.  The order in a source is by
-    an MD5 of the id, then by size and row_keys(), so reruns agree; rows that repeat an id are documents of their own, rows
-    that repeat id, source and text are interchangeable, other columns are ignored, and an empty table gives none.
+    an MD5 of id and text, then by id, size and row_keys(), so reruns agree; rows that repeat an id are documents of their own, rows
+    that repeat id, source and text are ordered as one and then dealt out again, so neither a null id nor a repeated row
+    makes a task large; other columns are ignored, and an empty table gives none.
     """
     spark = docs.sparkSession
     size = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long")
-    key = F.md5(F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.lit(str(seed))))
+    key = F.md5(F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.lit(str(seed)), F.coalesce(F.md5(text_col), F.lit("null"))))
     rows = cut(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), key.alias("key"), *(k.alias(c) for c, k in row_keys(id_col, source_col, text_col).items())))
     found = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("rows")).limit(MAX_SOURCES + 1).collect()
     if len(found) > MAX_SOURCES:
@@ -123,14 +125,19 @@ def mix(docs: DataFrame, weights: tuple = (3.0, 1.0, 2.0), share: float = 1.5, s
     buckets = {p[0]: 1 << max(0, min(24, math.ceil(math.log2(max(1, p[2]) / ROWS_A_BUCKET)))) for p in planned}
     schema = T.StructType.fromDDL("source string, source_size long, target double, quota long, blocks long, a long, c long, bounds array<long>, buckets long")
     side = _small(spark, [(p[0], p[1], p[3], p[4], p[5], p[6], p[7], p[8], buckets[p[0]]) for p in planned], schema)
-    joined = rows.join(side, rows["source"].eqNullSafe(side["source"])).drop(side["source"])
+    same = ["source", "key", "id", "size", "row_a", "row_b"]
+    once = rows.groupBy(*same).agg(F.count("*").alias("again"))
+    joined = once.join(side, once["source"].eqNullSafe(side["source"])).drop(side["source"])
     joined = joined.withColumn("bucket", F.shiftright(F.conv(F.substring("key", 1, 6), 16, 10).cast("long") * F.col("buckets"), 24))
+    words = F.col("size") * F.col("again")
     w = Window.partitionBy("source", "bucket").orderBy("key", "id", "size", "row_a", "row_b")
-    inner = F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
-    sums = joined.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
+    inner = F.sum(words).over(w.rowsBetween(Window.unboundedPreceding, 0)) - words
+    sums = joined.groupBy("source", "bucket").agg(F.sum(words).alias("words"))
     before = F.sum("words").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("words")
     before = sums.select(F.col("source").alias("s"), F.col("bucket").alias("b"), before.alias("before"))
-    at = joined.withColumn("inner", inner).join(before, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b"))).withColumn("start", F.col("before") + F.col("inner"))
+    at = joined.withColumn("inner", inner).join(before, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
+    at = at.withColumn("nth", F.explode(F.sequence(F.lit(0).cast("long"), F.col("again") - 1)))
+    at = at.withColumn("start", F.col("before") + F.col("inner") + F.col("nth") * F.col("size"))
 
     def piece(copy):
         first = F.col("start") + copy * F.col("source_size")
@@ -140,10 +147,12 @@ def mix(docs: DataFrame, weights: tuple = (3.0, 1.0, 2.0), share: float = 1.5, s
 
     copies = F.filter(F.transform(F.sequence(F.lit(0), F.lit(1)), piece), lambda p: p["words"] > 0)
     placed = at.withColumn("copies", copies)
+    # The block's place in the permuted order, and the shard whose quota of the tree reaches over it.
     shard = lambda p: F.size(F.filter("bounds", lambda e: e <= F.pmod(F.col("a") * p["block"] + F.col("c"), F.col("blocks"))))
-    place = lambda p: F.xxhash64(F.lit(seed), F.col("id"), p["copy"])
+    place = lambda p: F.xxhash64(F.lit(seed), F.col("id"), F.col("row_a"), F.col("nth"), p["copy"])
     full = F.transform("copies", lambda p: F.struct(p["copy"], p["first_word"], p["words"], p["block"], shard(p).alias("shard"), place(p).alias("place")))
-    return placed.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", full.alias("copies"), "row_a", "row_b")
+    full = F.filter(full, lambda p: p["shard"] < shards)
+    return reading(placed.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", full.alias("copies"), "row_a", "row_b"), rows)
 
 
 def _small(spark, rows: list[tuple], schema: T.StructType) -> DataFrame:
@@ -173,8 +182,9 @@ def expand(docs: DataFrame, mixed: DataFrame, shards: int, id_col: str = "doc_id
     if mixed.groupBy("row_a", "row_b").count().where(F.col("count") > 1).take(1):
         texts = texts.dropDuplicates(["_mix_row_a", "_mix_row_b"])
     both = texts.join(picked, (F.col("_mix_row_a") == F.col("_mix_a")) & (F.col("_mix_row_b") == F.col("_mix_b")))
-    words = F.slice(F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0)), 1, F.col("_mix.words").cast("int"))
-    text = F.when(F.col("_mix.words") < F.col("_mix_size"), F.array_join(words, " ")).otherwise(F.col(text_col))
+    # Words with the white space before each, so that a cut text is a prefix of the text.
+    words = F.slice(F.regexp_extract_all(F.col(text_col), F.lit(SPACED_WORD), F.lit(0)), 1, F.col("_mix.words").cast("int"))
+    text = F.when(F.col("_mix.words") < F.col("_mix_size"), F.array_join(words, "")).otherwise(F.col(text_col))
     taken = mixed.agg(F.sum(F.aggregate("copies", F.lit(0).cast("long"), lambda s, c: s + c["words"]))).first()[0] or 0
     parts = max(1, -(-taken // (shards * WORDS_A_TASK)))
     # Equal ranges of the 64-bit place, in its order.

@@ -24,6 +24,7 @@ def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words are counted where the tree's quotas place them: by shard, block and place of each copy."""
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     taken = F.aggregate("copies", F.lit(0).cast("long"), lambda s, c: s + c["words"])
     return mixed.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
@@ -47,7 +48,7 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ann.nearest(table(spark, sf_dir, "embeddings"))
+    return ann.nearest(table(spark, sf_dir, "embeddings")).select("query_id", "rank", "vec_id", "score")
 
 
 def op8_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,7 +82,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in own}
 
 
-MIXING_SQL = r"""WITH d AS (SELECT doc_id, source, length(regexp_replace(regexp_replace(coalesce(text, ''), '[^\x20\x09-\x0D]+', 'x', 'g'), '[\x20\x09-\x0D]+', '', 'g')) AS size FROM documents),
+MIXING_SQL = r"""WITH d AS (SELECT doc_id, source, length(regexp_replace(regexp_replace(coalesce(text, ''), '[^\x20\x09-\x0D]+', 'x', 'g'), '[\x20\x09-\x0D]+', '', 'g')) AS size, coalesce(md5(text), 'null') AS h FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS k FROM d GROUP BY source),
 w AS (SELECT *, CASE (k - 1) % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS w, 1.5::DOUBLE * sum(source_size) OVER () AS total FROM s),
 o AS (SELECT *, sum(2 * source_size) OVER (ORDER BY 2.0 * source_size / w, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS capped, sum(w) OVER (ORDER BY 2.0 * source_size / w, k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open_w, 2.0::DOUBLE * source_size / w AS cap_rate FROM w),
@@ -89,7 +90,7 @@ f AS (SELECT *, (total - coalesce(capped, 0)::DOUBLE) / open_w::DOUBLE <= cap_ra
 g AS (SELECT min(cap_rate) AS rate FROM f WHERE fits),
 r AS (SELECT o.*, g.rate, o.total - coalesce((SELECT sum(2 * o2.source_size) FROM o o2 WHERE o2.cap_rate < g.rate), 0)::DOUBLE AS rest, (SELECT sum(w)::DOUBLE FROM o o3 WHERE o3.cap_rate >= g.rate) AS rest_w FROM o LEFT JOIN g ON true),
 t AS (SELECT source, source_size, CASE WHEN rate IS NULL OR cap_rate < rate THEN 2.0::DOUBLE * source_size ELSE rest * w::DOUBLE / rest_w END AS target FROM r),
-p AS (SELECT doc_id, size::BIGINT AS size, source_size, target, sum(size) OVER (PARTITION BY d.source ORDER BY md5(coalesce(doc_id::VARCHAR, 'null') || ':11'), doc_id, size ROWS UNBOUNDED PRECEDING) - size AS start FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+p AS (SELECT doc_id, size::BIGINT AS size, source_size, target, sum(size) OVER (PARTITION BY d.source ORDER BY md5(coalesce(doc_id::VARCHAR, 'null') || ':11:' || h), doc_id, size ROWS UNBOUNDED PRECEDING) - size AS start FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target, (least(size, greatest(0, floor(target + 0.5)::BIGINT - start)) + least(size, greatest(0, floor(target + 0.5)::BIGINT - start - source_size)))::BIGINT AS taken FROM p"""
 
 CHAT_SQL = f"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
