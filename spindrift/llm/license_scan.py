@@ -15,8 +15,11 @@ from spindrift.llm.license_texts import KNOWN, PHRASES, SPELLINGS, WHOLE
 
 #: ASCII punctuation and controls become spaces.
 _PUNCTUATION = r"[^a-z0-9\x{80}-\x{10FFFF}]+"
-#: A line that starts with a copyright sign or word, or is "all rights reserved".
-_COPYRIGHT = r"(^|\n)[^a-z0-9\n©]*(copyright|©|\(c\)|all rights reserved)[^\n]*"
+#: A line that is a copyright notice: it starts with the word or a sign and has a year, or with both, or with a template's
+#: year, or is "all rights reserved".  A line of a licence's prose that begins with "copyright holders" is none.
+_SIGN = r"(?:©|\(c\))"
+_YEAR = r"(?:(?:19|20)[0-9][0-9]|\[yyyy\]|\[year\]|<year>|\{yyyy\}|\{year\})"
+_COPYRIGHT = rf"(^|\n)[^a-z0-9\n©]*(?:copyright[ \t]*{_SIGN}|(?:copyright|{_SIGN})[^\n]*{_YEAR}|©|all rights reserved)[^\n]*"
 
 
 def canonical(text: Column) -> Column:
@@ -45,7 +48,7 @@ def scan_licenses(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", tex
 
     digest is the canonical form's; the lookup's differs from it only in texts that hold a variant phrase.
 
-    Null and empty texts, and texts with nothing but punctuation and copyright lines, have the empty form's digest and
+    A text matches however its lines are broken, as only whole notice lines are left out.  Null and empty texts, and texts with nothing but punctuation and copyright lines, have the empty form's digest and
     match nothing.  Texts of any length are hashed whole; repeated rows each give a row; other columns are ignored.
     known(digest, license_id) has one row for each digest.
     """
@@ -62,7 +65,7 @@ def _quote(s: str) -> str:
 
 def oracle() -> str:
     """The query of scan_licenses over documents, for DuckDB."""
-    form = f"list_transform(string_split(trim(regexp_replace(regexp_replace(regexp_replace(translate(coalesce(t, ''), '{UPPER}', '{UPPER.lower()}'), '\\r\\n?', chr(10), 'g'), '(^|\\n)[^a-z0-9\\n©]*(copyright|©|\\(c\\)|all rights reserved)[^\\n]*', chr(10), 'g'), '[^a-z0-9\\x{{80}}-\\x{{10FFFF}}]+', ' ', 'g')), ' '), lambda w: CASE w {' '.join(f'WHEN {_quote(a)} THEN {_quote(b)}' for a, b in SPELLINGS)} ELSE w END)"
+    form = f"list_transform(string_split(trim(regexp_replace(regexp_replace(regexp_replace(translate(coalesce(t, ''), '{UPPER}', '{UPPER.lower()}'), '\\r\\n?', chr(10), 'g'), '{_COPYRIGHT}', chr(10), 'g'), '[^a-z0-9\\x{{80}}-\\x{{10FFFF}}]+', ' ', 'g')), ' '), lambda w: CASE w {' '.join(f'WHEN {_quote(a)} THEN {_quote(b)}' for a, b in SPELLINGS)} ELSE w END)"
     digest = f"sha256(array_to_string({form}, ' '))"
     known = ", ".join(f"({_quote(i)}, {_quote(x)})" for i, x in KNOWN)
     return f"""WITH known AS (SELECT {digest} AS digest, min(i) AS license_id FROM (VALUES {known}) v(i, t) GROUP BY 1),
