@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from spindrift.llm.common import cut
+from spindrift.llm.common import cut, reading
 
 #: (cells in each table, first bit of a digest that picks the cell in each table).  Digests are hashes, so their
 #: bits serve as the tables' hash functions; the widths are powers of two.
@@ -27,8 +27,8 @@ PAGE_BIT = 45
 _EMPTY_CELL = "struct(0 AS n, 0L AS k, 0 AS h)"
 #: Rounds of peeling before a sketch counts as too small.
 ROUNDS = 8
-#: Rows of one stretch of neighbouring ids, about, and stretches at most.
-STRETCH, MOST_STRETCHES = 500, 1_000_000
+#: Rows of one stretch of neighbouring ids, about, and stretches at most; quantiles of the ids that bound them.
+STRETCH, MOST_STRETCHES, QUANTILES = 500, 1_000_000, 1024
 
 
 def _from_bit(key: Column, bit: int | Column) -> Column:
@@ -151,32 +151,72 @@ def _derived(rows: DataFrame) -> DataFrame:
     return rows.withColumn("a", paragraphs(F.col("text"))).withColumn("sa", sketch(F.col("a"), SMALL))
 
 
+def stretches(rows: DataFrame) -> DataFrame:
+    """rows(id, text, md5) + stretch, an ordered number: ids of a smaller stretch are smaller, null ids last, and within one id
+    of many rows the texts' MD5s are.
+
+    Quantiles of the ids bound groups of stretches, which equal widths divide again; so an id far from all others leaves no more
+    than a group's rows in one stretch.  Ids with more rows than a group should have, the null id among them, have stretches of
+    their own, by MD5.
+    """
+    n, low, high = rows.agg(F.count("*"), F.min("id"), F.max("id")).first()
+    most = max(4 * STRETCH, n // QUANTILES)
+    heavy = {r["id"]: r["c"] for r in rows.groupBy("id").agg(F.count("*").alias("c")).where(F.col("c") > most).collect()}  # QUANTILES at most
+    low, high = (0, 0) if low is None else (low, high)
+    cuts = max(1, min(QUANTILES, n // STRETCH))
+    found = rows.agg(F.percentile_approx("id", [i / cuts for i in range(1, cuts)] or [0.5], 20 * cuts)).first()[0] or []
+    alone = [j for i in heavy if i is not None for j in (i, min(i + 1, high))]
+    bounds = sorted({low, *found, *alone})
+    each = max(1, min(MOST_STRETCHES, n // STRETCH) // len(bounds))
+    # The last bound that is not above the id, found in two steps.
+    wide = max(1, int(len(bounds) ** 0.5))
+    groups = [bounds[at : at + wide] for at in range(0, len(bounds), wide)]
+    longs = lambda xs: F.array(*(F.lit(x).cast("long") for x in xs))
+    last = lambda xs: F.greatest(F.size(F.filter(xs, lambda b: b <= F.col("id"))), F.lit(1)) - 1
+    rows = rows.withColumn("_group", last(longs(g[0] for g in groups)))
+    place = F.col("_group") * wide + last(F.element_at(F.array(*map(longs, groups)), F.col("_group") + 1))
+    rows = rows.withColumn("_place", F.when(F.col("id").isNull(), len(bounds)).otherwise(place))
+    # Ids can span all of a long, so widths are decimals.
+    ends = F.array(*(F.lit(str(b)).cast("decimal(20,0)") for b in [*bounds, high + 1]))
+    from_, to = F.get(ends, F.col("_place")), F.get(ends, F.col("_place") + 1)
+    sub = F.coalesce(F.floor((F.col("id").cast("decimal(20,0)") - from_) * each / (to - from_)).cast("long"), F.lit(0))
+    hash_ = F.conv(F.substring("md5", 1, 5), 16, 10).cast("long")
+    for i, c in heavy.items():
+        bits = min(20, (c // STRETCH).bit_length())
+        sub = F.when(F.col("id").eqNullSafe(F.lit(i).cast("long")), F.shiftright(hash_, 20 - bits)).otherwise(sub)
+    return rows.withColumn("stretch", F.col("_place").cast("long") * (1 << 20) + sub).drop("_group", "_place")
+
+
 def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """docs -> id, text, a, sa, next_text, next_a, next_sa: with those of the next row by ascending id (null ids last,
+    """docs -> id, text, a, sa, copies, next_text, next_a, next_sa: with those of the next row by ascending id (null ids last,
     equal ids by the text's MD5); the last row's next is the first row.
 
-    Ids are cut into stretches, which one shuffle brings together; a window orders each, and its last row takes
-    the first of the next stretch.  Only the list of stretches is ordered in one task.
+    Rows that agree in id and text follow one another: they are one row until the end, with their number as copies, and a
+    second one for those whose next is such a row itself.  Ids are cut into stretches, which one shuffle brings together; a window
+    orders each, and its last row takes the first of the next stretch.  Only the list of stretches is ordered in one task.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    low, high, n = rows.agg(F.min("id"), F.max("id"), F.count("*")).first()
-    low, high = (0, 0) if low is None else (low, high)
-    stretches = max(1, min(MOST_STRETCHES, n // STRETCH))
-    width = (high - low) // stretches + 1
-    rows = rows.withColumn("stretch", F.coalesce(F.floor((F.col("id") - low) / width).cast("long"), F.lit(MOST_STRETCHES + 1)))
-    w = Window.partitionBy("stretch").orderBy(F.col("id").asc_nulls_last(), F.md5("text"))
-    led = _derived(rows.repartition("stretch"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("md5", F.md5("text"))
+    repeats = bool(rows.groupBy("id").agg(F.count("*").alias("c")).where("c > 1").take(1))
+    if repeats:
+        rows = cut(rows.groupBy("id", "md5").agg(F.any_value("text").alias("text"), F.count("*").alias("again")))
+    placed = stretches(rows)
+    w = Window.partitionBy("stretch").orderBy(F.col("id").asc_nulls_last(), "md5")
+    led = _derived(placed.repartition("stretch"))
     led = led.withColumn("last", F.lead(F.lit(1)).over(w).isNull()).withColumns({f"next_{c}": F.lead(c).over(w) for c in ("text", "a", "sa")})
-    # One row for each stretch, MOST_STRETCHES + 1 at most, 24 bytes each.
-    firsts = F.broadcast(rows.groupBy("stretch").agg(F.min("id").alias("first_id")).withColumnRenamed("stretch", "s"))
-    first = rows.join(firsts, (F.col("stretch") == F.col("s")) & F.col("id").eqNullSafe(F.col("first_id")))
-    first = cut(_derived(first.groupBy("stretch").agg(F.min_by("text", F.md5("text")).alias("text"))))
+    # One row for each stretch.
+    firsts = placed.groupBy("stretch").agg(F.min(F.struct(F.col("id").isNull(), "id", "md5")).alias("f")).select(F.col("stretch").alias("s"), F.col("f.id").alias("first_id"), F.col("f.md5").alias("first_md5"))
+    first = placed.join(firsts, (F.col("stretch") == F.col("s")) & F.col("id").eqNullSafe(F.col("first_id")) & (F.col("md5") == F.col("first_md5")))
+    first = cut(_derived(first.select("stretch", "text")))
     ring = first.select("stretch", F.coalesce(F.lead("stretch").over(Window.orderBy("stretch")), F.min("stretch").over(Window.partitionBy())).alias("after"))
     heads = first.select(F.col("stretch").alias("after"), *(F.col(c).alias(f"head_{c}") for c in ("text", "a", "sa")))
     heads = ring.join(heads, "after").drop("after").withColumnRenamed("stretch", "s").withColumn("head", F.lit(True))
     out = led.join(heads, (F.col("stretch") == F.col("s")) & (F.col("last") == F.col("head")), "left")
-    pick = lambda c: F.when(F.col("last"), F.col(f"head_{c}")).otherwise(F.col(f"next_{c}")).alias(f"next_{c}")
-    return out.select("id", "text", "a", "sa", pick("text"), pick("a"), pick("sa"))
+    out = out.withColumn("itself", F.lit(False)).withColumn("copies", F.lit(1).cast("long"))
+    if repeats:
+        parts = F.array(F.struct(F.lit(False).alias("itself"), F.lit(1).cast("long").alias("copies")), F.struct(F.lit(True).alias("itself"), (F.col("again") - 1).alias("copies")))
+        out = out.drop("itself", "copies").select("*", F.inline(F.filter(parts, lambda p: p["copies"] > 0)))
+    pick = lambda c: F.when(F.col("itself"), F.col(c)).when(F.col("last"), F.col(f"head_{c}")).otherwise(F.col(f"next_{c}")).alias(f"next_{c}")
+    return reading(out.select("id", "text", "a", "sa", "copies", pick("text"), pick("a"), pick("sa")), rows, first)
 
 
 def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -186,12 +226,13 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     texts are empty; equal texts have equal fingerprints; a text without paragraphs is like another such (1.0) and unlike any
     other (0.0); a single row's next is itself; repeated rows each give a row; other columns are ignored; no rows give none.
     """
-    rows = with_next(docs, id_col, text_col)
+    found = with_next(docs, id_col, text_col)
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half))
-    rows = rows.select("id", n.cast("long").alias("n_chars"), edited.alias("text"), F.col("a").alias("oa"), F.col("sa").alias("osa"), "next_a", "next_sa")
-    rows = _derived(rows).select("id", "n_chars", F.sha2("text", 256).alias("edited_sha256"), F.col("a").alias("b"), F.col("sa").alias("sb"), F.col("oa").alias("a"), F.col("osa").alias("sa"), F.col("next_a").alias("c"), F.col("next_sa").alias("sc"))
+    rows = found.select("id", "copies", n.cast("long").alias("n_chars"), edited.alias("text"), F.col("a").alias("oa"), F.col("sa").alias("osa"), "next_a", "next_sa")
+    rows = _derived(rows).select("id", "copies", "n_chars", F.sha2("text", 256).alias("edited_sha256"), F.col("a").alias("b"), F.col("sa").alias("sb"), F.col("oa").alias("a"), F.col("osa").alias("sa"), F.col("next_a").alias("c"), F.col("next_sa").alias("sc"))
     rows = rows.select("*", reconcile(F.col("a"), F.col("b"), F.col("sa"), F.col("sb")).alias("ab"), reconcile(F.col("a"), F.col("c"), F.col("sa"), F.col("sc")).alias("ac"))
     size = lambda x: F.size(x).cast("long")
-    return rows.select(F.col("id").alias(id_col), "n_chars", "edited_sha256", as_text(size("a"), F.col("sa")).alias("fingerprint"), as_text(size("b"), F.col("sb")).alias("edited_fingerprint"), likeness(F.size("a"), F.size("b"), F.col("ab")).alias("near_edited"), likeness(F.size("a"), F.size("c"), F.col("ac")).alias("near_next"), size("a").alias("n_paragraphs"), (size("ab.plus") + size("ab.minus")).alias("n_changed"))
+    out = rows.select("copies", F.col("id").alias(id_col), "n_chars", "edited_sha256", as_text(size("a"), F.col("sa")).alias("fingerprint"), as_text(size("b"), F.col("sb")).alias("edited_fingerprint"), likeness(F.size("a"), F.size("b"), F.col("ab")).alias("near_edited"), likeness(F.size("a"), F.size("c"), F.col("ac")).alias("near_next"), size("a").alias("n_paragraphs"), (size("ab.plus") + size("ab.minus")).alias("n_changed"))
+    return reading(out.withColumn("copies", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).drop("copies"), found)
