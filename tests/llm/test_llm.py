@@ -72,9 +72,14 @@ def test_url_aliases(spark):
     link = '<link rel="canonical" href="{}">'
     rows = [(1, "http://bad.example/x", ""), (2, "http://b.example/2", link.format("http://bad.example/x")), (3, "http://c.example/3", '<meta http-equiv="refresh" content="0; url=http://b.example/2">'), (4, "http://d.example/4", ""), (5, "http://e.example/5", link.format("http://bad2.example/")), (6, "http://good.example/", link.format("http://e.example/5")), (7, "http://www.bad.example/x?utm_source=a", "")]
     rules = common.literal_table(spark, [("bad.example/x", "block"), ("bad2.example/", "block"), ("good.example/", "allow")], ["rule", "action"])
-    got = by_id(url_filters.filter_urls(spark.createDataFrame(rows, "page_id long, url string, html string"), rules), "page_id")
-    assert [got[i].verdict for i in range(1, 8)] == ["block", "block", "block", "allow", "allow", "allow", "block"]
-    assert got[2].decided_by == "alias class" and got[4].decided_by == "default"
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for forms, last in ((True, "block"), (False, "block")):  # a rule fits subdomains
+        got = by_id(url_filters.filter_urls(pages, rules, normal_forms=forms), "page_id")
+        assert [got[i].verdict for i in range(1, 8)] == ["block", "block", "block", "allow", "allow", "allow", last]
+        assert got[2].decided_by == "alias class" and got[4].decided_by == "default"
+    other = spark.createDataFrame([(1, "http://h.example/x.html?utm_source=a", None), (2, "http://www.h.example/x", None)], "page_id long, url string, html string")
+    rule = common.literal_table(spark, [("www.h.example/", "block")], ["rule", "action"])
+    assert [by_id(url_filters.filter_urls(other, rule, normal_forms=f), "page_id")[1].verdict for f in (True, False)] == ["block", "allow"]
 
 
 def test_url_aliases_of_ordinary_html(spark):
@@ -204,9 +209,9 @@ def test_chat(spark):
     got = by_id(chat_format.read_back(ex), "conv_id")
     assert got[1].n_turns == 4 and got[1].loss_chars == 8 and got[1].loss_sha256 == hashlib.sha256(b"a:<b>\\ #").hexdigest()
     assert got[2].loss_chars == 0 and got[None].n_turns == 1 and got[3].loss_chars == len(LONG)
-    whole = chat_format.example_texts(ex.where("conv_id = 1")).collect()
+    whole = chat_format.expand_examples(ex.where("conv_id = 1")).collect()
     assert len(whole) == 1 and chat_format.unescape(whole[0].text[whole[0].loss_start : whole[0].loss_end]) == "a:<b>\\ #"
-    assert chat_format.read_back(ex.limit(0)).count() == 0
+    assert chat_format.read_back(ex.limit(0)).count() == 0 and chat_format.expand_examples(ex.limit(0)).count() == 0
     for t in ("", "\\", "\\\\", "</turn>\n### user: x", queries.HARD_TEXT):
         assert chat_format.read_turns(chat_format.turn_text("r:#\\", t)[0]) == [("r:#\\", t)]
 
@@ -250,15 +255,16 @@ def test_quality_sites_by_shuffle(spark, monkeypatch):
 
 def test_site_posteriors_shrink(spark):
     rows = [("big", "p", 0.0)] * 500 + [("big2", "p", 1.0)] * 500 + [("tiny", "q", 0.0)]
-    got = {r["_host"]: r for r in quality.site_posteriors(spark.createDataFrame(rows, "h string, p string, x double"), "h", "p", "x").collect()}
-    assert got["big"].path_share < got["tiny"].path_share < got["tiny"].global_share
+    sites = quality.site_posteriors(spark.createDataFrame(rows, "h string, p string, x double"), "h", "p", "x")
+    got = {r["_host"]: r for r in sites.select("_host", "m", quality.posterior()[1].alias("share")).collect()}
+    assert got["big"].share < got["tiny"].share < got["tiny"].m
 
 
 def test_ann(spark, sf):
     e = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     odd = spark.createDataFrame([(50_000, [0.0] * 64, 0), (50_001, None, 0), (50_002, [float("nan")] * 64, 0), (50_003, [1.0], 0), (None, [1.0] * 64, 0)], "vec_id long, embedding array<float>, label int")
     got = defaultdict(list)
-    for r in ann.nearest(e.unionByName(odd), rows_a_part=200).orderBy("query_id", "rank").collect():
+    for r in ann.nearest(e.unionByName(odd)).orderBy("query_id", "rank").collect():
         got[r.query_id].append((r.vec_id, r.score))
     rows = e.collect()
     ids, x = np.array([r.vec_id for r in rows]), ann.unit(np.array([r.embedding for r in rows], dtype=float))
@@ -275,15 +281,15 @@ def test_ann(spark, sf):
 
 def test_ann_repeated_ids(spark, sf):
     e = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding")
-    found = lambda t, **o: [tuple(r) for r in ann.nearest(t, **o).orderBy("query_id", "rank").collect()]
+    found = lambda t, **o: [tuple(r)[:4] for r in ann.nearest(t, **o).orderBy("query_id", "rank").collect()]
     ten = e.crossJoin(spark.range(10).select()).select("vec_id", "embedding")
-    assert found(ten) == found(e) and found(ten, rows_a_part=2000) == found(e, rows_a_part=200)
+    assert found(ten) == found(e) and {x[0] for x in found(ten)} == {0, 50, 100, 150, 200, 250, 300, 350, 400, 450}
     # Ids with several vectors, one of them with a third of the rows.
     mixed = e.unionByName(e.select((F.col("vec_id") % 7 * 50).alias("vec_id"), "embedding")).unionByName(e.select(F.lit(11).cast(e.schema["vec_id"].dataType).alias("vec_id"), "embedding"))
     rows = mixed.collect()
     ids, x = np.array([r.vec_id for r in rows]), ann.unit(np.array([r.embedding for r in rows], dtype=float))
     got = defaultdict(list)
-    for q, _, v, s in found(mixed, rows_a_part=10**6):
+    for q, _, v, s in found(mixed, parts=1):
         got[q].append((v, s))
     names, where = np.unique(ids, return_inverse=True)
     for q in names[names % 50 == 0]:
