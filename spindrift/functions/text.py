@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Fixed value: what a token of code is.
 CODE_TOKEN = r"[a-zA-Z_][a-zA-Z0-9_]*|[0-9]+|[{}()\[\];,.=+\-*/<>!&|]+"
 CHARS_PER_TOKEN = 4
 
@@ -22,7 +23,7 @@ def code_tokens(c: Column, lowercase: bool = True, split_camel: bool = True) ->
     """Identifiers, numbers and operator runs; camelCase is split; one-character tokens go unless digits."""
     found = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(CODE_TOKEN), F.lit(0))
     if split_camel:
-        parts = lambda t: F.split(F.regexp_replace(F.regexp_replace(t, "([A-Z]+)", " $1"), "([A-Z][a-z]+)", " $1"), " +")
+        parts = lambda t: F.when(t.rlike("[A-Z]"), F.split(F.regexp_replace(F.regexp_replace(t, "([A-Z]+)", " $1"), "([A-Z][a-z]+)", " $1"), " +")).otherwise(F.array(t))
         found = F.flatten(F.transform(found, parts))
     if lowercase:
         found = F.transform(found, F.lower)
@@ -94,12 +95,66 @@ def diff_lines(patch: Column, compat: bool = False) -> Column:
 
 
 def codebleu_tokens(code: Column) -> Column:
-    """Words and punctuation marks, without comments, strings blanked."""
+    """Words and punctuation marks, without comments, strings blanked, those in triple quotes first."""
     c = F.regexp_replace(code, r"#[^\n]*", "")
-    c = F.regexp_replace(F.regexp_replace(c, r"\"[^\"\n]*\"", "\"\""), r"'[^'\n]*'", "''")
+    c = F.regexp_replace(F.regexp_replace(c, r'(?s)""".*?"""', '""""""'), r"(?s)'''.*?'''", "''''''")
+    c = F.regexp_replace(F.regexp_replace(c, r"\"[^\"]*\"", "\"\""), r"'[^']*'", "''")
     return F.regexp_extract_all(c, F.lit(r"\w+|[^\w\s]"), F.lit(0))
 
 
+#: Encodings of models' tokenizers, by name or by how the name begins, in this order.
+ENCODINGS = [("gpt-5", "cl100k_base"), ("gpt-5-mini", "cl100k_base"), ("gpt-5-pro", "cl100k_base"), ("gpt-4o", "o200k_base"), ("gpt-4o-mini", "o200k_base"), ("claude-4.5-sonnet", "cl100k_base"), ("claude-4.5", "cl100k_base")]
+
+
+def encoding_of(model: Column) -> Column:
+    """The encoding of a model's name: of the equal name, else of the first one that it begins with, else the commonest."""
+    exact = F.element_at(F.create_map(*(F.lit(x) for pair in ENCODINGS for x in pair)), model)
+    begun = F.coalesce(*(F.when(model.startswith(n), F.lit(e)) for n, e in ENCODINGS))
+    return F.coalesce(exact, begun, F.lit("cl100k_base"))
+
+
+def import_names(source: Column) -> Column:
+    """Import statements by regular expression, for files that don't parse."""
+    return F.transform(F.regexp_extract_all(source, F.lit(r"(?m)^\s*((?:import|from)\s+[^\n]+)"), F.lit(1)), strip)
+
+
+def basename(path: Column) -> Column:
+    return F.substring_index(path, "/", -1)
+
+
+def extension(path: Column) -> Column:
+    """With its dot, lower-cased; none: empty."""
+    return F.lower(F.regexp_extract(basename(path), r"(?<=[^.])(\.[^.]+)$", 1))
+
+
+def stem(path: Column) -> Column:
+    return F.regexp_replace(basename(path), r"(?<=[^.])\.[^.]+$", "")
+
+
+def relative(path: Column, root: str) -> Column:
+    """path below root, or the path itself."""
+    base = root.rstrip("/") + "/"
+    return F.when(path.startswith(base), F.substring(path, F.lit(len(base) + 1), F.length(path))).otherwise(path)
+
+
+#: Where a reply holds its patch.
+PATCH_BLOCKS = [r"(?s)```diff\n(.*?)```", r"(?s)```\ndiff(.*?)(?:```|$)"]
+
+
+def patch_of(reply: Column) -> Column:
+    """The first patch in a reply: a fenced block with old and new file headers, else the lines from the first header on; null: none."""
+    whole = lambda x: F.when(x.startswith("diff"), x).otherwise(F.concat(F.lit("diff "), x))
+    ok = lambda x: F.contains(x, F.lit("---")) & F.contains(x, F.lit("+++"))
+    fenced = [F.get(F.filter(F.transform(F.regexp_extract_all(reply, F.lit(p), F.lit(1)), lambda x: whole(strip(x))), ok), F.lit(0)) for p in PATCH_BLOCKS]
+    bare = F.nullif(F.regexp_extract(reply, r"(?ms)(^(?:diff --git|---).*)", 1), F.lit(""))
+    return F.coalesce(*fenced, F.when(ok(reply), bare))
+
+
+def confidence_of(reply: Column) -> Column:
+    """The confidence that a reply states, 0 if it states none."""
+    return F.coalesce(F.nullif(F.regexp_extract(reply, r"(?i)confidence(?: score)?[:\s]+(0?\.\d+|1\.0|0|1)", 1), F.lit("")).cast("double"), F.lit(0.0))
+
+
 def test_list(c: Column) -> Column:
     """A test list from JSON array text, or from lines; null: empty."""
     from_lines = F.filter(F.transform(lines(c), strip), lambda x: x != "")

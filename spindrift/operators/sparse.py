@@ -1,64 +1,105 @@
-"""BM25: an index is three tables, postings(doc, term, tf, dl), terms(term, df, idf) and stats."""
+"""BM25: an index is three tables, postings(doc, term, tf, dl), terms(term, df, idf) and stats(n_docs, avgdl)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from spindrift.functions.text import code_tokens
+from spindrift.tables import cut, reading
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
-#: Broadcast a side only if it has this many rows at most.
-BROADCAST_ROWS = 100_000
 
 
-def token_bags(docs: DataFrame, id_col: str, fields: dict[str, int], tokenizer=code_tokens) -> DataFrame:
-    """doc, term, n: a row for each token; n is the field's whole weight (a weight of 0 drops the field)."""
+@dataclass
+class Index:
+    postings: DataFrame
+    terms: DataFrame
+    stats: DataFrame
+
+    def save(self, path: str) -> None:
+        """Postings are kept in order of the term, so that a search reads the row groups of its terms only."""
+        self.postings.repartitionByRange("term").sortWithinPartitions("term", "doc").write.parquet(f"{path}/postings")
+        self.terms.write.parquet(f"{path}/terms")
+        self.stats.write.parquet(f"{path}/stats")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> Index:
+        return Index(*(spark.read.parquet(f"{path}/{n}") for n in ("postings", "terms", "stats")))
+
+    def documents(self) -> int:
+        return self.stats.first()["n_docs"]
 
-    def bag(field: str, weight: int) -> Column:
-        return F.transform(tokenizer(F.col(field)), lambda t: F.struct(t.alias("term"), F.lit(weight).alias("n")))
+    def lookup(self, doc) -> DataFrame:
+        """A document's postings."""
+        return self.postings.where(F.col("doc") == F.lit(doc))
 
-    parts = [bag(f, w) for f, w in fields.items() if w > 0]
-    return docs.select(F.col(id_col).alias("doc"), F.inline(F.concat(*parts)))
 
+def token_rows(docs: DataFrame, id_col: str, fields: dict[str, int], tokenizer=code_tokens) -> DataFrame:
+    """doc, dl, term, n: a row for each token; n is its field's whole weight (a weight of 0 drops the field), dl the sum of all n."""
+    held = {f: w for f, w in fields.items() if w > 0}
+    rows = docs.select(F.col(id_col).alias("doc"), *(tokenizer(F.col(f)).alias(f"_{i}") for i, f in enumerate(held)))
+    dl = sum((F.size(f"_{i}") * w for i, w in enumerate(held.values())), F.lit(0)).cast("long")
 
-def postings(bags: DataFrame) -> DataFrame:
-    """doc, term, tf: one shuffle on (doc, term), combined on the map side."""
-    return bags.groupBy("doc", "term").agg(F.sum("n").cast("long").alias("tf"))
+    def bag(i: int, weight: int) -> Column:
+        return F.transform(f"_{i}", lambda t: F.struct(t.alias("term"), F.lit(weight).alias("n")))
 
+    return rows.select("doc", dl.alias("dl"), F.inline(F.concat(*(bag(i, w) for i, w in enumerate(held.values())))))
 
-def lengths(docs: DataFrame, id_col: str, fields: dict[str, int], tokenizer=code_tokens) -> DataFrame:
-    """doc, dl: no shuffle, a document's length is in its row."""
-    return docs.select(F.col(id_col).alias("doc"), sum((F.size(tokenizer(F.col(f))) * w for f, w in fields.items() if w > 0), F.lit(0)).cast("long").alias("dl"))
 
+def postings(rows: DataFrame) -> DataFrame:
+    """doc, term, tf, dl: one shuffle on (doc, term), combined on the map side, where a document's tokens are together."""
+    return rows.groupBy("doc", "dl", "term").agg(F.sum("n").cast("long").alias("tf")).select("doc", "term", "tf", "dl")
 
-def term_stats(post: DataFrame, n_docs: Column) -> DataFrame:
+
+def term_stats(post: DataFrame, n_docs: int) -> DataFrame:
     """term, df, idf; a negative idf becomes EPSILON times the mean idf of all terms."""
-    df = post.groupBy("term").agg(F.count("*").alias("df")).crossJoin(n_docs)
-    raw = df.select("term", "df", F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("raw"))
+    df = post.groupBy("term").agg(F.count("*").alias("df"))
+    raw = df.select("term", "df", F.log((n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("raw"))
     mean = raw.agg((F.sum("raw") / F.count("*")).alias("mean"))
     return raw.crossJoin(mean).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
-def search(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_id", fields: dict[str, int] | None = None, query_id: str = "item_id", query_text: str = "text", k1: float = K1, b: float = B, tokenizer=code_tokens) -> DataFrame:
+def build(docs: DataFrame, id_col: str = "doc_id", fields: dict[str, int] | None = None, tokenizer=code_tokens) -> Index:
+    """The index of docs, in the shared folder: every text is tokenized once, whatever reads the index."""
+    post = cut(postings(token_rows(docs, id_col, fields or {"text": 1}, tokenizer)))
+    n_docs = docs.count()
+    terms = cut(term_stats(post, n_docs))
+    stats = post.agg(F.lit(n_docs).cast("long").alias("n_docs"), (F.sum("tf") / F.lit(max(1, n_docs))).alias("avgdl"))
+    return Index(post, terms, cut(stats))
+
+
+def search_index(index: Index, queries: DataFrame, k: int = 10, query_id: str = "item_id", query_text: str = "text", k1: float = K1, b: float = B, tokenizer=code_tokens) -> DataFrame:
     """query, doc, score, rank: the k best of each query, positive scores only, ties by doc.
 
-    All queries are answered by one join on the term; postings of other terms are dropped before it.  The document
-    frequencies need all postings once, the scores only those of query terms.
+    All queries are answered by one join on the term, before which no posting is shuffled if the query terms are few
+    (Spark broadcasts them by their size); partial sums of a query and document are combined before the shuffle.
     """
-    fields = fields or {"text": 1}
-    bags = token_bags(docs, id_col, fields, tokenizer)
-    post = postings(bags)
-    dl = lengths(docs, id_col, fields, tokenizer)
-    stats = dl.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
-    idf = term_stats(post, stats.select("n_docs"))
     asked = queries.select(F.col(query_id).alias("query"), F.explode(tokenizer(F.col(query_text))).alias("term")).groupBy("query", "term").agg(F.count("*").alias("qtf"))
-    wanted = asked.join(idf, "term").select("query", "term", "qtf", "idf")
-    hits = post.join(wanted, "term").join(dl, "doc").crossJoin(stats.select("avgdl"))
+    wanted = index.terms.join(asked, "term").select("query", "term", "qtf", "idf")
+    hits = index.postings.join(wanted, "term").crossJoin(F.broadcast(index.stats.select("avgdl")))  # one row
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     scored = hits.groupBy("query", "doc").agg(F.round(F.sum(part), 6).alias("score")).where("score > 0")
-    return top_k(scored, k)
+    return reading(top_k(scored, k), index.postings, index.terms, index.stats)
+
+
+def search(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_id", fields: dict[str, int] | None = None, query_id: str = "item_id", query_text: str = "text", k1: float = K1, b: float = B, tokenizer=code_tokens) -> DataFrame:
+    """search_index() of an index made for it."""
+    return search_index(build(docs, id_col, fields, tokenizer), queries, k, query_id, query_text, k1, b, tokenizer)
+
+
+def retrieve(index: Index, queries: DataFrame, k: int = 10, min_score: float = 0.0, predicate: Column | None = None, key: DataFrame | None = None, fetch: int | None = None, **how) -> DataFrame:
+    """Search, filter by score and predicate, one hit for each key (key: doc and the columns that make two documents one), limit, rank anew."""
+    from spindrift.operators import fusion
+
+    hits = fusion.threshold(search_index(index, queries, fetch or k, **how), min_score, predicate)
+    if key is not None:
+        cols = [c for c in key.columns if c != "doc"]
+        hits = fusion.dedup(hits.join(key, "doc"), cols).drop(*cols)
+    return top_k(hits.drop("rank"), k)
 
 
 def top_k(scored: DataFrame, k: int, by: str = "query", score: str = "score", tie: str = "doc") -> DataFrame:
