@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import ast
+import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -32,16 +34,19 @@ def char_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def boundary_cuts(text: str, width: int = 1000, overlap: int = 200, boundaries: tuple[str, ...] = ("\n\n", "\n", ". ", " ")) -> list[tuple[int, int]]:
-    """(start, end) of windows that end after the first boundary kind found in their last fifth; the last one ends the text."""
+    """(start, end) of windows that end behind a boundary in their last fifth; the last one ends the text.
+
+    The kinds of boundary are asked in turn for their last place; one that is before the end found so far moves the end there.
+    """
     out, at = [], 0
     while at < len(text):
-        end = min(at + width, len(text))
-        if end < len(text):
+        whole = end = min(at + width, len(text))
+        if whole < len(text):
+            low = at + int(width * 0.8)
             for b in boundaries:
-                found = text.rfind(b, at + int(width * 0.8), end)
-                if found >= 0:
+                found = text.rfind(b, low, whole + len(b))
+                if low < found < end:
                     end = found + len(b)
-                    break
         out.append((at, end))
         if end >= len(text):
             break
@@ -50,14 +55,18 @@ def boundary_cuts(text: str, width: int = 1000, overlap: int = 200, boundaries:
 
 
 def boundary_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 1000, overlap: int = 200, least: int = 100) -> DataFrame:
-    """As char_chunks, with ends moved to boundaries; where a window starts depends on the last one's end, so Python cuts."""
+    """As char_chunks, with ends moved to boundaries; where a window starts depends on the last one's end, so Python cuts.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [(i, s, t[s:e]) for i, t in zip(pdf["id"], pdf["t"].fillna(""), strict=True) for s, e in boundary_cuts(t, width, overlap)]
-            yield pd.DataFrame([r for r in rows if len(r[2].strip()) >= least], columns=[id_col, "start", "content"])
+    Ids pass through as they are, nulls and large ones included.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(i, s, t[s:e]) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for s, e in boundary_cuts(t or "", width, overlap)]
+            cols = list(zip(*(r for r in rows if len(r[2].strip()) >= least), strict=True)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.string())], [id_col, "start", "content"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInPandas(run, f"{id_col} long, start int, content string")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).mapInArrow(run, f"`{id_col}` long, start int, content string")
 
 
 def syntax_chunks(path: str, source: str) -> list[tuple]:
@@ -66,7 +75,8 @@ def syntax_chunks(path: str, source: str) -> list[tuple]:
     try:
         tree = ast.parse(source)
     except (SyntaxError, ValueError):
-        return [(path, "module", None, 1, len(rows), [], source)] if source.strip() else []
+        found = [m.strip() for m in re.findall(r"(?m)^\s*((?:import|from)\s+[^\n]+)", source)]
+        return [(path, "module", None, 1, len(rows), found, source)] if source.strip() else []
     imports = [ast.unparse(n) for n in tree.body if isinstance(n, ast.Import | ast.ImportFrom)]
     out, used = [], set()
 

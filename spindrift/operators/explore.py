@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from spindrift.functions.text import lines
-from spindrift.operators.sparse import BROADCAST_ROWS
+from spindrift.functions.text import basename, lines, strip
+from spindrift.operators.querygen import distinct_by_lower
+from spindrift.tables import cut, reading, release
 
 SYMBOLS = "path string, kind string, name string, owner string, bases array<string>, args array<string>, calls array<string>, start_line int, end_line int"
 
@@ -74,55 +75,180 @@ def search_symbols(table: DataFrame, name: str, kind: str | None = None, exact:
     return out.orderBy("path", "start_line").limit(most)
 
 
-def closure(edges: DataFrame, max_depth: int = 50) -> DataFrame:
+def closure(edges: DataFrame) -> DataFrame:
     """edges(child, parent) -> child, ancestor, depth: every ancestor once, at its least depth; cycles end.
 
-    Breadth first: each step joins the frontier with the edges and keeps pairs not seen before.
+    Paths double: when all pairs up to depth d are known, a pair of depth d + 1 to 2d is one of exactly d and a known one.  So
+    a chain of n edges takes log2(n) steps, and each step is a table in the shared folder, not a longer plan.
     """
-    edges = edges.where("child is not null and parent is not null").distinct()
-    seen = front = edges.select("child", F.col("parent").alias("ancestor"), F.lit(1).alias("depth"))
-    for d in range(2, max_depth + 1):
-        step = front.alias("f").join(edges.alias("e"), F.col("f.ancestor") == F.col("e.child")).select("f.child", F.col("e.parent").alias("ancestor"), F.lit(d).alias("depth")).distinct()
-        front = step.join(seen, ["child", "ancestor"], "left_anti").persist()
+    known = cut(edges.where("child is not null and parent is not null").select("child", F.col("parent").alias("ancestor")).distinct().withColumn("depth", F.lit(1)))
+    depth = 1
+    while True:
+        front = known.where(F.col("depth") == depth)
         if front.isEmpty():
-            break
-        seen = seen.unionByName(front)
-    return seen
+            return known
+        longer = front.alias("f").join(known.alias("k"), F.col("f.ancestor") == F.col("k.child")).select("f.child", "k.ancestor", (F.col("k.depth") + depth).alias("depth"))
+        new = cut(known.unionByName(longer).groupBy("child", "ancestor").agg(F.min("depth").alias("depth")))
+        release(known)
+        known, depth = new, depth * 2
 
 
 def call_edges(table: DataFrame) -> DataFrame:
     return table.where(F.col("kind") != "class").select(F.col("name").alias("caller"), F.explode("calls").alias("callee")).distinct()
 
 
-def keyword_file_scores(files: DataFrame, keywords: DataFrame, id_col: str = "doc", text_col: str = "text", k: int = 5) -> DataFrame:
-    """keywords(query, word) by documents: 1 for each line that holds the word as a token, 1.5 if the word is in the id's text too; top k.
+#: What counts as a keyword of a problem, of the three variants: patterns in order, and the most that are taken.
+_CAMEL, _SNAKE, _QUOTED = r"\b[A-Z][a-zA-Z0-9]*[A-Z][a-zA-Z0-9]*\b", r"\b[a-z_][a-z0-9_]*\b", r"[\"']([^\"']+)[\"']"
+_WORDED, _TROUBLE = r"\b[A-Z][a-zA-Z0-9]*\b", r"(?i)\b(?:error|exception|fail|bug|issue|problem)[s]?\b"
+_TRACED = r"(?:Error|Exception|Traceback)[^\n]*File \"([^\"]+)\""
+MOST_KEYWORDS = {"refined": 15, "layered": 20, "stepwise": 10}
 
-    The containment join runs by equality on tokens: lines are split once and only their distinct tokens meet the words.
+
+def problem_keywords(text: Column, variant: str = "refined") -> Column:
+    """Names, identifiers, quoted strings and the like of a problem statement, longer than two, the first of each by lower case.
+
+    refined: identifiers with _ or over 5 long, and files of tracebacks; layered: every capitalized word, identifiers over
+    3 long, words for trouble; stepwise: names and identifiers only, these with _ or over 4 long.
+    """
+    all_ = lambda rx, i=0: F.regexp_extract_all(text, F.lit(rx), F.lit(i))
+    snake = lambda n: F.filter(all_(_SNAKE), lambda w: F.contains(w, F.lit("_")) | (F.length(w) > n))
+    traced = F.transform(all_(_TRACED, 1), lambda p: F.replace(basename(p), F.lit(".py"), F.lit("")))
+    found = {
+        "refined": lambda: F.concat(all_(_CAMEL), snake(5), all_(_QUOTED, 1), traced),
+        "layered": lambda: F.concat(all_(_WORDED), F.filter(all_(_SNAKE), lambda w: F.length(w) > 3), all_(_QUOTED, 1), all_(_TROUBLE)),
+        "stepwise": lambda: F.concat(all_(_CAMEL), snake(4)),
+    }[variant]()
+    return F.slice(distinct_by_lower(F.filter(found, lambda w: F.length(w) > 2)), 1, MOST_KEYWORDS[variant])
+
+
+def line_hits(files: DataFrame, keywords: DataFrame, id_col: str = "doc", text_col: str = "text", at_once: int = 200) -> DataFrame:
+    """keywords(query, word), files -> query, doc, word, lines: lines of each file that hold the word, whatever its case.
+
+    A word that is an identifier of three characters or more is one of the identifiers of a line or part of one, so distinct identifiers
+    of all files meet the distinct words, not lines; other words (quoted ones) meet the lines of files, about at_once of them
+    in one pass over the files.
+    """
+    words = cut(keywords.select("query", F.lower("word").alias("word")).where("word <> ''").distinct())
+    plain = words.select("word").distinct()
+    ident = F.col("word").rlike("^[a-z0-9_]{3,}$")
+    ls = files.select(F.col(id_col).alias("doc"), F.posexplode(lines(F.lower(text_col))).alias("line", "x"))
+    tokens = cut(ls.select("doc", "line", F.explode(F.array_distinct(F.regexp_extract_all("x", F.lit("[a-z0-9_]+"), F.lit(0)))).alias("token")).groupBy("doc", "line", "token").agg(F.lit(1).alias("one")).drop("one"))
+    # An identifier holds those words that are among its parts from a place to its end at the place's start: by their
+    # first three characters and length, not by comparing all with all.
+    three = F.substring("word", 1, 3)
+    vocabulary = tokens.select("token").distinct()
+    parts = vocabulary.select("token", F.explode(F.when(F.length("token") >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("token") - 2), lambda i: F.substring(F.col("token"), i, F.lit(3))))).otherwise(F.array("token"))).alias("three"))
+    holds = parts.join(plain.where(ident).select("word", three.alias("three")), "three").where(F.contains("token", "word")).select("token", "word").distinct()
+    found = tokens.join(holds, "token").groupBy("doc", "word").agg(F.count_distinct("line").alias("lines"))
+    phrases = plain.where(~ident)
+    passes = -(-phrases.count() // at_once)
+    for i in range(passes):
+        some = [r["word"] for r in phrases.where(F.pmod(F.xxhash64("word"), F.lit(passes)) == i).collect()]
+        if some:
+            each = F.filter(F.array(*map(F.lit, some)), lambda w: F.contains(F.col("x"), w))
+            found = found.unionByName(ls.select("doc", F.explode(each).alias("word")).groupBy("doc", "word").agg(F.count("*").alias("lines")))
+    return reading(found.join(words, "word").select("query", "doc", "word", "lines"), words, tokens)
+
+
+def file_scores(files: DataFrame, keywords: DataFrame, tests: DataFrame | None = None, id_col: str = "doc", text_col: str = "text", k: int = 5, layered: bool = False) -> DataFrame:
+    """keywords(query, word), tests(query, test) -> query, doc, score, rank: the k best files.
+
+    1 for each line that holds a keyword, half a point more if the file's path does, and 2 for each file that a part of a failing test's name
+    with _ or a capital names.  layered: 1.5 for a line, 2 more if the file's name holds the keyword, and 1.5 for each
+    file named by a part of over 3 characters.
     """
-    words = keywords.select("query", F.lower("word").alias("word")).distinct()
-    ls = files.select(F.col(id_col).alias("doc"), F.explode(F.transform(lines(F.lower(text_col)), lambda x: F.array_distinct(F.regexp_extract_all(x, F.lit("[a-z_][a-z0-9_]*"), F.lit(0))))).alias("ts"))
-    tokens = ls.select("doc", F.explode("ts").alias("word")).groupBy("doc", "word").agg(F.count("*").alias("n"))
-    scored = tokens.join(words, "word").groupBy("query", "doc").agg(F.sum(F.col("n") * F.when(F.contains(F.lower(F.col("doc").cast("string")), F.col("word")), 1.5).otherwise(1.0)).alias("score"))
+    path = F.lower(F.col("doc").cast("string"))
+    name = F.replace(basename(path), F.lit(".py"), F.lit(""))
+    more = F.when(F.contains(name if layered else path, F.col("word")), 2.0 if layered else 0.5).otherwise(0.0)
+    hits = line_hits(files, keywords, id_col, text_col)
+    scored = hits.select("query", "doc", (F.col("lines") * ((1.5 if layered else 1.0) + more)).alias("score"))
+    if tests is not None:
+        part = tests.select("query", F.explode(F.split("test", r"\.")).alias("part"))
+        part = part.where(F.length("part") > 3 if layered else F.contains("part", F.lit("_")) | F.col("part").rlike("^[A-Z]")).withColumn("part", F.lower("part"))
+        paths = files.select(F.col(id_col).alias("doc"))
+        # Paths by the three-character pieces that they hold; a shorter part is too common to name a file.
+        pieces = paths.select("doc", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(path) - 2, F.lit(1))), lambda i: F.substring(path, i, F.lit(3))))).alias("three"))
+        named = part.withColumn("three", F.substring("part", 1, 3)).join(pieces, "three").where(F.contains(path, F.col("part")))
+        scored = scored.unionByName(named.select("query", "doc", F.lit(1.5 if layered else 2.0).alias("score")))
     w = Window.partitionBy("query").orderBy(F.desc("score"), "doc")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    out = scored.groupBy("query", "doc").agg(F.sum("score").alias("score")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return reading(out, hits)
+
 
+def _name_hits(table: DataFrame, keywords: DataFrame) -> DataFrame:
+    """query, path, name, owner, kind, exact of the symbols whose lower-case name holds a keyword: by the three-character pieces of names."""
+    low = F.lower("name")
+    pieces = table.select(low.alias("low")).distinct().select("low", F.explode(F.when(F.length("low") >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("low") - 2), lambda i: F.substring("low", i, F.lit(3))))).otherwise(F.array("low"))).alias("three"))
+    words = keywords.select("query", "word", F.lower("word").alias("lw")).distinct()
+    pairs = words.withColumn("three", F.substring("lw", 1, 3)).join(pieces, "three").where(F.contains("low", "lw")).select("query", "word", "low", "lw").distinct()
+    return table.withColumn("low", low).join(pairs, "low").withColumn("exact", F.col("low") == F.col("lw"))
 
-def symbol_scores(table: DataFrame, keywords: DataFrame, exact: float = 2.0, partial: float = 1.0, k: int = 10) -> DataFrame:
-    """keywords(query, word): 2 for an equal name, 1 for a name that holds the word; top k of each query.
 
-    All keywords meet all names, so the keywords are broadcast, after their number is checked.
+def symbol_scores(table: DataFrame, keywords: DataFrame, files: DataFrame | None = None, classes: DataFrame | None = None, exact: float = 2.0, partial: float = 1.0, k: int = 10) -> DataFrame:
+    """keywords(query, word of two characters or more): 2 for an equal name, 1 for a name that holds the word; top k of each query.
+
+    files(query, path): 1 more for each hit in one of these; classes(query, path, name): 1.5 more for each hit in a method of one.
     """
-    if keywords.count() > BROADCAST_ROWS:
-        raise ValueError(f"more than {BROADCAST_ROWS} keywords: score them in blocks")
-    low, word = F.lower("name"), F.lower("word")
-    hits = table.join(F.broadcast(keywords), F.contains(low, word))
-    scored = hits.groupBy("query", "path", "name", "kind").agg(F.sum(F.when(low == word, exact).otherwise(partial)).alias("score"))
+    hits = _name_hits(table, keywords).withColumn("score", F.when(F.col("exact"), exact).otherwise(partial))
+    if files is not None:
+        hits = hits.join(files.select("query", "path").distinct().withColumn("inside", F.lit(1.0)), ["query", "path"], "left").withColumn("score", F.col("score") + F.coalesce("inside", F.lit(0.0)))
+    if classes is not None:
+        hits = hits.join(classes.select("query", F.col("name").alias("owner")).distinct().withColumn("of", F.lit(1.5)), ["query", "owner"], "left").withColumn("score", F.col("score") + F.coalesce("of", F.lit(0.0)))
+    scored = hits.groupBy("query", "path", "name", "kind", "owner").agg(F.sum("score").alias("score"))
+    w = Window.partitionBy("query").orderBy(F.desc("score"), "path", "name", "owner")
+    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def class_scores(table: DataFrame, keywords: DataFrame, files: DataFrame, k: int = 10, top_files: int = 3) -> DataFrame:
+    """Classes by keywords that begin with a capital, in files(query, path, rank) 1 more; and in the first files 0.5 and 1 for each
+    keyword that the name holds."""
+    kinds = table.where(F.col("kind") == "class")
+    named = symbol_scores(kinds, keywords.where(F.col("word").rlike("^[A-Z]")), files, k=1 << 30).select("query", "path", "name", "score")
+    first = kinds.join(files.where(F.col("rank") <= top_files).select("query", "path").distinct(), "path").select("query", "path", "name").distinct()
+    held = _name_hits(kinds, keywords).join(first, ["query", "path", "name"]).groupBy("query", "path", "name").agg(F.count_distinct("lw").cast("double").alias("score"))
+    scored = named.unionByName(first.withColumn("score", F.lit(0.5))).unionByName(held).groupBy("query", "path", "name").agg(F.sum("score").alias("score"))
     w = Window.partitionBy("query").orderBy(F.desc("score"), "path", "name")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def function_scores(table: DataFrame, keywords: DataFrame, files: DataFrame, classes: DataFrame, k: int = 20) -> DataFrame:
+    """Functions and methods by keywords that begin with a small letter or hold _, 1 more in files, 1.5 more in classes."""
+    words = keywords.where(F.col("word").rlike("^[a-z]") | F.contains("word", F.lit("_")))
+    return symbol_scores(table.where(F.col("kind") != "class"), words, files, classes, k=k)
+
+
+def strata(files: DataFrame, classes: DataFrame, functions: DataFrame) -> DataFrame:
+    """query, stratum, path, name, relevance: functions 0.9, classes 0.8, files 0.7."""
+    row = lambda d, kind, name, r: d.select("query", F.lit(kind).alias("stratum"), "path", name.alias("name"), F.lit(r).alias("relevance"))
+    return row(functions, "function", F.col("name"), 0.9).unionByName(row(classes, "class", F.col("name"), 0.8)).unionByName(row(files, "file", F.lit(None).cast("string"), 0.7))
+
+
+#: What names of important methods hold.
+IMPORTANT = ["handle", "process", "validate", "parse", "render", "compute", "calculate", "get_", "set_", "update_"]
+
+
 def structural_score(name: Column, methods: Column, file_score: Column) -> Column:
-    return F.lit(1.0) + F.when(F.contains(name, F.lit("_")), 0.5).otherwise(0.0) + F.when(F.length(name) > 10, 0.3).otherwise(0.0) + 0.1 * methods + file_score
+    """1, 0.5 for a name with _, 0.3 for one over 10 long, 0.1 for each of methods (an array of names), 0.2 for each kind of
+    important name among them, and the file's score."""
+    has = lambda p: F.exists(methods, lambda m: F.contains(m, F.lit(p)))
+    some = sum((F.when(has(p), 0.2).otherwise(0.0) for p in IMPORTANT), F.lit(0.0))
+    return F.lit(1.0) + F.when(F.contains(name, F.lit("_")), 0.5).otherwise(0.0) + F.when(F.length(name) > 10, 0.3).otherwise(0.0) + 0.1 * F.size(methods) + some + file_score
+
+
+def located_symbols(table: DataFrame, files: DataFrame, per_file: int = 5, per_class: int = 10, k: int = 15) -> DataFrame:
+    """files(query, path, score) and their symbols -> query, path, kind, name, start_line, end_line, score, relevance, rank.
+
+    Classes of a file (the first per_file by line) with their methods, and its functions (the first per_class); the k best of each query.
+    """
+    methods = table.where(F.col("kind") == "method").groupBy("path", F.col("owner").alias("name")).agg(F.collect_set("name").alias("methods"))
+    of_file = Window.partitionBy("query", "path", "kind").orderBy("start_line", "name")
+    rows = table.where(F.col("kind") != "method").join(files.select("query", "path", F.col("score").alias("file_score")), "path").withColumn("n", F.row_number().over(of_file))
+    rows = rows.where(F.col("n") <= F.when(F.col("kind") == "class", per_file).otherwise(per_class)).join(methods, ["path", "name"], "left")
+    held = F.when(F.col("kind") == "class", F.coalesce("methods", F.array().cast("array<string>"))).otherwise(F.array().cast("array<string>"))
+    rows = rows.withColumn("score", F.round(structural_score(F.col("name"), held, F.col("file_score")), 6))
+    w = Window.partitionBy("query").orderBy(F.desc("score"), "path", "start_line", "name")
+    out = rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return out.select("query", "path", "kind", "name", "start_line", "end_line", "score", F.round(relevance(F.col("score")), 6).alias("relevance"), "rank")
 
 
 def relevance(score: Column) -> Column:
@@ -150,9 +276,43 @@ def repo_of_url(url: Column) -> Column:
     return F.regexp_extract(url, r"[:/]([^/:]+/[^/]+?)(?:\.git)?/?$", 1)
 
 
-def state_rows(log: DataFrame, searches: int = 10) -> DataFrame:
-    """log(instance, iteration, action, path, found): the last searches and the distinct files of each instance."""
+def commit_rows(log: Column) -> Column:
+    """array of (commit, author, date, message) of a log's text: blocks that begin with commit, then Author: and Date: lines."""
+    rx = r"(?m)^commit ([0-9a-f]+)[^\n]*\n(?:Merge: [^\n]*\n)?Author: +([^\n]*)\nDate: +([^\n]*)\n\n((?:    [^\n]*\n?|\n)*)"
+    part = lambda i: F.regexp_extract_all(log, F.lit(rx), F.lit(i))
+    said = F.transform(part(4), lambda m: strip(F.regexp_replace(m, "(?m)^    ", "")))
+    return F.arrays_zip(part(1).alias("commit"), part(2).alias("author"), part(3).alias("date"), said.alias("message"))
+
+
+def state_rows(log: DataFrame, searches: int = 10, seen: DataFrame | None = None) -> DataFrame:
+    """log(instance, iteration, action, path, found): the last searches and the distinct files of each instance, without
+    those of seen(instance, path), whose chunks are there already."""
     w = Window.partitionBy("instance").orderBy(F.desc("iteration"))
     last = log.where(F.col("action") == "search").withColumn("n", F.row_number().over(w)).where(F.col("n") <= searches).select("instance", F.lit("search").alias("kind"), F.col("found").alias("item"))
-    files = log.where(F.col("path").isNotNull()).select("instance", F.lit("file").alias("kind"), F.col("path").alias("item")).distinct()
-    return last.unionByName(files)
+    files = log.where(F.col("path").isNotNull()).select("instance", "path").distinct()
+    files = files.join(seen.select("instance", "path").distinct(), ["instance", "path"], "left_anti") if seen is not None else files
+    return last.unionByName(files.select("instance", F.lit("file").alias("kind"), F.col("path").alias("item")))
+
+
+def action_stats(log: DataFrame, by: str, action: str, ts: str, item: str) -> DataFrame:
+    """by, actions, kinds, items (different ones), seconds from the first to the last: an action log folded."""
+    us = F.unix_micros(F.col(ts).cast("timestamp"))
+    return log.groupBy(by).agg(F.count("*").alias("actions"), F.count_distinct(action).alias("kinds"), F.count_distinct(item).alias("items"), ((F.max(us) - F.min(us)) / 1_000_000).alias("seconds"))
+
+
+#: What an explorer does until which iteration, and when it may stop: files, classes and methods found.
+BANDS = [("grep", 3), ("view_file", 6), ("search_class", 9), ("search_method", 12), ("get_class_hierarchy", 15)]
+ENOUGH = {"files": 3, "classes": 1, "methods": 2}
+
+
+def next_action(iteration: Column, can: dict[str, Column]) -> Column:
+    """The action of an iteration: of the first band that is not over and whose action can be done (can: by action), else find_file."""
+    return F.coalesce(*(F.when((iteration < end) & can[a], F.lit(a)) for a, end in BANDS), F.lit("find_file"))
+
+
+def stops(iteration: Column, found: dict[str, Column], least: int = 3, most: int = 20) -> Column:
+    """Whether an explorer stops: at the last iteration, or past the least with enough files, classes and methods found."""
+    enough = F.lit(True)
+    for k, n in ENOUGH.items():
+        enough = enough & (found[k] >= n)
+    return (iteration >= most) | ((iteration >= least) & enough)

@@ -96,13 +96,54 @@ def top_k_accuracy(gold: Column, pred: Column, k: int) -> Column:
 def line_accuracy(gold: DataFrame, ranges: DataFrame, by: str, tolerance: int = 3) -> DataFrame:
     """gold(by, line), ranges(by, first, last): the share of gold lines within tolerance of a range.
 
-    Ranges become the line numbers they cover, so the range join is an equality semi join, safe against many ranges.
+    A range lies in one or two bins whose width is the power of two not below its length; a line is looked up in its bin of
+    every width that occurs, at most 63.  So the range join is by equality on few rows, however wide the ranges are.
     """
-    near = ranges.select(by, F.explode(F.sequence(F.col("first") - tolerance, F.col("last") + tolerance)).alias("line")).distinct()
-    hit = gold.distinct().join(near.withColumn("hit", F.lit(1)), [by, "line"], "left")
+    wide = ranges.select(by, (F.col("first") - tolerance).cast("long").alias("lo"), (F.col("last") + tolerance).cast("long").alias("hi")).where("lo <= hi")
+    wide = wide.withColumn("level", F.ceil(F.log2((F.col("hi") - F.col("lo") + 1).cast("double"))).cast("int"))
+    levels = sorted(r[0] for r in wide.select("level").distinct().collect())
+    at = lambda x, level: F.call_function("shiftright", F.col(x), F.col(level))
+    bins = wide.select(by, "lo", "hi", "level", F.explode(F.array_distinct(F.array(at("lo", "level"), at("hi", "level")))).alias("bin")).distinct()
+    lines_ = gold.select(by, F.col("line").cast("long").alias("line")).distinct()
+    asked = lines_.withColumn("level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>"))).withColumn("bin", at("line", "level"))
+    near = asked.join(bins, [by, "level", "bin"]).where("line between lo and hi").select(by, "line").distinct()
+    hit = lines_.join(near.withColumn("hit", F.lit(1)), [by, "line"], "left")
     return hit.groupBy(by).agg(F.count("*").alias("gold_lines"), F.count("hit").alias("hit_lines"), F.round(F.count("hit") / F.count("*") * 100, 6).alias("line_accuracy"))
 
 
+def file_sets(rows: DataFrame, by: str, order: list[str], gold: str, pred: str) -> DataFrame:
+    """by, order, exact, running_rate: whether gold and predicted files are the same set, and the share so far, percent."""
+    w = Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    same = F.sort_array(F.array_distinct(gold)) == F.sort_array(F.array_distinct(pred))
+    return rows.select(by, *order, same.alias("exact")).withColumn("running_rate", F.round(F.avg(F.col("exact").cast("int")).over(w) * 100, 6))
+
+
+def localization(rows: DataFrame, by: list[str], gold: str, pred: str, ks: tuple[int, ...] = (1, 3, 5, 10)) -> DataFrame:
+    """by, recall_k and hit_k of each k, mrr, score (recall at 5)."""
+    g, p = F.col(gold), F.col(pred)
+    at = [x for k in ks for x in (F.round(recall_at(g, p, k), 6).alias(f"recall_{k}"), hit_at(g, p, k).alias(f"hit_{k}"))]
+    return rows.select(*by, *at, F.round(mrr(g, p), 6).alias("mrr"), F.round(recall_at(g, p, 5), 6).alias("score"))
+
+
+def test_pass_rate(passed: Column, failed: Column, percent: bool = False) -> Column:
+    """Passed tests as a share of those that ran; none ran: 0."""
+    n = F.size(passed) + F.size(failed)
+    return F.when(n > 0, F.size(passed) / n * (100 if percent else 1)).otherwise(0.0)
+
+
+def resolved_lightly(patch: Column) -> Column:
+    """Where no tests can be run: a patch that has the form of one and whose hunks are well formed."""
+    return F.coalesce(patch_format_ok(patch) & patch_syntax_ok(patch), F.lit(False))
+
+
+def aggregate(rows: DataFrame, metrics: list[str], by: list[str] | None = None) -> DataFrame:
+    """by, metric, mean, least, most, n of numeric columns in long form; nulls don't count, a metric without values has n = 0."""
+    by = by or []
+    named = F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics))
+    long = rows.select(*by, F.inline(named))
+    return long.groupBy(*by, "metric").agg(F.round(F.avg("value"), 6).alias("mean"), F.min("value").alias("least"), F.max("value").alias("most"), F.count("value").alias("n"))
+
+
 # Code similarity
 
 
@@ -130,9 +171,11 @@ def line_jaccard(a: Column, b: Column) -> Column:
 
 
 def char_similarity(a: Column, b: Column) -> Column:
-    """The characters of a that occur in b, as a share of the longer length."""
+    """The characters of a that occur in b, as a share of the longer length; what b has is looked up once for each different character."""
     longest = F.greatest(F.length(a), F.length(b))
-    return F.when(longest == 0, 1.0).otherwise(F.size(F.filter(F.split(a, ""), lambda c: (c != "") & F.contains(b, c))) / longest)
+    # Characters that b lacks are those of a without b's; deleting them from a leaves the ones that count.
+    lacking = F.array_join(F.array_except(F.split(a, ""), F.split(b, "")), "")
+    return F.when(longest == 0, 1.0).otherwise(F.length(F.call_function("translate", a, lacking, F.lit(""))) / longest)
 
 
 def token_jaccard(a: Column, b: Column) -> Column:
@@ -161,7 +204,8 @@ def data_flow(code: str | None) -> set[tuple] | None:
 
 
 def code_match(ref: Column, hyp: Column) -> Column:
-    """struct of the positional agreement of syntax node types and the Jaccard index of variable uses; null if one doesn't parse."""
+    """struct of the positional agreement of syntax node types (null if one doesn't parse: codebleu() then has the n-gram
+    overlap) and the Jaccard index of variable uses (0 if one doesn't parse or has none)."""
 
     @F.pandas_udf("struct<syntax_match:double, flow_match:double>")
     def run(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
@@ -169,7 +213,7 @@ def code_match(ref: Column, hyp: Column) -> Column:
         for r, h in zip(ref, hyp, strict=True):
             a, b, f, g = node_types(r), node_types(h), data_flow(r), data_flow(h)
             same = None if a is None or b is None else sum(x == y for x, y in zip(a, b, strict=False)) / max(len(a), len(b), 1)
-            out.append((same, None if f is None or g is None else len(f & g) / len(f | g) if f | g else 1.0))
+            out.append((same, len(f & g) / len(f | g) if f and g else 0.0))
         return pd.DataFrame(out, columns=["syntax_match", "flow_match"])
 
     return run(ref, hyp)
@@ -184,7 +228,10 @@ def keyword_weighted(tokens: Column) -> Column:
 
 
 def codebleu(parts: dict[str, Column], weights: dict[str, float]) -> Column:
+    """The weighted mean of parts; a syntax match of code that doesn't parse is its plain n-gram overlap."""
     total = sum(weights[k] for k in parts)
+    if "syntax" in parts and "ngram" in parts:
+        parts = parts | {"syntax": F.coalesce(parts["syntax"], parts["ngram"])}
     return sum((F.coalesce(c, F.lit(0.0)) * (weights[k] / total) for k, c in parts.items()), F.lit(0.0))
 
 
@@ -239,6 +286,18 @@ def cost(model: Column, prompt: Column, completion: Column, first_match: bool =
     return prompt / 1000 * price(model, 0, first_match) + completion / 1000 * price(model, 1, first_match)
 
 
+def estimate(instances: int, model: str, prompt: int = 2000, completion: int = 1000, methods: int = 1, iterations: int = 1) -> dict:
+    """What a run costs: dollars for one instance and in all, tokens in all."""
+    a, b = PRICES[max((n for n in PRICES if n in model), key=len)] if any(n in model for n in PRICES) else (COST_PER_1K, COST_PER_1K)
+    one, runs = (prompt / 1000 * a + completion / 1000 * b) * iterations, instances * methods
+    return {"model": model, "runs": runs, "cost_per_instance": one, "total_cost": one * runs, "prompt_tokens": prompt * runs * iterations, "completion_tokens": completion * runs * iterations}
+
+
+def dollars(amount: Column) -> Column:
+    """As text, with more places for small amounts."""
+    return F.concat(F.lit("$"), F.when(amount < 0.01, F.format_string("%.6f", amount)).when(amount < 1, F.format_string("%.4f", amount)).otherwise(F.format_string("%.2f", amount)))
+
+
 def erfc(x: Column) -> Column:
     @F.pandas_udf("double")
     def run(x: pd.Series) -> pd.Series:
