@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.operators.sparse import BROADCAST_ROWS, top_k
+from spindrift.operators.sparse import top_k
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -26,19 +30,46 @@ def squared_distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
 
 
+#: A query set is broadcast up to so many bytes; a larger one is searched part by part.
+BROADCAST_BYTES = 64 << 20
+
+
+def encode(load: Callable[[], Callable[[list[str]], list[list[float]]]], text: Column, batch: int = 32) -> Column:
+    """Vectors of texts by a model: `load` is called once in a worker, its result with lists of at most `batch` texts."""
+
+    @F.pandas_udf("array<double>")
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = load()
+        for p in parts:
+            t = [x or "" for x in p]
+            yield pd.Series([v for at in range(0, len(t), batch) for v in model(t[at : at + batch])])
+
+    return run(text)
+
+
+def lookup(rows: DataFrame, doc) -> DataFrame:
+    """A document's row of an index."""
+    return rows.where(F.col("doc") == F.lit(doc))
+
+
 def search(rows: DataFrame, queries: DataFrame, k: int = 10, metric: str = "ip", keep: Column | None = None, limit_first: bool = False) -> DataFrame:
     """rows(doc, v, ...) x queries(query, qv, ...) -> query, doc, score, rank.
 
-    Every query meets every row: the query set is broadcast, after its size is checked; larger sets are searched
-    in blocks by the caller, or by ivf_search.  metric 'l2' scores by the negative squared distance.  keep: which
-    pairs count; with limit_first it applies after the top k.
+    Every query meets every row, as it must for an exact answer: the query set is broadcast if its bytes, counted first, are
+    BROADCAST_BYTES at most; a larger one is cut by hash into so many parts that each is, and rows are read once for each.
+    metric 'l2' scores by the negative squared distance.  keep: which pairs count; with limit_first it applies after the top k.
     """
-    if queries.count() > BROADCAST_ROWS:
-        raise ValueError(f"more than {BROADCAST_ROWS} queries: search them in blocks or use ivf_search")
+    size = queries.agg(F.sum(F.size("qv") * 8 + 64)).first()[0] or 0
+    parts = -(-size // BROADCAST_BYTES)
     score = dot(F.col("v"), F.col("qv")) if metric == "ip" else -squared_distance(F.col("v"), F.col("qv"))
-    pairs = rows.join(F.broadcast(queries), keep if keep is not None and not limit_first else F.lit(True))
-    top = top_k(pairs.withColumn("score", F.round(score, 6)), k)
-    return (top.where(keep) if limit_first and keep is not None else top).drop("v", "qv")
+
+    def one(some: DataFrame) -> DataFrame:
+        pairs = rows.join(F.broadcast(some), keep if keep is not None and not limit_first else F.lit(True))
+        top = top_k(pairs.withColumn("score", F.round(score, 6)), k)
+        return (top.where(keep) if limit_first and keep is not None else top).drop("v", "qv")
+
+    found = [one(queries.where(F.pmod(F.xxhash64("query"), F.lit(parts)) == i)) for i in range(parts)] if parts > 1 else [one(queries)]
+    return reduce(DataFrame.unionByName, found)
 
 
 def stats(rows: DataFrame, vector_col: str) -> DataFrame:

@@ -8,10 +8,6 @@ from pyspark.sql.window import Window
 
 from spindrift.functions.text import diff_files, diff_names, test_list
 
-#: Names of the dataset's variants and where they are.
-ALIASES = {"lite": "SWE-bench_Lite", "verified": "SWE-bench_Verified", "full": "SWE-bench", "test": "SWE-bench", "multimodal": "SWE-bench_Multimodal"}
-
-
 def normalize(raw: DataFrame) -> DataFrame:
     """Source records to instances: renamed, test lists parsed, files and names of the patch derived, the rest in a map."""
     rest = [c for c in ("version", "issue_url", "pr_url", "created_at") if c in raw.columns]
@@ -36,6 +32,25 @@ def first_n(rows: DataFrame, n: int, order: str) -> DataFrame:
     return rows.orderBy(order).limit(n)
 
 
+def select_instances(rows: DataFrame, repos: list[str] | None = None, include: DataFrame | None = None, exclude: DataFrame | None = None, n: int | None = None, limit_first: bool = False, col: str = "instance_id", repo: str = "repo") -> DataFrame:
+    """Filters and limit in one: the limit last, of rows by id; with limit_first it comes after the repositories and before the lists."""
+    rows = filter_repos(rows, repos, repo) if repos else rows
+    if limit_first and n is not None:
+        rows = first_n(rows, n, col)
+    rows = filter_ids(rows, include, exclude, col)
+    return rows if limit_first or n is None else first_n(rows, n, col)
+
+
+def join_patches(patches: DataFrame, instances: DataFrame, places: DataFrame, col: str = "instance_id") -> DataFrame:
+    """Patches with their instance and its checkout's path, by id; patches without either stay, with nulls."""
+    return patches.join(instances, col, "left").join(places, col, "left")
+
+
+def repo_indexes(instances: DataFrame, indexes: DataFrame, repo: str = "repo") -> DataFrame:
+    """Distinct repositories with their instances' number and their index, null if there is none yet."""
+    return instances.groupBy(repo).agg(F.count("*").alias("instances")).join(indexes, repo, "left")
+
+
 def invalid(rows: DataFrame, rules: dict[str, Column], id_col: str) -> DataFrame:
     """id, errors of the rows that break a rule (rules name what must hold; null counts as broken)."""
     errors = F.array_compact(F.array(*(F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules.items())))

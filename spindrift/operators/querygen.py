@@ -35,10 +35,14 @@ def keywords(text: Column) -> Column:
     return distinct_by_lower(words)
 
 
+#: What an identifier, a name in mixed case and a dotted name are.
+_SNAKE, _CAMEL, _DOTTED = r"\b[a-z][a-z0-9_]*[a-z0-9]\b", r"\b[a-zA-Z][a-zA-Z0-9]*[a-z][A-Z][a-zA-Z0-9]*\b", r"\b[a-zA-Z_][a-zA-Z0-9_]*(?:\.[a-zA-Z_][a-zA-Z0-9_]*)+\b"
+
+
 def symbols(text: Column) -> Column:
-    snake = F.filter(_all(text, r"\b[a-z][a-z0-9_]*[a-z0-9]\b"), lambda s: F.contains(s, F.lit("_")) | (F.length(s) > 5))
-    camel = _all(text, r"\b[a-zA-Z][a-zA-Z0-9]*[a-z][A-Z][a-zA-Z0-9]*\b")
-    dotted = _all(text, r"\b[a-zA-Z_][a-zA-Z0-9_]*(?:\.[a-zA-Z_][a-zA-Z0-9_]*)+\b")
+    snake = F.filter(_all(text, _SNAKE), lambda s: F.contains(s, F.lit("_")) | (F.length(s) > 5))
+    camel = _all(text, _CAMEL)
+    dotted = _all(text, _DOTTED)
     return F.array_distinct(F.concat(snake, camel, dotted))
 
 
@@ -60,11 +64,15 @@ def symbol_queries(text: Column) -> list[Column]:
     return [_query(F.array_join(F.slice(found, 1, 5), " "), "code_symbols", 1.3, "symbol_extraction", F.size(found) > 0), _query(F.concat(F.lit("def "), F.get(code, F.lit(0))), "function_search", 1.4, "symbol_extraction", F.size(code) > 0)]
 
 
+#: An error's name, a quoted message, a line of a traceback; labels and weights of the queries made of them.
+_ERROR, _SAID, _TRACE = r"\b([A-Z][a-zA-Z]*Error|Exception|Warning|AssertionError)\b", "(?i)[\"']([^\"']*(?:error|exception|failed)[^\"']*)[\"']", r'File "([^"]+)", line (\d+)'
+
+
 def error_queries(text: Column) -> list[Column]:
-    kind = F.regexp_extract(text, r"\b([A-Z][a-zA-Z]*Error|Exception|Warning|AssertionError)\b", 1)
-    said = F.regexp_extract(text, "(?i)[\"']([^\"']*(?:error|exception|failed)[^\"']*)[\"']", 1)
+    kind = F.regexp_extract(text, _ERROR, 1)
+    said = F.regexp_extract(text, _SAID, 1)
     words = F.slice(F.filter(F.split(said, r"\s+"), lambda w: w != ""), 1, 5)
-    path = F.regexp_extract(text, r'File "([^"]+)", line (\d+)', 1)
+    path = F.regexp_extract(text, _TRACE, 1)
     name = F.replace(F.element_at(F.split(path, "/"), -1), F.lit(".py"), F.lit(""))
     src = "error_extraction"
     return [_query(F.concat(kind, F.lit(" handle catch")), "error_handling", 1.4, src, kind != ""), _query(F.concat(F.lit("raise "), kind), "error_source", 1.3, src, kind != ""), _query(F.array_join(words, " "), "error_message", 1.2, src, said != ""), _query(F.concat(name, F.lit(" error")), "file_error", 1.3, src, path != "")]
@@ -84,6 +92,32 @@ def ask_queries(text: Column) -> list[Column]:
     return [_query(q, "action_focus", 1.2, "action_extraction", q.isNotNull())]
 
 
+def simple_query(text: Column, most: int = 500) -> Column:
+    """The statement itself, its first characters."""
+    return F.substring(strip(text), 1, most)
+
+
+def keyword_query(text: Column, most: int = 10) -> Column:
+    """The first keywords, between spaces."""
+    return F.array_join(F.slice(keywords(text), 1, most), " ")
+
+
+#: Words that a search leaves out, and words that name an action in one.
+SEARCH_STOPS = """the a an is are was were be been being have has had do does did will would could should may might must shall can need dare ought used to of in for on with at by from as into through during before after above below between under again further then once""".split()
+SEARCH_ACTIONS = """fix handle process parse convert transform validate check verify get set create build generate compute calculate update delete remove add insert find search""".split()
+
+
+def variants(queries: DataFrame, id_col: str = "item_id", text_col: str = "text", most: int = 3) -> DataFrame:
+    """id, variant, text: the query, it without stop words if that leaves fewer, its identifiers if two or more, and its actions with the
+    first three identifiers; the first `most` of these."""
+    words = F.filter(F.split(F.col(text_col), r"\s+"), lambda w: w != "")
+    content = F.filter(words, lambda w: ~_in(w, SEARCH_STOPS))
+    terms = _all(F.col(text_col), "[a-zA-Z_][a-zA-Z0-9_]*")
+    acts = F.filter(words, lambda w: _in(w, SEARCH_ACTIONS))
+    found = [F.col(text_col), F.when((F.size(content) > 0) & (F.size(content) < F.size(words)), F.array_join(content, " ")), F.when(F.size(terms) >= 2, F.array_join(terms, " ")), F.when(F.size(acts) > 0, F.array_join(F.concat(acts, F.slice(terms, 1, 3)), " "))]
+    return queries.select(F.col(id_col), F.posexplode(F.slice(F.array_compact(F.array(*found)), 1, most)).alias("variant", "text"))
+
+
 STRATEGIES = {"keywords": keyword_queries, "code_symbols": symbol_queries, "error_patterns": error_queries, "natural_language": language_queries, "action_focus": ask_queries}
 
 

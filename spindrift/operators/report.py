@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -75,11 +77,88 @@ def unpivot(rows: DataFrame, ids: list[str], metrics: list[str]) -> DataFrame:
     return rows.select(*ids, *(F.col(m).cast("double") for m in metrics)).unpivot(ids, metrics, "metric", "value")
 
 
-def markdown(title: str, tables: dict[str, DataFrame], most: int = 200) -> str:
-    """Small result tables as Markdown, rendered on the driver."""
+def detailed(results: DataFrame) -> DataFrame:
+    """A row for each method and instance, arrays of tests as their sizes."""
+    return results.select("method", "instance", "resolved", "applied", F.size("tests_passed").alias("tests_passed"), F.size("tests_failed").alias("tests_failed"), "codebleu", "seconds")
+
+
+def evaluation_summary(results: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """results(resolved, applied, codebleu, seconds, localization map) -> by, totals, rates and means; a localization key that a row
+    lacks counts as 0 there."""
+    by = by or []
+    rate = lambda c: F.round(F.avg(F.col(c).cast("double")) * 100, 6)
+    base = results.groupBy(*by).agg(F.count("*").alias("total"), F.sum(F.col("resolved").cast("int")).alias("resolved"), rate("resolved").alias("resolution_rate"), rate("applied").alias("apply_rate"), F.round(F.avg("codebleu"), 6).alias("avg_codebleu"), F.round(F.avg("seconds"), 6).alias("avg_seconds"))
+    sums = results.select(*by, F.explode("localization").alias("metric", "value")).groupBy(*by, "metric").agg(F.sum("value").alias("s"))
+    if not by:
+        joined = sums.crossJoin(base.select("total"))  # one row
+        maps = joined.agg(F.map_from_entries(F.collect_list(F.struct("metric", F.round(F.col("s") / F.col("total"), 6)))).alias("localization"))
+        return base.crossJoin(maps)
+    maps = sums.join(base.select(*by, "total"), by).groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("metric", F.round(F.col("s") / F.col("total"), 6)))).alias("localization"))
+    return base.join(maps, by, "left")
+
+
+def series(results: DataFrame) -> DataFrame:
+    """method, chart, label, value: what charts show, rates and seconds of methods and means of each localization key."""
+    one = results.groupBy("method").agg(F.avg(F.col("resolved").cast("double")).alias("r"), F.avg("seconds").alias("s"))
+    flat = one.select("method", F.inline(F.array(F.struct(F.lit("resolution").alias("chart"), F.lit("rate").alias("label"), F.round(F.col("r") * 100, 6).alias("value")), F.struct(F.lit("time").alias("chart"), F.lit("avg_seconds").alias("label"), F.round(F.col("s"), 6).alias("value")))))
+    found = results.select("method", F.explode("localization").alias("label", "v")).groupBy("method", "label").agg(F.round(F.avg("v"), 6).alias("value"))
+    return flat.unionByName(found.select("method", F.lit("localization").alias("chart"), "label", "value"))
+
+
+def running_attempts(rows: DataFrame, by: str, order: list[str], attempts: str) -> DataFrame:
+    """rows + mean and most attempts so far."""
+    w = Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("mean_so_far", F.round(F.avg(attempts).over(w), 6)).withColumn("most_so_far", F.max(attempts).over(w))
+
+
+def errors(results: DataFrame, error: str = "error") -> DataFrame:
+    """The rows that failed, with what they say and when."""
+    return results.where(F.col(error).isNotNull()).select("method", "instance", F.col(error).alias("error"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("at"))
+
+
+# Tests of documented methods: closed forms over grouped sums
+
+
+def mcnemar(pairs: DataFrame) -> DataFrame:
+    """pairs(method_a, method_b, a, b): outcomes of the same instance -> only_a, only_b, chi2 with continuity correction (null if both are 0)."""
+    g = pairs.groupBy("method_a", "method_b").agg(F.sum((F.col("a") & ~F.col("b")).cast("int")).alias("only_a"), F.sum((~F.col("a") & F.col("b")).cast("int")).alias("only_b"))
+    n = F.col("only_a") + F.col("only_b")
+    gap = F.greatest(F.abs(F.col("only_a") - F.col("only_b")) - 1, F.lit(0))
+    return g.withColumn("chi2", F.when(n > 0, F.round(gap * gap / n, 6)))
+
+
+def paired_t(pairs: DataFrame) -> DataFrame:
+    """pairs(method_a, method_b, x, y): values of the same instance -> n, mean_difference, t (null below two pairs or without spread), cohen_d."""
+    d = (F.col("x") - F.col("y")).cast("double")
+    g = pairs.groupBy("method_a", "method_b").agg(F.count(d).alias("n"), F.avg(d).alias("m"), F.stddev_samp(d).alias("s"))
+    ok = (F.col("n") > 1) & (F.col("s") > 0)
+    return g.select("method_a", "method_b", "n", F.round("m", 6).alias("mean_difference"), F.when(ok, F.round(F.col("m") / (F.col("s") / F.sqrt("n")), 6)).alias("t"), F.when(ok, F.round(F.col("m") / F.col("s"), 6)).alias("cohen_d"))
+
+
+def bonferroni(p: Column, tests: int | Column) -> Column:
+    return F.least(F.lit(1.0), p * tests)
+
+
+def signal_to_noise(relevant: Column, total: Column) -> Column:
+    return safe_div(relevant, total)
+
+
+def _rows(df: DataFrame, most: int) -> list:
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows: a report is for small tables; write the table instead")
+    return rows
+
+
+def markdown(title: str, tables: dict[str, DataFrame], most: int = 10_000) -> str:
+    """Small result tables as Markdown, rendered on the driver; larger ones are refused, not cut."""
     out = [f"# {title}", ""]
     for name, df in tables.items():
-        rows = df.limit(most).collect()
         out += [f"## {name}", "", "| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
-        out += ["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows] + [""]
+        out += ["| " + " | ".join("" if v is None else str(v).replace("|", "\\|").replace("\n", " ") for v in r) + " |" for r in _rows(df, most)] + [""]
     return "\n".join(out)
+
+
+def as_json(title: str, tables: dict[str, DataFrame], most: int = 10_000) -> str:
+    """The same tables as one JSON object."""
+    return json.dumps({"title": title, "tables": {n: [r.asDict(recursive=True) for r in _rows(df, most)] for n, df in tables.items()}}, default=str, ensure_ascii=False)
