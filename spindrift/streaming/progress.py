@@ -30,5 +30,20 @@ def append_checkpointed(stream: DataFrame, path: str, checkpoint: str, by: str |
     return (writer.partitionBy(by) if by else writer).start(path)
 
 
+def checkpoint_every(stream: DataFrame, path: str, checkpoint: str, rows: int = 5, by: str = "instance_id") -> StreamingQuery:
+    """Append with a marker of progress: a batch's rows are written with its number, in files of at most `rows` rows; a batch that
+    runs again after a failure replaces its own."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.sortWithinPartitions(by).write.mode("overwrite").option("maxRecordsPerFile", rows).parquet(f"{path}/batch={number}")
+
+    return stream.writeStream.foreachBatch(lambda b, n: write(b.drop("batch") if "batch" in b.columns else b, n)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def update_table(stream: DataFrame, name: str, mode: str = "complete") -> StreamingQuery:
     return stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+
+
+def fold_table(stream: DataFrame, checkpoint: str, path: str) -> StreamingQuery:
+    """Append what a watermark has closed to a Parquet table; what is still open at the end isn't in it."""
+    return stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path)
