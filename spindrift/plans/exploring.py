@@ -9,21 +9,30 @@ from pyspark.sql.window import Window
 from spindrift.operators import chunking, explore, metrics
 from spindrift.plans.base import registry, table
 from spindrift.streaming import progress
+from spindrift.tables import scratch
 
 QUERIES, ORACLES, query = registry()
 
-#: A small repository for the operators that parse code.
-FILES = [
-    ("shapes.py", "import math\n\n\nclass Shape:\n    def area(self):\n        return 0\n\n\nclass Circle(Shape):\n    def __init__(self, r):\n        self.r = r\n\n    def area(self):\n        return math.pi * square(self.r)\n\n\ndef square(x):\n    y = x * x\n    return y\n"),
-    ("shapes_fixed.py", "import math\n\n\nclass Shape:\n    def area(self):\n        return 0.0\n\n\nclass Circle(Shape):\n    def __init__(self, r):\n        self.r = abs(r)\n\n    def area(self):\n        return math.pi * square(self.r)\n\n\ndef square(x):\n    return x * x\n"),
-    ("empty.py", "\n"),
-    ("broken.py", "def broken(:\n    pass\n"),
-    ("tools.py", "import os\nfrom sys import argv\n\n\nasync def fetch(url):\n    return await get(url)\n\n\ndef one(): return 1\n"),
-]
 
+#: A file for each nation: a class with two methods and a function; every fourth file has a line more, every fifth doesn't parse.
+_SOURCE = "import os\n\n\nclass Nation{k}(Region{r}):\n    def load_{k}(self, x):\n        return parse_{k}(x)\n\n    def area(self):\n        return 0\n\n\ndef parse_{k}(x):\n    y = x * {k}\n{more}    return y\n"
 
-def files(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(FILES, "path string, content string").coalesce(1)
+
+def files(spark: SparkSession, d: str) -> DataFrame:
+    """path, content of the files made of nations."""
+    k, r = F.col("n_nationkey"), F.col("n_regionkey").cast("string")
+    content = F.lit(_SOURCE)
+    for name, value in (("{k}", k.cast("string")), ("{r}", r), ("{more}", F.when(k % 4 == 0, F.lit("    y += 1\n")).otherwise(F.lit("")))):
+        content = F.replace(content, F.lit(name), value)
+    broken = F.concat(content, F.lit("def broken(:\n"))
+    return table(spark, d, "nation").select(F.concat(F.lit("pkg"), r, F.lit("/nation_"), k.cast("string"), F.lit(".py")).alias("path"), F.when(k % 5 == 4, broken).otherwise(content).alias("content"))
+
+
+_SQL_SOURCE = "'" + _SOURCE.replace("\n", "' || chr(10) || '").replace("{more}", "' || CASE WHEN n_nationkey % 4 = 0 THEN '    y += 1' || chr(10) ELSE '' END || '").replace("{k}", "' || n_nationkey || '").replace("{r}", "' || n_regionkey || '") + "'"
+_FILES = f"""f AS (SELECT n_nationkey AS k, n_regionkey AS r, n_nationkey % 4 = 0 AS more, n_nationkey % 5 = 4 AS broken, 'pkg' || n_regionkey || '/nation_' || n_nationkey || '.py' AS path, {_SQL_SOURCE} || CASE WHEN n_nationkey % 5 = 4 THEN 'def broken(:' || chr(10) ELSE '' END AS content FROM nation)"""
+_SYMBOLS = f"""{_FILES}, sy AS (SELECT path, 'class' AS kind, 'Nation' || k AS name, NULL AS owner, 4 AS start_line, 9 AS end_line, 'Region' || r AS bases, '' AS args, '' AS calls FROM f WHERE NOT broken
+  UNION ALL SELECT path, 'method', 'load_' || k, 'Nation' || k, 5, 6, '', 'self,x', 'parse_' || k FROM f WHERE NOT broken UNION ALL SELECT path, 'method', 'area', 'Nation' || k, 8, 9, '', 'self', '' FROM f WHERE NOT broken
+  UNION ALL SELECT path, 'function', 'parse_' || k, NULL, 12, CASE WHEN more THEN 15 ELSE 14 END, '', 'x', '' FROM f WHERE NOT broken)"""
 
 
 @query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS content, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents)
@@ -42,13 +51,64 @@ def find_file(spark: SparkSession, d: str) -> DataFrame:
     return explore.find_files(table(spark, d, "pages"), "/FR/", "url")
 
 
-@query(r"""WITH w AS (SELECT DISTINCT item_id AS query, lower(unnest(regexp_extract_all(text, '[a-zA-Z_][a-zA-Z0-9_]{7,}'))) AS word FROM benchmark),
-l AS (SELECT doc_id AS doc, unnest(string_split(lower(text), chr(10))) AS x FROM documents), t AS (SELECT doc, unnest(list_distinct(regexp_extract_all(x, '[a-z_][a-z0-9_]*'))) AS word FROM l),
-n AS (SELECT doc, word, count(*) AS n FROM t GROUP BY 1, 2), s AS (SELECT query, doc, sum(n)::DOUBLE AS score FROM n JOIN w USING (word) GROUP BY 1, 2)
-SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM s QUALIFY rank <= 5""")
+#: Keywords of benchmark texts by each variant's rule; words are runs of letters, digits and _.
+_TOKENS = r"regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+')"
+_FOUND = {
+    "refined": rf"list_filter({_TOKENS}, lambda w: regexp_full_match(w, '[A-Z][a-zA-Z0-9]*[A-Z][a-zA-Z0-9]*')) || list_filter({_TOKENS}, lambda w: regexp_full_match(w, '[a-z_][a-z0-9_]*') AND (contains(w, '_') OR length(w) > 5)) || regexp_extract_all(text, '[\"'']([^\"'']+)[\"'']', 1)",
+    "layered": rf"list_filter({_TOKENS}, lambda w: regexp_full_match(w, '[A-Z][a-zA-Z0-9]*')) || list_filter({_TOKENS}, lambda w: regexp_full_match(w, '[a-z_][a-z0-9_]*') AND length(w) > 3) || regexp_extract_all(text, '[\"'']([^\"'']+)[\"'']', 1) || list_filter({_TOKENS}, lambda w: regexp_full_match(lower(w), '(error|exception|fail|bug|issue|problem)s?'))",
+    "stepwise": rf"list_filter({_TOKENS}, lambda w: regexp_full_match(w, '[A-Z][a-zA-Z0-9]*[A-Z][a-zA-Z0-9]*')) || list_filter({_TOKENS}, lambda w: regexp_full_match(w, '[a-z_][a-z0-9_]*') AND (contains(w, '_') OR length(w) > 4))",
+}
+
+
+def _sql_keywords(variant: str) -> str:
+    found = _FOUND[variant].replace("{{", "{").replace("}}", "}")
+    return f"k0 AS (SELECT item_id, list_filter({found}, lambda w: length(w) > 2) AS ws FROM benchmark), kw AS (SELECT item_id, list_filter(ws, lambda w, i: list_position(list_transform(ws, lambda y: lower(y)), lower(w)) = i)[1:{explore.MOST_KEYWORDS[variant]}] AS ws FROM k0)"
+
+
+@query(" UNION ALL ".join(f"(WITH {_sql_keywords(v)} SELECT item_id, '{v}' AS variant, array_to_string(ws, ' ') AS words FROM kw)" for v in _FOUND))
+def problem_keywords(spark: SparkSession, d: str) -> DataFrame:
+    items = table(spark, d, "benchmark")
+    parts = [items.select("item_id", F.lit(v).alias("variant"), F.array_join(explore.problem_keywords(F.col("text"), v), " ").alias("words")) for v in _FOUND]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def _words(spark: SparkSession, d: str, variant: str) -> DataFrame:
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query"), F.explode(explore.problem_keywords(F.col("text"), variant)).alias("word"))
+
+
+def _paged(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as files, with a path."""
+    return table(spark, d, "documents").select(F.concat("source", F.lit("/"), "lang", F.lit("_"), F.col("doc_id").cast("string"), F.lit(".py")).alias("doc"), "text")
+
+
+_DOCS = "source || '/' || lang || '_' || doc_id || '.py'"
+_HITS = f"""w AS (SELECT DISTINCT item_id AS query, lower(unnest(ws)) AS word FROM kw), l AS (SELECT {_DOCS} AS doc, unnest(string_split(lower(text), chr(10))) AS x FROM documents),
+h AS (SELECT doc, word, count(*) AS lines FROM l JOIN (SELECT DISTINCT word FROM w) ON contains(x, word) GROUP BY 1, 2)"""
+_TESTS = "tests AS (SELECT item_id AS query, unnest(string_split('tests.Test_' || ['en', 'de', 'fr', 'es'][item_id % 4 + 1] || '_1.src' || item_id % 3 || '.De_1', '.')) AS part FROM benchmark)"
+
+
+def _tests(spark: SparkSession, d: str) -> DataFrame:
+    i = F.col("item_id")
+    name = F.concat(F.lit("tests.Test_"), F.element_at(F.array(*map(F.lit, ["en", "de", "fr", "es"])), (i % 4 + 1).cast("int")), F.lit("_1.src"), (i % 3).cast("string"), F.lit(".De_1"))
+    return table(spark, d, "benchmark").select(i.alias("query"), name.alias("test"))
+
+
+def _sql_files(variant: str, layered: bool) -> str:
+    name = f"replace(regexp_extract(lower(doc), '([^/]*)$', 1), '.py', '')" if layered else "lower(doc)"
+    per, more, test, pick = (1.5, 2.0, 1.5, "length(part) > 3") if layered else (1.0, 0.5, 2.0, "(contains(part, '_') OR regexp_matches(part, '^[A-Z]'))")
+    return f"""{_sql_keywords(variant)}, {_HITS}, {_TESTS}, s AS (SELECT query, doc, (lines * ({per} + CASE WHEN contains({name}, word) THEN {more} ELSE 0 END))::DOUBLE AS score FROM h JOIN w USING (word)
+UNION ALL SELECT query, doc, {test}::DOUBLE FROM tests JOIN (SELECT {_DOCS} AS doc FROM documents) ON contains(lower(doc), lower(part)) WHERE {pick}),
+fs AS (SELECT query, doc, sum(score) AS score FROM s GROUP BY 1, 2), top AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM fs QUALIFY rank <= 5)"""
+
+
+@query(f"WITH {_sql_files('refined', False)} SELECT * FROM top")
 def file_scoring(spark: SparkSession, d: str) -> DataFrame:
-    words = table(spark, d, "benchmark").select(F.col("item_id").alias("query"), F.explode(F.regexp_extract_all(F.col("text"), F.lit("[a-zA-Z_][a-zA-Z0-9_]{7,}"), F.lit(0))).alias("word"))
-    return explore.keyword_file_scores(table(spark, d, "documents"), words, "doc_id")
+    return explore.file_scores(_paged(spark, d), _words(spark, d, "refined"), _tests(spark, d))
+
+
+@query(f"WITH {_sql_files('layered', True)} SELECT * FROM top")
+def file_scoring_layered(spark: SparkSession, d: str) -> DataFrame:
+    return explore.file_scores(_paged(spark, d), _words(spark, d, "layered"), _tests(spark, d), layered=True)
 
 
 _EDGES = "e AS (SELECT 'n' || n_nationkey AS child, 'r' || n_regionkey AS parent FROM nation UNION SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier UNION SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer)"
@@ -72,9 +132,14 @@ def hierarchy_descendants(spark: SparkSession, d: str) -> DataFrame:
     return explore.closure(_edges(spark, d)).groupBy("ancestor").agg(F.count_distinct("child").alias("descendants"), F.max("depth").alias("height"))
 
 
+@query(f"WITH {_SYMBOLS} SELECT name AS caller, calls AS callee, count(*) AS calls FROM (SELECT DISTINCT name, calls FROM sy WHERE calls <> '') GROUP BY 1, 2")
+def callers_callees(spark: SparkSession, d: str) -> DataFrame:
+    return explore.call_edges(explore.symbols(files(spark, d))).groupBy("caller", "callee").agg(F.count("*").alias("calls"))
+
+
 @query("""WITH s AS (SELECT event_type AS caller, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS callee FROM events)
 SELECT caller, callee, count(*) AS calls FROM s WHERE callee IS NOT NULL GROUP BY 1, 2""")
-def callers_callees(spark: SparkSession, d: str) -> DataFrame:
+def event_transitions(spark: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     steps = table(spark, d, "events").select(F.col("event_type").alias("caller"), F.lead("event_type").over(w).alias("callee"))
     return steps.where("callee is not null").groupBy("caller", "callee").agg(F.count("*").alias("calls"))
@@ -106,27 +171,92 @@ def repo_path_map(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", F.regexp_extract("url", "^[a-z]+://([^/?#]+)", 1).alias("host"), F.replace(whole, F.lit("/"), F.lit("_")).alias("key"))
 
 
-@query()
+@query(f"""WITH {_FILES}, g AS (SELECT *, CASE WHEN more THEN 15 ELSE 14 END AS last, string_split(content, chr(10)) AS ls FROM f WHERE NOT broken)
+SELECT path, 'function' AS chunk_type, 'parse_' || k AS name, 12 AS start_line, last AS end_line, 'import os' AS imports, md5(array_to_string(ls[12:last], chr(10))) AS content_md5 FROM g
+UNION ALL SELECT path, 'class', 'Nation' || k, 4, 9, 'import os', md5(array_to_string(ls[4:9], chr(10))) FROM g UNION ALL SELECT path, 'method', 'Nation' || k || '.load_' || k, 5, 6, 'import os', md5(array_to_string(ls[5:6], chr(10))) FROM g
+UNION ALL SELECT path, 'method', 'Nation' || k || '.area', 8, 9, 'import os', md5(array_to_string(ls[8:9], chr(10))) FROM g
+UNION ALL SELECT path, 'module', NULL, 1, len(ls), 'import os', md5(array_to_string(ls[1:3] || ls[10:11] || ls[last + 1:len(ls)], chr(10))) FROM g
+UNION ALL SELECT path, 'module', NULL, 1, len(string_split(content, chr(10))), 'import os', md5(content) FROM f WHERE broken""")
 def ast_chunks(spark: SparkSession, d: str) -> DataFrame:
-    return chunking.ast_chunks(files(spark))
+    return chunking.ast_chunks(files(spark, d)).select("path", "chunk_type", "name", "start_line", "end_line", F.array_join("imports", ",").alias("imports"), F.md5("content").alias("content_md5"))
 
 
-@query()
+@query(f"WITH {_SYMBOLS} SELECT * FROM sy")
 def code_symbols(spark: SparkSession, d: str) -> DataFrame:
-    return explore.symbols(files(spark))
+    joined = [F.array_join(c, ",").alias(c) for c in ("bases", "args", "calls")]
+    return explore.symbols(files(spark, d)).select("path", "kind", "name", "owner", "start_line", "end_line", *joined)
 
 
-@query()
+_ASKED = "q AS (SELECT * FROM (VALUES (1, 'area'), (1, 'Nation1'), (2, 'parse_3'), (2, 'nation'), (3, 'load_')) v(query, word))"
+
+
+def _name_words(spark: SparkSession) -> DataFrame:
+    rows = [(1, "area"), (1, "Nation1"), (2, "parse_3"), (2, "nation"), (3, "load_")]
+    return spark.range(1).select(F.inline(F.array(*(F.struct(F.lit(q).alias("query"), F.lit(w).alias("word")) for q, w in rows))))
+
+
+_NAME = "CASE WHEN lower(name) = lower(word) THEN 2.0 ELSE 1.0 END"
+
+
+@query(f"""WITH {_SYMBOLS}, {_ASKED}, s AS (SELECT query, path, name, kind, owner, sum({_NAME})::DOUBLE AS score FROM sy JOIN q ON contains(lower(name), lower(word)) GROUP BY ALL)
+SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, path, name, owner NULLS FIRST) AS rank FROM s QUALIFY rank <= 10""")
 def symbol_scoring(spark: SparkSession, d: str) -> DataFrame:
-    words = spark.createDataFrame([(1, "area"), (1, "circle"), (2, "fetch")], "query int, word string")
-    return explore.symbol_scores(explore.symbols(files(spark)), words)
+    return explore.symbol_scores(explore.symbols(files(spark, d)), _name_words(spark))
+
+
+_TOP_FILES = "tf AS (SELECT q.query, f.path, row_number() OVER (PARTITION BY q.query ORDER BY (k * 7) % 23, k) AS rank, ((k * 7) % 5)::DOUBLE AS score FROM f, (SELECT DISTINCT query FROM q) q WHERE NOT broken QUALIFY rank <= 5)"
+
+
+def _top_files(spark: SparkSession, d: str) -> DataFrame:
+    """Five files of each query, as a file scoring would give them."""
+    k = F.regexp_extract("path", r"nation_(\d+)", 1).cast("int")
+    w = Window.partitionBy("query").orderBy((F.col("k") * 7) % 23, "k")
+    both = files(spark, d).withColumn("k", k).where("k % 5 <> 4").crossJoin(F.broadcast(_name_words(spark).select("query").distinct()))  # three queries
+    return both.withColumn("rank", F.row_number().over(w)).where("rank <= 5").select("query", "path", "rank", ((F.col("k") * 7) % 5).cast("double").alias("score"))
+
+
+_CLASSES = f"""{_SYMBOLS}, {_ASKED}, {_TOP_FILES}, c0 AS (SELECT query, path, name, sum({_NAME} + CASE WHEN (query, path) IN (SELECT (query, path) FROM tf) THEN 1 ELSE 0 END)::DOUBLE AS score FROM sy JOIN q ON contains(lower(name), lower(word)) WHERE kind = 'class' AND regexp_matches(word, '^[A-Z]') GROUP BY ALL
+UNION ALL SELECT tf.query, sy.path, sy.name, 0.5 + (SELECT count(*) FROM q WHERE q.query = tf.query AND contains(lower(sy.name), lower(q.word))) FROM sy JOIN tf ON tf.path = sy.path AND tf.rank <= 3 WHERE kind = 'class'),
+cs AS (SELECT query, path, name, sum(score)::DOUBLE AS score FROM c0 GROUP BY ALL), ct AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, path, name) AS rank FROM cs QUALIFY rank <= 10)"""
+
+
+def _class_scores(spark: SparkSession, d: str) -> DataFrame:
+    return explore.class_scores(explore.symbols(files(spark, d)), _name_words(spark), _top_files(spark, d))
+
+
+@query(f"WITH {_CLASSES} SELECT * FROM ct")
+def class_scoring(spark: SparkSession, d: str) -> DataFrame:
+    return _class_scores(spark, d)
+
+
+_FUNCTIONS = f"""{_CLASSES}, f0 AS (SELECT query, path, name, kind, owner, sum({_NAME} + CASE WHEN (query, path) IN (SELECT (query, path) FROM tf) THEN 1 ELSE 0 END + CASE WHEN owner IS NOT NULL AND (query, owner) IN (SELECT (query, name) FROM ct) THEN 1.5 ELSE 0 END)::DOUBLE AS score
+FROM sy JOIN q ON contains(lower(name), lower(word)) WHERE kind <> 'class' AND (regexp_matches(word, '^[a-z]') OR contains(word, '_')) GROUP BY ALL), ft AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, path, name, owner NULLS FIRST) AS rank FROM f0 QUALIFY rank <= 20)"""
+
+
+@query(f"WITH {_FUNCTIONS} SELECT * FROM ft")
+def function_scoring(spark: SparkSession, d: str) -> DataFrame:
+    return explore.function_scores(explore.symbols(files(spark, d)), _name_words(spark), _top_files(spark, d), _class_scores(spark, d))
+
+
+@query(f"""WITH {_FUNCTIONS} SELECT query, 'function' AS stratum, path, name, 0.9::DOUBLE AS relevance FROM ft UNION ALL SELECT query, 'class', path, name, 0.8::DOUBLE FROM ct UNION ALL SELECT query, 'file', path, NULL, 0.7::DOUBLE FROM tf""")
+def context_strata(spark: SparkSession, d: str) -> DataFrame:
+    symbols, words, top, classes = explore.symbols(files(spark, d)), _name_words(spark), _top_files(spark, d), _class_scores(spark, d)
+    return explore.strata(top, classes, explore.function_scores(symbols, words, top, classes))
+
+
+@query(f"""WITH {_SYMBOLS}, {_ASKED}, {_TOP_FILES}, l AS (SELECT tf.query, sy.path, kind, name, start_line, end_line, round(1.0::DOUBLE + CASE WHEN contains(name, '_') THEN 0.5 ELSE 0 END + CASE WHEN length(name) > 10 THEN 0.3 ELSE 0 END + CASE WHEN kind = 'class' THEN 0.2 ELSE 0 END + tf.score, 6) AS score FROM sy JOIN tf USING (path) WHERE kind <> 'method')
+SELECT query, path, kind, name, start_line, end_line, score, round(least(1.0, score / 5), 6) AS relevance, row_number() OVER (PARTITION BY query ORDER BY score DESC, path, start_line, name) AS rank FROM l QUALIFY rank <= 15""")
+def located_symbols(spark: SparkSession, d: str) -> DataFrame:
+    return explore.located_symbols(explore.symbols(files(spark, d)), _top_files(spark, d))
 
 
 @query()
 def codebleu(spark: SparkSession, d: str) -> DataFrame:
+    """Each file against the next one by number; tested against a plain computation."""
     from spindrift.functions.text import codebleu_tokens
 
-    pairs = spark.createDataFrame([(1, FILES[0][1], FILES[1][1])], "key int, ref string, hyp string").coalesce(1)
+    f = files(spark, d).select(F.regexp_extract("path", r"nation_(\d+)", 1).cast("int").alias("key"), "content")
+    pairs = f.select("key", F.col("content").alias("ref")).join(f.select((F.col("key") - 1).alias("key"), F.col("content").alias("hyp")), "key")
     tokens = pairs.select("key", codebleu_tokens(F.col("ref")).alias("ref"), codebleu_tokens(F.col("hyp")).alias("hyp"))
     plain = metrics.ngram_overlap(tokens, "key", "ref", "hyp").withColumnRenamed("score", "ngram")
     heavy = metrics.ngram_overlap(tokens.select("key", metrics.keyword_weighted(F.col("ref")).alias("ref"), metrics.keyword_weighted(F.col("hyp")).alias("hyp")), "key", "ref", "hyp").withColumnRenamed("score", "weighted")
@@ -136,12 +266,40 @@ def codebleu(spark: SparkSession, d: str) -> DataFrame:
     return both.withColumn("codebleu", F.round(metrics.codebleu(parts, dict.fromkeys(parts, 0.25)), 6))
 
 
-@query()
+@query(f"""WITH {_FILES}, s AS (SELECT CASE WHEN broken THEN 'own ' || k WHEN more THEN 'more' ELSE 'plain' END AS sig FROM f), c AS (SELECT sig, count(*) AS c FROM s GROUP BY 1), p AS (SELECT *, c / sum(c) OVER () AS p FROM c)
+SELECT 'files' AS "group", sum(c)::BIGINT AS members, count(*) AS clusters, round(sum(-p * ln(p)) / ln(count(*)), 6) AS entropy, round(1 - sum(p * p), 6) AS diversity, max(c) AS largest FROM p""")
 def syntax_clusters(spark: SparkSession, d: str) -> DataFrame:
-    rows = files(spark).select(F.lit("files").alias("group"), metrics.syntax_signature(F.col("content")).alias("sig"))
+    rows = files(spark, d).select(F.lit("files").alias("group"), metrics.syntax_signature(F.col("content")).alias("sig"))
     return metrics.cluster_entropy(rows, "group", "sig")
 
 
+@query("""WITH l AS (SELECT user_id AS instance, event_id AS iteration, CASE event_type WHEN 'view' THEN 'view' ELSE 'search' END AS action, 'f' || event_id % 7 AS path, 'hit ' || event_id AS found FROM events)
+SELECT instance, 'search' AS kind, found AS item FROM (SELECT * FROM l WHERE action = 'search' QUALIFY row_number() OVER (PARTITION BY instance ORDER BY iteration DESC) <= 10) UNION ALL SELECT DISTINCT instance, 'file', path FROM l WHERE path <> 'f3'""")
+def explorer_state(spark: SparkSession, d: str) -> DataFrame:
+    """The last ten searches of each instance and the files that it saw, without those whose chunks are there."""
+    e = F.col("event_id")
+    log = table(spark, d, "events").select(F.col("user_id").alias("instance"), e.alias("iteration"), F.when(F.col("event_type") == "view", "view").otherwise("search").alias("action"), F.concat(F.lit("f"), (e % 7).cast("string")).alias("path"), F.concat(F.lit("hit "), e.cast("string")).alias("found"))
+    return explore.state_rows(log, seen=log.where("path = 'f3'").select("instance", "path"))
+
+
+@query("SELECT user_id, count(*) AS actions, count(DISTINCT event_type) AS kinds, count(DISTINCT props->>'$.k') AS items, (max(epoch_us(ts)) - min(epoch_us(ts))) / 1000000 AS seconds FROM events GROUP BY 1")
+def action_log(spark: SparkSession, d: str) -> DataFrame:
+    return explore.action_stats(table(spark, d, "events").withColumn("k", F.get_json_object("props", "$.k")), "user_id", "event_type", "ts", "k")
+
+
+@query("""SELECT conv_id, turn, CASE WHEN turn < 3 AND conv_id % 2 = 0 THEN 'grep' WHEN turn < 6 AND conv_id % 3 = 0 THEN 'view_file' WHEN turn < 9 THEN 'search_class' ELSE 'search_method' END AS action, turn >= 5 OR (turn >= 3 AND conv_id % 5 >= 3 AND turn >= 1 AND turn >= 2) AS stops FROM conversations""")
+def explorer_steps(spark: SparkSession, d: str) -> DataFrame:
+    i, c, yes = F.col("turn"), F.col("conv_id"), F.lit(True)
+    can = {"grep": c % 2 == 0, "view_file": c % 3 == 0, "search_class": yes, "search_method": yes, "get_class_hierarchy": yes}
+    return table(spark, d, "conversations").select("conv_id", "turn", explore.next_action(i, can).alias("action"), explore.stops(i, {"files": c % 5, "classes": i, "methods": i}, 3, 5).alias("stops"))
+
+
+@query("SELECT conv_id, turn, substr(md5(conv_id::VARCHAR), 1, 8) AS commit, 'A <a@b>' AS author, 'Mon' AS date, 'Fix ' || turn || chr(10) || chr(10) || 'More.' AS message FROM conversations")
+def commit_log(spark: SparkSession, d: str) -> DataFrame:
+    log = F.concat(F.lit("commit "), F.substring(F.md5(F.col("conv_id").cast("string")), 1, 8), F.lit("\nAuthor: A <a@b>\nDate:   Mon\n\n    Fix "), F.col("turn").cast("string"), F.lit("\n\n    More.\n"))
+    return table(spark, d, "conversations").select("conv_id", "turn", F.inline(explore.commit_rows(log)))
+
+
 def _events_stream(spark: SparkSession, d: str) -> DataFrame:
     return progress.read_files(spark, f"{d}/events.parquet*", table(spark, d, "events").schema)
 
@@ -154,7 +312,25 @@ def stream_counts(spark: SparkSession, d: str) -> DataFrame:
     return spark.table("stream_counts_out")
 
 
-@query("SELECT time_bucket(INTERVAL 60 seconds, ts::TIMESTAMP) AS start, time_bucket(INTERVAL 60 seconds, ts::TIMESTAMP) + INTERVAL 60 seconds AS \"end\", count(*) AS requests, round(sum(value), 4) AS tokens FROM events GROUP BY 1, 2")
+@query("""WITH b AS (SELECT time_bucket(INTERVAL 60 seconds, ts::TIMESTAMP) AS start, count(*) AS requests, round(sum(value), 4) AS tokens FROM events GROUP BY 1)
+SELECT start, start + INTERVAL 60 seconds AS "end", requests, tokens FROM b WHERE start + INTERVAL 60 seconds <= (SELECT max(ts::TIMESTAMP) - INTERVAL 2 minutes FROM events)""")
 def stream_windows(spark: SparkSession, d: str) -> DataFrame:
-    out = progress.sliding_totals(table(spark, d, "events"), slide="60 seconds")
-    return out.select(F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "requests", "tokens")
+    """A file stream's totals by minute, those that its watermark closed."""
+    import uuid
+
+    at = f"{scratch(spark)}/windows-{uuid.uuid4().hex}"
+    out = progress.sliding_totals(_events_stream(spark, d), slide="60 seconds")
+    progress.fold_table(out, f"{at}/checkpoint", f"{at}/rows").awaitTermination()
+    rows = spark.read.schema("start timestamp, end timestamp, requests long, tokens double").parquet(f"{at}/rows")
+    return rows.select(F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "requests", "tokens")
+
+
+@query("SELECT event_id, event_type, value FROM events")
+def stream_append(spark: SparkSession, d: str) -> DataFrame:
+    """A file stream, appended with checkpoints in small files; a second run adds nothing."""
+    import uuid
+
+    at = f"{scratch(spark)}/append-{uuid.uuid4().hex}"
+    for _ in range(2):
+        progress.checkpoint_every(_events_stream(spark, d), f"{at}/rows", f"{at}/checkpoint", 2000, "event_id").awaitTermination()
+    return spark.read.parquet(f"{at}/rows").select("event_id", "event_type", "value")

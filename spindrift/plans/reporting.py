@@ -78,13 +78,21 @@ def line_overlap_range_join(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Each document and the next by id."""
+    """Each document and the next one by id: the order is found on ids alone, in one task for each of 1,000 ranges of them."""
     docs = table(spark, d, "documents").select("doc_id", "text")
-    return docs.join(docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("other")), "doc_id")
-
-
-_P = "p AS (SELECT a.doc_id, a.text, b.text AS other FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1)"
-_TOK = r"""regexp_extract_all(regexp_replace(regexp_replace(regexp_replace({x}, '#[^\n]*', '', 'g'), '"[^"\n]*"', '""', 'g'), '''[^''\n]*''', '''''', 'g'), '[a-zA-Z0-9_]+|[^a-zA-Z0-9_\t\n\f\r\v ]')"""
+    ids = docs.select("doc_id", F.floor(F.col("doc_id") / 1000).alias("part"))
+    w = Window.partitionBy("part").orderBy("doc_id")
+    inside = ids.select("doc_id", "part", F.lead("doc_id").over(w).alias("next"))
+    firsts = ids.groupBy("part").agg(F.min("doc_id").alias("first"))
+    after = firsts.select("part", F.lead("first").over(Window.orderBy("part")).alias("first_after"))
+    pairs = inside.join(after, "part").select("doc_id", F.coalesce("next", "first_after").alias("next")).where("next is not null")
+    return docs.join(pairs, "doc_id").join(docs.select(F.col("doc_id").alias("next"), F.col("text").alias("other")), "next").drop("next")
+
+
+_P = "p AS (SELECT doc_id, text, lead(text) OVER (ORDER BY doc_id) AS other FROM documents QUALIFY other IS NOT NULL)"
+_TOK = r"""regexp_extract_all(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({x}, '#[^\n]*', '', 'g'), '(?s)\x22\x22\x22.*?\x22\x22\x22', repeat(chr(34), 6), 'g'), '(?s)\x27\x27\x27.*?\x27\x27\x27', repeat(chr(39), 6), 'g'), '"[^"]*"', '""', 'g'), '\x27[^\x27]*\x27', repeat(chr(39), 2), 'g'), '[a-zA-Z0-9_]+|[^a-zA-Z0-9_	
+
+ ]')"""
 _GRAMS = " UNION ALL ".join(f"SELECT doc_id, '{s}' AS side, {n} AS n, unnest(list_transform(range(1, len({s}) - {n} + 2), lambda i: array_to_string({s}[i : i + {n} - 1], chr(1)))) AS g FROM t" for s in ("r", "h") for n in (1, 2, 3, 4))
 
 
@@ -218,3 +226,130 @@ def prediction_join(spark: SparkSession, d: str) -> DataFrame:
     customers = table(spark, d, "customer").select("c_custkey", "c_name")
     orders = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", "o_totalprice", F.col("o_orderkey").alias("position"))
     return ingest.join_predictions(customers, orders, "c_custkey").select("c_custkey", "c_name", "o_orderkey", "o_totalprice")
+
+
+def _outcomes(spark: SparkSession, d: str) -> DataFrame:
+    """Runs with tests, code similarity and localization of each event."""
+    e = F.col("event_id")
+    names = lambda p, n: F.transform(F.sequence(F.lit(1), n.cast("int")), lambda i: F.concat(F.lit(p), i.cast("string")))
+    some = lambda p, n: F.when(n > 0, names(p, n)).otherwise(F.array().cast("array<string>"))
+    place = F.map_from_entries(F.filter(F.array(F.struct(F.lit("file").alias("k"), (e % 5).cast("double").alias("v")), F.when(e % 2 == 0, F.struct(F.lit("line").alias("k"), (e % 3).cast("double").alias("v")))), lambda x: x.isNotNull()))
+    return results(spark, d).withColumns({"tests_passed": some("p", e % 4), "tests_failed": some("f", e % 3), "codebleu": (e % 10) / 10, "localization": place, "error": F.when(e % 50 == 0, F.concat(F.lit("failed "), e.cast("string")))})
+
+
+_O = _R + ", o AS (SELECT *, event_id % 4 AS tp, event_id % 3 AS tf, (event_id % 10) / 10 AS codebleu FROM r)"
+
+
+@query(f"WITH {_O} SELECT method, instance, resolved, applied, tp::INT AS tests_passed, tf::INT AS tests_failed, codebleu, seconds FROM o")
+def detailed_results(spark: SparkSession, d: str) -> DataFrame:
+    return report.detailed(_outcomes(spark, d))
+
+
+@query(f"""WITH {_O} SELECT method, count(*) AS total, sum(resolved::INT)::BIGINT AS resolved, round(avg(resolved::INT) * 100, 6) AS resolution_rate, round(avg(applied::INT) * 100, 6) AS apply_rate, round(avg(codebleu), 6) AS avg_codebleu, round(avg(seconds), 6) AS avg_seconds,
+round(sum(event_id % 5) / count(*), 6) AS file_score, round(sum(event_id % 3) FILTER (event_id % 2 = 0) / count(*), 6) AS line_score FROM o GROUP BY 1""")
+def evaluation_summary(spark: SparkSession, d: str) -> DataFrame:
+    out = report.evaluation_summary(_outcomes(spark, d), ["method"])
+    return out.withColumn("file_score", F.col("localization")["file"]).withColumn("line_score", F.col("localization")["line"]).drop("localization")
+
+
+@query(f"""WITH {_O} SELECT method, 'resolution' AS chart, 'rate' AS label, round(avg(resolved::INT) * 100, 6) AS value FROM o GROUP BY 1 UNION ALL SELECT method, 'time', 'avg_seconds', round(avg(seconds), 6) FROM o GROUP BY 1
+UNION ALL SELECT method, 'localization', 'file', round(avg(event_id % 5), 6) FROM o GROUP BY 1 UNION ALL SELECT method, 'localization', 'line', round(avg(event_id % 3), 6) FROM o WHERE event_id % 2 = 0 GROUP BY 1""")
+def chart_series(spark: SparkSession, d: str) -> DataFrame:
+    return report.series(_outcomes(spark, d))
+
+
+@query(f"WITH {_O} SELECT method, instance, 'failed ' || event_id AS error, strftime(ts::TIMESTAMP, '%Y-%m-%dT%H:%M:%S') AS at FROM o WHERE event_id % 50 = 0")
+def error_rows(spark: SparkSession, d: str) -> DataFrame:
+    return report.errors(_outcomes(spark, d))
+
+
+@query(f"WITH {_O} SELECT method, event_id, CASE WHEN tp + tf > 0 THEN tp / (tp + tf) ELSE 0 END AS share, CASE WHEN tp + tf > 0 THEN tp / (tp + tf) * 100 ELSE 0 END AS percent FROM o")
+def test_pass_rate(spark: SparkSession, d: str) -> DataFrame:
+    p, f = F.col("tests_passed"), F.col("tests_failed")
+    return _outcomes(spark, d).select("method", "event_id", metrics.test_pass_rate(p, f).alias("share"), metrics.test_pass_rate(p, f, True).alias("percent"))
+
+
+@query(f"WITH {_R}, l AS (SELECT method, unnest(['seconds', 'tokens']) AS metric, unnest([seconds, tokens::DOUBLE]) AS value FROM r) SELECT method, metric, round(avg(value), 6) AS mean, min(value) AS least, max(value) AS most, count(value) AS n FROM l GROUP BY 1, 2")
+def aggregated_metrics(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.aggregate(results(spark, d), ["seconds", "tokens"], ["method"])
+
+
+@query(f"WITH {_R} SELECT method, event_id, round(avg(applied::INT) OVER o * 100, 6) AS running_rate, count(*) OVER o AS seen FROM r WINDOW o AS (PARTITION BY method ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)")
+def running_apply_rate(spark: SparkSession, d: str) -> DataFrame:
+    return report.running(results(spark, d), "method", ["ts", "event_id"], "applied").select("method", "event_id", "running_rate", "seen")
+
+
+@query(f"WITH {_ATT}, c AS (SELECT conv_id, count(*) AS attempts FROM a GROUP BY 1) SELECT conv_id, attempts, round(avg(attempts) OVER w, 6) AS mean_so_far, max(attempts) OVER w AS most_so_far FROM (SELECT *, conv_id % 5 AS grp FROM c) WINDOW w AS (PARTITION BY grp ORDER BY conv_id ROWS UNBOUNDED PRECEDING)")
+def running_attempts(spark: SparkSession, d: str) -> DataFrame:
+    n = _attempts(spark, d).groupBy("conv_id").agg(F.count("*").alias("attempts")).withColumn("grp", F.col("conv_id") % 5)
+    return report.running_attempts(n, "grp", ["conv_id"], "attempts").drop("grp")
+
+
+_FS = "fs AS (SELECT l_orderkey AS k, list(l_partkey % 3) AS gold, list(l_suppkey % 3) AS pred FROM lineitem GROUP BY 1)"
+
+
+@query(f"WITH {_FS}, e AS (SELECT k, k % 8 AS grp, list_sort(list_distinct(gold)) = list_sort(list_distinct(pred)) AS exact FROM fs) SELECT k, exact, round(avg(exact::INT) OVER (PARTITION BY grp ORDER BY k ROWS UNBOUNDED PRECEDING) * 100, 6) AS running_rate FROM e")
+def file_set_match(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.collect_list(F.col("l_partkey") % 3).alias("gold"), F.collect_list(F.col("l_suppkey") % 3).alias("pred")).withColumn("grp", F.col("k") % 8)
+    return metrics.file_sets(rows, "grp", ["k"], "gold", "pred").drop("grp")
+
+
+@query("WITH p AS (SELECT l_orderkey AS k, list(DISTINCT l_partkey % 7) AS gold, list(l_suppkey % 7 ORDER BY l_linenumber, l_suppkey % 7) AS pred FROM lineitem GROUP BY 1) SELECT k, " + ", ".join(f"round(len(list_intersect(gold, pred[1:{n}])) / len(gold) * 100, 6) AS recall_{n}, CASE WHEN list_has_any(gold, pred[1:{n}]) THEN 100.0::DOUBLE ELSE 0 END AS hit_{n}" for n in (1, 3, 5, 10)) + ", round(list_sum(list_transform(gold, lambda x: CASE WHEN list_contains(pred, x) THEN 1.0::DOUBLE / list_position(pred, x) ELSE 0 END)) / len(gold), 6) AS mrr, round(len(list_intersect(gold, pred[1:5])) / len(gold) * 100, 6) AS score FROM p")
+def localization_scores(spark: SparkSession, d: str) -> DataFrame:
+    pred = F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", (F.col("l_suppkey") % 7).alias("x")))), lambda s: s["x"])
+    rows = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.collect_set(F.col("l_partkey") % 7).alias("gold"), pred.alias("pred"))
+    return metrics.localization(rows, ["k"], "gold", "pred")
+
+
+def _method_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Two methods' values of the same instance, each its mean."""
+    v = results(spark, d).groupBy("method", "instance").agg(F.avg("tokens").alias("x"))
+    a, b = v.toDF("method_a", "instance", "x"), v.toDF("method_b", "instance", "y")
+    return a.join(b, "instance").where("method_a < method_b")
+
+
+_PAIRS = f"{_R}, v AS (SELECT method, instance, avg(tokens) AS x FROM r GROUP BY 1, 2), mp AS (SELECT a.method AS method_a, b.method AS method_b, a.x AS x, b.x AS y FROM v a JOIN v b ON a.instance = b.instance AND a.method < b.method)"
+
+
+@query(f"WITH {_PAIRS}, g AS (SELECT method_a, method_b, sum((x >= 50 AND y < 50)::INT)::BIGINT AS only_a, sum((x < 50 AND y >= 50)::INT)::BIGINT AS only_b FROM mp GROUP BY 1, 2) SELECT *, CASE WHEN only_a + only_b > 0 THEN round(greatest(abs(only_a - only_b) - 1, 0) ** 2 / (only_a + only_b), 6) END AS chi2 FROM g")
+def pairwise_mcnemar(spark: SparkSession, d: str) -> DataFrame:
+    return report.mcnemar(_method_pairs(spark, d).select("method_a", "method_b", (F.col("x") >= 50).alias("a"), (F.col("y") >= 50).alias("b")))
+
+
+@query(f"WITH {_PAIRS}, g AS (SELECT method_a, method_b, count(*) AS n, avg(x - y) AS m, stddev_samp(x - y) AS s FROM mp GROUP BY 1, 2) SELECT method_a, method_b, n, round(m, 6) AS mean_difference, CASE WHEN n > 1 AND s > 0 THEN round(m / (s / sqrt(n)), 6) END AS t, CASE WHEN n > 1 AND s > 0 THEN round(m / s, 6) END AS cohen_d FROM g")
+def pairwise_t(spark: SparkSession, d: str) -> DataFrame:
+    return report.paired_t(_method_pairs(spark, d))
+
+
+@query("SELECT doc_id, contains(p, '---') AND contains(p, '+++') AS form, CASE doc_id % 3 WHEN 0 THEN true ELSE false END AS resolved FROM (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '--- a/x' || chr(10) || '+++ b/x' || chr(10) || '@@ -1 +1 @@' || chr(10) || '+y' WHEN 1 THEN '--- a/x' || chr(10) || '+++ b/x' || chr(10) || 'no hunk' ELSE 'text' END AS p FROM documents)")
+def resolved_lightly(spark: SparkSession, d: str) -> DataFrame:
+    p = F.when(F.col("doc_id") % 3 == 0, "--- a/x\n+++ b/x\n@@ -1 +1 @@\n+y").when(F.col("doc_id") % 3 == 1, "--- a/x\n+++ b/x\nno hunk").otherwise("text")
+    return table(spark, d, "documents").select("doc_id", metrics.patch_format_ok(p).alias("form"), metrics.resolved_lightly(p).alias("resolved"))
+
+
+@query("SELECT event_type, event_id, '$' || CASE WHEN k < 9.97 THEN format('{:.6f}', k / 997) WHEN k < 997 THEN format('{:.4f}', k / 997) ELSE format('{:.2f}', k / 997) END AS cost FROM (SELECT event_type, event_id, (props->>'$.k')::BIGINT * 13 AS k FROM events)")
+def cost_texts(spark: SparkSession, d: str) -> DataFrame:
+    return results(spark, d).select(F.col("method").alias("event_type"), "event_id", metrics.dollars(F.col("tokens") * 13 / 997).alias("cost"))
+
+
+@query("SELECT o_orderkey, c_name, n_name FROM orders LEFT JOIN customer ON c_custkey = o_custkey LEFT JOIN (SELECT n_nationkey, n_name FROM nation WHERE n_nationkey < 10) ON n_nationkey = c_nationkey")
+def patch_join(spark: SparkSession, d: str) -> DataFrame:
+    """Patches with their instance and its place, by id; what is missing is null."""
+    orders = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("id"))
+    customers = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), "c_name", "c_nationkey")
+    places = customers.join(table(spark, d, "nation").where("n_nationkey < 10").select(F.col("n_nationkey").alias("c_nationkey"), "n_name"), "c_nationkey").select("id", "n_name")
+    return ingest.join_patches(orders, customers.drop("c_nationkey"), places, "id").select("o_orderkey", "c_name", "n_name")
+
+
+@query("SELECT source, count(*) AS instances, CASE WHEN source IN ('src1', 'src2') THEN 'index of ' || source END AS index_path FROM documents GROUP BY 1")
+def repo_index_join(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    made = docs.where(F.col("source").isin("src1", "src2")).select("source").distinct().withColumn("index_path", F.concat(F.lit("index of "), "source"))
+    return ingest.repo_indexes(docs, made, "source")
+
+
+@query("SELECT doc_id FROM (SELECT doc_id FROM documents WHERE source IN ('src1', 'src2') ORDER BY doc_id LIMIT 30) WHERE doc_id % 2 = 0")
+def limited_instances(spark: SparkSession, d: str) -> DataFrame:
+    """Repositories, limit, then the list of ids: the batch order of filters."""
+    docs = table(spark, d, "documents").select("doc_id", "source")
+    return ingest.select_instances(docs, ["src1", "src2"], include=docs.where("doc_id % 2 = 0"), n=30, limit_first=True, col="doc_id", repo="source").select("doc_id")

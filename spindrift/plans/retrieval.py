@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from spindrift.functions import text as T
 from spindrift.operators import chunking, context, dense, fusion, ingest, querygen, sparse
 from spindrift.plans.base import SQL_DOT, registry, sql_bm25, sql_strip, sql_tokens, table
+from spindrift.tables import scratch
 
 QUERIES, ORACLES, query = registry()
 
@@ -229,38 +230,184 @@ def dedup_hits(spark: SparkSession, d: str) -> DataFrame:
     return fusion.dedup(_bm25(spark, d, 20).join(keys, "doc"), ["key"]).select("query", "doc", "score", "rank")
 
 
-def _generated(spark: SparkSession, d: str, *strategies: str) -> DataFrame:
-    return querygen.generate(table(spark, d, "benchmark"), strategies=strategies, original=False).select("item_id", "ordinal", "query_text", "query_type", "weight", "source")
+def _generated(problems: DataFrame, *strategies: str) -> DataFrame:
+    return querygen.generate(problems, strategies=strategies, original=False).select("item_id", "ordinal", "query_text", "query_type", "weight", "source")
 
 
-_GEN = "SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY weight DESC, pos) AS ordinal, query_text, query_type, weight, '{source}' AS source FROM g"
+def _problems(spark: SparkSession, d: str) -> DataFrame:
+    """Benchmark texts, and turns of conversations made into reports of errors."""
+    told = F.concat(F.lit('File "/srv/mod_'), (F.col("conv_id") % 7).cast("string"), F.lit('.py", line '), F.col("turn").cast("string"), F.lit(": loadItem raises "), F.element_at(F.array(F.lit("ValueError"), F.lit("KeyError"), F.lit("Exception")), (F.col("turn") % 3 + 1).cast("int")), F.lit(' "decode failed at '), F.col("role"), F.lit('" in core.parse_row. How to fix handlers? Must add retry')) 
+    errors = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn") + 1_000_000).alias("item_id"), told.alias("text"))
+    return table(spark, d, "benchmark").select("item_id", "text").unionByName(errors)
 
 
-@query(f"""WITH k AS (SELECT item_id, {_kw('text')} AS kw FROM benchmark), a AS (SELECT *, list_filter(kw, lambda w: lower(w) IN ({', '.join(f"'{w}'" for w in querygen.ACTIONS)})) AS acts, list_filter(kw[1:5], lambda w: lower(w) NOT IN ({', '.join(f"'{w}'" for w in querygen.ACTIONS)})) AS others FROM k),
-g AS (SELECT item_id, 0 AS pos, array_to_string(kw[1:8], ' ') AS query_text, 'keywords' AS query_type, 1.5::DOUBLE AS weight FROM a WHERE len(kw) > 0 UNION ALL SELECT item_id, 1, acts[1] || ' ' || array_to_string(others[1:2], ' '), 'action_keywords', 1.8::DOUBLE FROM a WHERE len(acts) > 0 AND len(kw) > 1 AND len(others) > 0) {_GEN.format(source='keyword_extraction')}""")
+_PROBLEMS = """b AS (SELECT item_id, text FROM benchmark UNION ALL SELECT conv_id * 1000 + turn + 1000000, 'File "/srv/mod_' || conv_id % 7 || '.py", line ' || turn || ': loadItem raises ' || ['ValueError', 'KeyError', 'Exception'][turn % 3 + 1] || ' "decode failed at ' || role || '" in core.parse_row. How to fix handlers? Must add retry' FROM conversations)"""
+_FIRST = "list_filter({w}, lambda x, i: list_position({w}, x) = i)"
+#: Rows (item_id, pos, query_text, query_type, weight, source) of each strategy over b; pos is the place among all strategies.
+_IN_ACTIONS = "lower(w) IN (" + ", ".join(f"'{w}'" for w in querygen.ACTIONS) + ")"
+_STRATEGY = {
+    "keywords": f"""kw AS (SELECT item_id, {_kw('text')} AS kw FROM b), ka AS (SELECT *, list_filter(kw, lambda w: {_IN_ACTIONS}) AS acts, list_filter(kw[1:5], lambda w: NOT {_IN_ACTIONS}) AS others FROM kw),
+g_keywords AS (SELECT item_id, 1 AS pos, array_to_string(kw[1:8], ' ') AS query_text, 'keywords' AS query_type, 1.5::DOUBLE AS weight, 'keyword_extraction' AS source FROM ka WHERE len(kw) > 0
+  UNION ALL SELECT item_id, 2, acts[1] || ' ' || array_to_string(others[1:2], ' '), 'action_keywords', 1.8::DOUBLE, 'keyword_extraction' FROM ka WHERE len(acts) > 0 AND len(kw) > 1 AND len(others) > 0)""",
+    "code_symbols": rf"""sy0 AS (SELECT item_id, list_filter(regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+'), lambda s: regexp_full_match(s, '[a-z][a-z0-9_]*[a-z0-9]') AND (contains(s, '_') OR length(s) > 5)) || list_filter(regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+'), lambda s: regexp_full_match(s, '[a-zA-Z][a-zA-Z0-9]*[a-z][A-Z][a-zA-Z0-9]*')) || list_filter(regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+(?:\.[\p{{L}}\p{{N}}_]+)+'), lambda s: regexp_full_match(s, '[a-zA-Z_][a-zA-Z0-9_]*(?:\.[a-zA-Z_][a-zA-Z0-9_]*)+')) AS w FROM b),
+sy AS (SELECT item_id, {_FIRST.format(w='w')} AS f FROM sy0), sc AS (SELECT *, list_filter(f, lambda s: contains(s, '_') OR regexp_matches(s, '^.+[A-Z]')) AS code FROM sy),
+g_code_symbols AS (SELECT item_id, 3 AS pos, array_to_string(f[1:5], ' ') AS query_text, 'code_symbols' AS query_type, 1.3::DOUBLE AS weight, 'symbol_extraction' AS source FROM sc WHERE len(f) > 0 UNION ALL SELECT item_id, 4, 'def ' || code[1], 'function_search', 1.4::DOUBLE, 'symbol_extraction' FROM sc WHERE len(code) > 0)""",
+    "error_patterns": r"""er AS (SELECT item_id, regexp_extract(text, '\b([A-Z][a-zA-Z]*Error|Exception|Warning|AssertionError)\b', 1) AS kind, regexp_extract(text, '(?i)["'']([^"'']*(?:error|exception|failed)[^"'']*)["'']', 1) AS said, regexp_extract(text, 'File "([^"]+)", line (\d+)', 1) AS path FROM b),
+g_error_patterns AS (SELECT item_id, 5 AS pos, kind || ' handle catch' AS query_text, 'error_handling' AS query_type, 1.4::DOUBLE AS weight, 'error_extraction' AS source FROM er WHERE kind <> '' UNION ALL SELECT item_id, 6, 'raise ' || kind, 'error_source', 1.3::DOUBLE, 'error_extraction' FROM er WHERE kind <> ''
+  UNION ALL SELECT item_id, 7, array_to_string(list_filter(string_split_regex(said, '\s+'), lambda w: w <> '')[1:5], ' '), 'error_message', 1.2::DOUBLE, 'error_extraction' FROM er WHERE said <> '' UNION ALL SELECT item_id, 8, replace(string_split(path, '/')[-1], '.py', '') || ' error', 'file_error', 1.3::DOUBLE, 'error_extraction' FROM er WHERE path <> '')""",
+    "natural_language": rf"""nl AS (SELECT item_id, {sql_strip("string_split_regex(text, '[.!?]+')[1]")} AS s, regexp_extract(text, '(?i)(?:how|what|when|where)[ \t\n\f\r]+(?:to|do|is|are|does|can|should)[ \t\n\f\r]+(.+)', 1) AS how FROM b),
+g_natural_language AS (SELECT item_id, 9 AS pos, substr(s, 1, 200) AS query_text, 'natural_language' AS query_type, 1.0::DOUBLE AS weight, 'reformulation' AS source FROM nl WHERE length(s) > 20 UNION ALL SELECT item_id, 10, 'how to ' || substr(how, 1, 100), 'how_to', 1.1::DOUBLE, 'reformulation' FROM nl WHERE how <> '')""",
+    "action_focus": "ak AS (SELECT item_id, coalesce(" + ", ".join(rf"CASE WHEN len(regexp_extract_all(text, '{p}', 1)) > 0 THEN '{n} ' || array_to_string(regexp_extract_all(text, '{p}', 1)[1:3], ' ') END" for p, n in querygen.ASKS) + """) AS q FROM b),
+g_action_focus AS (SELECT item_id, 11 AS pos, q AS query_text, 'action_focus' AS query_type, 1.2::DOUBLE AS weight, 'action_extraction' AS source FROM ak WHERE q IS NOT NULL)""",
+}
+
+
+def _sql_generated(base: str, *strategies: str, original: bool = False, most: int = 5) -> str:
+    parts = ["SELECT item_id, 0 AS pos, text AS query_text, 'original' AS query_type, 1.0::DOUBLE AS weight, 'original' AS source FROM b"] * original + [f"SELECT * FROM g_{s}" for s in strategies]
+    key = f"lower({sql_strip('query_text')})"
+    return f"""WITH {base}, {', '.join(_STRATEGY[s] for s in strategies)}, g AS ({' UNION ALL '.join(parts)}), u AS (SELECT *, min(pos) OVER (PARTITION BY item_id, {key}) AS first FROM g QUALIFY row_number() OVER (PARTITION BY item_id, {key} ORDER BY weight DESC, pos) = 1)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY weight DESC, first) AS ordinal, query_text, query_type, weight, source FROM u QUALIFY ordinal <= {most}"""
+
+
+_ITEMS = "b AS (SELECT item_id, text FROM benchmark)"
+
+
+@query(_sql_generated(_ITEMS, "keywords"))
 def keyword_queries(spark: SparkSession, d: str) -> DataFrame:
-    return _generated(spark, d, "keywords")
+    return _generated(table(spark, d, "benchmark"), "keywords")
 
 
-@query()
+@query(_sql_generated(_PROBLEMS, "code_symbols"))
 def symbol_queries(spark: SparkSession, d: str) -> DataFrame:
-    return _generated(spark, d, "code_symbols")
+    return _generated(_problems(spark, d), "code_symbols")
 
 
-@query()
+@query(_sql_generated(_PROBLEMS, "error_patterns"))
 def error_queries(spark: SparkSession, d: str) -> DataFrame:
-    return _generated(spark, d, "error_patterns")
+    return _generated(_problems(spark, d), "error_patterns")
 
 
-@query(f"""WITH f AS (SELECT item_id, {sql_strip("string_split_regex(text, '[.!?]+')[1]")} AS s, regexp_extract(text, '(?i)(?:how|what|when|where)[ \\t\\n\\f\\r]+(?:to|do|is|are|does|can|should)[ \\t\\n\\f\\r]+(.+)', 1) AS how FROM benchmark),
-g AS (SELECT item_id, 0 AS pos, substr(s, 1, 200) AS query_text, 'natural_language' AS query_type, 1.0::DOUBLE AS weight FROM f WHERE length(s) > 20 UNION ALL SELECT item_id, 1, 'how to ' || substr(how, 1, 100), 'how_to', 1.1::DOUBLE FROM f WHERE how <> '') {_GEN.format(source='reformulation')}""")
+@query(_sql_generated(_ITEMS, "natural_language"))
 def nl_queries(spark: SparkSession, d: str) -> DataFrame:
-    return _generated(spark, d, "natural_language")
+    return _generated(table(spark, d, "benchmark"), "natural_language")
 
 
-@query()
+@query(_sql_generated(_PROBLEMS, *querygen.STRATEGIES, original=True))
 def generated_queries(spark: SparkSession, d: str) -> DataFrame:
-    return querygen.generate(table(spark, d, "benchmark"), strategies=tuple(querygen.STRATEGIES))
+    return querygen.generate(_problems(spark, d), strategies=tuple(querygen.STRATEGIES)).select("item_id", "ordinal", "query_text", "query_type", "weight", "source")
+
+
+@query(f"SELECT item_id, substr({sql_strip('text')}, 1, 500) AS simple, array_to_string(({_kw('text')})[1:10], ' ') AS keyword FROM benchmark")
+def plain_queries(spark: SparkSession, d: str) -> DataFrame:
+    t = F.col("text")
+    return table(spark, d, "benchmark").select("item_id", querygen.simple_query(t).alias("simple"), querygen.keyword_query(t).alias("keyword"))
+
+
+_VAR = f"""w AS (SELECT item_id, text, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS ws, regexp_extract_all(text, '[a-zA-Z_][a-zA-Z0-9_]*') AS terms FROM benchmark),
+c AS (SELECT *, list_filter(ws, lambda x: lower(x) NOT IN ({', '.join(f"'{x}'" for x in querygen.SEARCH_STOPS)})) AS content, list_filter(ws, lambda x: lower(x) IN ({', '.join(f"'{x}'" for x in querygen.SEARCH_ACTIONS)})) AS acts FROM w),
+l AS (SELECT item_id, list_filter([text, CASE WHEN len(content) > 0 AND len(content) < len(ws) THEN array_to_string(content, ' ') END, CASE WHEN len(terms) >= 2 THEN array_to_string(terms, ' ') END, CASE WHEN len(acts) > 0 THEN array_to_string(acts || terms[1:3], ' ') END], lambda x: x IS NOT NULL)[1:3] AS vs FROM c),
+va AS (SELECT item_id, unnest(range(len(vs))) AS variant, unnest(vs) AS text FROM l)"""
+
+
+@query(f"WITH {_VAR} SELECT item_id, variant, text FROM va")
+def query_variants(spark: SparkSession, d: str) -> DataFrame:
+    return querygen.variants(table(spark, d, "benchmark"))
+
+
+@query(f"""WITH {_VAR}, {sql_bm25(asked="SELECT item_id * 10 + variant AS query, text FROM va", name='b', k=10)}, h AS (SELECT item_id AS query, variant, doc, score, rank FROM b JOIN va ON b.query = item_id * 10 + variant),
+f AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY query, doc ORDER BY rank, variant) = 1)
+SELECT query, doc, score, variant::VARCHAR AS retriever, row_number() OVER (PARTITION BY query ORDER BY rank, variant) AS rank FROM f QUALIFY row_number() OVER (PARTITION BY query ORDER BY rank, variant) <= 10""")
+def variant_interleave(spark: SparkSession, d: str) -> DataFrame:
+    v = querygen.variants(table(spark, d, "benchmark")).withColumn("key", F.col("item_id") * 10 + F.col("variant"))
+    hits = sparse.search(table(spark, d, "documents"), v, 10, query_id="key").withColumnRenamed("query", "key").join(v.select("key", F.col("item_id").alias("query"), "variant"), "key")
+    return fusion.interleave_variants(hits, 10).select("query", "doc", "score", "retriever", "rank")
+
+
+@query(f"WITH {sql_bm25()} SELECT query, doc, score, rank FROM bm25")
+def bm25_saved_index(spark: SparkSession, d: str) -> DataFrame:
+    """An index that is saved, loaded again and searched."""
+    import uuid
+
+    path = f"{scratch(spark)}/index-{uuid.uuid4().hex}"
+    sparse.build(table(spark, d, "documents")).save(path)
+    return sparse.search_index(sparse.Index.load(spark, path), table(spark, d, "benchmark")).select("query", "doc", "score", "rank")
+
+
+@query(f"""WITH {sql_bm25(k=40)}, h AS (SELECT query, doc, score, rank AS r, md5(x.text) AS key FROM bm25 b JOIN documents x ON x.doc_id = b.doc WHERE score >= 2 AND doc % 3 <> 0),
+k AS (SELECT query, doc, score FROM h QUALIFY row_number() OVER (PARTITION BY query, key ORDER BY score DESC, r, doc) = 1) SELECT query, doc, score, {_TOP} FROM k QUALIFY rank <= 10""")
+def retrieve_filtered(spark: SparkSession, d: str) -> DataFrame:
+    """Search, filter by score and predicate, one hit of equal texts, limit."""
+    docs = table(spark, d, "documents")
+    key = docs.select(F.col("doc_id").alias("doc"), F.md5("text").alias("key"))
+    return sparse.retrieve(sparse.build(docs), table(spark, d, "benchmark"), 10, 2.0, F.col("doc") % 3 != 0, key, fetch=40).select("query", "doc", "score", "rank")
+
+
+@query("SELECT doc_id AS doc, count(*) AS terms, sum(tf)::BIGINT AS dl, (SELECT count(*) FROM documents) AS n_docs FROM (SELECT doc_id, t, count(*) AS tf FROM (SELECT doc_id, unnest(" + sql_tokens("text") + ") AS t FROM documents WHERE doc_id = 7) GROUP BY 1, 2) GROUP BY 1")
+def index_lookup(spark: SparkSession, d: str) -> DataFrame:
+    index = sparse.build(table(spark, d, "documents"))
+    return index.lookup(7).groupBy("doc").agg(F.count("*").alias("terms"), F.sum("tf").alias("dl")).withColumn("n_docs", F.lit(index.documents()))
+
+
+_NAMED = r"SELECT page_id AS doc, regexp_extract(html, '<title>([^ <]*)', 1) AS name, regexp_extract_all(html, 'href=\"/([^\"]*)\"', 1) AS imports FROM pages"
+
+
+@query(rf"""WITH asked AS (SELECT item_id AS query, regexp_extract(text, '^[a-zA-Z]+', 0) || CASE WHEN item_id % 2 = 0 THEN '' ELSE ' zzz' END AS text FROM benchmark), {sql_bm25(_PAGES, asked='SELECT * FROM asked', name='b', k=20, weights=(('body', 1),))}, n AS ({_NAMED}),
+x AS (SELECT b.query, b.doc, round(b.score * CASE WHEN name <> '' AND contains(lower(name), lower(asked.text)) THEN 3.0 ELSE 1.0 END * CASE WHEN len(imports) > 0 AND len(list_filter(string_split_regex(lower(asked.text), '\s+'), lambda w: w <> '' AND contains(lower(array_to_string(imports, ' ')), w))) > 0 THEN 0.5 ELSE 1.0 END, 6) AS score FROM b JOIN n USING (doc) JOIN asked ON asked.query = b.query)
+SELECT query, doc, score, {_TOP} FROM x QUALIFY rank <= 10""")
+def field_boost_imports(spark: SparkSession, d: str) -> DataFrame:
+    """Three times the score if the page's name holds the query, half of it if its links hold a word of the query."""
+    pages = table(spark, d, "pages").select("page_id", F.regexp_replace("html", "<[^>]*>", " ").alias("body"), F.regexp_extract("html", "<title>([^ <]*)", 1).alias("name"), F.regexp_extract_all("html", F.lit('href="/([^"]*)"'), F.lit(1)).alias("imports"))
+    word = F.regexp_extract("text", "^[a-zA-Z]+", 0)
+    asked = table(spark, d, "benchmark").select("item_id", F.when(F.col("item_id") % 2 == 0, word).otherwise(F.concat(word, F.lit(" zzz"))).alias("text"))
+    hits = sparse.search(pages, asked, 20, "page_id", {"body": 1})
+    return fusion.field_boost(hits, pages.select(F.col("page_id").alias("doc"), "name", "imports"), asked.select(F.col("item_id").alias("query"), "text"), 10).select("query", "doc", "score", "rank")
+
+
+@query(f"WITH {_LISTS}, f AS (SELECT query, doc, round(sum(CASE retriever WHEN 'sparse' THEN 0.25 ELSE 0.75 END / (60 + rank)), 6) AS score, max(score) FILTER (retriever = 'sparse') AS sparse_score, max(score) FILTER (retriever = 'dense') AS dense_score FROM hits GROUP BY 1, 2) SELECT *, {_TOP} FROM f QUALIFY rank <= 10")
+def hybrid_components(spark: SparkSession, d: str) -> DataFrame:
+    """Fused lists with each list's own score; weights are made to sum to 1."""
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc"), F.col("embedding").alias("v"))
+    asked = table(spark, d, "benchmark").join(rows, F.col("item_id") == F.col("doc")).select(F.col("item_id").alias("query"), F.col("v").alias("qv"))
+    return fusion.hybrid({"sparse": _bm25(spark, d, 30), "dense": dense.search(rows, asked, 30)}, 10, {"sparse": 1, "dense": 3}).select("query", "doc", "score", "sparse_score", "dense_score", "rank")
+
+
+@query("SELECT doc_id, md5('File: ' || source || CASE WHEN coalesce(lang, '') <> '' THEN ', Name: ' || lang ELSE '' END || chr(10) || 'Type: module' || chr(10) || 'Imports: ' || array_to_string(string_split(substr(text, 1, 60), ' ')[1:5], ', ') || chr(10) || 'Content:' || chr(10) || CASE WHEN length(text) > 412 THEN substr(text, 1, 412) || '...' ELSE text END) AS pair_md5 FROM documents")
+def rerank_pairs(spark: SparkSession, d: str) -> DataFrame:
+    t = fusion.pair_text(F.col("source"), F.col("lang"), F.lit("module"), F.split(F.substring("text", 1, 60), " "), F.col("text"))
+    return table(spark, d, "documents").select("doc_id", F.md5(t).alias("pair_md5"))
+
+
+def _common_length() -> "object":
+    """The model of the query: a stand-in for one that would be loaded from a file."""
+    return lambda qs, ts: [min(len(q), len(t)) / max(1, max(len(q), len(t))) for q, t in zip(qs, ts, strict=True)]
+
+
+@query(f"""WITH {sql_bm25(k=20)}, r AS (SELECT query, doc, least(length(q.text), length(x.text)) / greatest(1, length(q.text), length(x.text)) AS raw FROM bm25 b JOIN documents x ON doc_id = doc JOIN benchmark q ON item_id = query),
+s AS (SELECT query, doc, {_SCALE.format(x='raw')} AS score FROM r WINDOW w AS (PARTITION BY query)) SELECT *, {_TOP} FROM s QUALIFY rank <= 10""")
+def rerank_model(spark: SparkSession, d: str) -> DataFrame:
+    """A scorer that is loaded once in a worker and gets batches of pairs."""
+    both = _bm25(spark, d, 20).join(table(spark, d, "documents").select(F.col("doc_id").alias("doc"), "text"), "doc").join(table(spark, d, "benchmark").select(F.col("item_id").alias("query"), F.col("text").alias("asked")), "query")
+    return fusion.rerank(both, fusion.model_scorer(_common_length, F.col("asked"), F.col("text")), 20, 10).select("query", "doc", "score", "rank")
+
+
+@query(f"""WITH {sql_bm25(k=20)}, p AS (SELECT query, doc, rank AS r, CASE WHEN rank <= 10 AND doc % 4 <> 0 THEN (doc % 11) / 10.0 ELSE score END::DOUBLE AS score FROM bm25)
+SELECT query, doc, score, CASE WHEN r > 10 THEN r ELSE row_number() OVER (PARTITION BY query, r > 10 ORDER BY score DESC, doc) END AS rank FROM p""")
+def rerank_points(spark: SparkSession, d: str) -> DataFrame:
+    """Points out of ten for some of the first ten hits."""
+    hits = _bm25(spark, d, 20).select("query", "doc", "score", "rank")
+    points = hits.where("rank <= 10 and doc % 4 <> 0").select("query", "doc", (F.col("doc") % 11).alias("points"))
+    return fusion.rerank_by_table(hits, points).select("query", "doc", "score", "rank")
+
+
+def _counted() -> "object":
+    return lambda texts: [[float(len(t)), float(t.count(" ")), float(t.count("\n"))] for t in texts]
+
+
+@query("SELECT doc_id, length(text)::DOUBLE AS a, (length(text) - length(replace(text, ' ', '')))::DOUBLE AS b, (length(text) - length(replace(text, chr(10), '')))::DOUBLE AS c FROM documents")
+def encoded_texts(spark: SparkSession, d: str) -> DataFrame:
+    """An encoder that is loaded once in a worker and gets batches of texts."""
+    v = table(spark, d, "documents").select("doc_id", dense.encode(_counted, F.col("text")).alias("v"))
+    return v.select("doc_id", F.get("v", F.lit(0)).alias("a"), F.get("v", F.lit(1)).alias("b"), F.get("v", F.lit(2)).alias("c"))
 
 
 _TYPES = "CASE lang WHEN 'en' THEN 'file_content' WHEN 'de' THEN 'function_definition' WHEN 'fr' THEN 'documentation' ELSE 'related_code' END"
@@ -281,3 +428,101 @@ def source_shares(spark: SparkSession, d: str) -> DataFrame:
     n = table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("n"))
     whole = Window.partitionBy()
     return n.select("source", "n", F.round(100.0 * F.col("n") / F.sum("n").over(whole), 6).alias("share"), F.row_number().over(Window.orderBy(F.desc("n"), "source")).alias("rank"))
+
+
+_CHUNKS = """c AS (SELECT doc_id AS doc, doc_id % 20 AS query, source || '/' || lang || '.py' AS path, 1 AS start_line, len(string_split(text, chr(10))) AS end_line, text AS content, CASE doc_id % 8 WHEN 0 THEN 'function' WHEN 1 THEN 'method' WHEN 2 THEN 'class' WHEN 3 THEN 'import' WHEN 4 THEN 'test' WHEN 5 THEN 'error' WHEN 6 THEN 'module' ELSE 'other' END AS kind, ((doc_id * 37) % 101)::DOUBLE AS score FROM documents),
+t AS (SELECT *, CASE kind WHEN 'function' THEN 'function_definition' WHEN 'method' THEN 'function_definition' WHEN 'class' THEN 'class_definition' WHEN 'import' THEN 'import_dependency' WHEN 'test' THEN 'test_context' WHEN 'error' THEN 'error_context' ELSE 'file_content' END AS context_type FROM c)"""
+_CORE = "CASE context_type " + " ".join(f"WHEN '{t}' THEN {i}" for i, t in enumerate(context.CORE_PRIORITY)) + " END"
+_PROMPT = "CASE context_type " + " ".join(f"WHEN '{t}' THEN {i}" for i, t in enumerate(context.PRIORITY)) + f" ELSE {len(context.PRIORITY)} END"
+
+
+def _chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as chunks of twenty queries."""
+    kinds = F.array(*map(F.lit, ["function", "method", "class", "import", "test", "error", "module", "other"]))
+    c = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), (F.col("doc_id") % 20).alias("query"), F.concat("source", F.lit("/"), "lang", F.lit(".py")).alias("path"), F.lit(1).alias("start_line"), F.size(T.lines(F.col("text"))).alias("end_line"), F.col("text").alias("content"), F.element_at(kinds, (F.col("doc_id") % 8 + 1).cast("int")).alias("kind"), ((F.col("doc_id") * 37) % 101).cast("double").alias("score"))
+    return c.withColumn("context_type", context.context_type(F.col("kind")))
+
+
+@query(f"""WITH {_CHUNKS}, r AS (SELECT *, length(content) // 4 AS n, sum(length(content) // 4) OVER w AS upto, row_number() OVER w AS place FROM t WINDOW w AS (PARTITION BY query ORDER BY {_CORE}, score DESC, doc ROWS UNBOUNDED PRECEDING)),
+x AS (SELECT *, 4000 - (upto - n) AS room, upto > 4000 AND 4000 - (upto - n) > 100 AND context_type = 'file_content' AS truncated FROM r)
+SELECT query, doc, place, truncated, (CASE WHEN truncated THEN least(length(content), room * 4) ELSE length(content) END // 4)::BIGINT AS tokens FROM x WHERE upto <= 4000 OR truncated""")
+def context_core(spark: SparkSession, d: str) -> DataFrame:
+    return context.core_trim(_chunks(spark, d), 4000).select("query", "doc", "place", "truncated", "tokens")
+
+
+_BLOCKS = f"""{_CHUNKS}, bl AS (SELECT *, '### ' || path || ' (lines ' || start_line || '-' || end_line || ')' || chr(10) || '```' || chr(10) AS head FROM t), bt AS (SELECT *, head || content || chr(10) || '```' AS whole, length(head || content || chr(10) || '```') // 4 AS n FROM bl),
+br AS (SELECT *, sum(n) OVER w AS upto, row_number() OVER w AS place FROM bt WINDOW w AS (PARTITION BY query ORDER BY {_PROMPT}, score DESC, path, start_line ROWS UNBOUNDED PRECEDING)),
+bx AS (SELECT *, 6500 - (upto - n) - length(head) // 4 - 1 AS free, upto > 6500 AND 6500 - (upto - n) >= 0 AND context_type = 'file_content' AS may FROM br),
+by_ AS (SELECT *, may AND free >= 50 AS truncated, CASE WHEN may AND free >= 50 THEN head || substr(content, 1, (free * 4)::BIGINT) || CASE WHEN length(content) > free * 4 THEN chr(10) || '... [truncated]' ELSE '' END || chr(10) || '```' ELSE whole END AS block FROM bx WHERE upto <= 6500 OR (may AND free >= 50))"""
+
+
+def _unlike(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks whose paths differ, so that their order is fixed."""
+    return _chunks(spark, d).withColumn("path", F.concat("path", F.lit("#"), F.col("doc").cast("string")))
+
+
+_BLOCKS = _BLOCKS.replace("source || '/' || lang || '.py' AS path", "source || '/' || lang || '.py#' || doc_id AS path")
+
+
+@query(f"WITH {_BLOCKS} SELECT query, place, md5(block) AS block_md5, (length(block) // 4)::BIGINT AS tokens, truncated FROM by_")
+def context_blocks(spark: SparkSession, d: str) -> DataFrame:
+    return context.prompt_blocks(_unlike(spark, d)).select("query", "place", F.md5("block").alias("block_md5"), "tokens", "truncated")
+
+
+_ASKED = "p AS (SELECT item_id % 20 AS query, arg_min(text, item_id) AS text, CASE WHEN item_id % 20 % 2 = 0 THEN 'hint ' || min(item_id) END AS hints FROM benchmark GROUP BY item_id % 20)"
+
+
+def _asked(spark: SparkSession, d: str) -> DataFrame:
+    q = F.col("item_id") % 20
+    return table(spark, d, "benchmark").groupBy(q.alias("query")).agg(F.min_by("text", "item_id").alias("text"), F.min("item_id").alias("i")).select("query", "text", F.when(F.col("query") % 2 == 0, F.concat(F.lit("hint "), F.col("i").cast("string"))).alias("hints"))
+
+
+@query(f"""WITH {_BLOCKS}, {_ASKED}, s AS (SELECT query, sum(length(block) // 4)::BIGINT AS context_tokens FROM by_ GROUP BY 1), a AS (SELECT query, length(text) // 4 AS problem_tokens, length(coalesce(hints, '')) // 4 AS hints_tokens, coalesce(context_tokens, 0) AS context_tokens FROM p LEFT JOIN s USING (query))
+SELECT *, context_tokens + problem_tokens + hints_tokens + 300 AS total, context_tokens + problem_tokens + hints_tokens + 300 <= 7000 AS within_budget FROM a""")
+def prompt_tokens(spark: SparkSession, d: str) -> DataFrame:
+    return context.token_estimate(context.prompt_blocks(_unlike(spark, d)), _asked(spark, d), 300, 7000)
+
+
+@query(f"""WITH {_BLOCKS}, {_ASKED}, s AS (SELECT query, string_agg(block, chr(10) || chr(10) ORDER BY place) AS context FROM by_ GROUP BY 1)
+SELECT query, md5(concat_ws(chr(10) || chr(10), '# Problem' || chr(10) || text, '# Hints' || chr(10) || hints, '# Context' || chr(10) || context)) AS prompt_md5 FROM p LEFT JOIN s USING (query)""")
+def prompt_texts(spark: SparkSession, d: str) -> DataFrame:
+    return context.prompts(_asked(spark, d), context.prompt_blocks(_unlike(spark, d))).select("query", F.md5("prompt").alias("prompt_md5"))
+
+
+@query(f"WITH {_CHUNKS} SELECT query, doc, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM t WHERE context_type = 'function_definition' QUALIFY rank <= 5")
+def context_by_type(spark: SparkSession, d: str) -> DataFrame:
+    return context.most_relevant(context.by_type(_chunks(spark, d), "function_definition"), 5).select("query", "doc", "score", "rank")
+
+
+@query(r"""WITH f AS (SELECT regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS repo, regexp_extract(url, '^[a-z]+://[^/?#]+/([^?#]*)', 1) AS path FROM pages), k AS (SELECT DISTINCT repo, 0 AS kind, path AS item FROM f WHERE path <> '' UNION SELECT DISTINCT repo, 1, regexp_extract(path, '^(.*)/[^/]*$', 1) FROM f WHERE regexp_extract(path, '^(.*)/[^/]*$', 1) <> ''),
+n AS (SELECT *, row_number() OVER (PARTITION BY repo, kind ORDER BY item) AS n FROM k QUALIFY n <= 10 AND (kind = 0 OR n <= 5)), a AS (SELECT repo, string_agg(item, ', ' ORDER BY n) FILTER (kind = 0) AS f, string_agg(item, ', ' ORDER BY n) FILTER (kind = 1) AS d FROM n GROUP BY 1)
+SELECT repo, '### Repository Structure' || chr(10) || concat_ws(chr(10), 'Key files: ' || f, 'Directories: ' || d) AS structure FROM a""")
+def repo_structure(spark: SparkSession, d: str) -> DataFrame:
+    files = table(spark, d, "pages").select(F.regexp_extract("url", "^[a-z]+://([^/?#]+)", 1).alias("repo"), F.regexp_extract("url", "^[a-z]+://[^/?#]+/([^?#]*)", 1).alias("path"))
+    return context.structure_text(files)
+
+
+@query("SELECT event_type, event_id, count(*) OVER w AS gathered, avg((props->>'$.k')::BIGINT) OVER w AS mean_so_far FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)")
+def gather_stats(spark: SparkSession, d: str) -> DataFrame:
+    runs = table(spark, d, "events").withColumn("tokens", F.from_json("props", "k long")["k"])
+    return context.gather_stats(runs, "event_type", ["ts", "event_id"], "tokens").select("event_type", "event_id", "gathered", "mean_so_far")
+
+
+@query("SELECT doc_id, CASE WHEN m IN ('gpt-4o', 'gpt-4o-mini-x') THEN 'o200k_base' ELSE 'cl100k_base' END AS encoding FROM (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'gpt-4o' WHEN 1 THEN 'gpt-4o-mini-x' WHEN 2 THEN 'gpt-5-x' ELSE 'other' END AS m FROM documents)")
+def model_encoding(spark: SparkSession, d: str) -> DataFrame:
+    m = F.element_at(F.array(*map(F.lit, ["gpt-4o", "gpt-4o-mini-x", "gpt-5-x", "other"])), (F.col("doc_id") % 4 + 1).cast("int"))
+    return table(spark, d, "documents").select("doc_id", T.encoding_of(m).alias("encoding"))
+
+
+@query(r"""WITH r AS (SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'Sure.' || chr(10) || '```diff' || chr(10) || '--- a/x' || chr(10) || '+++ b/x' || chr(10) || '```' WHEN 1 THEN 'no patch, confidence: 0.7' WHEN 2 THEN 'text' || chr(10) || '--- a/y' || chr(10) || '+++ b/y' || chr(10) || '@@' ELSE 'Confidence score: 1.0 ' || text END AS reply FROM conversations)
+SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'diff --- a/x' || chr(10) || '+++ b/x' WHEN 2 THEN '--- a/y' || chr(10) || '+++ b/y' || chr(10) || '@@' END AS patch, CASE turn % 4 WHEN 1 THEN 0.7::DOUBLE WHEN 3 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS confidence FROM r""")
+def reply_patches(spark: SparkSession, d: str) -> DataFrame:
+    forms = F.array(F.lit("Sure.\n```diff\n--- a/x\n+++ b/x\n```"), F.lit("no patch, confidence: 0.7"), F.lit("text\n--- a/y\n+++ b/y\n@@"), F.concat(F.lit("Confidence score: 1.0 "), F.col("text")))
+    r = table(spark, d, "conversations").select("conv_id", "turn", F.element_at(forms, (F.col("turn") % 4 + 1).cast("int")).alias("reply"))
+    return r.select("conv_id", "turn", T.patch_of(F.col("reply")).alias("patch"), T.confidence_of(F.col("reply")).alias("confidence"))
+
+
+@query(r"""SELECT page_id, regexp_extract(p, '([^/]*)$', 1) AS base, lower(regexp_extract(regexp_extract(p, '([^/]*)$', 1), '[^.](\.[^.]+)$', 1)) AS ext FROM (SELECT page_id, regexp_extract(url, '^[a-z]+://([^?#]+)', 1) || '.PY' AS p FROM pages)""")
+def path_parts(spark: SparkSession, d: str) -> DataFrame:
+    p = F.concat(F.regexp_extract("url", "^[a-z]+://([^?#]+)", 1), F.lit(".PY"))
+    return table(spark, d, "pages").select("page_id", T.basename(p).alias("base"), T.extension(p).alias("ext"))
