@@ -145,4 +145,7 @@ def test_registry():
 def test_file_scores_count_the_path(spark):
     files = spark.createDataFrame([("src/Parser.py", "parser here\nand a parser"), ("src/b.py", "parser\nparser\nx"), ("src/c.py", "none")], "doc string, text string")
     words = spark.createDataFrame([(1, "PARSER"), (1, "parser")], "query int, word string")
-    assert [(r.doc, r.score) for r in explore.keyword_file_scores(files, words).orderBy("rank").collect()] == [("src/Parser.py", 3.0), ("src/b.py", 2.0)]
+    assert [(r.doc, r.score) for r in explore.file_scores(files, words).orderBy("rank").collect()] == [("src/Parser.py", 3.0), ("src/b.py", 2.0)]
+    assert [(r.doc, r.score) for r in explore.file_scores(files, words, layered=True).orderBy("rank").collect()] == [("src/Parser.py", 7.0), ("src/b.py", 3.0)]
+    tests = spark.createDataFrame([(1, "pkg.B_py.c.py")], "query int, test string")
+    assert explore.file_scores(files, words, tests).where("doc = 'src/c.py'").count() == 0
