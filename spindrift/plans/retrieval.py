@@ -58,7 +58,25 @@ def char_chunks_fixed(spark: SparkSession, d: str) -> DataFrame:
     return chunking.char_chunks(table(spark, d, "documents")).select("doc_id", "start", F.md5("content").alias("content_md5"))
 
 
-@query()
+#: Ends of windows, step by step: i and n are a boundary's place from the end of the last fifth and its length, f its place, e the end so far.
+_KINDS = (("chr(10) || chr(10)", 2), ("chr(10)", 1), ("' .'", 2), ("' '", 1))
+_SEEN = ", ".join(f"instr(reverse(substr(text, pos + 801, whole + {n} - pos - 800)), {b}) AS i{j}, length(substr(text, pos + 801, whole + {n} - pos - 800)) AS n{j}" for j, (b, n) in enumerate(_KINDS))
+_PLACED = ", ".join(f"CASE WHEN i{j} > 0 AND whole < length(text) THEN pos + 800 + n{j} - i{j} + 1 - {n} ELSE -1 END AS f{j}" for j, (_, n) in enumerate(_KINDS))
+
+
+def _ends(pos: str) -> str:
+    """FROM clause with doc_id, text, pos and e of the windows that start at pos."""
+    rows = f"(SELECT *, whole AS e FROM (SELECT *, {_PLACED} FROM (SELECT *, {_SEEN} FROM (SELECT *, least(pos + 1000, length(text)) AS whole FROM ({pos})))))"
+    for j, (_, n) in enumerate(_KINDS):
+        rows = f"(SELECT * REPLACE (CASE WHEN f{j} > pos + 800 AND f{j} < e THEN f{j} + {n} ELSE e END AS e) FROM {rows})"
+    return rows
+
+
+_CUTS = f"""w AS (SELECT doc_id, text, pos, e FROM {_ends("SELECT doc_id, text, 0::BIGINT AS pos FROM documents WHERE length(text) > 0")}
+  UNION ALL SELECT doc_id, text, pos, e FROM {_ends("SELECT doc_id, text, greatest(e - 200, pos + 1) AS pos FROM w WHERE e < length(text)")})"""
+
+
+@query(rf"""WITH RECURSIVE {_CUTS} SELECT doc_id, pos::INT AS start, substr(text, pos + 1, e - pos) AS content FROM w WHERE length({sql_strip("substr(text, pos + 1, e - pos)")}) >= 100""")
 def char_chunks_boundary(spark: SparkSession, d: str) -> DataFrame:
     return chunking.boundary_chunks(table(spark, d, "documents"))
 
