@@ -2,22 +2,22 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spindrift import tables
+from spindrift.tables import filesystem, reading, release, scratch
+
+__all__ = ["Scope", "cut", "filesystem", "literal_table", "lower_ascii", "raw", "reading", "release", "scratch", "slices", "table"]
+
 #: Separators of the contracts' words: space and the five ASCII controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Rows of text that a worker turns into Python objects at a time.
 TEXT_BATCH = 400
-_OWN: dict[str, str] = {}
 _SCOPES: list[list[DataFrame]] = []
 
 
@@ -37,58 +37,15 @@ def raw(col: pa.Array) -> list[bytes | None]:
     return col.cast(pa.binary()).to_pylist()
 
 
-def scratch(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir.
-
-    Where it is unset a folder of this process is used if driver and workers are one machine (local[n], tests); a cluster
-    without the setting is refused, as a machine's own folder isn't seen by the others.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    master = spark.sparkContext.master
-    if master != "local" and not master.startswith("local["):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN:
-        _OWN[app] = tempfile.mkdtemp(prefix="scratch-")
-        atexit.register(shutil.rmtree, _OWN[app], True)
-    return "file://" + _OWN[app]
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it again: the lineage ends there,
-    and a lost executor costs at most a re-read.  release() removes the table."""
-    spark = df.sparkSession
-    path = f"{scratch(spark)}/cut-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._cuts = [path]
+    and a lost executor costs at most a re-read.  release() or the end of a Scope removes the table."""
+    out = tables.cut(df)
     for s in _SCOPES:
         s.append(out)
     return out
 
 
-def reading(out: DataFrame, *tables: DataFrame) -> DataFrame:
-    """out, a lazy result that reads tables of cut(): release(out) removes them once it is used."""
-    out._cuts = [p for t in tables for p in getattr(t, "_cuts", [])]
-    return out
-
-
-def filesystem(spark: SparkSession, path: str):
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
-
-
-def release(*tables: DataFrame) -> None:
-    """Remove tables of cut() that nothing lazy reads any more."""
-    for t in tables:
-        for path in getattr(t, "_cuts", []):
-            fs, p = filesystem(t.sparkSession, path)
-            fs.delete(p, True)
-
-
 class Scope:
     """with Scope() as s: ... s.keep(df); at the end all tables that were cut inside go but those kept."""
 

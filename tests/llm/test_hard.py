@@ -372,20 +372,6 @@ def test_fingerprints_of_hard_ids(spark, monkeypatch, stretch):
     assert Counter(want) == Counter((r.doc_id, r.edited_sha256, round(r.near_edited, 9), round(r.near_next, 9)) for r in got)
 
 
-def test_scratch_needs_a_shared_folder(spark, monkeypatch):
-    class Far:
-        master, applicationId = "local-cluster[3,2,1000]", "far"
-
-    class Session:
-        sparkContext, conf = Far(), spark.conf
-
-    monkeypatch.setattr(common, "_OWN", {})
-    if spark.conf.get("spark.checkpoint.dir", None) is None:
-        with pytest.raises(RuntimeError, match=r"spark\.checkpoint\.dir"):
-            common.scratch(Session())
-        assert common.scratch(spark).startswith("file:///") and spark.conf.get("spark.checkpoint.dir", None) is None
-
-
 def test_scope_releases(spark):
     with common.Scope() as s:
         a, b = common.cut(spark.range(3)), s.keep(common.cut(spark.range(4)))
