@@ -175,9 +175,10 @@ class Linked:
         links = self._links(rows, reps, m, percent, width, exact)
         comps = connected_components(reduce(DataFrame.unionByName, links).toDF("src", "dst"))
         named = cut(reps.select("id", "low").join(comps.toDF("id", "c"), "id", "left").select(F.col("id").alias("digest"), F.coalesce("c", "id").alias("c"), "low"))
-        least = named.groupBy("c").agg(F.min("low").alias("component_id"))
+        # A table of its own, so that Spark may split a large component's rows in the join.
+        least = cut(named.groupBy("c").agg(F.min("low").alias("component_id")))
         self.named = cut(named.join(least, "c").select("digest", "c", "component_id"))
-        release(reps, named, comps, *links)
+        release(reps, named, least, comps, *links)
 
     def _links(self, rows: DataFrame, reps: DataFrame, m: int, percent: int, width: int, exact: bool) -> list[DataFrame]:
         def text_of(wanted: DataFrame) -> DataFrame:
@@ -253,8 +254,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pe
     found = Linked(docs, id_col, text_col, percent, width, exact)
     key = ["id", "h1", "h2"]
     in_class = found.sigs.where("n > 0").join(found.named, "digest").groupBy("c", *key).agg(F.count("*").alias("copies"))
-    best = in_class.groupBy("c").agg(F.min(F.struct(F.col("id").isNull(), *key)).alias("best"))
+    in_class = cut(in_class)
+    best = cut(in_class.groupBy("c").agg(F.min(F.struct(F.col("id").isNull(), *key)).alias("best")))
     ranked = cut(in_class.join(best, "c").select(*key, "copies", *(F.col(f"best.{k}").eqNullSafe(F.col(k)).alias(f"is_{k}") for k in key)).select(*key, "copies", (F.col("is_id") & F.col("is_h1") & F.col("is_h2")).alias("stays")))
+    release(in_class, best)
     gone = ranked.where("not stays or copies > 1").select(*(F.col(k).alias(f"_gone_{k}") for k in key))
     rows = docs.select(F.struct("*").alias("_row"), *(c.alias(f"_row_{k}") for k, c in row_key(id_col, text_col).items()))
     same = F.col("_row_id").eqNullSafe(F.col("_gone_id")) & (F.col("_row_h1") == F.col("_gone_h1")) & (F.col("_row_h2") == F.col("_gone_h2"))
