@@ -11,18 +11,25 @@ import json
 import math
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindrift.llm.common import filesystem
 
 
+#: Times that an append tries to commit on top of other writers' versions.
+COMMITS = 20
+
+
 class ShardStore:
     """A table of shards under one folder of a shared file system.
 
     data/<shard>/ holds Parquet files that never change; manifests/<version>.json lists the shards of a version with their
     tier, bytes and files.  A writer that fails leaves files that no manifest names: readers never see them and
-    vacuum() removes them.  Two writers can't commit the same version: the second one's rename is refused.
+    vacuum() removes them.  Two writers can't commit the same version: a manifest is renamed into place only if there is none, which
+    HDFS decides in one step; a store whose rename is a copy needs a catalog of its own for several writers at once.
+    An append that comes second is committed on top of the first; a compaction that does is refused.
     """
 
     def __init__(self, spark: SparkSession, root: str, small_bytes: int = 1 << 20, fanout: int = 4, target_bytes: int = 128 << 20):
@@ -53,15 +60,22 @@ class ShardStore:
     def commit(self, base: dict, shards: list[dict], schema: str) -> dict:
         """The next version after base, written aside and renamed; raises if another writer took it."""
         new = {"version": base["version"] + 1, "schema": schema, "shards": sorted(shards, key=lambda s: s["id"])}
-        final = f"{self.root}/manifests/{new['version']:010d}.json"
-        fs, to = filesystem(self.spark, final)
-        aside = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/manifests/.{uuid.uuid4().hex}.tmp")
+        jvm = self.spark._jvm
+        fs, to = filesystem(self.spark, f"{self.root}/manifests/{new['version']:010d}.json")
+        aside = jvm.org.apache.hadoop.fs.Path(f"{self.root}/manifests/.{uuid.uuid4().hex}.tmp")
         out = fs.create(aside, False)
         out.write(json.dumps(new).encode())
         out.close()
-        if fs.exists(to) or not fs.rename(aside, to):
+        kind = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+        keep = self.spark.sparkContext._gateway.new_array(kind, 1)
+        keep[0] = kind.NONE  # an existing file is not replaced
+        try:
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(to.toUri(), self.spark._jsc.hadoopConfiguration()).rename(aside, to, keep)
+        except Py4JJavaError as e:
             fs.delete(aside, False)
-            raise RuntimeError(f"version {new['version']} was committed by another writer")
+            if not fs.exists(to):
+                raise
+            raise RuntimeError(f"version {new['version']} was committed by another writer") from e
         return new
 
     # Shards
@@ -79,12 +93,11 @@ class ShardStore:
     def append(self, df: DataFrame, arrival: str | None = None) -> dict:
         """df's rows as small shards, one for each value of the column `arrival` (one in all if it is not given); they are
         visible once the manifest is there.  An empty df adds a version without new shards."""
-        base, batch = self.manifest(), uuid.uuid4().hex[:12]
+        batch = uuid.uuid4().hex[:12]
         at = f"data/{batch}"
         fields = [f for f in df.schema.fields if f.name != arrival]
         schema = type(df.schema)(fields).json()
-        if base["schema"] and json.loads(base["schema"]) != json.loads(schema):
-            raise ValueError("the arrival's columns differ from the table's")
+        self._same_columns(self.manifest(), schema)
         writer = df.write.option("compression", "zstd")
         (writer.partitionBy(arrival) if arrival else writer).parquet(f"{self.root}/{at}")
         fs, p = filesystem(self.spark, f"{self.root}/{at}")
@@ -93,7 +106,20 @@ class ShardStore:
             added = [self._shard(f"{batch}-{n.split('=', 1)[1]}", f"{at}/{n}") for n in sorted(names)]
         else:
             added = [self._shard(batch, at)]
-        return self.commit(base, base["shards"] + [s for s in added if s["bytes"]], schema)
+        for left in range(COMMITS - 1, -1, -1):
+            base = self.manifest()
+            self._same_columns(base, schema)
+            try:
+                return self.commit(base, base["shards"] + [s for s in added if s["bytes"]], schema)
+            except RuntimeError:
+                if not left:
+                    raise
+        raise AssertionError
+
+    @staticmethod
+    def _same_columns(base: dict, schema: str) -> None:
+        if base["schema"] and json.loads(base["schema"]) != json.loads(schema):
+            raise ValueError("the arrival's columns differ from the table's")
 
     def _load(self, shards: list[dict], schema: str) -> DataFrame:
         from pyspark.sql.types import StructType
@@ -131,15 +157,21 @@ class ShardStore:
         return now
 
     def _runs(self, shards: list[dict]) -> list[list[dict]]:
-        """Groups of similar shards to merge: all of a tier with `fanout` or more, smallest first."""
+        """Groups of similar shards to merge: all of a tier with `fanout` or more, smallest first.
+
+        Shards whose files are of the target size already, or half of it, gain nothing and are left as they are.
+        """
         tiers: dict[int, list[dict]] = {}
-        for s in sorted(shards, key=lambda s: (s["bytes"], s["id"])):
+        for s in sorted((s for s in shards if 2 * s["bytes"] < self.target_bytes * s["files"]), key=lambda s: (s["bytes"], s["id"])):
             tiers.setdefault(s["tier"], []).append(s)
         return [t for _, t in sorted(tiers.items()) if len(t) >= self.fanout]
 
-    def vacuum(self) -> int:
-        """Remove shards that the newest manifest doesn't name; older versions can't be read afterwards."""
-        live = {s["path"] for s in self.manifest()["shards"]}
+    def vacuum(self, versions: int = 1) -> int:
+        """Remove shards that none of the newest `versions` manifests names; older versions can't be read afterwards.
+
+        Not while a writer is at work: what it has written isn't in a manifest yet.
+        """
+        live = {s["path"] for v in self.versions()[-versions:] for s in self.manifest(v)["shards"]}
         fs, p = filesystem(self.spark, f"{self.root}/data")
         gone = 0
         for folder in fs.listStatus(p) if fs.exists(p) else []:

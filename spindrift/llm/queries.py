@@ -60,7 +60,9 @@ def op8_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     store.append(docs.withColumn("_arrival", F.pmod(F.xxhash64("doc_id"), F.lit(ARRIVALS))), "_arrival")
     store.compact()
     store.vacuum()
-    return store.read().select("doc_id", "lang", "source", "n_chars", F.length("text").cast("long").alias("read_chars"), F.md5("text").alias("text_md5"))
+    out = store.read().select("doc_id", "lang", "source", "n_chars", F.length("text").cast("long").alias("read_chars"), F.md5("text").alias("text_md5"))
+    out._cuts = [store.root]  # for release(), once the rows are used
+    return out
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

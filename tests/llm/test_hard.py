@@ -353,9 +353,8 @@ def _parts(t):
     return {p for p in re.split(r"\s*\n\s*|(?<=[.!?])\s+", t, flags=re.ASCII) if p}
 
 
-@pytest.mark.parametrize("stretch", [2, 500])
-def test_fingerprints_of_hard_ids(spark, monkeypatch, stretch):
-    monkeypatch.setattr(fingerprints, "STRETCH", stretch)
+def test_fingerprints_of_hard_ids(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "STRETCH", 2)
     monkeypatch.setattr(fingerprints, "QUANTILES", 8)
     rng = np.random.default_rng(8)
     text = lambda i: " ".join(f"S{i} number {j}." for j in range(rng.integers(0, 6))) or None

@@ -318,6 +318,22 @@ def test_compaction(spark, tmp_path):
         store.commit(store.manifest(done["version"] - 1), [], done["schema"])
 
 
+def test_compaction_by_several_writers(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    store = compaction.ShardStore(spark, f"file://{tmp_path}/t", small_bytes=1000, fanout=3, target_bytes=1)
+    d = spark.range(20)
+    with ThreadPoolExecutor(4) as pool:
+        versions = sorted(m["version"] for m in pool.map(lambda _: store.append(d), range(8)))
+    assert versions == list(range(1, 9)) and store.read().count() == 160 and len(store.manifest()["shards"]) == 8
+    # All files are of the target size, so nothing is merged; the last three versions stay readable.
+    assert store.compact()["version"] == 8
+    small = compaction.ShardStore(spark, store.root, small_bytes=1000, fanout=3)
+    assert small.compact()["version"] > 8
+    small.vacuum(2)
+    assert small.read().count() == 160 == small.read(small.versions()[-2]).count()
+
+
 @pytest.mark.parametrize("limits", [{}, {"max_segments": 2}, {"capacity": 64, "max_segments": 3, "max_loss": 20}])
 def test_packing(spark, sf, limits):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()] + [(10_000, None), (10_001, ""), (10_002, LONG)]
