@@ -203,9 +203,9 @@ def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     w = Window.partitionBy("stretch").orderBy(F.col("id").asc_nulls_last(), "md5")
     led = _derived(placed.repartition("stretch"))
     led = led.withColumn("last", F.lead(F.lit(1)).over(w).isNull()).withColumns({f"next_{c}": F.lead(c).over(w) for c in ("text", "a", "sa")})
-    # One row for each stretch.
+    # One row for each stretch, some MOST_STRETCHES at most, of 100 bytes each; texts aren't shuffled for it.
     firsts = placed.groupBy("stretch").agg(F.min(F.struct(F.col("id").isNull(), "id", "md5")).alias("f")).select(F.col("stretch").alias("s"), F.col("f.id").alias("first_id"), F.col("f.md5").alias("first_md5"))
-    first = placed.join(firsts, (F.col("stretch") == F.col("s")) & F.col("id").eqNullSafe(F.col("first_id")) & (F.col("md5") == F.col("first_md5")))
+    first = placed.join(F.broadcast(firsts), (F.col("stretch") == F.col("s")) & F.col("id").eqNullSafe(F.col("first_id")) & (F.col("md5") == F.col("first_md5")))
     first = cut(_derived(first.select("stretch", "text")))
     ring = first.select("stretch", F.coalesce(F.lead("stretch").over(Window.orderBy("stretch")), F.min("stretch").over(Window.partitionBy())).alias("after"))
     heads = first.select(F.col("stretch").alias("after"), *(F.col(c).alias(f"head_{c}") for c in ("text", "a", "sa")))
