@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from spindrift.functions.text import CHARS_PER_TOKEN
+from spindrift.operators.running import running_sums
 
 #: Order of the context types, first ones first.
 PRIORITY = ["error_context", "function_definition", "class_definition", "file_content", "related_code", "test_code", "documentation"]
@@ -118,7 +119,7 @@ def prompts(problems: DataFrame, blocks: DataFrame, by: str = "query", feedback:
     return problems.join(context, by, "left").select(by, F.concat_ws("\n\n", *parts).alias("prompt"))
 
 
-def gather_stats(runs: DataFrame, by: str, order: list[str], value: str) -> DataFrame:
-    """runs + gathered, mean_so_far: number of contexts gathered and the mean of `value` so far."""
-    w = Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return runs.withColumn("gathered", F.count("*").over(w)).withColumn("mean_so_far", F.avg(value).over(w))
+def gather_stats(runs: DataFrame, by: str, order: list[str], value: str, bucket: Column | None = None) -> DataFrame:
+    """runs + gathered, mean_so_far: number of contexts gathered and the mean of `value` so far; bucket: as running_sums() has it."""
+    out = running_sums(runs, [by], order, {"gathered": F.lit(1), "_sum": F.col(value)}, bucket)
+    return out.withColumn("mean_so_far", F.col("_sum") / F.col("gathered")).drop("_sum")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from spindrift.functions.text import diff_files, diff_names, test_list
+from spindrift.operators.running import running_sums
 
 def normalize(raw: DataFrame) -> DataFrame:
     """Source records to instances: renamed, test lists parsed, files and names of the patch derived, the rest in a map."""
@@ -63,13 +64,17 @@ def instance_rules() -> dict[str, Column]:
 
 
 def stratified_split(rows: DataFrame, by: str, id_col: str, seed: int = 42, train: float = 0.7, valid: float = 0.15) -> DataFrame:
-    """rows + split: within each stratum by the MD5 of id and seed, cut at floor(n * ratio) in double arithmetic."""
-    w = Window.partitionBy(by)
-    n = F.count("*").over(w)
-    place = F.row_number().over(w.orderBy(F.md5(F.concat(F.col(id_col).cast("string"), F.lit(str(seed)))), id_col))
-    a = F.floor(n * F.lit(train))
-    b = a + F.floor(n * F.lit(valid))
-    return rows.withColumn("split", F.when(place <= a, "train").when(place <= b, "valid").otherwise("test"))
+    """rows + split: within each stratum by the MD5 of id and seed, cut at floor(n * ratio) in double arithmetic.
+
+    Places are counted within 256 ranges of the MD5, so that a large stratum is no task's own.
+    """
+    key = F.md5(F.concat(F.col(id_col).cast("string"), F.lit(str(seed))))
+    placed = running_sums(rows.withColumn("_key", key), [by], ["_key", id_col], {"_place": F.lit(1)}, F.substring("_key", 1, 2))
+    sizes = rows.groupBy(F.col(by).alias("_stratum")).agg(F.count("*").alias("_n"))
+    a = F.floor(F.col("_n") * F.lit(train))
+    b = a + F.floor(F.col("_n") * F.lit(valid))
+    out = placed.join(sizes, F.col(by).eqNullSafe(F.col("_stratum")))
+    return out.withColumn("split", F.when(F.col("_place") <= a, "train").when(F.col("_place") <= b, "valid").otherwise("test")).drop("_key", "_place", "_stratum", "_n")
 
 
 def join_predictions(instances: DataFrame, predictions: DataFrame, col: str = "instance_id", order: str = "position") -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from spindrift.functions.text import lines, strip
+from spindrift.operators.running import running_sums
 
 #: Words that make a task hard or easy.
 HARD = ["refactor", "architecture", "redesign", "complex", "multiple"]
@@ -111,11 +112,11 @@ def line_accuracy(gold: DataFrame, ranges: DataFrame, by: str, tolerance: int =
     return hit.groupBy(by).agg(F.count("*").alias("gold_lines"), F.count("hit").alias("hit_lines"), F.round(F.count("hit") / F.count("*") * 100, 6).alias("line_accuracy"))
 
 
-def file_sets(rows: DataFrame, by: str, order: list[str], gold: str, pred: str) -> DataFrame:
+def file_sets(rows: DataFrame, by: str, order: list[str], gold: str, pred: str, bucket: Column | None = None) -> DataFrame:
     """by, order, exact, running_rate: whether gold and predicted files are the same set, and the share so far, percent."""
-    w = Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     same = F.sort_array(F.array_distinct(gold)) == F.sort_array(F.array_distinct(pred))
-    return rows.select(by, *order, same.alias("exact")).withColumn("running_rate", F.round(F.avg(F.col("exact").cast("int")).over(w) * 100, 6))
+    out = running_sums(rows.select(by, *order, same.alias("exact")), [by], order, {"_n": F.lit(1), "_k": F.col("exact").cast("int")}, bucket)
+    return out.withColumn("running_rate", F.round(F.col("_k") / F.col("_n") * 100, 6)).drop("_n", "_k")
 
 
 def localization(rows: DataFrame, by: list[str], gold: str, pred: str, ks: tuple[int, ...] = (1, 3, 5, 10)) -> DataFrame:

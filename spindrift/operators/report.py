@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from spindrift.operators.running import running_sums
+
 Z = 1.96
 
 
@@ -66,11 +68,10 @@ def grid(rows: DataFrame, by: str, across: str, values: list, agg: Column, empty
     return out.na.fill(empty) if empty is not None else out
 
 
-def running(rows: DataFrame, by: str, order: list[str], resolved: str) -> DataFrame:
-    """Instances so far, resolved so far and the running rate."""
-    w = Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    hit = F.col(resolved).cast("int")
-    return rows.withColumn("seen", F.count("*").over(w)).withColumn("resolved_so_far", F.sum(hit).over(w)).withColumn("running_rate", F.round(F.avg(hit).over(w) * 100, 6))
+def running(rows: DataFrame, by: str, order: list[str], resolved: str, bucket: Column | None = None) -> DataFrame:
+    """Instances so far, resolved so far and the running rate; bucket: as running_sums() has it."""
+    out = running_sums(rows, [by], order, {"seen": F.lit(1), "resolved_so_far": F.col(resolved).cast("int")}, bucket)
+    return out.withColumn("running_rate", F.round(F.col("resolved_so_far") / F.col("seen") * 100, 6))
 
 
 def unpivot(rows: DataFrame, ids: list[str], metrics: list[str]) -> DataFrame:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from spindrift.functions.text import codebleu_tokens
 from spindrift.operators import ingest, metrics, report
+from spindrift.operators.running import running_sums
 from spindrift.plans.base import SQL_DOT, registry, sql_strip, table
 
 QUERIES, ORACLES, query = registry()
@@ -16,6 +17,11 @@ TYPES = ["click", "error", "purchase", "signup", "view"]
 _R = "r AS (SELECT event_type AS method, user_id AS instance, value >= 50 AS resolved, value >= 10 AS applied, value AS seconds, (props->>'$.k')::BIGINT AS tokens, ts, event_id FROM events)"
 
 
+def _hour() -> Column:
+    """Running sums of the log go hour by hour, so that a method's rows are no single task's."""
+    return F.date_trunc("hour", F.col("ts"))
+
+
 def results(spark: SparkSession, d: str) -> DataFrame:
     """The event log as a run log: the type is the method, the user the instance, the value its seconds."""
     k = F.from_json("props", "k long")["k"]
@@ -140,9 +146,8 @@ def token_cost_by_model(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {_R}, w AS (SELECT method, event_id, (sum(tokens) OVER o)::DOUBLE AS t, (sum(resolved::INT) OVER o)::DOUBLE AS k FROM r WINDOW o AS (PARTITION BY method ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))
 SELECT method, event_id, CASE WHEN k = 0 THEN 'infinity'::DOUBLE ELSE t / 1000 * 0.02::DOUBLE / k END AS cost_per_resolved FROM w""")
 def cost_per_resolved(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("method").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    k = F.sum(F.col("resolved").cast("int")).over(w)
-    return results(spark, d).select("method", "event_id", F.when(k == 0, F.lit(float("inf"))).otherwise(F.sum("tokens").over(w) / 1000 * metrics.COST_PER_1K / k).alias("cost_per_resolved"))
+    so_far = running_sums(results(spark, d), ["method"], ["ts", "event_id"], {"t": F.col("tokens"), "k": F.col("resolved").cast("int")}, _hour())
+    return so_far.select("method", "event_id", F.when(F.col("k") == 0, F.lit(float("inf"))).otherwise(F.col("t") / 1000 * metrics.COST_PER_1K / F.col("k")).alias("cost_per_resolved"))
 
 
 @query(f"WITH {_ATT}, f AS (SELECT conv_id, min(n) FILTER (ok) AS attempts FROM a GROUP BY 1) SELECT attempts, count(*) AS instances FROM f WHERE attempts IS NOT NULL GROUP BY 1")
@@ -205,7 +210,7 @@ def repo_method_grid(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_R} SELECT method, event_id, count(*) OVER o AS seen, sum(resolved::INT) OVER o AS resolved_so_far, round(avg(resolved::INT) OVER o * 100, 6) AS running_rate FROM r WINDOW o AS (PARTITION BY method ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)")
 def running_progress(spark: SparkSession, d: str) -> DataFrame:
-    return report.running(results(spark, d), "method", ["ts", "event_id"], "resolved").select("method", "event_id", "seen", "resolved_so_far", "running_rate")
+    return report.running(results(spark, d), "method", ["ts", "event_id"], "resolved", _hour()).select("method", "event_id", "seen", "resolved_so_far", "running_rate")
 
 
 @query(f"WITH {_R} SELECT method, event_id, count(*) OVER o AS requests, (sum(tokens) OVER o)::BIGINT AS tokens_60s FROM (SELECT *, epoch_us(ts) AS us FROM r) WINDOW o AS (PARTITION BY method ORDER BY us RANGE BETWEEN 60000000 PRECEDING AND CURRENT ROW)")
@@ -281,7 +286,7 @@ def aggregated_metrics(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_R} SELECT method, event_id, round(avg(applied::INT) OVER o * 100, 6) AS running_rate, count(*) OVER o AS seen FROM r WINDOW o AS (PARTITION BY method ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)")
 def running_apply_rate(spark: SparkSession, d: str) -> DataFrame:
-    return report.running(results(spark, d), "method", ["ts", "event_id"], "applied").select("method", "event_id", "running_rate", "seen")
+    return report.running(results(spark, d), "method", ["ts", "event_id"], "applied", _hour()).select("method", "event_id", "running_rate", "seen")
 
 
 @query(f"WITH {_ATT}, c AS (SELECT conv_id, count(*) AS attempts FROM a GROUP BY 1) SELECT conv_id, attempts, round(avg(attempts) OVER w, 6) AS mean_so_far, max(attempts) OVER w AS most_so_far FROM (SELECT *, conv_id % 5 AS grp FROM c) WINDOW w AS (PARTITION BY grp ORDER BY conv_id ROWS UNBOUNDED PRECEDING)")

@@ -523,7 +523,7 @@ def repo_structure(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT event_type, event_id, count(*) OVER w AS gathered, avg((props->>'$.k')::BIGINT) OVER w AS mean_so_far FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)")
 def gather_stats(spark: SparkSession, d: str) -> DataFrame:
     runs = table(spark, d, "events").withColumn("tokens", F.from_json("props", "k long")["k"])
-    return context.gather_stats(runs, "event_type", ["ts", "event_id"], "tokens").select("event_type", "event_id", "gathered", "mean_so_far")
+    return context.gather_stats(runs, "event_type", ["ts", "event_id"], "tokens", F.date_trunc("hour", F.col("ts"))).select("event_type", "event_id", "gathered", "mean_so_far")
 
 
 @query("SELECT doc_id, CASE WHEN m IN ('gpt-4o', 'gpt-4o-mini-x') THEN 'o200k_base' ELSE 'cl100k_base' END AS encoding FROM (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'gpt-4o' WHEN 1 THEN 'gpt-4o-mini-x' WHEN 2 THEN 'gpt-5-x' ELSE 'other' END AS m FROM documents)")

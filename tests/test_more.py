@@ -211,3 +211,16 @@ def test_a_cluster_needs_a_shared_folder(spark):
             tables.scratch(Session())
     else:
         assert tables.scratch(Session()) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
+
+
+def test_running_sums_in_buckets(spark):
+    from spindrift.operators.running import running_sums
+
+    rng = np.random.default_rng(4)
+    rows = [(["a", "b", None][int(rng.integers(0, 3))], int(t), None if t % 7 == 0 else int(rng.integers(0, 9))) for t in rng.permutation(300)]
+    d = spark.createDataFrame(rows, "k string, t int, v int")
+    whole = running_sums(d, ["k"], ["t"], {"s": F.col("v"), "n": F.lit(1)})
+    parts = running_sums(d, ["k"], ["t"], {"s": F.col("v"), "n": F.lit(1)}, F.floor(F.col("t") / 20))
+    assert parts.columns == whole.columns and sorted(map(tuple, whole.collect()), key=str) == sorted(map(tuple, parts.collect()), key=str)
+    last = {r.k: r.s for r in whole.groupBy("k").agg(F.max_by("s", "t").alias("s")).collect()}
+    assert last == {k: sum(v or 0 for j, _, v in rows if j == k) for k in ("a", "b", None)}
