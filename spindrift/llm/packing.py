@@ -23,7 +23,7 @@ from spindrift.session import share_package
 
 END_ID = 2
 BUFFER = 256
-#: Words whose ids a worker remembers, at most about, in two halves; the half not used for longer goes first.
+#: Words whose ids a worker remembers, at most about; then it starts anew.
 WORDS_KEPT = 700_000
 
 
@@ -48,7 +48,6 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path or default_tokenizer())
         self.end = np.uint32(end_id).tobytes()
         self.known: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
@@ -56,6 +55,8 @@ class Encoder:
         spec = json.loads(self.tokenizer.to_str())["pre_tokenizer"] or {}
         found = [p["pattern"]["Regex"] for p in spec.get("pretokenizers", []) if p["type"] == "Split"]
         self.pattern = regex.compile(found[0]) if len(found) == 1 and self.ends.any() else None
+        small = "".join(chr(c) for c in range(33, 127) if not chr(c).isupper())
+        self.plain = self.tokenizer.normalizer is not None and self.tokenizer.normalizer.normalize_str(small) == small
 
     def _one_by_one(self, words: list[bytes]) -> None:
         found = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
@@ -63,7 +64,8 @@ class Encoder:
 
     def _together(self, words: list[bytes]) -> None:
         text = b" ".join(words).decode("utf-8", "replace")
-        normal = self.tokenizer.normalizer.normalize_str(text).split(" ")
+        # The normalizer leaves small ASCII letters and marks as they are.
+        normal = (text if self.plain and text.isascii() and text == text.lower() else self.tokenizer.normalizer.normalize_str(text)).split(" ")
         counts = [1 if w.isalpha() else 2 if w[:-1].isalpha() and w[-1] in ".,;:!?" else len(self.pattern.findall(w)) for w in normal]
         ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
         stops = np.flatnonzero(self.ends[ids]) + 1
@@ -80,19 +82,19 @@ class Encoder:
         # The tokenizer lower-cases; doing so first for A-Z leaves fewer different words.  Special tokens' strings stay as they are.
         texts = [t if isinstance(t, bytes) else (t or "").encode("utf-8", "surrogatepass") for t in texts]
         split = [(b if b"<|" in b else b.lower()).split() for b in texts]
-        if len(self.known) > WORDS_KEPT // 2:
-            self.known, self.older = {}, self.known
-        new = set().union(*split).difference(self.known)
-        again = new.intersection(self.older)
-        self.known.update((w, self.older[w]) for w in again)
-        new = list(new.difference(again))
+        if len(self.known) > WORDS_KEPT:
+            self.known.clear()  # the words in use are soon known again
+        new = list(set().union(*split).difference(self.known))
         # Special tokens' strings inside a word are ids of their own.
         odd = [w for w in new if b"<|" in w] if self.pattern else new
         new = [w for w in new if b"<|" not in w] if self.pattern else []
         for at in range(0, len(odd), 1024):
             self._one_by_one(odd[at : at + 1024])
-        for at in range(0, len(new), 512):
-            self._together(new[at : at + 512])
+        # Small ASCII words need no normalizer, so the others are apart.
+        ascii_ = [w for w in new if w.isascii()]
+        for some in (ascii_, [w for w in new if not w.isascii()]):
+            for at in range(0, len(some), 512):
+                self._together(some[at : at + 512])
         get = self.known.__getitem__
         return [b"".join(map(get, ws)) + self.end for ws in split]
 
@@ -172,7 +174,8 @@ class Packer:
             score[(n > tokens) | (need > loss)] = -1
             best = int(score.argmax())
             if score[best] < 0:
-                fits = np.fromiter((i.longest(tokens, loss) for i in self.held), float, len(self.held))
+                # Ids of each that fit: those before its loss-bearing ones, and as many of these as there is room for.
+                fits = np.minimum(np.minimum(n, tokens), n - need + loss)
                 best = int(fits.argmax())
             item = self.held[best]
             if length := item.longest(tokens, loss):
