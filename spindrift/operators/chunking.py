@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import ast
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 import pyarrow as pa
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from spindrift.functions.text import lines, strip, windows
+from spindrift.functions.text import line_number, lines, strip, windows
 
 CHUNK_SCHEMA = "path string, chunk_type string, name string, start_line int, end_line int, imports array<string>, content string"
 
@@ -108,3 +108,23 @@ def ast_chunks(files: DataFrame) -> DataFrame:
             yield pd.DataFrame([c for p, t in zip(pdf["path"], pdf["content"], strict=True) for c in syntax_chunks(p, t or "")], columns=[c.split()[0] for c in CHUNK_SCHEMA.split(", ")])
 
     return files.select("path", "content").mapInPandas(run, CHUNK_SCHEMA)
+
+
+def custom_chunks(files: DataFrame, cut: Callable[[str, str], Iterable[tuple[int, int]]], id_col: str = "path", text_col: str = "content") -> DataFrame:
+    """id, chunk, start, end, content of a chunker of one's own: cut(id, text) gives (start, end) in characters."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(i, n, s, e, (t or "")[s:e]) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for n, (s, e) in enumerate(cut(i, t or ""))]
+            cols = list(zip(*rows, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (b.column(0).type, pa.int32(), pa.int32(), pa.int32(), pa.string()), strict=True)], [id_col, "chunk", "start", "end", "content"])
+
+    given = files.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
+    return given.mapInArrow(run, f"`{id_col}` {given.schema['id'].dataType.simpleString()}, chunk int, start int, `end` int, content string")
+
+
+def with_lines(chunks: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", start: str = "start", content: str = "content") -> DataFrame:
+    """chunks + start_line, end_line (from 1) of their text in docs."""
+    whole = docs.select(F.col(id_col), F.col(text_col).alias("_whole"))
+    out = chunks.join(whole, id_col)
+    return out.withColumn("start_line", line_number(F.col("_whole"), F.col(start))).withColumn("end_line", line_number(F.col("_whole"), F.col(start) + F.length(content))).drop("_whole")

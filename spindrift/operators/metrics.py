@@ -6,6 +6,7 @@ import ast
 import hashlib
 import keyword
 import math
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -137,6 +138,11 @@ def resolved_lightly(patch: Column) -> Column:
     return F.coalesce(patch_format_ok(patch) & patch_syntax_ok(patch), F.lit(False))
 
 
+def custom(rows: DataFrame, value: Column, folds: dict[str, Callable[[Column], Column]], by: list[str] | None = None) -> DataFrame:
+    """A metric of one's own: a value of each row and aggregates of it, by name."""
+    return rows.select(*(by or []), value.alias("_value")).groupBy(*(by or [])).agg(*(f(F.col("_value")).alias(n) for n, f in folds.items()))
+
+
 def aggregate(rows: DataFrame, metrics: list[str], by: list[str] | None = None) -> DataFrame:
     """by, metric, mean, least, most, n of numeric columns in long form; nulls don't count, a metric without values has n = 0."""
     by = by or []

@@ -187,6 +187,18 @@ def code_symbols(spark: SparkSession, d: str) -> DataFrame:
     return explore.symbols(files(spark, d)).select("path", "kind", "name", "owner", "start_line", "end_line", *joined)
 
 
+@query(f"WITH {_SYMBOLS} SELECT path, kind, name, start_line FROM sy WHERE contains(lower(name), 'area') AND kind = 'method' ORDER BY path, start_line LIMIT 10")
+def symbol_search(spark: SparkSession, d: str) -> DataFrame:
+    return explore.search_symbols(explore.symbols(files(spark, d)), "AREA", kind="method", exact=False).select("path", "kind", "name", "start_line")
+
+
+@query("SELECT conv_id, turn, 'src/m' || conv_id || '.py' AS path, turn::VARCHAR AS line, '7' AS col, 'E50' || turn % 10 AS code, 'too ' || role AS message FROM conversations")
+def lint_parse(spark: SparkSession, d: str) -> DataFrame:
+    t = F.col("turn")
+    out = F.concat(F.lit("checked 1 file\nsrc/m"), F.col("conv_id").cast("string"), F.lit(".py:"), t.cast("string"), F.lit(":7: E50"), (t % 10).cast("string"), F.lit(" too "), F.col("role"), F.lit("\nFound 1 error."))
+    return table(spark, d, "conversations").select("conv_id", "turn", F.inline(explore.lint_rows(out)))
+
+
 _ASKED = "q AS (SELECT * FROM (VALUES (1, 'area'), (1, 'Nation1'), (2, 'parse_3'), (2, 'nation'), (3, 'load_')) v(query, word))"
 
 

@@ -363,3 +363,29 @@ def limited_instances(spark: SparkSession, d: str) -> DataFrame:
     """Repositories, limit, then the list of ids: the batch order of filters."""
     docs = table(spark, d, "documents").select("doc_id", "source")
     return ingest.select_instances(docs, ["src1", "src2"], include=docs.where("doc_id % 2 = 0"), n=30, limit_first=True, col="doc_id", repo="source").select("doc_id")
+
+
+@query("SELECT conv_id, turn, CASE WHEN length(text) % 3 = 0 THEN 0.0::DOUBLE WHEN turn <= 1 THEN 0.9::DOUBLE WHEN turn = 2 THEN 0.7::DOUBLE ELSE 0.5::DOUBLE END AS confidence FROM conversations")
+def confidence_scores(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "conversations").select("conv_id", "turn", metrics.confidence(F.col("turn"), F.length("text") % 3 != 0).alias("confidence"))
+
+
+@query("SELECT event_type, round(exp(avg(value / 100)), 6) AS perplexity FROM events GROUP BY 1")
+def perplexity_by_type(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.perplexity(table(spark, d, "events").withColumn("logprob", -F.col("value") / 100), "event_type", "logprob")
+
+
+@query(f"WITH {_R} SELECT method, max(seconds * 2 + tokens) AS worst, median(seconds * 2 + tokens) AS middle, count(*) AS n FROM r GROUP BY 1")
+def custom_metric(spark: SparkSession, d: str) -> DataFrame:
+    """A metric of one's own: a value of each row, and its aggregates."""
+    return metrics.custom(results(spark, d), F.col("seconds") * 2 + F.col("tokens"), {"worst": F.max, "middle": F.median, "n": F.count}, ["method"])
+
+
+@query("SELECT event_id, event_id % 3 = 0 OR (event_id % 3 = 1 AND event_id % 2 = 0) AS resolved FROM events")
+def tests_resolved(spark: SparkSession, d: str) -> DataFrame:
+    """Must-pass tests f1, f2 and tests p1 that passed before, against what ran."""
+    e = F.col("event_id")
+    a = lambda *x: F.array(*map(F.lit, x)).cast("array<string>")
+    passed = F.when(e % 3 == 2, a("f1", "p1")).otherwise(a("f1", "f2", "p1", "x"))
+    failed = F.when((e % 3 == 1) & (e % 2 == 1), a("p1")).otherwise(a("y"))
+    return table(spark, d, "events").select("event_id", metrics.resolved_by_tests(a("f1", "f2"), a("p1"), passed, failed).alias("resolved"))

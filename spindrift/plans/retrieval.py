@@ -544,3 +544,50 @@ def reply_patches(spark: SparkSession, d: str) -> DataFrame:
 def path_parts(spark: SparkSession, d: str) -> DataFrame:
     p = F.concat(F.regexp_extract("url", "^[a-z]+://([^?#]+)", 1), F.lit(".PY"))
     return table(spark, d, "pages").select("page_id", T.basename(p).alias("base"), T.extension(p).alias("ext"))
+
+
+@query("""WITH w AS (SELECT doc_id, text, unnest(range(0, greatest(ceil((length(text) - 1000) / 800.0), 0)::BIGINT + 1)) * 800 AS start FROM documents WHERE length(text) > 0), c AS (SELECT *, substr(text, start + 1, 1000) AS content FROM w WHERE length(trim(substr(text, start + 1, 1000))) > 0)
+SELECT doc_id, start, len(string_split(substr(text, 1, start), chr(10))) AS start_line, len(string_split(substr(text, 1, start + length(content)), chr(10))) AS end_line FROM c""")
+def chunk_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Character windows with the lines that they begin and end in."""
+    docs = table(spark, d, "documents")
+    cut = chunking.char_chunks(docs, least=0).where(F.length(F.trim("content")) > 0)
+    return chunking.with_lines(cut, docs).select("doc_id", "start", "start_line", "end_line")
+
+
+@query(r"SELECT doc_id, len(list_filter(string_split_regex(lower(text), '\s+'), lambda w: w <> '')) AS n, md5(array_to_string(list_filter(string_split_regex(lower(text), '\s+'), lambda w: w <> ''), ' ')) AS tokens_md5 FROM documents")
+def whitespace_tokens(spark: SparkSession, d: str) -> DataFrame:
+    t = T.whitespace_tokens(F.col("text"))
+    return table(spark, d, "documents").select("doc_id", F.size(t).alias("n"), F.md5(F.array_join(t, " ")).alias("tokens_md5"))
+
+
+def _paragraph_cuts(_: int, text: str) -> list[tuple[int, int]]:
+    out, at = [], 0
+    for part in text.split("\n\n"):
+        out.append((at, at + len(part)))
+        at += len(part) + 2
+    return out
+
+
+@query("SELECT doc_id, unnest(range(len(ps)))::INT AS chunk, md5(unnest(ps)) AS content_md5 FROM (SELECT doc_id, string_split(text, chr(10) || chr(10)) AS ps FROM documents)")
+def custom_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """A chunker of one's own: paragraphs."""
+    return chunking.custom_chunks(table(spark, d, "documents"), _paragraph_cuts, "doc_id", "text").select("doc_id", "chunk", F.md5("content").alias("content_md5"))
+
+
+#: Patches of conversations' turns: two files, one of them new, or one file without a head.
+_PATCH = r"""CASE turn % 2 WHEN 0 THEN 'diff --git a/m' || conv_id || '.py b/m' || conv_id || '.py' || chr(10) || '--- a/m' || conv_id || '.py' || chr(10) || '+++ b/m' || conv_id || '.py' || chr(10) || '@@ -3,2 +' || turn + 3 || ',3 @@' || chr(10) || ' def keep():' || chr(10) || '-    old' || chr(10) || '+    new' || chr(10) || '+def made_' || turn || '():' || chr(10) || '--- /dev/null' || chr(10) || '+++ b/new.py' || chr(10) || '@@ -0,0 +1 @@' || chr(10) || '+class Made:'
+ELSE '--- a/x.py' || chr(10) || '+++ b/x.py' || chr(10) || '@@ -1 +1 @@' || chr(10) || '-a' || chr(10) || '+b' END"""
+
+
+@query(f"""WITH p AS (SELECT conv_id, turn, {_PATCH} AS patch FROM conversations)
+SELECT conv_id, turn, md5(patch) AS patch_md5, CASE turn % 2 WHEN 0 THEN 'm' || conv_id || '.py,new.py' ELSE 'x.py' END AS files, CASE turn % 2 WHEN 0 THEN 'made_' || turn || ',Made' ELSE '' END AS names, CASE turn % 2 WHEN 0 THEN (turn + 4) || ',' || (turn + 5) || ',1' ELSE '1' END AS lines,
+CASE turn % 2 WHEN 0 THEN 'def keep():' || chr(10) || '    new' || chr(10) || 'def made_' || turn || '():' || chr(10) || 'class Made:' ELSE 'b' END AS code FROM p""")
+def diff_parse(spark: SparkSession, d: str) -> DataFrame:
+    """Files, names, lines and code of patches."""
+    c, t = F.col("conv_id").cast("string"), F.col("turn").cast("string")
+    two = F.concat(F.lit("diff --git a/m"), c, F.lit(".py b/m"), c, F.lit(".py\n--- a/m"), c, F.lit(".py\n+++ b/m"), c, F.lit(".py\n@@ -3,2 +"), (F.col("turn") + 3).cast("string"), F.lit(",3 @@\n def keep():\n-    old\n+    new\n+def made_"), t, F.lit("():\n--- /dev/null\n+++ b/new.py\n@@ -0,0 +1 @@\n+class Made:"))
+    patch = F.when(F.col("turn") % 2 == 0, two).otherwise(F.lit("--- a/x.py\n+++ b/x.py\n@@ -1 +1 @@\n-a\n+b"))
+    p = table(spark, d, "conversations").select("conv_id", "turn", patch.alias("patch"))
+    x = F.col("patch")
+    return p.select("conv_id", "turn", F.md5(x).alias("patch_md5"), F.array_join(T.diff_files(x), ",").alias("files"), F.array_join(T.diff_names(x), ",").alias("names"), F.array_join(T.diff_lines(x).cast("array<string>"), ",").alias("lines"), T.diff_code(x).alias("code"))

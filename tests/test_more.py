@@ -224,3 +224,18 @@ def test_running_sums_in_buckets(spark):
     assert parts.columns == whole.columns and sorted(map(tuple, whole.collect()), key=str) == sorted(map(tuple, parts.collect()), key=str)
     last = {r.k: r.s for r in whole.groupBy("k").agg(F.max_by("s", "t").alias("s")).collect()}
     assert last == {k: sum(v or 0 for j, _, v in rows if j == k) for k in ("a", "b", None)}
+
+
+def test_experiments_below_a_folder(spark, tmp_path):
+    for name, resolved in (("one", True), ("two", False)):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "results.json").write_text(json.dumps({"m": {"results": [{"instance_id": "a", "resolved": resolved}]}}))
+    got = records.read_experiments(spark, str(tmp_path), "struct<results:array<struct<instance_id:string,resolved:boolean>>>")
+    assert {(r.experiment, r.method, r.record.results[0].resolved) for r in got.collect()} == {("one", "m", True), ("two", "m", False)}
+
+
+def test_globs():
+    rx = records.glob_regex(["**/test*", "a/*.py", "b/**"])
+    import re
+
+    assert [bool(re.match(rx, p)) for p in ("test_x.py", "q/test", "a/x.py", "a/b/x.py", "b/c/d", "c/b")] == [True, True, True, False, True, False]
