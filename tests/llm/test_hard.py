@@ -35,7 +35,6 @@ def test_near_duplicates_hard_rows(spark):
     got = Counter(tuple(r) for r in minhash_dedup.near_duplicates(docs(spark, HARD)).collect())
     long = len({tuple(LONG.split()[k : k + 5]) for k in range(len(LONG.split()) - 4)})
     assert got == Counter([(1, 0, 1, True), (2, 0, 2, True), (3, 1, 3, True), (3, 1, 3, True), (None, 1, None, False), (5, long, 5, True), (6, 8, 6, True), (7, 8, 6, False), (8, 0, 8, True)])
-    assert minhash_dedup.near_duplicates(docs(spark, HARD).limit(0)).count() == 0
     # An id with two texts, one a copy of an earlier document's; copies without an id.
     rows = [(1, "a b c d e f"), (2, "a b c d e f"), (2, "quite another text of its own"), (None, "a b c d e f"), (None, "p q r s t"), (None, "p q r s t")]
     d = spark.createDataFrame(rows, IDS)
@@ -261,24 +260,26 @@ def test_url_classes_by_brute_force(spark):
         assert r.decided_by == ("rule" if own[u] else "alias class" if said else "default")
 
 
-@pytest.mark.parametrize(
-    ("html", "want"),
-    [
-        ('<link rel=canonical href="?x=1">', {"http://h.example/a/b?x=1"}),
-        ('<link rel=canonical href="../c">', {"http://h.example/c"}),
-        ('<link rel=canonical href="//o.example/z">', {"http://o.example/z"}),
-        ('<link rel=canonical href="/login?next=http://bad.example/">', {"http://h.example/login?next=http://bad.example/"}),
-        ('<base href="http://o.example/d/"><link rel=canonical href="e">', {"http://o.example/d/e"}),
-        ('<link rel=canonical href="/1"><link rel=canonical href="/2">', {"http://h.example/1", "http://h.example/2"}),
-        ('<!-- <link rel=canonical href="/1"> --><script>var t = "<link rel=canonical href=/2>"</script>', set()),
-        ('<!-- never closed <link rel=canonical href="/1">', set()),
-        ('<link rel=canonical href="http://[bad/">', set()),
-        ("<meta http-equiv=refresh content=\"3; url='/1' \">", {"http://h.example/1"}),
-    ],
-)
-def test_url_references(spark, html, want):
-    d = spark.createDataFrame([(1, "http://h.example/a/b?q", html)], "page_id long, url string, html string")
-    assert {r.target for r in url_filters.page_links(d).collect()} == want
+REFERENCES = [
+    ('<link rel=canonical href="?x=1">', {"http://h.example/a/b?x=1"}),
+    ('<link rel=canonical href="../c">', {"http://h.example/c"}),
+    ('<link rel=canonical href="//o.example/z">', {"http://o.example/z"}),
+    ('<link rel=canonical href="/login?next=http://bad.example/">', {"http://h.example/login?next=http://bad.example/"}),
+    ('<base href="http://o.example/d/"><link rel=canonical href="e">', {"http://o.example/d/e"}),
+    ('<link rel=canonical href="/1"><link rel=canonical href="/2">', {"http://h.example/1", "http://h.example/2"}),
+    ('<!-- <link rel=canonical href="/1"> --><script>var t = "<link rel=canonical href=/2>"</script>', set()),
+    ('<!-- never closed <link rel=canonical href="/1">', set()),
+    ('<link rel=canonical href="http://[bad/">', set()),
+    ("<meta http-equiv=refresh content=\"3; url='/1' \">", {"http://h.example/1"}),
+]
+
+
+def test_url_references(spark):
+    rows = [(n, f"http://h{n}.example/a/b?q", html) for n, (html, _) in enumerate(REFERENCES)]
+    got = defaultdict(set)
+    for r in url_filters.page_links(spark.createDataFrame(rows, "page_id long, url string, html string")).collect():
+        got[r.url].add(r.target)
+    assert [got[u] for _, u, _ in rows] == [{t.replace("/h.", f"/h{n}.") for t in want} for n, (_, want) in enumerate(REFERENCES)]
 
 
 def test_licenses_wrapped(spark):
