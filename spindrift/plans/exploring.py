@@ -8,8 +8,8 @@ from pyspark.sql.window import Window
 
 from spindrift.operators import chunking, explore, metrics
 from spindrift.plans.base import registry, table
-from spindrift.streaming import progress
-from spindrift.tables import scratch
+from spindrift.streaming import limiter, progress
+from spindrift.tables import adopt, fresh
 
 QUERIES, ORACLES, query = registry()
 
@@ -328,21 +328,44 @@ def stream_counts(spark: SparkSession, d: str) -> DataFrame:
 SELECT start, start + INTERVAL 60 seconds AS "end", requests, tokens FROM b WHERE start + INTERVAL 60 seconds <= (SELECT max(ts::TIMESTAMP) - INTERVAL 2 minutes FROM events)""")
 def stream_windows(spark: SparkSession, d: str) -> DataFrame:
     """A file stream's totals by minute, those that its watermark closed."""
-    import uuid
-
-    at = f"{scratch(spark)}/windows-{uuid.uuid4().hex}"
+    at = fresh(spark, "windows")
     out = progress.sliding_totals(_events_stream(spark, d), slide="60 seconds")
     progress.fold_table(out, f"{at}/checkpoint", f"{at}/rows").awaitTermination()
     rows = spark.read.schema("start timestamp, end timestamp, requests long, tokens double").parquet(f"{at}/rows")
-    return rows.select(F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "requests", "tokens")
+    return adopt(rows.select(F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "requests", "tokens"), at)
+
+
+#: Requests of the limiter's query: a second of theirs is a thousand of the events; in BATCHES parts by time, of which a tenth comes a part later.
+BATCH_MS, BATCHES, LATE_MS = 1_000_000, 3, 120_000
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT event_type AS client, event_id AS id, (epoch_us(ts) - 1704067200000000) // 1000000 AS arrival, floor(value * 60)::BIGINT AS tokens FROM events),
+p AS (SELECT *, least(arrival // {BATCH_MS} + CASE WHEN id % 10 = 3 THEN 1 ELSE 0 END, {BATCHES - 1}) AS part FROM e), m AS (SELECT part, max(arrival) AS most FROM p GROUP BY 1),
+w AS (SELECT part, greatest(0, coalesce(max(most) OVER (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) - {LATE_MS}) AS mark, max(most) OVER () - {LATE_MS} AS last FROM m),
+q AS (SELECT client, id, p.arrival, greatest(p.arrival, mark) AS eff, tokens FROM p JOIN w USING (part) WHERE greatest(p.arrival, mark) < last),
+o AS (SELECT *, row_number() OVER (PARTITION BY client ORDER BY eff, id) AS n, sum(tokens) OVER (PARTITION BY client ORDER BY eff, id ROWS UNBOUNDED PRECEDING) AS c FROM q),
+j AS (SELECT o.client, o.n, count(*) FILTER (b.n < o.n AND b.c - b.tokens < o.c - {limiter.TOKENS}) AS j FROM o JOIN o b ON o.client = b.client AND b.n < o.n OR (o.client = b.client AND o.n = 1 AND b.n = 1) GROUP BY 1, 2),
+k AS (SELECT client, n, eff, j FROM o JOIN j USING (client, n)),
+r AS (SELECT client, n, [eff] AS t FROM k WHERE n = 1 UNION ALL SELECT k.client, k.n, list_append(r.t, greatest(k.eff, r.t[-1], CASE WHEN k.n > {limiter.REQUESTS} THEN r.t[k.n - {limiter.REQUESTS}] + {limiter.SPAN_MS} ELSE 0 END, CASE WHEN k.j > 0 THEN r.t[k.j] + {limiter.SPAN_MS} ELSE 0 END)) FROM r JOIN k ON k.client = r.client AND k.n = r.n + 1),
+f AS (SELECT client, t FROM r QUALIFY row_number() OVER (PARTITION BY client ORDER BY n DESC) = 1), u AS (SELECT client, unnest(t) AS admitted, generate_subscripts(t, 1) AS n FROM f)
+SELECT client, id, arrival, tokens, admitted, admitted - arrival AS delay FROM u JOIN o USING (client, n)""")
+def rate_limit_admission(spark: SparkSession, d: str) -> DataFrame:
+    """Requests come in parts, the stream is started anew for each; a tenth comes behind its watermark."""
+    at = fresh(spark, "limiter")
+    us, e = F.unix_micros(F.col("ts").cast("timestamp")), table(spark, d, "events")
+    asked = e.select(F.col("event_type").alias("client"), F.col("event_id").alias("id"), F.floor((us - 1704067200000000) / 1_000_000).cast("long").alias("arrival"), F.floor(F.col("value") * 60).cast("long").alias("tokens"))
+    part = F.least(F.floor(F.col("arrival") / BATCH_MS) + F.when(F.col("id") % 10 == 3, 1).otherwise(0), F.lit(BATCHES - 1))
+    for i in range(BATCHES):
+        asked.where(part == i).write.parquet(f"{at}/asked/{i}")
+        stream = spark.readStream.schema(asked.schema).parquet(f"{at}/asked/*")
+        limiter.run_limited(limiter.limit(stream, f"{LATE_MS} milliseconds"), f"{at}/rows", f"{at}/checkpoint").awaitTermination()
+    return adopt(spark.read.schema(limiter.OUT).parquet(f"{at}/rows"), at)
 
 
 @query("SELECT event_id, event_type, value FROM events")
 def stream_append(spark: SparkSession, d: str) -> DataFrame:
     """A file stream, appended with checkpoints in small files; a second run adds nothing."""
-    import uuid
-
-    at = f"{scratch(spark)}/append-{uuid.uuid4().hex}"
+    at = fresh(spark, "append")
     for _ in range(2):
         progress.checkpoint_every(_events_stream(spark, d), f"{at}/rows", f"{at}/checkpoint", 2000, "event_id").awaitTermination()
-    return spark.read.parquet(f"{at}/rows").select("event_id", "event_type", "value")
+    return adopt(spark.read.parquet(f"{at}/rows").select("event_id", "event_type", "value"), at)

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from spindrift.functions import text as T
-from spindrift.operators import chunking, context, dense, fusion, ingest, querygen, sparse
+from spindrift.operators import chunking, context, dense, fusion, ingest, querygen, sparse, vector_index
 from spindrift.plans.base import SQL_DOT, registry, sql_bm25, sql_strip, sql_tokens, table
-from spindrift.tables import scratch
+from spindrift.tables import adopt, fresh, release
 
 QUERIES, ORACLES, query = registry()
 
@@ -146,6 +146,45 @@ def similar_exclude_label(spark: SparkSession, d: str) -> DataFrame:
     return dense.search(*_vectors(spark, d), k=200, keep=F.col("label") != F.col("qlabel"), limit_first=True).select("query", "doc", "score", "rank")
 
 
+def _stored(spark: SparkSession, d: str) -> str:
+    """An index of the embeddings, saved; read back by its path."""
+    path = fresh(spark, "vectors")
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc"), F.col("embedding").alias("v"), "label")
+    vector_index.build(rows, path, cells=CELLS, model="given")
+    return path
+
+
+def _asked_vectors(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("qv"))
+
+
+CELLS = 32
+_ASKED_VECTORS = "q AS (SELECT vec_id AS query, embedding AS qv FROM embeddings WHERE vec_id % 50 = 0)"
+
+
+@query(f"WITH {_ASKED_VECTORS} SELECT query, vec_id AS doc, label, {_IP} AS score, {_TOP} FROM embeddings, q QUALIFY rank <= 10")
+def vector_index_exact(spark: SparkSession, d: str) -> DataFrame:
+    """A saved index, loaded and searched by bounds of its cells: the rows of the search of all."""
+    path = _stored(spark, d)
+    out = vector_index.search(vector_index.VectorIndex.load(spark, path), _asked_vectors(spark, d), probe=8, exact=True)
+    return adopt(out.select("query", "doc", "label", "score", "rank"), path)
+
+
+@query(f"WITH {_ASKED_VECTORS} SELECT query, vec_id AS doc, label, {_L2} AS score, {_TOP} FROM embeddings, q QUALIFY rank <= 10")
+def vector_index_l2(spark: SparkSession, d: str) -> DataFrame:
+    path = _stored(spark, d)
+    out = vector_index.search(vector_index.VectorIndex.load(spark, path), _asked_vectors(spark, d), probe=8, metric="l2", exact=True)
+    return adopt(out.select("query", "doc", "label", "score", "rank"), path)
+
+
+@query()
+def vector_index_probe(spark: SparkSession, d: str) -> DataFrame:
+    """A saved index, the nearest cells only; its recall is tested against the exact search."""
+    path = _stored(spark, d)
+    out = vector_index.search(vector_index.VectorIndex.load(spark, path), _asked_vectors(spark, d), probe=20)
+    return adopt(out.select("query", "doc", "score", "rank"), path)
+
+
 @query()
 def dense_ivf(spark: SparkSession, d: str) -> DataFrame:
     rows, asked = _vectors(spark, d)
@@ -344,11 +383,11 @@ def variant_interleave(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {sql_bm25()} SELECT query, doc, score, rank FROM bm25")
 def bm25_saved_index(spark: SparkSession, d: str) -> DataFrame:
     """An index that is saved, loaded again and searched."""
-    import uuid
-
-    path = f"{scratch(spark)}/index-{uuid.uuid4().hex}"
-    sparse.build(table(spark, d, "documents")).save(path)
-    return sparse.search_index(sparse.Index.load(spark, path), table(spark, d, "benchmark")).select("query", "doc", "score", "rank")
+    path = fresh(spark, "index")
+    made = sparse.build(table(spark, d, "documents"))
+    made.save(path)
+    release(made.postings, made.terms, made.stats)
+    return adopt(sparse.search_index(sparse.Index.load(spark, path), table(spark, d, "benchmark")).select("query", "doc", "score", "rank"), path)
 
 
 @query(f"""WITH {sql_bm25(k=40)}, h AS (SELECT query, doc, score, rank AS r, md5(x.text) AS key FROM bm25 b JOIN documents x ON x.doc_id = b.doc WHERE score >= 2 AND doc % 3 <> 0),

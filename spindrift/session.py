@@ -2,19 +2,37 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
 
 ROOT = str(Path(__file__).resolve().parents[1])
+_SENT: set[str] = set()
 
 
 def share_package(spark: SparkSession) -> None:
-    """Let Python workers that share the driver's file system import this package."""
-    env = spark.sparkContext.environment
+    """Let Python workers import this package: those of one machine from its folder, those of a cluster from a zip that Spark sends."""
+    context = spark.sparkContext
+    env = context.environment
     have = [p for p in env.get("PYTHONPATH", "").split(":") if p]
     if ROOT not in have:
         env["PYTHONPATH"] = ":".join([ROOT, *have])
+    if context.applicationId not in _SENT and context.master != "local" and not context.master.startswith("local["):
+        _SENT.add(context.applicationId)
+        context.addPyFile(packed(tempfile.mkdtemp(prefix="package-")))
+
+
+def packed(folder: str) -> str:
+    """A zip of the package's modules and texts, on the driver's disk."""
+    path = f"{folder}/spindrift.zip"
+    package = Path(ROOT) / "spindrift"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(package.rglob("*")):
+            if f.suffix in (".py", ".txt"):
+                z.write(f, f.relative_to(ROOT))
+    return path
 
 
 def build(app: str = "spindrift", master: str | None = None, **conf: str) -> SparkSession:

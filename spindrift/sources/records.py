@@ -105,7 +105,7 @@ def read_repository(spark: SparkSession, root: str, extensions: tuple[str, ...]
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
     rel = F.regexp_replace(F.col("path"), "^(?:file:)?/*" + re.escape(base.split(":", 1)[-1].lstrip("/")) + "/", "")
     files = files.withColumn("rel", rel).where((F.col("length") <= most_bytes) & F.col("rel").rlike("(?:" + "|".join(map(re.escape, extensions)) + ")$") & ~excluded(F.col("rel")))
-    binary = F.instr(F.hex(F.substring("content", 1, 1024)), "00") % 2 == 1
+    binary = F.contains(F.decode(F.substring("content", 1, 1024), "ISO-8859-1"), F.lit("\0"))  # a character for each byte
     # Bytes 80 to 9F are control characters in Latin-1 but letters and quotes in Windows-1252, which lacks five of them.
     latin = F.decode("content", "ISO-8859-1")
     controls = [chr(i) for i in range(0x80, 0xA0)]

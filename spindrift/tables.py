@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -31,19 +32,48 @@ def scratch(spark: SparkSession) -> str:
     return "file://" + _OWN[app]
 
 
+#: Folder name of a table in the shared folder -> the paths that go when a result that reads it is released.  Only tables that were
+#: tied to a result are here: a table that a caller cut for several results stays until it is released itself.
+_TIED: dict[str, set[str]] = {}
+
+
+def fresh(spark: SparkSession, kind: str) -> str:
+    """A new path in the shared folder, for tables and streams that adopt() then ties to a result."""
+    return f"{scratch(spark)}/{kind}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame, at: str | None = None) -> DataFrame:
     """Write df as a Parquet table in the shared folder (or at a path) and read it again.  release() removes it."""
     spark = df.sparkSession
-    path = at or f"{scratch(spark)}/cut-{uuid.uuid4().hex}"
+    path = at or fresh(spark, "cut")
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._cuts = [path]
     return out
 
 
+def _name(path: str) -> str:
+    return path.rstrip("/").rpartition("/")[2]
+
+
+def _read(df: DataFrame) -> set[str]:
+    """Names of the shared folder's tables that a lazy result reads, whatever was done to it since."""
+    found = (re.search(r"/([a-z]+-[0-9a-f]{32})(?:/|$)", f) for f in df.inputFiles())
+    return {m[1] for m in found if m}
+
+
 def reading(out: DataFrame, *tables: DataFrame) -> DataFrame:
-    """out, a lazy result that reads tables of cut(): release(out) removes them once it is used."""
-    out._cuts = [p for t in tables for p in getattr(t, "_cuts", [])]
+    """out, a lazy result that reads tables of cut(): release() of it, or of what is made of it, removes them once it is used."""
+    return adopt(out, *(p for t in tables for p in getattr(t, "_cuts", [])))
+
+
+def adopt(out: DataFrame, *paths: str) -> DataFrame:
+    """out, with these paths, some of which it reads, to be removed when it, or what is made of it, is released."""
+    read = _read(out)
+    every = {*paths, *(q for n in read for q in _TIED.get(n, ()))}
+    for name in {_name(p) for p in every} & read:
+        _TIED.setdefault(name, set()).update(every)
+    out._cuts = list(every)
     return out
 
 
@@ -53,8 +83,12 @@ def filesystem(spark: SparkSession, path: str):
 
 
 def release(*tables: DataFrame) -> None:
-    """Remove tables of cut() that nothing lazy reads any more."""
+    """Remove the tables of cut() that these are, or that were tied to them: nothing lazy may read them any more."""
     for t in tables:
-        for path in getattr(t, "_cuts", []):
+        paths = set(getattr(t, "_cuts", []))
+        for name in {_name(p) for p in paths} or _read(t):
+            paths |= _TIED.pop(name, set())
+        for path in paths:
             fs, p = filesystem(t.sparkSession, path)
             fs.delete(p, True)
+            _TIED.pop(_name(path), None)
