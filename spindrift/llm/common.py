@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindrift import tables
+from spindrift.session import share_package
 from spindrift.tables import filesystem, reading, release, scratch
 
 __all__ = ["Scope", "cut", "filesystem", "literal_table", "lower_ascii", "raw", "reading", "release", "scratch", "slices", "table"]
@@ -18,7 +20,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Rows of text that a worker turns into Python objects at a time.
 TEXT_BATCH = 400
-_SCOPES: list[list[DataFrame]] = []
+_SCOPES: ContextVar[tuple[list[DataFrame], ...]] = ContextVar("scopes", default=())
 
 
 def lower_ascii(col: Column) -> Column:
@@ -41,7 +43,7 @@ def cut(df: DataFrame) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it again: the lineage ends there,
     and a lost executor costs at most a re-read.  release() or the end of a Scope removes the table."""
     out = tables.cut(df)
-    for s in _SCOPES:
+    for s in _SCOPES.get():
         s.append(out)
     return out
 
@@ -52,7 +54,7 @@ class Scope:
     def __enter__(self) -> Scope:
         self.made: list[DataFrame] = []
         self.kept: set[str] = set()
-        _SCOPES.append(self.made)
+        self.token = _SCOPES.set((*_SCOPES.get(), self.made))
         return self
 
     def keep(self, df: DataFrame) -> DataFrame:
@@ -60,7 +62,7 @@ class Scope:
         return df
 
     def __exit__(self, *_: object) -> None:
-        _SCOPES[:] = [s for s in _SCOPES if s is not self.made]
+        _SCOPES.reset(self.token)
         release(*(t for t in self.made if not self.kept.intersection(t._cuts)))
 
 
@@ -71,4 +73,5 @@ def literal_table(spark: SparkSession, rows: list[tuple], columns: list[str]) ->
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    share_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
