@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from spindrift.operators import chunking, explore, metrics
+from spindrift.operators import callgraph, chunking, explore, metrics
+from spindrift.plans import sources
 from spindrift.plans.base import registry, table
 from spindrift.streaming import limiter, progress
 from spindrift.tables import adopt, fresh
@@ -14,25 +15,8 @@ from spindrift.tables import adopt, fresh
 QUERIES, ORACLES, query = registry()
 
 
-#: A file for each nation: a class with two methods and a function; every fourth file has a line more, every fifth doesn't parse.
-_SOURCE = "import os\n\n\nclass Nation{k}(Region{r}):\n    def load_{k}(self, x):\n        return parse_{k}(x)\n\n    def area(self):\n        return 0\n\n\ndef parse_{k}(x):\n    y = x * {k}\n{more}    return y\n"
-
-
-def files(spark: SparkSession, d: str) -> DataFrame:
-    """path, content of the files made of nations."""
-    k, r = F.col("n_nationkey"), F.col("n_regionkey").cast("string")
-    content = F.lit(_SOURCE)
-    for name, value in (("{k}", k.cast("string")), ("{r}", r), ("{more}", F.when(k % 4 == 0, F.lit("    y += 1\n")).otherwise(F.lit("")))):
-        content = F.replace(content, F.lit(name), value)
-    broken = F.concat(content, F.lit("def broken(:\n"))
-    return table(spark, d, "nation").select(F.concat(F.lit("pkg"), r, F.lit("/nation_"), k.cast("string"), F.lit(".py")).alias("path"), F.when(k % 5 == 4, broken).otherwise(content).alias("content"))
-
-
-_SQL_SOURCE = "'" + _SOURCE.replace("\n", "' || chr(10) || '").replace("{more}", "' || CASE WHEN n_nationkey % 4 = 0 THEN '    y += 1' || chr(10) ELSE '' END || '").replace("{k}", "' || n_nationkey || '").replace("{r}", "' || n_regionkey || '") + "'"
-_FILES = f"""f AS (SELECT n_nationkey AS k, n_regionkey AS r, n_nationkey % 4 = 0 AS more, n_nationkey % 5 = 4 AS broken, 'pkg' || n_regionkey || '/nation_' || n_nationkey || '.py' AS path, {_SQL_SOURCE} || CASE WHEN n_nationkey % 5 = 4 THEN 'def broken(:' || chr(10) ELSE '' END AS content FROM nation)"""
-_SYMBOLS = f"""{_FILES}, sy AS (SELECT path, 'class' AS kind, 'Nation' || k AS name, NULL AS owner, 4 AS start_line, 9 AS end_line, 'Region' || r AS bases, '' AS args, '' AS calls FROM f WHERE NOT broken
-  UNION ALL SELECT path, 'method', 'load_' || k, 'Nation' || k, 5, 6, '', 'self,x', 'parse_' || k FROM f WHERE NOT broken UNION ALL SELECT path, 'method', 'area', 'Nation' || k, 8, 9, '', 'self', '' FROM f WHERE NOT broken
-  UNION ALL SELECT path, 'function', 'parse_' || k, NULL, 12, CASE WHEN more THEN 15 ELSE 14 END, '', 'x', '' FROM f WHERE NOT broken)"""
+_FILES, _SYMBOLS = sources.FILES, sources.SYMBOLS
+files = sources.files
 
 
 @query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS content, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents)
@@ -132,11 +116,24 @@ def hierarchy_descendants(spark: SparkSession, d: str) -> DataFrame:
     return explore.closure(_edges(spark, d)).groupBy("ancestor").agg(F.count_distinct("child").alias("descendants"), F.max("depth").alias("height"))
 
 
-@query(f"WITH {_SYMBOLS} SELECT name AS caller, calls AS callee, count(*) AS calls FROM (SELECT DISTINCT name, calls FROM sy WHERE calls <> '') GROUP BY 1, 2")
+@query(f"""WITH {_SYMBOLS} SELECT name AS caller, callee, count(*) AS calls FROM (SELECT DISTINCT name, unnest(string_split(calls, ',')) AS callee FROM sy WHERE calls <> '') GROUP BY 1, 2""")
 def callers_callees(spark: SparkSession, d: str) -> DataFrame:
+    """By bare names."""
     return explore.call_edges(explore.symbols(files(spark, d))).groupBy("caller", "callee").agg(F.count("*").alias("calls"))
 
 
+@query(f"WITH {sources.RESOLVED} SELECT * FROM rs")
+def resolved_calls(spark: SparkSession, d: str) -> DataFrame:
+    return callgraph.resolve(callgraph.facts(files(spark, d)))
+
+
+@query(f"""WITH RECURSIVE {sources.RESOLVED}, e AS (SELECT DISTINCT caller, callee FROM rs WHERE callee IS NOT NULL), c AS (SELECT caller, callee FROM e UNION SELECT c.caller, e.callee FROM c JOIN e ON e.caller = c.callee),
+n AS (SELECT caller AS function FROM e UNION SELECT callee FROM e)
+SELECT function, (SELECT count(*) FROM e WHERE callee = function) AS callers, (SELECT count(*) FROM e WHERE caller = function) AS callees, (SELECT count(*) FROM c WHERE callee = function) AS all_callers, (SELECT count(*) FROM c WHERE caller = function) AS all_callees FROM n""")
+def call_reach(spark: SparkSession, d: str) -> DataFrame:
+    return callgraph.reach(callgraph.resolve(callgraph.facts(files(spark, d))))
+
+
 @query("""WITH s AS (SELECT event_type AS caller, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS callee FROM events)
 SELECT caller, callee, count(*) AS calls FROM s WHERE callee IS NOT NULL GROUP BY 1, 2""")
 def event_transitions(spark: SparkSession, d: str) -> DataFrame:
@@ -171,12 +168,16 @@ def repo_path_map(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", F.regexp_extract("url", "^[a-z]+://([^/?#]+)", 1).alias("host"), F.replace(whole, F.lit("/"), F.lit("_")).alias("key"))
 
 
-@query(f"""WITH {_FILES}, g AS (SELECT *, CASE WHEN more THEN 15 ELSE 14 END AS last, string_split(content, chr(10)) AS ls FROM f WHERE NOT broken)
-SELECT path, 'function' AS chunk_type, 'parse_' || k AS name, 12 AS start_line, last AS end_line, 'import os' AS imports, md5(array_to_string(ls[12:last], chr(10))) AS content_md5 FROM g
-UNION ALL SELECT path, 'class', 'Nation' || k, 4, 9, 'import os', md5(array_to_string(ls[4:9], chr(10))) FROM g UNION ALL SELECT path, 'method', 'Nation' || k || '.load_' || k, 5, 6, 'import os', md5(array_to_string(ls[5:6], chr(10))) FROM g
-UNION ALL SELECT path, 'method', 'Nation' || k || '.area', 8, 9, 'import os', md5(array_to_string(ls[8:9], chr(10))) FROM g
-UNION ALL SELECT path, 'module', NULL, 1, len(ls), 'import os', md5(array_to_string(ls[1:3] || ls[10:11] || ls[last + 1:len(ls)], chr(10))) FROM g
-UNION ALL SELECT path, 'module', NULL, 1, len(string_split(content, chr(10))), 'import os', md5(content) FROM f WHERE broken""")
+_CHUNKED = "array_to_string(list_transform(range(line, stop + 1), lambda i: ls[i]), chr(10))"
+
+
+@query(rf"""WITH {sources.LINE_CTES}, fs AS (SELECT path, broken, string_split(content, chr(10)) AS ls FROM f),
+ip AS (SELECT path, list_filter(ls, lambda x: regexp_matches(x, '^(import|from) ')) AS imports, ls, broken FROM fs), tl AS (SELECT * FROM df WHERE up IS NULL),
+rest AS (SELECT l.path, string_agg(l.x, chr(10) ORDER BY l.line) AS content FROM ln0 l WHERE NOT EXISTS (SELECT 1 FROM tl WHERE tl.path = l.path AND l.line BETWEEN tl.line AND tl.stop) GROUP BY 1),
+c AS (SELECT path, CASE WHEN sort = 'class' THEN 'class' ELSE 'function' END AS chunk_type, name, line, stop, {_CHUNKED} AS content FROM tl JOIN ip USING (path) WHERE sort = 'class' OR stop > line
+  UNION ALL SELECT m.path, 'method', m.up || '.' || m.name, m.line, m.stop, {_CHUNKED.replace('line', 'm.line').replace('stop', 'm.stop')} FROM df m JOIN tl ON tl.path = m.path AND tl.line = m.up_line JOIN ip ON ip.path = m.path WHERE m.kind = 'method'
+  UNION ALL SELECT path, 'module', NULL, 1, len(ls), content FROM rest JOIN ip USING (path) UNION ALL SELECT path, 'module', NULL, 1, len(ls), array_to_string(ls, chr(10)) FROM ip WHERE broken)
+SELECT path, chunk_type, name, line AS start_line, stop AS end_line, array_to_string(imports, ',') AS imports, md5(content) AS content_md5 FROM c JOIN ip USING (path)""")
 def ast_chunks(spark: SparkSession, d: str) -> DataFrame:
     return chunking.ast_chunks(files(spark, d)).select("path", "chunk_type", "name", "start_line", "end_line", F.array_join("imports", ",").alias("imports"), F.md5("content").alias("content_md5"))
 
@@ -187,9 +188,9 @@ def code_symbols(spark: SparkSession, d: str) -> DataFrame:
     return explore.symbols(files(spark, d)).select("path", "kind", "name", "owner", "start_line", "end_line", *joined)
 
 
-@query(f"WITH {_SYMBOLS} SELECT path, kind, name, start_line FROM sy WHERE contains(lower(name), 'area') AND kind = 'method' ORDER BY path, start_line LIMIT 10")
+@query(f"WITH {_SYMBOLS} SELECT path, kind, name, start_line FROM sy WHERE contains(lower(name), 'go_') AND kind = 'method' ORDER BY path, start_line LIMIT 10")
 def symbol_search(spark: SparkSession, d: str) -> DataFrame:
-    return explore.search_symbols(explore.symbols(files(spark, d)), "AREA", kind="method", exact=False).select("path", "kind", "name", "start_line")
+    return explore.search_symbols(explore.symbols(files(spark, d)), "GO_", kind="method", exact=False).select("path", "kind", "name", "start_line")
 
 
 @query("SELECT conv_id, turn, 'src/m' || conv_id || '.py' AS path, turn::VARCHAR AS line, '7' AS col, 'E50' || turn % 10 AS code, 'too ' || role AS message FROM conversations")
@@ -199,11 +200,11 @@ def lint_parse(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "conversations").select("conv_id", "turn", F.inline(explore.lint_rows(out)))
 
 
-_ASKED = "q AS (SELECT * FROM (VALUES (1, 'area'), (1, 'Nation1'), (2, 'parse_3'), (2, 'nation'), (3, 'load_')) v(query, word))"
+_ASKED = "q AS (SELECT * FROM (VALUES (1, 'run'), (1, 'Base1'), (2, 'make_3'), (2, 'part'), (2, 'Part2'), (3, 'go_'), (3, 'Deep')) v(query, word))"
 
 
 def _name_words(spark: SparkSession) -> DataFrame:
-    rows = [(1, "area"), (1, "Nation1"), (2, "parse_3"), (2, "nation"), (3, "load_")]
+    rows = [(1, "run"), (1, "Base1"), (2, "make_3"), (2, "part"), (2, "Part2"), (3, "go_"), (3, "Deep")]
     return spark.range(1).select(F.inline(F.array(*(F.struct(F.lit(q).alias("query"), F.lit(w).alias("word")) for q, w in rows))))
 
 
@@ -221,9 +222,8 @@ _TOP_FILES = "tf AS (SELECT q.query, f.path, row_number() OVER (PARTITION BY q.q
 
 def _top_files(spark: SparkSession, d: str) -> DataFrame:
     """Five files of each query, as a file scoring would give them."""
-    k = F.regexp_extract("path", r"nation_(\d+)", 1).cast("int")
     w = Window.partitionBy("query").orderBy((F.col("k") * 7) % 23, "k")
-    both = files(spark, d).withColumn("k", k).where("k % 5 <> 4").crossJoin(F.broadcast(_name_words(spark).select("query").distinct()))  # three queries
+    both = files(spark, d).where(~F.contains("content", F.lit("def broken(:"))).crossJoin(F.broadcast(_name_words(spark).select("query").distinct()))  # three queries
     return both.withColumn("rank", F.row_number().over(w)).where("rank <= 5").select("query", "path", "rank", ((F.col("k") * 7) % 5).cast("double").alias("score"))
 
 
@@ -256,7 +256,12 @@ def context_strata(spark: SparkSession, d: str) -> DataFrame:
     return explore.strata(top, classes, explore.function_scores(symbols, words, top, classes))
 
 
-@query(f"""WITH {_SYMBOLS}, {_ASKED}, {_TOP_FILES}, l AS (SELECT tf.query, sy.path, kind, name, start_line, end_line, round(1.0::DOUBLE + CASE WHEN contains(name, '_') THEN 0.5 ELSE 0 END + CASE WHEN length(name) > 10 THEN 0.3 ELSE 0 END + CASE WHEN kind = 'class' THEN 0.2 ELSE 0 END + tf.score, 6) AS score FROM sy JOIN tf USING (path) WHERE kind <> 'method')
+_IMPORTANT = " + ".join(f"CASE WHEN list_contains(list_transform(ms, lambda m: contains(m, '{w}')), true) THEN 0.2 ELSE 0 END" for w in explore.IMPORTANT)
+
+
+@query(f"""WITH {_SYMBOLS}, {_ASKED}, {_TOP_FILES}, mt AS (SELECT path, owner AS name, list(DISTINCT name) AS ms FROM sy WHERE kind = 'method' GROUP BY 1, 2),
+s0 AS (SELECT tf.query, sy.path, kind, sy.name, start_line, end_line, tf.score AS fs, CASE WHEN kind = 'class' THEN coalesce(ms, []) ELSE [] END AS ms, row_number() OVER (PARTITION BY query, sy.path, kind ORDER BY start_line, sy.name) AS n FROM sy JOIN tf USING (path) LEFT JOIN mt ON mt.path = sy.path AND mt.name = sy.name WHERE kind <> 'method'),
+l AS (SELECT query, path, kind, name, start_line, end_line, round(1.0::DOUBLE + CASE WHEN contains(name, '_') THEN 0.5 ELSE 0 END + CASE WHEN length(name) > 10 THEN 0.3 ELSE 0 END + 0.1 * len(ms) + {_IMPORTANT} + fs, 6) AS score FROM s0 WHERE n <= CASE WHEN kind = 'class' THEN 5 ELSE 10 END)
 SELECT query, path, kind, name, start_line, end_line, score, round(least(1.0, score / 5), 6) AS relevance, row_number() OVER (PARTITION BY query ORDER BY score DESC, path, start_line, name) AS rank FROM l QUALIFY rank <= 15""")
 def located_symbols(spark: SparkSession, d: str) -> DataFrame:
     return explore.located_symbols(explore.symbols(files(spark, d)), _top_files(spark, d))
@@ -267,7 +272,7 @@ def codebleu(spark: SparkSession, d: str) -> DataFrame:
     """Each file against the next one by number; tested against a plain computation."""
     from spindrift.functions.text import codebleu_tokens
 
-    f = files(spark, d).select(F.regexp_extract("path", r"nation_(\d+)", 1).cast("int").alias("key"), "content")
+    f = files(spark, d).select(F.col("k").alias("key"), "content")
     pairs = f.select("key", F.col("content").alias("ref")).join(f.select((F.col("key") - 1).alias("key"), F.col("content").alias("hyp")), "key")
     tokens = pairs.select("key", codebleu_tokens(F.col("ref")).alias("ref"), codebleu_tokens(F.col("hyp")).alias("hyp"))
     plain = metrics.ngram_overlap(tokens, "key", "ref", "hyp").withColumnRenamed("score", "ngram")
@@ -278,7 +283,11 @@ def codebleu(spark: SparkSession, d: str) -> DataFrame:
     return both.withColumn("codebleu", F.round(metrics.codebleu(parts, dict.fromkeys(parts, 0.25)), 6))
 
 
-@query(f"""WITH {_FILES}, s AS (SELECT CASE WHEN broken THEN 'own ' || k WHEN more THEN 'more' ELSE 'plain' END AS sig FROM f), c AS (SELECT sig, count(*) AS c FROM s GROUP BY 1), p AS (SELECT *, c / sum(c) OVER () AS p FROM c)
+#: The shape of a file: its tokens, with names and numbers alike.
+_SHAPE = r"array_to_string(list_transform(regexp_extract_all(content, '\w+|[^\w ]|\n *'), lambda t: CASE WHEN t IN ('def', 'class', 'async', 'return', 'import', 'from', 'as', 'for', 'in') THEN t WHEN regexp_full_match(t, '\d+') THEN '1' WHEN regexp_full_match(t, '\w+') THEN 'w' ELSE t END), ' ')"
+
+
+@query(f"""WITH {_FILES}, s AS (SELECT CASE WHEN broken THEN content ELSE {_SHAPE} END AS sig FROM f), c AS (SELECT sig, count(*) AS c FROM s GROUP BY 1), p AS (SELECT *, c / sum(c) OVER () AS p FROM c)
 SELECT 'files' AS "group", sum(c)::BIGINT AS members, count(*) AS clusters, round(sum(-p * ln(p)) / ln(count(*)), 6) AS entropy, round(1 - sum(p * p), 6) AS diversity, max(c) AS largest FROM p""")
 def syntax_clusters(spark: SparkSession, d: str) -> DataFrame:
     rows = files(spark, d).select(F.lit("files").alias("group"), metrics.syntax_signature(F.col("content")).alias("sig"))
