@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from spindrift.operators import callgraph, chunking, explore, metrics
+from spindrift.operators import callgraph, chunking, explore, explorer, metrics
 from spindrift.plans import sources
 from spindrift.plans.base import registry, table
 from spindrift.streaming import limiter, progress
@@ -200,11 +200,11 @@ def lint_parse(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "conversations").select("conv_id", "turn", F.inline(explore.lint_rows(out)))
 
 
-_ASKED = "q AS (SELECT * FROM (VALUES (1, 'run'), (1, 'Base1'), (2, 'make_3'), (2, 'part'), (2, 'Part2'), (3, 'go_'), (3, 'Deep')) v(query, word))"
+_ASKED = "q AS (SELECT * FROM (VALUES (1, 'run'), (1, 'BaseOf1'), (2, 'make_3'), (2, 'part'), (2, 'PartOf2'), (3, 'go_'), (3, 'Deep')) v(query, word))"
 
 
 def _name_words(spark: SparkSession) -> DataFrame:
-    rows = [(1, "run"), (1, "Base1"), (2, "make_3"), (2, "part"), (2, "Part2"), (3, "go_"), (3, "Deep")]
+    rows = [(1, "run"), (1, "BaseOf1"), (2, "make_3"), (2, "part"), (2, "PartOf2"), (3, "go_"), (3, "Deep")]
     return spark.range(1).select(F.inline(F.array(*(F.struct(F.lit(q).alias("query"), F.lit(w).alias("word")) for q, w in rows))))
 
 
@@ -283,8 +283,8 @@ def codebleu(spark: SparkSession, d: str) -> DataFrame:
     return both.withColumn("codebleu", F.round(metrics.codebleu(parts, dict.fromkeys(parts, 0.25)), 6))
 
 
-#: The shape of a file: its tokens, with names and numbers alike.
-_SHAPE = r"array_to_string(list_transform(regexp_extract_all(content, '\w+|[^\w ]|\n *'), lambda t: CASE WHEN t IN ('def', 'class', 'async', 'return', 'import', 'from', 'as', 'for', 'in') THEN t WHEN regexp_full_match(t, '\d+') THEN '1' WHEN regexp_full_match(t, '\w+') THEN 'w' ELSE t END), ' ')"
+#: The shape of a file: its tokens, without what strings hold, with names and numbers alike.
+_SHAPE = r"array_to_string(list_transform(regexp_extract_all(regexp_replace(content, '[\"][^\"\n]*[\"]', '', 'g'), '\w+|[^\w ]|\n *'), lambda t: CASE WHEN t IN ('def', 'class', 'async', 'return', 'import', 'from', 'as', 'for', 'in') THEN t WHEN regexp_full_match(t, '\d+') THEN '1' WHEN regexp_full_match(t, '\w+') THEN 'w' ELSE t END), ' ')"
 
 
 @query(f"""WITH {_FILES}, s AS (SELECT CASE WHEN broken THEN content ELSE {_SHAPE} END AS sig FROM f), c AS (SELECT sig, count(*) AS c FROM s GROUP BY 1), p AS (SELECT *, c / sum(c) OVER () AS p FROM c)
@@ -315,6 +315,34 @@ def explorer_steps(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "conversations").select("conv_id", "turn", explore.next_action(i, can).alias("action"), explore.stops(i, {"files": c % 5, "classes": i, "methods": i}, 3, 5).alias("stops"))
 
 
+#: Items as problems that name a class, and two of three a function.
+_PROBLEM = "'See BaseOf' || CAST(item_id AS STRING) || ' and PartOf' || CAST(item_id * 2 AS STRING) || CASE WHEN item_id % 3 > 0 THEN ', make_' || CAST(item_id AS STRING) ELSE '' END || ': ' || text"
+_ROUNDS = 20
+_SQL_TOOL = """CASE WHEN i < 3 AND len(ws) > 0 THEN 'grep' WHEN i < 6 AND len(files) > 0 THEN 'view_file' WHEN i < 9 AND len(up) > 0 THEN 'search_class' WHEN i < 12 AND len(low) > 0 THEN 'search_method' WHEN i < 15 AND len(cs) > 0 THEN 'get_class_hierarchy' ELSE 'find_file' END"""
+_SQL_WORD = """CASE WHEN i < 3 AND len(ws) > 0 THEN ws[i % len(ws) + 1] WHEN i < 6 AND len(files) > 0 THEN files[i % len(files) + 1] WHEN i < 9 AND len(up) > 0 THEN up[i % len(up) + 1] WHEN i < 12 AND len(low) > 0 THEN low[i % len(low) + 1] WHEN i < 15 AND len(cs) > 0 THEN cs[i % len(cs) + 1] ELSE '.py' END"""
+
+
+@query(f"""WITH RECURSIVE {_SYMBOLS}, pb AS (SELECT item_id, {_PROBLEM} AS text FROM benchmark), {_sql_keywords('stepwise').replace('FROM benchmark', 'FROM pb')},
+ks AS (SELECT item_id AS instance, ws, list_filter(ws, lambda w: regexp_matches(w, '^[A-Z]')) AS up, list_filter(ws, lambda w: contains(w, '_') OR regexp_matches(w, '^[a-z]')) AS low FROM kw),
+wd AS (SELECT DISTINCT unnest(ws) AS word FROM ks), fl AS (SELECT path, unnest(string_split(content, chr(10))) AS x, generate_subscripts(string_split(content, chr(10)), 1) AS line FROM f),
+gh AS (SELECT word, path, line FROM fl JOIN (SELECT DISTINCT ws[i] AS word FROM (SELECT ws, unnest([1, 2, 3]) AS i FROM ks) WHERE ws[i] IS NOT NULL) ON contains(lower(x), lower(word)) QUALIFY row_number() OVER (PARTITION BY word ORDER BY path, line) <= 10),
+ch AS (SELECT word, name, path, start_line FROM sy JOIN wd ON contains(lower(name), lower(word)) WHERE kind = 'class' AND regexp_matches(word, '^[A-Z]') QUALIFY row_number() OVER (PARTITION BY word ORDER BY path, start_line, name) <= 5),
+mh AS (SELECT word, name, path, start_line FROM sy JOIN wd ON contains(lower(name), lower(word)) WHERE kind <> 'class' AND (contains(word, '_') OR regexp_matches(word, '^[a-z]')) QUALIFY row_number() OVER (PARTITION BY word ORDER BY path, start_line, name) <= 5),
+aw AS (SELECT 'grep' AS tool, word, list(path ORDER BY path) AS found FROM (SELECT DISTINCT word, path FROM gh) GROUP BY 2
+  UNION ALL SELECT 'search_class', word, list(name ORDER BY o) FROM (SELECT word, name, min((path, start_line)) AS o FROM ch GROUP BY 1, 2) GROUP BY 2 UNION ALL SELECT 'search_method', word, list(name ORDER BY o) FROM (SELECT word, name, min((path, start_line)) AS o FROM mh GROUP BY 1, 2) GROUP BY 2),
+st AS (SELECT instance, ws, up, low, 0 AS i, []::VARCHAR[] AS files, []::VARCHAR[] AS seen, []::VARCHAR[] AS cs, []::VARCHAR[] AS ms, '' AS tool, '' AS word, []::VARCHAR[] AS found, false AS done FROM ks
+  UNION ALL SELECT instance, ws, up, low, i, files, seen, cs, ms, tool, word, found, i >= {_ROUNDS} OR (i >= 3 AND len(seen) >= 3 AND len(cs) >= 1 AND len(ms) >= 2) AS done FROM (
+    SELECT instance, ws, up, low, i + 1 AS i, CASE WHEN t = 'grep' THEN files || list_filter(found, lambda x: NOT list_contains(files, x)) ELSE files END AS files, CASE WHEN t = 'view_file' AND NOT list_contains(seen, w) THEN list_append(seen, w) ELSE seen END AS seen,
+      CASE WHEN t = 'search_class' THEN cs || list_filter(found, lambda x: NOT list_contains(cs, x)) ELSE cs END AS cs, CASE WHEN t = 'search_method' THEN ms || list_filter(found, lambda x: NOT list_contains(ms, x)) ELSE ms END AS ms, t AS tool, w AS word, found
+    FROM (SELECT p.*, coalesce(aw.found, []) AS found FROM (SELECT instance, ws, up, low, i, files, seen, cs, ms, {_SQL_TOOL} AS t, {_SQL_WORD} AS w FROM st WHERE NOT done) p LEFT JOIN aw ON aw.tool = p.t AND aw.word = p.w)))
+SELECT instance, i AS iteration, tool, word AS parameter, array_to_string(found, ',') AS results, len(seen) AS viewed, len(cs) AS classes, len(ms) AS methods FROM st WHERE i > 0""")
+def exploration_loop(spark: SparkSession, d: str) -> DataFrame:
+    """All items explore the sources made of documents."""
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("instance"), explore.problem_keywords(F.expr(_PROBLEM), "stepwise").alias("keywords"))
+    given = files(spark, d)
+    return explorer.explore_all(items, explorer.answers(items, given, explore.symbols(given)), most=_ROUNDS)
+
+
 @query("SELECT conv_id, turn, substr(md5(conv_id::VARCHAR), 1, 8) AS commit, 'A <a@b>' AS author, 'Mon' AS date, 'Fix ' || turn || chr(10) || chr(10) || 'More.' AS message FROM conversations")
 def commit_log(spark: SparkSession, d: str) -> DataFrame:
     log = F.concat(F.lit("commit "), F.substring(F.md5(F.col("conv_id").cast("string")), 1, 8), F.lit("\nAuthor: A <a@b>\nDate:   Mon\n\n    Fix "), F.col("turn").cast("string"), F.lit("\n\n    More.\n"))

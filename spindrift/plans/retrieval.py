@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from spindrift.functions import text as T
-from spindrift.operators import chunking, context, dense, fusion, ingest, querygen, sparse, vector_index
+from spindrift.operators import chunking, context, dense, fusion, ingest, querygen, sparse, tokens, vector_index
 from spindrift.plans.base import SQL_DOT, registry, sql_bm25, sql_strip, sql_tokens, table
 from spindrift.tables import adopt, fresh, release
 
@@ -390,6 +390,29 @@ def bm25_saved_index(spark: SparkSession, d: str) -> DataFrame:
     return adopt(sparse.search_index(sparse.Index.load(spark, path), table(spark, d, "benchmark")).select("query", "doc", "score", "rank"), path)
 
 
+def _vocabulary(spark: SparkSession) -> tokens.Vocabulary:
+    import public_tokenizers
+
+    return tokens.Vocabulary.read(spark, "file://" + str(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN)
+
+
+@query("SELECT doc_id, md5(coalesce(text, '')) AS rejoined_md5, length(coalesce(text, ''))::BIGINT AS covered, coalesce(text, '') = '' AS empty FROM documents")
+def token_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Windows of 256 tokens: without overlap they rejoin to the text, with 32 tokens of overlap they cover it without a gap."""
+    v, text = _vocabulary(spark), F.coalesce("text", F.lit(""))
+    cuts = table(spark, d, "documents").select("doc_id", text.alias("text"), tokens.windows(text, 256, 0, v).alias("plain"), tokens.windows(text, 256, 32, v).alias("lapped"))
+    covered = F.aggregate("lapped", F.lit(0).cast("long"), lambda at, w: F.when(w["start"] <= at, F.greatest(at, w["stop"])).otherwise(at))
+    return cuts.select("doc_id", F.md5(F.array_join(tokens.pieces(F.col("text"), F.col("plain")), "")).alias("rejoined_md5"), covered.alias("covered"), (F.size("plain") == 0).alias("empty"))
+
+
+@query()
+def token_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens of each text, and the lengths of its first and last hundred; tested against the tokenizer's library."""
+    v = _vocabulary(spark)
+    t = table(spark, d, "documents")
+    return t.select("doc_id", tokens.count(F.col("text"), v).alias("tokens"), F.length(tokens.truncate(F.col("text"), 100, v)).alias("first_chars"), F.length(tokens.truncate(F.col("text"), 100, v, "left")).alias("last_chars"))
+
+
 @query(f"""WITH {sql_bm25(k=40)}, h AS (SELECT query, doc, score, rank AS r, md5(x.text) AS key FROM bm25 b JOIN documents x ON x.doc_id = b.doc WHERE score >= 2 AND doc % 3 <> 0),
 k AS (SELECT query, doc, score FROM h QUALIFY row_number() OVER (PARTITION BY query, key ORDER BY score DESC, r, doc) = 1) SELECT query, doc, score, {_TOP} FROM k QUALIFY rank <= 10""")
 def retrieve_filtered(spark: SparkSession, d: str) -> DataFrame:

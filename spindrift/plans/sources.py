@@ -13,7 +13,7 @@ LINES = [
     ("", '"""{a} {b}."""'),
     ("", "import os"),
     ("k % 3 = 1", "from p{q}.m{j} import make_{j}"),
-    ("k % 3 = 2", "from p{q}.m{j} import make_{j} as build, Base{j}"),
+    ("k % 3 = 2", "from p{q}.m{j} import make_{j} as build, BaseOf{j}"),
     ("k % 5 = 2", "import p{q}.m{j} as before"),
     ("", ""),
     ("", ""),
@@ -32,7 +32,7 @@ LINES = [
     ("", "    return len(y)"),
     ("", ""),
     ("", ""),
-    ("", "class Base{k}:"),
+    ("", "class BaseOf{k}:"),
     ("", "    def run(self):"),
     ("", "        return self.stop()"),
     ("", ""),
@@ -40,8 +40,8 @@ LINES = [
     ("", "        return make_{k}(self)"),
     (_PART, ""),
     (_PART, ""),
-    (f"{_PART} AND k % 3 = 2", "class Part{k}(Base{j}):"),
-    (f"{_PART} AND k % 3 <> 2", "class Part{k}(Base{k}):"),
+    (f"{_PART} AND k % 3 = 2", "class PartOf{k}(BaseOf{j}):"),
+    (f"{_PART} AND k % 3 <> 2", "class PartOf{k}(BaseOf{k}):"),
     (f"{_PART} AND k % 6 = 0", "    @property"),
     (f"{_PART} AND k % 3 = 0", "    async def run(self):"),
     (f"{_PART} AND k % 3 <> 0", "    def run(self, {a}_a):"),
@@ -54,7 +54,7 @@ LINES = [
     (f"{_PART} AND k % 7 = 3", "            return shared(z)"),
     (f"{_PART} AND k % 7 = 3", ""),
     (f"{_PART} AND k % 7 = 3", "        return inner(z)"),
-    (f"{_PART} AND k % 7 <> 3", "        return Base{k}().run()"),
+    (f"{_PART} AND k % 7 <> 3", "        return BaseOf{k}().run()"),
     (f"{_PART} AND k % 9 = 4", ""),
     (f"{_PART} AND k % 9 = 4", "    class Deep:"),
     (f"{_PART} AND k % 9 = 4", "        def run(self):"),
