@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from spindrift.operators.explore import closure
-from spindrift.tables import cut, reading
+from spindrift.tables import cut, reading, release
 
 #: scope: the qualified name of what encloses it, '' for the module; owner: of the innermost class around it.
 FACTS = "path string, fact string, scope string, owner string, name string, kind string, receiver string, bases array<string>, start_line int, end_line int"
@@ -127,9 +127,12 @@ def ancestors(defs: DataFrame, imports: DataFrame) -> DataFrame:
     spelled = bases.where(F.contains("base", F.lit("."))).select("key", "path", F.regexp_extract("base", r"^(.*)\.", 1).alias("receiver"), F.regexp_extract("base", r"([^.]+)$", 1).alias("name"))
     far = _by_module(spelled, defs, imports).select("key", "target")
     edges = bases.join(plain.unionByName(far), "key").select("child", F.col("target").alias("parent"))
-    known = closure(edges).select(F.col("child").alias("node"), "ancestor", "depth")
+    closed = closure(edges)
+    known = closed.select(F.col("child").alias("node"), "ancestor", "depth")
     own = defs.where("kind = 'class'").select("node", F.col("node").alias("ancestor"), F.lit(0).alias("depth")).distinct()
-    return cut(own.unionByName(known).groupBy("node", "ancestor").agg(F.min("depth").alias("depth")))
+    out = cut(own.unionByName(known).groupBy("node", "ancestor").agg(F.min("depth").alias("depth")))
+    release(closed)
+    return out
 
 
 def _by_module(asked: DataFrame, defs: DataFrame, imports: DataFrame) -> DataFrame:

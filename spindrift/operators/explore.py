@@ -86,7 +86,7 @@ def closure(edges: DataFrame) -> DataFrame:
     while True:
         front = known.where(F.col("depth") == depth)
         if front.isEmpty():
-            return known
+            return reading(known, known)
         longer = front.alias("f").join(known.alias("k"), F.col("f.ancestor") == F.col("k.child")).select("f.child", "k.ancestor", (F.col("k.depth") + depth).alias("depth"))
         new = cut(known.unionByName(longer).groupBy("child", "ancestor").agg(F.min("depth").alias("depth")))
         release(known)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from spindrift.functions.text import codebleu_tokens
-from spindrift.operators import ingest, metrics, report
+from spindrift.operators import ingest, metrics, report, significance
 from spindrift.operators.running import running_sums
 from spindrift.plans.base import SQL_DOT, registry, sql_strip, table
 
@@ -331,6 +331,56 @@ def pairwise_t(spark: SparkSession, d: str) -> DataFrame:
     return report.paired_t(_method_pairs(spark, d))
 
 
+def _sql_ranks(table_: str, by: str, value: str) -> str:
+    return f"rank() OVER (PARTITION BY {by} ORDER BY {value}) + (count(*) OVER (PARTITION BY {by}, {value}) - 1) / 2"
+
+
+@query(f"""WITH {_PAIRS}, d AS (SELECT method_a, method_b, x - y AS d FROM mp), k AS (SELECT *, abs(d) AS a FROM d WHERE d <> 0), rk AS (SELECT *, {_sql_ranks('k', 'method_a, method_b', 'a')} AS rank, count(*) OVER (PARTITION BY method_a, method_b, a) AS t FROM k),
+g AS (SELECT method_a, method_b, count(*)::DOUBLE AS n, sum(rank) FILTER (d > 0) AS up, sum(rank) FILTER (d < 0) AS down, sum(t * t - 1)::DOUBLE AS ties FROM rk GROUP BY 1, 2), h AS (SELECT *, (up - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48) AS zz FROM g), e AS (SELECT *, abs(zz) / sqrt(2) AS z FROM h)
+SELECT method_a, method_b, n::BIGINT AS n, up::DOUBLE AS w_plus, down::DOUBLE AS w_minus, round(zz, 6) AS z, round({_ERFC}, 6) AS p FROM e""")
+def pairwise_wilcoxon(spark: SparkSession, d: str) -> DataFrame:
+    return significance.wilcoxon(_method_pairs(spark, d), ["method_a", "method_b"])
+
+
+def _sql_beta(x: str, a: str, b: str) -> str:
+    """The regularized incomplete beta function by its series, on the side below a half."""
+    one = "CASE WHEN {y} <= 0 THEN 0 ELSE exp({p} * ln({y}) + {q} * ln(1 - {y}) + lgamma({p} + {q}) - lgamma({p}) - lgamma({q})) / {p} * list_sum(list_transform(range(0, 2000), lambda n: exp(lgamma({p} + {q} + n) - lgamma({p} + {q}) + lgamma({p} + 1) - lgamma({p} + 1 + n) + n * ln({y})))) END"
+    return f"CASE WHEN {x} > 0.5 THEN 1 - {one.format(y=f'(1 - {x})', p=b, q=a)} ELSE {one.format(y=x, p=a, q=b)} END"
+
+
+@query(f"""WITH {_PAIRS}, rk AS (SELECT method_a, method_b, {_sql_ranks('mp', 'method_a, method_b', 'x')} AS rx, {_sql_ranks('mp', 'method_a, method_b', 'y')} AS ry FROM mp),
+g AS (SELECT method_a, method_b, count(*) AS n, corr(rx, ry) AS rho FROM rk GROUP BY 1, 2), t AS (SELECT *, rho * sqrt((n - 2) / (1 - rho * rho)) AS t FROM g), b AS (SELECT *, ((n - 2) / (n - 2 + t * t))::DOUBLE AS x, ((n - 2) / 2)::DOUBLE AS a, 0.5::DOUBLE AS b FROM t)
+SELECT method_a, method_b, n, round(rho, 6) AS rho, round(t, 6) AS t, round({_sql_beta('x', 'a', 'b')}, 6) AS p FROM b""")
+def pairwise_spearman(spark: SparkSession, d: str) -> DataFrame:
+    return significance.spearman(_method_pairs(spark, d), ["method_a", "method_b"])
+
+
+_QUARTERS = "qv AS (SELECT user_id % 4 AS part, event_type AS g, value FROM events), gs AS (SELECT part, g, count(*) AS n, avg(value) AS m, var_pop(value) AS v FROM qv GROUP BY 1, 2)"
+
+
+def _quarters(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").select((F.col("user_id") % 4).alias("part"), F.col("event_type").alias("group"), "value")
+
+
+@query(f"""WITH {_QUARTERS}, t AS (SELECT part, count(*) AS groups, sum(n)::BIGINT AS n, sum(n * m) / sum(n) AS grand, sum(n * v) AS within FROM gs GROUP BY 1), b AS (SELECT t.*, (SELECT sum(gs.n * (m - grand) ** 2) FROM gs WHERE gs.part = t.part) AS between FROM t),
+f AS (SELECT part, groups, n, between / (groups - 1) / (within / (n - groups)) AS f, ((n - groups) / 2)::DOUBLE AS a, ((groups - 1) / 2)::DOUBLE AS b, ((n - groups) / (n - groups + between / (within / (n - groups))))::DOUBLE AS x FROM b)
+SELECT part, groups, n, round(f, 6) AS f, round({_sql_beta('x', 'a', 'b')}, 6) AS p FROM f""")
+def variance_anova(spark: SparkSession, d: str) -> DataFrame:
+    """Values by type of event, for each quarter of the users."""
+    return significance.anova(_quarters(spark, d), ["part"])
+
+
+@query(f"""WITH {_QUARTERS}, t AS (SELECT part, count(*) AS k, sum(n) - count(*) AS df, sum(n * v) / (sum(n) - count(*)) AS ms FROM gs GROUP BY 1),
+pr AS (SELECT x.part, x.g AS a, y.g AS b, x.m - y.m AS d, abs(x.m - y.m) / sqrt(ms / 2 * (1 / x.n + 1 / y.n)) AS q, k, df::DOUBLE AS df FROM gs x JOIN gs y ON x.part = y.part AND x.g < y.g JOIN t ON t.part = x.part),
+sg AS (SELECT unnest(range(-40, 41)) / 40 AS u), zg AS (SELECT unnest(range(-60, 61)) / 7.5 AS y), zf AS (SELECT y, CASE WHEN y >= 0 THEN 1 - e / 2 ELSE e / 2 END AS phi FROM (SELECT y, ({_ERFC}) AS e FROM (SELECT y, (abs(y) / sqrt(2))::DOUBLE AS z FROM zg))),
+w0 AS (SELECT part, a, b, d, q, k, df, u, y, phi, 1 + u * 8 / sqrt(2 * df) AS s FROM pr, sg, zf), w1 AS (SELECT *, y - q * s AS l, (abs(y - q * s) / sqrt(2))::DOUBLE AS z FROM w0 WHERE s > 0), w2 AS (SELECT *, ({_ERFC}) AS e FROM w1),
+w3 AS (SELECT part, a, b, d, q, k, df, s, sum(exp(-y * y / 2) / sqrt(2 * pi()) * greatest(phi - CASE WHEN l >= 0 THEN 1 - e / 2 ELSE e / 2 END, 0) ** (k - 1)) / 7.5 AS inner_ FROM w2 GROUP BY part, a, b, d, q, k, df, s),
+w4 AS (SELECT part, a, b, d, q, sum(exp(ln(2) + df / 2 * ln(df / 2) - lgamma(df / 2) + (df - 1) * ln(s) - df * s * s / 2) * inner_ * k) * 8 / sqrt(2 * max(df)) / 40 AS below FROM w3 GROUP BY part, a, b, d, q)
+SELECT part, a, b, round(d, 6) AS difference, round(q, 6) AS q, round(greatest(least(1 - below, 1), 0), 6) AS p FROM w4""")
+def variance_tukey(spark: SparkSession, d: str) -> DataFrame:
+    return significance.tukey(_quarters(spark, d), ["part"])
+
+
 @query("SELECT doc_id, contains(p, '---') AND contains(p, '+++') AS form, CASE doc_id % 3 WHEN 0 THEN true ELSE false END AS resolved FROM (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '--- a/x' || chr(10) || '+++ b/x' || chr(10) || '@@ -1 +1 @@' || chr(10) || '+y' WHEN 1 THEN '--- a/x' || chr(10) || '+++ b/x' || chr(10) || 'no hunk' ELSE 'text' END AS p FROM documents)")
 def resolved_lightly(spark: SparkSession, d: str) -> DataFrame:
     p = F.when(F.col("doc_id") % 3 == 0, "--- a/x\n+++ b/x\n@@ -1 +1 @@\n+y").when(F.col("doc_id") % 3 == 1, "--- a/x\n+++ b/x\nno hunk").otherwise("text")
