@@ -8,7 +8,9 @@ from pyspark.sql.window import Window
 
 from spindrift.functions import text as T
 from spindrift.operators import chunking, context, dense, fusion, ingest, querygen, sparse, tokens, vector_index
+from spindrift.functions import tables as table_functions
 from spindrift.plans.base import SQL_DOT, registry, sql_bm25, sql_strip, sql_tokens, table
+from spindrift.sources import tailing
 from spindrift.tables import adopt, fresh, release
 
 QUERIES, ORACLES, query = registry()
@@ -637,6 +639,46 @@ def custom_chunks(spark: SparkSession, d: str) -> DataFrame:
     return chunking.custom_chunks(table(spark, d, "documents"), _paragraph_cuts, "doc_id", "text").select("doc_id", "chunk", F.md5("content").alias("content_md5"))
 
 
+def _paragraphs(text: str) -> list[tuple[int, int]]:
+    return _paragraph_cuts(0, text)
+
+
+@query("SELECT doc_id, unnest(range(len(ps)))::INT AS chunk, md5(unnest(ps)) AS content_md5 FROM (SELECT doc_id, string_split(text, chr(10) || chr(10)) AS ps FROM documents)")
+def lateral_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """The same chunker as a table function, called in SQL text."""
+    table_functions.register(spark, "paragraphs", table_functions.chunk_function(_paragraphs))
+    return spark.sql("SELECT doc_id, chunk, md5(content) AS content_md5 FROM {docs} d, LATERAL paragraphs(d.text)", docs=table(spark, d, "documents"))
+
+
+def _capital(line: str) -> bool:
+    return line[:1] in tuple("ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+
+
+@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents), h AS (SELECT *, sum(CASE WHEN line = 1 OR regexp_matches(x, '^[A-Z]') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line) AS part FROM l),
+g AS (SELECT *, (row_number() OVER (PARTITION BY doc_id, part ORDER BY line) - 1) // 20 AS piece FROM h)
+SELECT doc_id, min(line)::INT AS first, max(line)::INT AS last, md5(arg_min(x, line)) AS head_md5, sum(length(x))::INT AS n_chars FROM g GROUP BY doc_id, part, piece""")
+def section_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Sections of each document's lines, by a table function over its partitions."""
+    table_functions.register(spark, "sections", table_functions.section_function(_capital, 20))
+    ls = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "content")).selectExpr("doc_id as key", "pos + 1 as line", "content")
+    found = spark.sql("SELECT * FROM sections(TABLE(SELECT key, line, content FROM {ls}) PARTITION BY key ORDER BY line)", ls=ls)
+    return found.select(F.col("key").alias("doc_id"), "first", "last", F.md5("head").alias("head_md5"), "n_chars")
+
+
+@query("SELECT doc_id::VARCHAR AS instance_id, md5(text) AS model_patch, source AS model_name_or_path FROM documents")
+def followed_predictions(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as predictions in files that a stream follows: it is started after each half, and once more."""
+    spark.dataSource.register(tailing.Predictions)
+    at = fresh(spark, "followed")
+    docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("instance_id"), F.md5("text").alias("model_patch"), F.col("source").alias("model_name_or_path"))
+    for half in (0, 1, None):
+        if half is not None:
+            docs.where(F.pmod(F.xxhash64("instance_id"), F.lit(2)) == half).write.mode("append").json(f"{at}/in")
+        stream = spark.readStream.format("predictions").load(f"{at}/in")
+        stream.writeStream.format("parquet").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start(f"{at}/rows").awaitTermination()
+    return adopt(spark.read.schema(tailing.SCHEMA).parquet(f"{at}/rows").select("instance_id", "model_patch", "model_name_or_path"), at)
+
+
 #: Patches of conversations' turns: two files, one of them new, or one file without a head.
 _PATCH = r"""CASE turn % 2 WHEN 0 THEN 'diff --git a/m' || conv_id || '.py b/m' || conv_id || '.py' || chr(10) || '--- a/m' || conv_id || '.py' || chr(10) || '+++ b/m' || conv_id || '.py' || chr(10) || '@@ -3,2 +' || turn + 3 || ',3 @@' || chr(10) || ' def keep():' || chr(10) || '-    old' || chr(10) || '+    new' || chr(10) || '+def made_' || turn || '():' || chr(10) || '--- /dev/null' || chr(10) || '+++ b/new.py' || chr(10) || '@@ -0,0 +1 @@' || chr(10) || '+class Made:'
 ELSE '--- a/x.py' || chr(10) || '+++ b/x.py' || chr(10) || '@@ -1 +1 @@' || chr(10) || '-a' || chr(10) || '+b' END"""
