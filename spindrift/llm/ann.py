@@ -24,6 +24,8 @@ from spindrift.session import share_package
 SAMPLE = 16_384
 #: Parts that one classifier tells apart, at most, what the sample can teach it; beyond, a second one divides each part again.
 MAX_PARTS = 2048
+#: Similarities that the driver holds at a time while it fits.
+NEAR_CELLS = 1 << 21
 #: Rows of a block, the unit that a task holds while queries stream past it.
 ROW_BLOCK = 8192
 #: Recall of held-out queries at which probing stops.
@@ -32,10 +34,13 @@ RECALL = 0.95
 
 @dataclass
 class Router:
-    """One or two classifiers (weights, biases) of unit vectors; a row's part is its likeliest class of each."""
+    """One or two classifiers (weights, biases) of unit vectors; a row's part is its likeliest class of each.
+
+    A query visits the parts whose classes' ranks, from 0 for the likeliest, have a sum of `reach` at most.
+    """
 
     heads: list[tuple[np.ndarray, np.ndarray]]
-    probe: int
+    reach: float
 
     def scores(self, x: np.ndarray, head: int) -> np.ndarray:
         w, b = self.heads[head]
@@ -45,16 +50,13 @@ class Router:
         """[row, head]: the likeliest class."""
         return np.stack([self.scores(x, h).argmax(axis=1) for h in range(len(self.heads))], axis=1)
 
-    def visited(self, x: np.ndarray) -> np.ndarray:
-        """[row, head, class]: whether the class is one of the `probe` likeliest.  A part is visited if its classes all are."""
-        out = []
+    def ranks(self, x: np.ndarray) -> np.ndarray:
+        """[row, head, class]: how many classes are likelier."""
+        out = np.empty((len(x), len(self.heads), self.heads[0][1].shape[0]), dtype=np.int32)
         for h in range(len(self.heads)):
-            s = self.scores(x, h)
-            n = min(self.probe, s.shape[1])
-            hit = np.zeros(s.shape, dtype=bool)
-            np.put_along_axis(hit, np.argpartition(-s, n - 1, axis=1)[:, :n], True, axis=1)
-            out.append(hit)
-        return np.stack(out, axis=1)
+            order = np.argsort(-self.scores(x, h), axis=1, kind="stable")
+            np.put_along_axis(out[:, h], order, np.arange(order.shape[1], dtype=np.int32)[None], axis=1)
+        return out
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -66,11 +68,13 @@ def unit(x: np.ndarray) -> np.ndarray:
 def neighbours(x: np.ndarray, of: np.ndarray, k: int) -> np.ndarray:
     """The k nearest rows of x to its rows `of`, themselves left out."""
     out = np.empty((len(of), k), dtype=np.int64)
-    for at in range(0, len(of), 256):
-        rows = of[at : at + 256]
+    step = max(1, NEAR_CELLS // max(1, len(x)))
+    for at in range(0, len(of), step):
+        rows = of[at : at + step]
         s = x[rows] @ x.T
         s[np.arange(len(rows)), rows] = -np.inf
-        out[at : at + 256] = np.argpartition(-s, k - 1, axis=1)[:, :k]
+        np.negative(s, out=s)
+        out[at : at + step] = np.argpartition(s, k - 1, axis=1)[:, :k]
     return out
 
 
@@ -153,7 +157,7 @@ def _classifier(x: np.ndarray, graph: np.ndarray, label: np.ndarray, parts: int,
 
 
 def fit(sample: np.ndarray, parts: int, others: np.ndarray | None = None, recall: float = RECALL, k: int = 5, heads: int = 1, seed: int = 3) -> Router:
-    """The router, fitted on the unit vectors `sample`; its probe count is the smallest that reaches `recall` for the k nearest.
+    """The router, fitted on the unit vectors `sample`; its reach is the smallest with which `recall` of the k nearest are found.
 
     If the sample is not the whole table, that is measured on others: queries and rows that the fit has not seen.
     """
@@ -161,10 +165,13 @@ def fit(sample: np.ndarray, parts: int, others: np.ndarray | None = None, recall
     rng = np.random.default_rng(seed)
     x = x[rng.permutation(len(x))]
     dim = x.shape[1]
-    if parts < 2 or len(x) < 4 * parts or len(x) <= 4 * k:
-        return Router([(np.zeros((dim, 1), np.float32), np.zeros(1, np.float32))], 1)
+    # Four vectors to a part at least, so few different ones in the sample give fewer parts.
+    parts = min(parts, 1 << max(0, int(np.log2(max(1, len(x) / 4)))))
+    if parts < 2:
+        return Router([(np.zeros((dim, 1), np.float32), np.zeros(1, np.float32))], np.inf)
+    k = min(k, len(x) - 1)
     graph = neighbours(x, np.arange(len(x)), 16 if len(x) > 16 else len(x) - 1)
-    router = Router([], parts)
+    router = Router([], np.inf)
     for _ in range(heads):
         label = balanced_parts(x, graph, parts, rng)
         router.heads.append(_classifier(x, graph, label, parts, rng))
@@ -172,11 +179,11 @@ def fit(sample: np.ndarray, parts: int, others: np.ndarray | None = None, recall
         x = others.astype(np.float32)
     asked = rng.permutation(len(x))[:2000]
     codes, near = router.codes(x), neighbours(x, asked, k)
-    rank = np.zeros(near.shape, dtype=np.int64)
-    for h in range(heads):
-        place = np.argsort(np.argsort(-router.scores(x[asked], h), axis=1, kind="stable"), axis=1)
-        rank = np.maximum(rank, np.take_along_axis(place, codes[near, h], axis=1))
-    router.probe = int(np.sort(rank.ravel())[int(np.ceil(recall * rank.size)) - 1]) + 1
+    far = np.empty(near.shape, dtype=np.int64)
+    for at in range(0, len(asked), 256):
+        r = router.ranks(x[asked[at : at + 256]])
+        far[at : at + 256] = sum(np.take_along_axis(r[:, h], codes[near[at : at + 256], h], axis=1) for h in range(heads))
+    router.reach = float(np.sort(far.ravel())[int(np.ceil(recall * far.size)) - 1])
     return router
 
 
@@ -210,21 +217,16 @@ def assign(rows: DataFrame, router: Router) -> DataFrame:
 
 
 def _asked(queries: DataFrame, router: Router, first: np.ndarray, count: np.ndarray) -> DataFrame:
-    """queries(id, v) -> block, id, v, visited: a row for each block that holds a part that the query visits.
-
-    visited: the classes that it visits, a bit for each.
-    """
+    """queries(id, v) -> block, id, v: a row for each block that holds a part whose first class the query visits."""
 
     def run(batches):
         for b in slices(batches, 256):
-            hit = router.visited(unit(_matrix(b.column("v"))))
-            bits = np.packbits(hit.reshape(len(hit), -1), axis=1)
-            blocks = [np.unique(np.concatenate([np.arange(first[p], first[p] + count[p]) for p in np.flatnonzero(h[0])])) for h in hit]
+            near = router.ranks(unit(_matrix(b.column("v"))))[:, 0] <= router.reach
+            blocks = [np.unique(np.concatenate([np.arange(first[p], first[p] + count[p]) for p in np.flatnonzero(n)])) for n in near]
             at = pa.array(np.repeat(np.arange(len(blocks)), [len(x) for x in blocks]))
-            packed = pa.array([x.tobytes() for x in bits], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(blocks), pa.int64()), b.column("id").take(at), b.column("v").take(at), packed.take(at)], ["block", "id", "v", "visited"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(blocks), pa.int64()), b.column("id").take(at), b.column("v").take(at)], ["block", "id", "v"])
 
-    return queries.select("id", "v").mapInArrow(run, "block long, id long, v array<double>, visited binary")
+    return queries.select("id", "v").mapInArrow(run, "block long, id long, v array<double>")
 
 
 class Block:
@@ -239,13 +241,14 @@ class Block:
         self.by_id = np.argsort(self.ids, kind="stable")
         self.starts = np.flatnonzero(np.diff(self.ids[self.by_id], prepend=self.ids[self.by_id][0] - 1))
 
-    def nearest(self, q_ids: np.ndarray, q: np.ndarray, visited: np.ndarray, k: int) -> tuple[list[tuple], int]:
+    def nearest(self, q_ids: np.ndarray, q: np.ndarray, router: Router, k: int) -> tuple[list[tuple], int]:
         """(query, id, score) of each query's k nearest ids among the rows of the parts that it visits, equal scores by id, its own
         id left out, and the number of rows scored.  An id with several rows counts once, with its best score."""
         qu, scored, out = unit(q), 0, []
+        ranks = router.ranks(qu)
         s = np.full((len(q), len(self.ids)), -np.inf)
         for lo, hi in self.parts:
-            who = visited[:, np.arange(self.codes.shape[1]), self.codes[lo]].all(axis=1).nonzero()[0]
+            who = (ranks[:, np.arange(self.codes.shape[1]), self.codes[lo]].sum(axis=1) <= router.reach).nonzero()[0]
             if len(who):
                 s[who, lo:hi] = qu[who] @ self.unit[lo:hi].T
                 scored += len(who) * (hi - lo)
@@ -280,11 +283,10 @@ def _search(index: DataFrame, queries: DataFrame, router: Router, k: int) -> Dat
             at, held = at + 1, 0
         first[p] = at
         at, held = (at + int(count[p]), 0) if count[p] > 1 else (at, held + int(n))
-    n_heads, classes = len(router.heads), len(sizes)
     place = F.array(*(F.struct(F.lit(int(f)).alias("first"), F.lit(int(c)).alias("n")) for f, c in zip(first, count, strict=True)))
     where = F.element_at(place, F.col("part") + 1)
-    rows = index.select((where["first"] + F.pmod(F.xxhash64("id", "v"), where["n"])).cast("long").alias("block"), F.lit(0).alias("kind"), "id", "v", "codes", F.lit(None).cast("binary").alias("visited"))
-    asked = _asked(queries, router, first, count).select("block", F.lit(1).alias("kind"), "id", "v", F.lit(None).cast("array<int>").alias("codes"), "visited")
+    rows = index.select((where["first"] + F.pmod(F.xxhash64("id", "v"), where["n"])).cast("long").alias("block"), F.lit(0).alias("kind"), "id", "v", "codes")
+    asked = _asked(queries, router, first, count).select("block", F.lit(1).alias("kind"), "id", "v", F.lit(None).cast("array<int>").alias("codes"))
     # Each block is a task's, by its number: hashes would put several into one.
     both = rows.unionByName(asked).repartitionById(at + 1, F.col("block").cast("int")).sortWithinPartitions("block", "kind")
 
@@ -304,10 +306,8 @@ def _search(index: DataFrame, queries: DataFrame, router: Router, k: int) -> Dat
                 if block is None and held:
                     block, held = Block(*(np.concatenate(x) for x in zip(*held, strict=True))), []
                 if block is not None:
-                    bits = np.frombuffer(b"".join(part.column("visited").to_pylist()), dtype=np.uint8).reshape(len(ids), -1)
                     for at in range(0, len(ids), 256):
-                        seen = np.unpackbits(bits[at : at + 256], axis=1)[:, : n_heads * classes].astype(bool).reshape(-1, n_heads, classes)
-                        found, scored = block.nearest(ids[at : at + 256], v[at : at + 256], seen, k)
+                        found, scored = block.nearest(ids[at : at + 256], v[at : at + 256], router, k)
                         # The rows scored are on the batch's first row.
                         cols = list(zip(*found, strict=True)) or [(), (), ()]
                         counted = np.zeros(len(found), dtype=np.int64)
@@ -355,26 +355,35 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_
 
 
 def _nearest(rows: DataFrame, k: int, every: int, recall: float, parts: int | None, heads: int | None) -> DataFrame:
-    """nearest() of vectors of one length."""
+    """nearest() of vectors of one length.
+
+    Of the ids of equal vectors the k + 1 smallest are indexed: ties go to the smaller id, so no other can be in a result.  A vector that
+    most rows have is k + 1 rows of the index, whatever their number; all rows of a query's id ask.
+    """
     total, ids = rows.agg(F.count("*"), F.count_distinct("id")).first()
-    order, repeats = [F.xxhash64("id"), F.col("id")], ids < total
-    if repeats:
+    made = []
+    if ids < total:
         rows = cut(rows.dropDuplicates(["id", "v"]))
-        total = rows.count()
-        order = [F.xxhash64("id", "v"), F.col("id")]
-    sample = unit(_matrix(rows.orderBy(*order).limit(4 * SAMPLE).select("v").toArrow().column("v").combine_chunks()))
-    n, h = parts_for(total)
-    router = fit(sample[:SAMPLE], parts or n, sample[SAMPLE:] if total > SAMPLE else None, recall, k, heads or h)
-    index = cut(assign(rows, router))
-    asked = index.where(F.col("id") % every == 0).select("id", "v")
+        made.append(rows)
+    of = Window.partitionBy("v").orderBy("id")
+    few = cut(rows.withColumn("n", F.row_number().over(of)).where(F.col("n") <= k + 1).drop("n"))
+    made.append(few)
+    held = few.count()
+    first = few.orderBy(F.xxhash64("id", "v"), "id").limit(4 * SAMPLE).select("v").toArrow().column("v").combine_chunks()
+    sample = unit(_matrix(first)).astype(np.float32)
+    n, h = parts_for(held)
+    router = fit(sample[:SAMPLE], parts or n, sample[SAMPLE:] if held > SAMPLE else None, recall, k, heads or h)
+    del sample, first
+    index = cut(assign(few, router))
+    asked = cut(rows.where(F.col("id") % every == 0).select("id", "v"))
     found = cut(_search(index, asked, router, k))
     full = found.groupBy("query_id").agg(F.count("*").alias("c")).where(F.col("c") >= k)
     short = asked.join(full, F.col("id") == F.col("query_id"), "left_anti")
     out = reading(found, found)
     if ids > 1 and short.take(1):
         short = cut(short)
-        every_part = Router(router.heads, router.heads[0][1].shape[0])
+        every_part = Router(router.heads, np.inf)
         everywhere = cut(_search(index, short, every_part, k))
         out = reading(found.join(short.select(F.col("id").alias("query_id")).distinct(), "query_id", "left_anti").unionByName(everywhere), found, short, everywhere)
-    release(index, *([rows] if repeats else []))
+    release(index, asked, *made)
     return out

@@ -142,17 +142,32 @@ def _brute_nearest(rows, k=5, every=50):
     return out
 
 
-@pytest.mark.parametrize("heads", [1, 2])
-def test_ann_routes(spark, heads):
+@pytest.mark.parametrize("heads,parts,share", [(1, None, 0.5), (2, 32, 0.65), (2, 128, 0.5)])
+def test_ann_routes(spark, heads, parts, share):
     e = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").withColumn("part", F.lit(1)).withColumn("id", F.lit("x"))
     rows = [(r.vec_id, r.embedding) for r in e.collect()]
-    found = ann.nearest(e, heads=heads, parts=None if heads == 1 else 32).collect()
+    found = ann.nearest(e, heads=heads, parts=parts).collect()
     want, got = _brute_nearest(rows), defaultdict(set)
     for r in found:
         got[r.query_id].add(r.vec_id)
     assert sum(len(got[q] & set(v)) for q, v in want.items()) >= 0.9 * sum(map(len, want.values()))
     # Far fewer rows are scored than there are.
-    assert sum(r.scored for r in found) < (0.5 if heads == 1 else 0.75) * len(want) * len(rows)
+    assert sum(r.scored for r in found) < share * len(want) * len(rows)
+
+
+def test_ann_routes_with_few_different_vectors(spark):
+    """Four of five rows have one vector: the others are still searched part by part, and nothing is lost."""
+    rng = np.random.default_rng(9)
+    rows = [(i, [float(x) for x in rng.normal(size=16)] if i % 5 == 0 else [1.0] * 16) for i in range(6000)]
+    found = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    want, got = _brute_nearest(rows), defaultdict(list)
+    for r in sorted(found, key=lambda r: (r.query_id, r.rank)):
+        got[r.query_id].append(r.vec_id)
+    assert sum(len(set(got[q]) & set(v)) for q, v in want.items()) >= 0.9 * sum(map(len, want.values()))
+    assert 0 < sum(r.scored for r in found) < 0.5 * len(want) * len(rows)
+    odd = [(i + 1 if i % 50 == 0 else i, v) for i, v in rows if i % 5 or i % 50 == 0] + [(50 * j, [1.0] * 16) for j in range(200)]
+    hot = ann.nearest(spark.createDataFrame(odd, "vec_id long, embedding array<double>")).where("query_id = 100").orderBy("rank").collect()
+    assert [r.vec_id for r in hot] == _brute_nearest([r for r in odd])[100]
 
 
 def test_ann_blocks_and_lengths(spark, monkeypatch):
