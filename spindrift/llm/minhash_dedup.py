@@ -25,6 +25,8 @@ R = 3
 MISS = 2e-4
 #: Of the pairs with a centre, those whose minima agree less than the threshold by more than this share are left to step 3.
 SLACK = 0.2
+#: 64-bit words of parities() of a set.
+PARITY_WORDS = 16
 
 
 def groups_for(percent: int) -> int:
@@ -135,13 +137,24 @@ def unshared(texts: DataFrame, width: int) -> DataFrame:
     return once.groupBy("id").agg(F.count("*").alias("u"))
 
 
+def parities(rows: DataFrame) -> DataFrame:
+    """rows(id, h) -> id, b0, b1, ..: for each of 64 * PARITY_WORDS classes of hashes whether the set has an odd number of that class.
+
+    Each shingle that only one of two sets has turns one bit, so no more bits of two sets differ than that.
+    """
+    word, bit = F.pmod("h", F.lit(PARITY_WORDS)), F.pmod(F.shiftright("h", 8), F.lit(64)).cast("int")
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), bit)
+    return rows.groupBy("id").agg(*(F.bit_xor(F.when(word == i, one).otherwise(F.lit(0).cast("long"))).alias(f"b{i}") for i in range(PARITY_WORDS)))
+
+
 def prefix_pairs(texts: DataFrame, percent: int, width: int) -> DataFrame:
     """texts(id, text, c) -> a, b: pairs of texts of different classes c that could reach the threshold; none that does is left out.
 
     With all shingles ordered by how many of these texts have them, rarest first, two texts that are near enough share one of
     the first n - ceil(percent * n / 100) + 1 shingles of each (prefix filter), the smaller one of still fewer; and at the first that they
     share, what is left of either must still reach the threshold (positional filter).  Shingles of one text only are no keys.  So texts
-    of one family that share their common part but not their rare shingles don't become pairs.  The join is by equality on the
+    of one family that share their common part but not their rare shingles don't become pairs; nor do those of a family without rare
+    ones, as parities() of their sets bound the difference from below within the join.  The join is by equality on the
     shingle; Spark may split the rows of a frequent one.
     """
     rows = cut(shingle_rows(texts, width))
@@ -150,14 +163,17 @@ def prefix_pairs(texts: DataFrame, percent: int, width: int) -> DataFrame:
     placed = rows.join(df, "h").withColumn("p", F.row_number().over(w)).withColumn("n", F.count("*").over(Window.partitionBy("id")))
     p = F.lit(percent)
     placed = placed.where((F.col("f") > 1) & (F.col("p") <= F.col("n") - F.ceil(p * F.col("n") / 100) + 1))
-    placed = cut(placed.join(texts.select("id", "c"), "id").select("h", "id", "c", "n", "p"))
+    bits = [f"b{i}" for i in range(PARITY_WORDS)]
+    placed = cut(placed.join(texts.select("id", "c"), "id").join(parities(rows), "id").select("h", "id", "c", "n", "p", *bits))
     # The smaller of two texts needs 2 * percent / (100 + percent) of its shingles in common, so its prefix is shorter.
     small = placed.where(F.col("p") <= F.col("n") - F.ceil(2 * p * F.col("n") / (100 + p)) + 1)
-    x, y = placed.select("h", *(F.col(k).alias(f"{k}x") for k in ("id", "c", "n", "p"))), small.select(F.col("h").alias("hy"), *(F.col(k).alias(f"{k}y") for k in ("id", "c", "n", "p")))
+    x, y = placed.select("h", *(F.col(k).alias(f"{k}x") for k in ("id", "c", "n", "p", *bits))), small.select(F.col("h").alias("hy"), *(F.col(k).alias(f"{k}y") for k in ("id", "c", "n", "p", *bits)))
     order = (F.col("ny") < F.col("nx")) | ((F.col("ny") == F.col("nx")) & (F.col("idy") < F.col("idx")))
     room = F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py")) + 1
     fits = (100 + p) * room >= p * (F.col("nx") + F.col("ny"))
-    found = cut(x.join(y, (F.col("h") == F.col("hy")) & order & (F.col("cx") != F.col("cy")) & fits).select(F.col("idx").alias("a"), F.col("idy").alias("b")).distinct())
+    apart = reduce(lambda a, b: a + b, (F.bit_count(F.col(f"{b}x").bitwiseXOR(F.col(f"{b}y"))) for b in bits))
+    close = (100 + p) * apart <= (100 - p) * (F.col("nx") + F.col("ny"))
+    found = cut(x.join(y, (F.col("h") == F.col("hy")) & order & (F.col("cx") != F.col("cy")) & fits & close).select(F.col("idx").alias("a"), F.col("idy").alias("b")).distinct())
     release(rows, placed)
     return found
 

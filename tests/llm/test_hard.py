@@ -129,6 +129,58 @@ def test_packing_hard_rows(spark):
     assert sum(r.length for r in got) == sum(sizes)
 
 
+def _family(n, places=20, words=200, seed=11):
+    """Texts of one family without rare shingles: each of the places has one of two words."""
+    rng = np.random.default_rng(seed)
+    base = [f"w{i}" for i in range(words)]
+    at = sorted(rng.choice(words, places, replace=False).tolist())
+    out = []
+    for bits in rng.integers(0, 2, (n, places)).tolist():
+        t = base.copy()
+        for p, b in zip(at, bits, strict=True):
+            t[p] = f"{'xy'[b]}{p}"
+        out.append(" ".join(t))
+    return out
+
+
+@pytest.mark.parametrize("exact", [False, True])
+def test_pairs_of_a_family_without_rare_shingles(spark, monkeypatch, exact):
+    """The links are those of brute force, and few more pairs than these and a centre for each text are compared on their texts."""
+    compared = []
+    plain = minhash_dedup.verify
+
+    def counting(pairs, *rest):
+        compared.append(pairs.count())
+        return plain(pairs, *rest)
+
+    monkeypatch.setattr(minhash_dedup, "verify", counting)
+    for n in (150, 500):
+        texts = _family(n)
+        sets = [set(zip(*(t.split()[i:] for i in range(5)), strict=False)) for t in texts]
+        parent = list(range(n))
+
+        def root(i):
+            while parent[i] != i:
+                i = parent[i]
+            return i
+
+        links = 0
+        for a in range(n):
+            for b in range(a):
+                both = len(sets[a] & sets[b])
+                if 100 * both >= 85 * (len(sets[a]) + len(sets[b]) - both):
+                    links += 1
+                    x, y = sorted((root(a), root(b)))
+                    parent[y] = x
+        compared.clear()
+        got = by_id(minhash_dedup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), percent=85, exact=exact))
+        assert [got[i].component_id for i in range(n)] == [root(i) for i in range(n)]
+        if exact:
+            assert sum(compared) <= 2 * links + n
+        else:
+            assert compared[0] <= n and compared[1] <= 24 * n and compared[2] <= 2 * links + n
+
+
 def _brute_nearest(rows, k=5, every=50):
     ids = np.array([i for i, _ in rows])
     x = ann.unit(np.array([v for _, v in rows], dtype=float))
