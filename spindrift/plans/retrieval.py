@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from spindrift.functions import text as T
-from spindrift.operators import chunking, context, dense, fusion, ingest, querygen, sparse, tokens, vector_index
+from spindrift.operators import chunking, context, dense, fusion, ingest, querygen, sparse, tokens, vector_graph, vector_index
 from spindrift.functions import tables as table_functions
 from spindrift.plans.base import SQL_DOT, registry, sql_bm25, sql_strip, sql_tokens, table
 from spindrift.sources import tailing
-from spindrift.tables import adopt, fresh, release
+from spindrift.tables import adopt, fresh, reading, release
 
 QUERIES, ORACLES, query = registry()
 
@@ -392,6 +392,15 @@ def bm25_saved_index(spark: SparkSession, d: str) -> DataFrame:
     return adopt(sparse.search_index(sparse.Index.load(spark, path), table(spark, d, "benchmark")).select("query", "doc", "score", "rank"), path)
 
 
+@query()
+def vector_graph_search(spark: SparkSession, d: str) -> DataFrame:
+    """A walk over a graph of neighbours; its recall over all rows is tested against the exact search."""
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc"), F.col("embedding").alias("v"))
+    graph = vector_graph.build(rows)
+    found = vector_graph.search(rows, graph, _asked_vectors(spark, d))
+    return adopt(found.select("query", "doc", "score", "rank", "scored"), *graph._cuts)
+
+
 def _vocabulary(spark: SparkSession) -> tokens.Vocabulary:
     import public_tokenizers
 
@@ -427,7 +436,8 @@ def retrieve_filtered(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT doc_id AS doc, count(*) AS terms, sum(tf)::BIGINT AS dl, (SELECT count(*) FROM documents) AS n_docs FROM (SELECT doc_id, t, count(*) AS tf FROM (SELECT doc_id, unnest(" + sql_tokens("text") + ") AS t FROM documents WHERE doc_id = 7) GROUP BY 1, 2) GROUP BY 1")
 def index_lookup(spark: SparkSession, d: str) -> DataFrame:
     index = sparse.build(table(spark, d, "documents"))
-    return index.lookup(7).groupBy("doc").agg(F.count("*").alias("terms"), F.sum("tf").alias("dl")).withColumn("n_docs", F.lit(index.documents()))
+    found = index.lookup(7).groupBy("doc").agg(F.count("*").alias("terms"), F.sum("tf").alias("dl")).withColumn("n_docs", F.lit(index.documents()))
+    return reading(found, index.postings, index.terms, index.stats)
 
 
 _NAMED = r"SELECT page_id AS doc, regexp_extract(html, '<title>([^ <]*)', 1) AS name, regexp_extract_all(html, 'href=\"/([^\"]*)\"', 1) AS imports FROM pages"

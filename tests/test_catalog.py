@@ -11,7 +11,7 @@ from spindrift.operators import report
 from spindrift.plans import catalog, reporting
 
 #: Queries that SQL can't express; each is tested against a plain computation below.
-PLAIN = {"dense_ivf", "codebleu", "vector_index_probe", "token_counts"}
+PLAIN = {"dense_ivf", "codebleu", "vector_index_probe", "token_counts", "vector_graph_search"}
 
 
 @pytest.mark.parametrize("name", sorted(catalog.ORACLES))
