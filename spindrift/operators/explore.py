@@ -284,6 +284,27 @@ def commit_rows(log: Column) -> Column:
     return F.arrays_zip(part(1).alias("commit"), part(2).alias("author"), part(3).alias("date"), said.alias("message"))
 
 
+#: What the letters of a name-status listing mean.
+CHANGES = {"A": "added", "M": "modified", "D": "deleted", "R": "renamed", "C": "copied", "T": "type"}
+
+
+def changed_files(output: Column) -> Column:
+    """array of (change, path, old_path) of a listing of changed files: a letter, with a score for renames, and paths between tabs."""
+    rx = r"(?m)^([AMDRCT])(\d*)\t([^\t\n]+)(?:\t([^\t\n]+))?$"
+    part = lambda i: F.regexp_extract_all(output, F.lit(rx), F.lit(i))
+    kinds = F.create_map(*(F.lit(x) for kv in CHANGES.items() for x in kv))
+    rows = F.arrays_zip(part(1).alias("c"), part(3).alias("a"), part(4).alias("b"))
+    return F.transform(rows, lambda r: F.struct(F.element_at(kinds, r["c"]).alias("change"), F.when(r["b"] != "", r["b"]).otherwise(r["a"]).alias("path"), F.when(r["b"] != "", r["a"]).alias("old_path")))
+
+
+def branches(output: Column) -> Column:
+    """array of (name, remote, current) of a listing of branches; pointers such as HEAD -> main are left out."""
+    rx = r"(?m)^([* ]) (?:remotes/([^/\s]+)/)?([^\s(]+)(?: +[^\n-][^\n]*)?$"
+    part = lambda i: F.regexp_extract_all(output, F.lit(rx), F.lit(i))
+    rows = F.arrays_zip(part(1).alias("mark"), part(2).alias("remote"), part(3).alias("name"))
+    return F.transform(rows, lambda r: F.struct(r["name"].alias("name"), F.nullif(r["remote"], F.lit("")).alias("remote"), (r["mark"] == "*").alias("current")))
+
+
 def state_rows(log: DataFrame, searches: int = 10, seen: DataFrame | None = None) -> DataFrame:
     """log(instance, iteration, action, path, found): the last searches and the distinct files of each instance, without
     those of seen(instance, path), whose chunks are there already."""

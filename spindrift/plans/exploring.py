@@ -200,6 +200,37 @@ def lint_parse(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "conversations").select("conv_id", "turn", F.inline(explore.lint_rows(out)))
 
 
+@query("""WITH l AS (SELECT conv_id, turn, role, unnest(range(turn % 4)) AS i FROM conversations)
+SELECT conv_id, turn, CASE i % 2 WHEN 0 THEN 'src/a b/m' || conv_id || '.py' ELSE 'm' || i || '.py' END AS path, (turn * 10 + i)::VARCHAR AS line, (i + 1)::VARCHAR AS col, CASE WHEN conv_id % 2 = 0 THEN ['E501', 'W291', 'F401', 'C901'][i % 4 + 1] ELSE ['C0114', 'W0611', 'R0913', 'E0001'][i % 4 + 1] END AS code, 'said: ' || role || ' (' || i || ')' AS message FROM l""")
+def lint_outputs(spark: SparkSession, d: str) -> DataFrame:
+    """Outputs of none to three findings in the form of either linter, between other lines."""
+    t, c = F.col("turn"), F.col("conv_id")
+    codes = F.when(c % 2 == 0, F.array(*map(F.lit, ["E501", "W291", "F401", "C901"]))).otherwise(F.array(*map(F.lit, ["C0114", "W0611", "R0913", "E0001"])))
+    path = lambda i: F.when(i % 2 == 0, F.concat(F.lit("src/a b/m"), c.cast("string"), F.lit(".py"))).otherwise(F.concat(F.lit("m"), i.cast("string"), F.lit(".py")))
+    line = lambda i: F.concat(path(i), F.lit(":"), (t * 10 + i).cast("string"), F.lit(":"), (i + 1).cast("string"), F.lit(": "), F.get(codes, i % 4), F.when(c % 2 == 0, " ").otherwise(": "), F.lit("said: "), F.col("role"), F.lit(" ("), i.cast("string"), F.lit(")"))
+    found = F.when(t % 4 > 0, F.transform(F.sequence(F.lit(0), F.greatest(t % 4 - 1, F.lit(0)).cast("int")), line)).otherwise(F.array().cast("array<string>"))
+    out = F.concat(F.lit("************* Module m\n"), F.array_join(found, "\n"), F.lit("\n\nYour code has been rated at 7.5/10\n"))
+    return table(spark, d, "conversations").select("conv_id", "turn", F.inline(explore.lint_rows(out)))
+
+
+@query("""WITH l AS (SELECT conv_id, turn, unnest(range(turn % 5 + 1)) AS i FROM conversations)
+SELECT conv_id, turn, CASE (conv_id + i) % 4 WHEN 0 THEN 'added' WHEN 1 THEN 'modified' WHEN 2 THEN 'renamed' ELSE 'deleted' END AS change, CASE WHEN (conv_id + i) % 4 = 2 THEN 'new/f' || i || '.py' ELSE 'src/f' || i || '.py' END AS path, CASE WHEN (conv_id + i) % 4 = 2 THEN 'src/f' || i || '.py' END AS old_path FROM l""")
+def changed_files(spark: SparkSession, d: str) -> DataFrame:
+    t, c = F.col("turn"), F.col("conv_id")
+    name = lambda top, i: F.concat(F.lit(top), i.cast("string"), F.lit(".py"))
+    line = lambda i: F.concat(F.element_at(F.array(*map(F.lit, ["A", "M", "R087", "D"])), ((c + i) % 4 + 1).cast("int")), F.lit("\t"), name("src/f", i), F.when((c + i) % 4 == 2, F.concat(F.lit("\t"), name("new/f", i))).otherwise(""))
+    out = F.array_join(F.transform(F.sequence(F.lit(0), (t % 5).cast("int")), line), "\n")
+    return table(spark, d, "conversations").select("conv_id", "turn", F.inline(explore.changed_files(out)))
+
+
+@query("""SELECT conv_id, turn, unnest(['main', 'topic/' || turn, 'fix-' || conv_id, 'main']) AS name, unnest([NULL, NULL, 'origin', 'origin']) AS remote, unnest([turn % 2 = 0, turn % 2 = 1, false, false]) AS current FROM conversations""")
+def branch_list(spark: SparkSession, d: str) -> DataFrame:
+    t, c = F.col("turn").cast("string"), F.col("conv_id").cast("string")
+    star = lambda odd: F.when(F.col("turn") % 2 == odd, "* ").otherwise("  ")
+    out = F.concat(star(0), F.lit("main\n"), star(1), F.lit("topic/"), t, F.lit("\n  remotes/origin/HEAD -> origin/main\n  remotes/origin/fix-"), c, F.lit("\n  remotes/origin/main\n"))
+    return table(spark, d, "conversations").select("conv_id", "turn", F.inline(explore.branches(out)))
+
+
 _ASKED = "q AS (SELECT * FROM (VALUES (1, 'run'), (1, 'BaseOf1'), (2, 'make_3'), (2, 'part'), (2, 'PartOf2'), (3, 'go_'), (3, 'Deep')) v(query, word))"
 
 

@@ -331,6 +331,19 @@ def pairwise_t(spark: SparkSession, d: str) -> DataFrame:
     return report.paired_t(_method_pairs(spark, d))
 
 
+@query("SELECT event_type AS method, " + ", ".join(f"coalesce(round(avg(CASE WHEN user_id % 4 = {e} THEN (value >= 50)::INT END) * 100, 6), 0) AS e{e}" for e in range(4)) + " FROM events GROUP BY 1")
+def experiment_grid(spark: SparkSession, d: str) -> DataFrame:
+    """Resolution rates of methods in four experiments, a column for each."""
+    rows = results(spark, d).withColumn("experiment", F.concat(F.lit("e"), (F.col("instance") % 4).cast("string")))
+    return report.grid(rows, "method", "experiment", [f"e{i}" for i in range(4)], F.round(F.avg(F.col("resolved").cast("double")) * 100, 6), 0.0)
+
+
+@query(f"""SELECT doc_id, CASE WHEN regexp_matches(lower(text), '{"|".join(metrics.HARD)}') THEN 'high' WHEN regexp_matches(lower(text), '{"|".join(metrics.EASY)}') THEN 'low' WHEN n > 10 THEN 'high' WHEN n < 3 THEN 'low' ELSE 'medium' END AS complexity FROM (SELECT doc_id, text, len(string_split(text, chr(10) || chr(10))) AS n FROM documents)""")
+def prompt_complexity(spark: SparkSession, d: str) -> DataFrame:
+    """By words of the text, then by the number of its paragraphs."""
+    return table(spark, d, "documents").select("doc_id", metrics.complexity(F.col("text"), F.size(F.split("text", "\n\n", -1))).alias("complexity"))
+
+
 def _sql_ranks(table_: str, by: str, value: str) -> str:
     return f"rank() OVER (PARTITION BY {by} ORDER BY {value}) + (count(*) OVER (PARTITION BY {by}, {value}) - 1) / 2"
 

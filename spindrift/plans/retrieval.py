@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from spindrift.functions import text as T
 from spindrift.operators import chunking, context, dense, fusion, ingest, querygen, sparse, tokens, vector_graph, vector_index
+from spindrift import chain
 from spindrift.functions import tables as table_functions
 from spindrift.plans.base import SQL_DOT, registry, sql_bm25, sql_strip, sql_tokens, table
 from spindrift.sources import tailing
@@ -515,6 +516,19 @@ def context_budget(spark: SparkSession, d: str) -> DataFrame:
     return context.trim_to_budget(_bm25(spark, d, 50).drop("rank").join(docs, "doc"), 8000).select("query", "doc", "place", "context_type", "truncated", "tokens")
 
 
+@query(f"""WITH {sql_bm25(k=50)}, {_OVERLAP}, s AS (SELECT query, doc, {_SCALE.format(x='raw')} AS score FROM o WINDOW w AS (PARTITION BY query)), tp AS (SELECT query, doc, score FROM s QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) <= 20),
+h AS (SELECT query, doc, score, text AS content, {_TYPES} AS context_type, length(text) // 4 AS t FROM tp JOIN documents ON doc_id = doc),
+r AS (SELECT *, sum(t) OVER (PARTITION BY query ORDER BY {_ORDER}, score DESC, doc ROWS UNBOUNDED PRECEDING) AS upto, row_number() OVER (PARTITION BY query ORDER BY {_ORDER}, score DESC, doc) AS place FROM h),
+x AS (SELECT *, 4000 - (upto - t) AS room, upto > 4000 AND 4000 - (upto - t) >= 0 AND context_type = 'file_content' AND 4000 - (upto - t) > 200 AS truncated FROM r)
+SELECT query, doc, score, place, truncated, (CASE WHEN truncated THEN least(length(content), room * 4) ELSE length(content) END // 4)::BIGINT AS tokens FROM x WHERE upto <= 4000 OR truncated""")
+def configured_chain(spark: SparkSession, d: str) -> DataFrame:
+    """A chain by name, with one setting of its own: 50 hits, the best 20 by overlap, a budget of 4,000 tokens."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), F.col("text").alias("content"), F.when(F.col("lang") == "en", "file_content").when(F.col("lang") == "de", "function_definition").when(F.col("lang") == "fr", "documentation").otherwise("related_code").alias("context_type"))
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("query"), "text")
+    made = chain.build({"chain": "reranked", "steps": {"context": {"max_tokens": 4000}}})
+    return made.gather(docs, items).select("query", "doc", "score", "place", "truncated", "tokens")
+
+
 @query("SELECT source, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 6) AS share, row_number() OVER (ORDER BY count(*) DESC, source) AS rank FROM documents GROUP BY 1")
 def source_shares(spark: SparkSession, d: str) -> DataFrame:
     n = table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("n"))

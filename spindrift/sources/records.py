@@ -100,7 +100,7 @@ def excluded(path: Column, globs: list[str] | None = None) -> Column:
 
 
 def read_repository(spark: SparkSession, root: str, extensions: tuple[str, ...] = (".py",), most_bytes: int = MAX_FILE_BYTES) -> DataFrame:
-    """path (relative), length, content of the text files below root; UTF-8, or Latin-1 where that fails."""
+    """path (relative), length, content of the text files below root; UTF-8, or Latin-1 where that fails.  Spark reads no row of an empty file."""
     base = root.rstrip("/")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
     rel = F.regexp_replace(F.col("path"), "^(?:file:)?/*" + re.escape(base.split(":", 1)[-1].lstrip("/")) + "/", "")
@@ -123,11 +123,13 @@ def find(files: DataFrame, glob: str | None = None, extensions: tuple[str, ...]
 
 
 def listing(files: DataFrame) -> DataFrame:
-    """kind, path: every file and every folder above one, each once."""
+    """kind, path, size: every file with its length in bytes and every folder above one with the sum of its files', each once.
+    files(path, content), or (path, length)."""
+    size = F.col("length").cast("long") if "length" in files.columns else F.octet_length("content").cast("long")
     parts = F.split("path", "/")
     above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
-    folders = files.where(F.contains("path", F.lit("/"))).select(F.explode(above).alias("path")).distinct()
-    return files.select(F.lit("file").alias("kind"), "path").unionByName(folders.select(F.lit("folder").alias("kind"), "path"))
+    folders = files.where(F.contains("path", F.lit("/"))).select(F.explode(above).alias("path"), size.alias("size")).groupBy("path").agg(F.sum("size").alias("size"))
+    return files.select(F.lit("file").alias("kind"), "path", size.alias("size")).unionByName(folders.select(F.lit("folder").alias("kind"), "path", "size"))
 
 
 def structure(files: DataFrame) -> DataFrame:
