@@ -283,9 +283,9 @@ def _search(index: DataFrame, queries: DataFrame, router: Router, k: int) -> Dat
             at, held = at + 1, 0
         first[p] = at
         at, held = (at + int(count[p]), 0) if count[p] > 1 else (at, held + int(n))
-    place = F.array(*(F.struct(F.lit(int(f)).alias("first"), F.lit(int(c)).alias("n")) for f, c in zip(first, count, strict=True)))
-    where = F.element_at(place, F.col("part") + 1)
-    rows = index.select((where["first"] + F.pmod(F.xxhash64("id", "v"), where["n"])).cast("long").alias("block"), F.lit(0).alias("kind"), "id", "v", "codes")
+    # One literal each, not an expression for each part: a plan of thousands of them costs the driver memory.
+    of_part = lambda n: F.element_at(F.split(F.lit(",".join(map(str, n.tolist()))), ","), F.col("part") + 1).cast("long")
+    rows = index.select((of_part(first) + F.pmod(F.xxhash64("id", "v"), of_part(count))).alias("block"), F.lit(0).alias("kind"), "id", "v", "codes")
     asked = _asked(queries, router, first, count).select("block", F.lit(1).alias("kind"), "id", "v", F.lit(None).cast("array<int>").alias("codes"))
     # Each block is a task's, by its number: hashes would put several into one.
     both = rows.unionByName(asked).repartitionById(at + 1, F.col("block").cast("int")).sortWithinPartitions("block", "kind")
