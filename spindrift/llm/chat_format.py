@@ -1,10 +1,9 @@
 """Chat formatting by prefix-target expansion.
 
 Every assistant turn is an example of its own: all preceding turns are its context, only its reply
-is trainable.  Examples of one conversation share their prefix, so a row of the output holds what
-its example adds (the turns since the last assistant turn) and where its reply lies in the whole
-text; the example's text is the additions of the conversation's rows up to it, end to end.  So the
-output grows with the input, not with the square of a conversation's length.
+is trainable.  Examples of one conversation share their prefix, so format_conversations() stores what
+each example adds (the turns since the last assistant turn) and where its reply lies; that table grows with the input.
+expand_examples() makes the examples whole, each with its full context, and read_examples() reads conversations back from those.
 """
 
 from __future__ import annotations
@@ -25,7 +24,11 @@ MAX_ROW = 1_000_000
 _ESCAPE = re.compile(r"[\\#<:]")
 _UNESCAPE = re.compile(r"\\(.)", re.S)
 _TURN = re.compile(r"### ((?:[^\\:]++|\\.)*+): ((?:[^\\<]++|\\.)*+)</turn>\n", re.S)
-SCHEMA = "conv_id long, example_no long, target boolean, addition string, prefix_chars long, loss_start long, loss_end long"
+SCHEMA = "conv_id {id}, example_no long, target boolean, addition string, prefix_chars long, loss_start long, loss_end long"
+WHOLE = "conv_id {id}, example_no long, target boolean, text string, loss_start long, loss_end long"
+DIGEST = "conv_id {id}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+#: Characters of whole examples that are sent on together.
+SENT = 1 << 20
 
 
 def escape(s: str | None) -> str:
@@ -51,11 +54,11 @@ def format_conversations(conversations: DataFrame) -> DataFrame:
     loss_end: the reply, as positions in the addition (both 0 if target is false: context after the last assistant turn,
     or a part of a context of more than MAX_ROW characters).  Null text or role: empty.  Rows are ordered by turn, then role
     and text; a null turn comes first; rows with a null conv_id form one conversation with a null id; repeated rows each are a
-    turn; other columns are ignored; no rows give none.  A conversation streams through one task in sorted order, as
+    turn; ids may be of any simple type; other columns are ignored; no rows give none.  A conversation streams through one task in sorted order, as
     its digests need; memory holds one addition.
     """
     share_package(conversations.sparkSession)
-    rows = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role"), F.col("text"))
+    rows = conversations.select("conv_id", F.col("turn").cast("long"), F.col("role"), F.col("text"))
     rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 
     def run(batches):
@@ -75,23 +78,29 @@ def format_conversations(conversations: DataFrame) -> DataFrame:
                     no, before, held, size = no + 1, before + size + len(piece), [], 0
                 else:
                     size += len(piece)
-            yield _batch(out, _EXAMPLE)
+            kind = b.column("conv_id").type
+            yield _batch(out, _EXAMPLE, kind)
         if held:
-            yield _batch([(conv, no, False, "".join(held), before, 0, 0)], _EXAMPLE)
+            yield _batch([(conv, no, False, "".join(held), before, 0, 0)], _EXAMPLE, kind)
 
-    return rows.mapInArrow(run, SCHEMA)
+    return rows.mapInArrow(run, _typed(SCHEMA, rows))
 
 
 #: No conversation yet; a null id is one of its own.
 _NONE = object()
-_EXAMPLE = pa.schema([("conv_id", pa.int64()), ("example_no", pa.int64()), ("target", pa.bool_()), ("addition", pa.string()), ("prefix_chars", pa.int64()), ("loss_start", pa.int64()), ("loss_end", pa.int64())])
-_WHOLE = pa.schema([("conv_id", pa.int64()), ("example_no", pa.int64()), ("text", pa.string()), ("loss_start", pa.int64()), ("loss_end", pa.int64())])
-_DIGEST = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
+_EXAMPLE = [("conv_id", None), ("example_no", pa.int64()), ("target", pa.bool_()), ("addition", pa.string()), ("prefix_chars", pa.int64()), ("loss_start", pa.int64()), ("loss_end", pa.int64())]
+_WHOLE = [("conv_id", None), ("example_no", pa.int64()), ("target", pa.bool_()), ("text", pa.string()), ("loss_start", pa.int64()), ("loss_end", pa.int64())]
+_DIGEST = [("conv_id", None), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())]
 
 
-def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+def _typed(schema: str, rows: DataFrame) -> str:
+    return schema.format(id=rows.schema["conv_id"].dataType.simpleString())
+
+
+def _batch(rows: list[tuple], schema: list[tuple], id_type: pa.DataType) -> pa.RecordBatch:
+    """id_type: that of the input's ids, for the column without one."""
     cols = list(zip(*rows, strict=True)) or [()] * len(schema)
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, kind or id_type) for c, (_, kind) in zip(cols, schema, strict=True)], [n for n, _ in schema])
 
 
 def _in_order(examples: DataFrame) -> DataFrame:
@@ -116,25 +125,74 @@ class Context:
         return new
 
 
-def expand_examples(examples: DataFrame) -> DataFrame:
-    """conv_id, example_no, text, loss_start, loss_end of every example, whole: all preceding turns, then the reply.
+def expand_examples(examples: DataFrame, rest: bool = False) -> DataFrame:
+    """conv_id, example_no, target, text, loss_start, loss_end of every example, whole: all preceding turns, then the reply.
 
-    A conversation's rows stream through a task in order; it holds one context, and gives one example at a time, so
-    that memory doesn't grow with the number of examples.  The output is as long as all contexts together, for
-    a conversation of n turns the square of n: readers that can, should read the shared prefixes instead.
+    A conversation's rows stream through a task in order; it holds one context, and sends examples on by SENT characters or one, so
+    that memory doesn't grow with the number of examples.  The output is as long as all contexts together: of a conversation of n
+    turns some n / 2 times its text.  rest: the whole text of a conversation that ends in other turns as well, target false, without loss.
     """
 
     def run(batches):
-        context, held = Context(), []
+        context, held, made, size, kind, last = Context(), [], [], 0, None, None
         for b in slices(batches):
-            for c, no, target, add, before, lo, hi in zip(*(b.column(f.name).to_pylist() for f in _EXAMPLE), strict=True):
-                held = [add] if context.add(c, add, before) else [*held, add]
+            kind = b.column("conv_id").type
+            for c, no, target, add, before, lo, hi in zip(*(b.column(n).to_pylist() for n, _ in _EXAMPLE), strict=True):
+                if context.add(c, add, before):
+                    if rest and last:
+                        made.append((*last, "".join(held), 0, 0))
+                    held = []
+                held.append(add)
+                last = None if target else (c, no, False)
                 if target:
-                    text = "".join(held)
-                    held = [text]
-                    yield _batch([(c, no, text, before + lo, before + hi)], _WHOLE)
+                    held = ["".join(held)]
+                    made.append((c, no, True, held[0], before + lo, before + hi))
+                    size += len(held[0])
+                if size > SENT:
+                    yield _batch(made, _WHOLE, kind)
+                    made, size = [], 0
+        if rest and last:
+            made.append((*last, "".join(held), 0, 0))
+        if made:
+            yield _batch(made, _WHOLE, kind)
+
+    return _in_order(examples).mapInArrow(run, _typed(WHOLE, examples))
+
+
+def read_examples(whole: DataFrame) -> DataFrame:
+    """expand_examples(.., rest=True), in its order -> a row for each conversation, read from the whole examples alone: n_turns,
+    turns_sha256, loss_chars, loss_sha256, formatted_chars (of all examples, each with its context, and of what comes after the last).
+
+    An example whose text doesn't begin with the one before it is an error.
+    """
+
+    def run(batches):
+        conv, before, state, kind = _NONE, "", None, None
+        for b in slices(batches):
+            kind, out = b.column("conv_id").type, []
+            for c, _, target, text, lo, hi in zip(*(b.column(n).to_pylist() for n, _ in _WHOLE), strict=True):
+                if c != conv:
+                    if state:
+                        out.append(_digest(state))
+                    conv, before, state = c, "", [c, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
+                if not text.startswith(before):
+                    raise ValueError(f"conversation {c}: an example without the context of the one before")
+                _count(state, text[len(before) :], unescape(text[lo:hi]))
+                state[5] += len(text) if target else len(text) - len(before)
+                before = text
+            yield _batch(out, _DIGEST, kind)
+        if state:
+            yield _batch([_digest(state)], _DIGEST, kind)
 
-    return _in_order(examples).mapInArrow(run, "conv_id long, example_no long, text string, loss_start long, loss_end long")
+    return whole.mapInArrow(run, _typed(DIGEST, whole))
+
+
+def _count(state: list, turns: str, loss: str) -> None:
+    for role, text in read_turns(turns):
+        state[1] += 1
+        state[2].update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
+    state[3] += len(loss)
+    state[4].update(loss.encode("utf-8", "surrogatepass"))
 
 
 def read_turns(formatted: str) -> list[tuple[str, str]]:
@@ -150,36 +208,28 @@ def read_turns(formatted: str) -> list[tuple[str, str]]:
 
 
 def read_back(examples: DataFrame) -> DataFrame:
-    """One row for each conversation, from the formatted output alone: n_turns, turns_sha256, loss_chars, loss_sha256,
+    """One row for each conversation, from the stored prefixes, without making the examples: n_turns, turns_sha256, loss_chars, loss_sha256,
     formatted_chars (characters of all its examples, each with its whole context, and of context that no example has).
 
     Each example's context is followed row by row: an example that doesn't begin where its context ends is an error.
     """
 
     def run(batches):
-        context, state = Context(), None
+        context, state, kind = Context(), None, None
         for b in slices(batches):
-            out = []
-            for c, _, target, add, before, lo, hi in zip(*(b.column(f.name).to_pylist() for f in _EXAMPLE), strict=True):
+            kind, out = b.column("conv_id").type, []
+            for c, _, target, add, before, lo, hi in zip(*(b.column(n).to_pylist() for n, _ in _EXAMPLE), strict=True):
                 if context.add(c, add, before):
                     if state:
                         out.append(_digest(state))
                     state = [c, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                for role, text in read_turns(add):
-                    state[1] += 1
-                    state[2].update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
-                if target:
-                    loss = unescape(add[lo:hi])
-                    state[3] += len(loss)
-                    state[4].update(loss.encode("utf-8", "surrogatepass"))
-                    state[5] += context.chars
-                else:
-                    state[5] += len(add)
-            yield _batch(out, _DIGEST)
+                _count(state, add, unescape(add[lo:hi]) if target else "")
+                state[5] += context.chars if target else len(add)
+            yield _batch(out, _DIGEST, kind)
         if state:
-            yield _batch([_digest(state)], _DIGEST)
+            yield _batch([_digest(state)], _DIGEST, kind)
 
-    return _in_order(examples).mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return _in_order(examples).mapInArrow(run, _typed(DIGEST, examples))
 
 
 def _digest(s: list) -> tuple:

@@ -36,7 +36,8 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hard = literal_table(spark, [(-7, 0, "user", HARD_TEXT), (-7, 1, "assistant", HARD_TEXT)], ["conv_id", "turn", "role", "text"])
     hard = hard.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
-    return chat_format.read_back(chat_format.format_conversations(rows.unionByName(hard)))
+    whole = chat_format.expand_examples(chat_format.format_conversations(rows.unionByName(hard)), rest=True)
+    return chat_format.read_examples(whole)
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

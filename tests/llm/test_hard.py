@@ -106,6 +106,10 @@ def test_examples_as_a_naive_expansion(spark):
     got = [(r.conv_id, r.text, r.loss_start, r.loss_end) for r in chat_format.expand_examples(ex).collect()]
     assert set(got) == want and len(got) == sum(r[2] == "assistant" for r in rows)
     back = by_id(chat_format.read_back(ex), "conv_id")
+    assert by_id(chat_format.read_examples(chat_format.expand_examples(ex, rest=True)), "conv_id") == back
+    named = chat_format.format_conversations(d.withColumn("conv_id", F.concat(F.lit("c"), F.col("conv_id").cast("string"))))
+    texts = by_id(chat_format.read_examples(chat_format.expand_examples(named, rest=True)), "conv_id")
+    assert {k and int(k[1:]): tuple(r)[1:] for k, r in texts.items()} == {k: tuple(r)[1:] for k, r in back.items()}
     assert {c: (r.n_turns, r.turns_sha256) for c, r in back.items()} == {c: (len(t), hashlib.sha256("".join(f"{r[2] or ''}\n{r[3] or ''}\n" for r in t).encode()).hexdigest()) for c, t in by.items()}
     with pytest.raises(Exception, match="begins at"):
         chat_format.read_back(ex.withColumn("prefix_chars", F.col("prefix_chars") + 1)).collect()
