@@ -57,9 +57,16 @@ def _name(path: str) -> str:
 
 
 def _read(df: DataFrame) -> set[str]:
-    """Names of the shared folder's tables that a lazy result reads, whatever was done to it since."""
-    found = (re.search(r"/([a-z]+-[0-9a-f]{32})(?:/|$)", f) for f in df.inputFiles())
-    return {m[1] for m in found if m}
+    """Names of the shared folder's tables that a lazy result reads, whatever was done to it since: by the roots of its plan's leaves, not by files."""
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    found = set()
+    for leaf in (leaves.apply(i) for i in range(leaves.size())):
+        if leaf.getClass().getSimpleName() != "LogicalRelation" or leaf.relation().getClass().getSimpleName() != "HadoopFsRelation":
+            continue
+        roots = leaf.relation().location().rootPaths()
+        matches = (re.search(r"/([a-z]+-[0-9a-f]{32})(?:/|$)", roots.apply(i).toString()) for i in range(roots.size()))
+        found.update(m[1] for m in matches if m)
+    return found
 
 
 def reading(out: DataFrame, *tables: DataFrame) -> DataFrame:
