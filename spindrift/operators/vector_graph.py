@@ -79,9 +79,10 @@ def search(rows: DataFrame, graph: DataFrame, queries: DataFrame, k: int = 10, b
     """
     rows = rows.where(usable(F.col("v"))).select("doc", F.transform("v", lambda x: x.cast("double")).alias("v"))
     asked = queries.where(usable(F.col("qv"))).select("query", F.transform("qv", lambda x: x.cast("double")).alias("qv"))
-    links = cut(graph.select("a", "b").unionByName(graph.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    both = graph.select("a", "b").unionByName(graph.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     w = Window.partitionBy("a").orderBy(F.xxhash64("b"))
-    links = links.withColumn("n", F.row_number().over(w)).where(F.col("n") <= 4 * beam).drop("n")  # a hub's edges, those of a walk's reach
+    # Of a hub's edges as many as a walk can use.
+    links = cut(both.withColumn("n", F.row_number().over(w)).where(F.col("n") <= 4 * beam).drop("n"))
     entries = rows.orderBy(F.xxhash64(F.col("doc").cast("string"))).limit(ENTRIES)
     score = _score(F.col("v"), F.col("qv"), metric)
     start = asked.crossJoin(F.broadcast(entries)).select("query", "doc", score.alias("score"), F.lit(False).alias("followed"))
@@ -105,4 +106,4 @@ def search(rows: DataFrame, graph: DataFrame, queries: DataFrame, k: int = 10, b
     work = seen.groupBy("query").agg(F.count("*").alias("scored"))
     top = _best(seen.withColumn("score", F.round("score", 6)), k, "query", "doc").join(work, "query")
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "doc"))
-    return reading(top.select("query", "doc", "score", rank.alias("rank"), "scored"), *made)
+    return reading(top.select("query", "doc", "score", rank.alias("rank"), "scored"), links, *made)
