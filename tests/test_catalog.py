@@ -76,6 +76,8 @@ def _tokens(code):
     import re
 
     code = re.sub(r"#[^\n]*", "", code)
+    for quote, inside in (('"""', "(?s:.*?)"), ("'''", "(?s:.*?)"), ('"', '[^"]*'), ("'", "[^']*")):  # strings are blank
+        code = re.sub(quote + inside + quote, quote * 2, code)
     return re.findall(r"\w+|[^\w\s]", code)
 
 
