@@ -47,8 +47,12 @@ class Router:
         return x.astype(np.float32) @ w + b
 
     def codes(self, x: np.ndarray) -> np.ndarray:
-        """[row, head]: the likeliest class."""
-        return np.stack([self.scores(x, h).argmax(axis=1) for h in range(len(self.heads))], axis=1)
+        """[row, head]: the likeliest class; scores of 1,024 rows at a time, as all rows' would fill the driver's memory."""
+        out = np.empty((len(x), len(self.heads)), dtype=np.int64)
+        for at in range(0, len(x), 1024):
+            for h in range(len(self.heads)):
+                out[at : at + 1024, h] = self.scores(x[at : at + 1024], h).argmax(axis=1)
+        return out
 
     def ranks(self, x: np.ndarray) -> np.ndarray:
         """[row, head, class]: how many classes are likelier."""
