@@ -8,7 +8,10 @@ import keyword
 import math
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -154,21 +157,51 @@ def aggregate(rows: DataFrame, metrics: list[str], by: list[str] | None = None)
 # Code similarity
 
 
+def clipped_ngrams(ref: Column, hyp: Column, n_max: int = 4) -> Column:
+    """For each n up to n_max the n-grams of hyp that ref has too, each counted as often as ref has it at most.  Null counts as no tokens.
+
+    Counted row by row on numbers for the tokens, so no n-gram leaves its task and only one pair's are held at a time.
+    """
+
+    @F.arrow_udf("array<long>")
+    def run(ref: pa.Array, hyp: pa.Array) -> pa.Array:
+        codes = pa.concat_arrays([ref.flatten(), hyp.flatten()]).dictionary_encode(null_encoding="encode").indices.to_numpy()
+        ends = np.cumsum([0, *(n or 0 for a in (ref, hyp) for n in pc.list_value_length(a).to_pylist())])
+        out = []
+        for i in range(len(ref)):
+            j = i + len(ref)
+            r, h = codes[ends[i] : ends[i + 1]], codes[ends[j] : ends[j + 1]]
+            same = [0] * n_max
+            tokens = np.unique(np.concatenate([r, h]), return_inverse=True)[1].astype(np.int64)
+            r, h = tokens[: len(r)], tokens[len(r) :]
+            a, b = r, h
+            for n in range(1, min(len(r), len(h), n_max) + 1):
+                if n > 1:  # the (n-1)-gram's number and the token after it
+                    a, b = a[:-1] * len(tokens) + r[n - 1 :], b[:-1] * len(tokens) + h[n - 1 :]
+                names, number = np.unique(np.concatenate([a, b]), return_inverse=True)
+                a, b = number[: len(a)], number[len(a) :]
+                same[n - 1] = int(np.minimum(np.bincount(a, minlength=len(names)), np.bincount(b, minlength=len(names))).sum())
+            out.append(same)
+        return pa.array(out, pa.list_(pa.int64()))
+
+    return run(ref, hyp)
+
+
+def ngram_score(same: Column, refs: Column, hyps: Column, n_max: int = 4) -> Column:
+    """The score of ngram_overlap, of clipped_ngrams() and the numbers of both sides' tokens."""
+    total = lambda n: hyps - n + 1
+    logs = [F.when((total(n) > 0) & (same[n - 1] > 0), F.log(same[n - 1] / total(n))).otherwise(0.0) for n in range(1, n_max + 1)]
+    brevity = F.when(refs > 0, F.least(F.lit(1.0), hyps / refs)).otherwise(0.0)
+    return F.round(F.when(same[0] > 0, F.exp(sum(logs, F.lit(0.0)) / n_max) * brevity).otherwise(0.0), 6)
+
+
 def ngram_overlap(pairs: DataFrame, key: str, ref: str, hyp: str, n_max: int = 4) -> DataFrame:
     """key, score: the geometric mean over n of clipped n-gram precision of hyp against ref, times the brevity factor.
 
-    pairs(key, ref, hyp) hold token arrays.  n-grams are rows and are counted by grouping, so no array of all n-grams
-    of all texts is held.  A zero precision counts as 1 in the mean.
+    pairs(key, ref, hyp) hold token arrays; each row is scored where it is, nothing is shuffled.  A zero precision counts as 1 in the mean.
     """
-    ns = F.sequence(F.lit(1), F.lit(n_max))
-    grams = lambda t: F.filter(F.flatten(F.transform(ns, lambda n: F.when(F.size(t) >= n, F.transform(F.sequence(F.lit(0), F.size(t) - n), lambda i: F.struct(n.alias("n"), F.array_join(F.slice(t, i + 1, n), "\u0001").alias("g")))).otherwise(F.expr("array()").cast("array<struct<n:int,g:string>>")))), lambda x: x["n"].isNotNull())
-    side = lambda c, s: pairs.select(key, F.lit(s).alias("side"), F.inline(grams(F.col(c))))
-    counts = side(ref, "r").unionByName(side(hyp, "h")).groupBy(key, "n", "g").agg(F.count(F.when(F.col("side") == "r", 1)).alias("r"), F.count(F.when(F.col("side") == "h", 1)).alias("h"))
-    by_n = counts.groupBy(key, "n").agg(F.sum(F.least("r", "h")).alias("same"), F.sum("h").alias("total"))
-    precision = F.when(F.col("total") > 0, F.col("same") / F.col("total")).otherwise(0.0)
-    mean = by_n.groupBy(key).agg((F.sum(F.when(precision > 0, F.log(precision)).otherwise(0.0)) / n_max).alias("m"), F.max(precision).alias("any"))
-    brevity = F.when(F.size(ref) > 0, F.least(F.lit(1.0), F.size(hyp) / F.size(ref))).otherwise(0.0)
-    return pairs.select(key, brevity.alias("b")).join(mean, key, "left").select(key, F.round(F.when(F.col("any") > 0, F.exp("m") * F.col("b")).otherwise(0.0), 6).alias("score"))
+    counted = pairs.select(key, clipped_ngrams(F.col(ref), F.col(hyp), n_max).alias("_same"), F.size(ref).alias("_r"), F.size(hyp).alias("_h"))
+    return counted.select(key, ngram_score(F.col("_same"), F.col("_r"), F.col("_h"), n_max).alias("score"))
 
 
 def line_jaccard(a: Column, b: Column) -> Column:

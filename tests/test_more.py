@@ -239,3 +239,12 @@ def test_globs():
     import re
 
     assert [bool(re.match(rx, p)) for p in ("test_x.py", "q/test", "a/x.py", "a/b/x.py", "b/c/d", "c/b")] == [True, True, True, False, True, False]
+
+
+def test_ngrams_are_counted_in_their_rows(spark):
+    """No n-gram is shuffled; rows that repeat a key are scored each; tokens may hold spaces, sides may be empty or null."""
+    rows = [(1, ["a", "b", "c", "d", "a b"], ["a", "b", "c", "x", "a b"]), (1, ["a"], ["b"]), (2, ["a", "a"], ["a"] * 4), (3, None, ["a"]), (4, ["a"], None), (5, [], []), (6, ["a b"], ["a", "b"]), (None, ["a"], ["a"])]
+    out = metrics.ngram_overlap(spark.createDataFrame(rows, "key int, r array<string>, h array<string>"), "key", "r", "h")
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    want = [(1, (4 / 5 * 2 / 4 * 1 / 3) ** 0.25), (1, 0.0), (2, (2 / 4 * 1 / 3) ** 0.25), (3, 0.0), (4, 0.0), (5, 0.0), (6, 0.0), (None, 1.0)]
+    assert [(r.key, r.score) for r in out.collect()] == [(k, pytest.approx(x, abs=1e-6)) for k, x in want]
