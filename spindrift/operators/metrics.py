@@ -223,19 +223,29 @@ def token_jaccard(a: Column, b: Column) -> Column:
     return F.when(union == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / union)
 
 
-def node_types(code: str | None) -> list[str] | None:
+def _parsed(code: str | None) -> ast.AST | None:
     try:
-        return [type(n).__name__ for n in ast.walk(ast.parse(code or ""))]
+        return ast.parse(code or "")
     except (SyntaxError, ValueError):
         return None
 
 
+def node_types(code: str | None) -> list[str] | None:
+    tree = _parsed(code)
+    return None if tree is None else _types(tree)
+
+
+def _types(tree: ast.AST) -> list[str]:
+    return [type(n).__name__ for n in ast.walk(tree)]
+
+
 def data_flow(code: str | None) -> set[tuple] | None:
     """(name, how it is used) of each variable."""
-    try:
-        tree = ast.parse(code or "")
-    except (SyntaxError, ValueError):
-        return None
+    tree = _parsed(code)
+    return None if tree is None else _flow(tree)
+
+
+def _flow(tree: ast.AST) -> set[tuple]:
     uses: dict[str, set[str]] = {}
     for n in ast.walk(tree):
         if isinstance(n, ast.Name):
@@ -251,8 +261,12 @@ def code_match(ref: Column, hyp: Column) -> Column:
     def run(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
         out = []
         for r, h in zip(ref, hyp, strict=True):
-            a, b, f, g = node_types(r), node_types(h), data_flow(r), data_flow(h)
-            same = None if a is None or b is None else sum(x == y for x, y in zip(a, b, strict=False)) / max(len(a), len(b), 1)
+            trees = _parsed(r), _parsed(h)  # each side is parsed once
+            if None in trees:
+                out.append((None, 0.0))
+                continue
+            (a, b), (f, g) = map(_types, trees), map(_flow, trees)
+            same = sum(x == y for x, y in zip(a, b, strict=False)) / max(len(a), len(b), 1)
             out.append((same, len(f & g) / len(f | g) if f and g else 0.0))
         return pd.DataFrame(out, columns=["syntax_match", "flow_match"])
 

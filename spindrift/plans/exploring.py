@@ -305,12 +305,15 @@ def codebleu(spark: SparkSession, d: str) -> DataFrame:
 
     f = files(spark, d).select(F.col("k").alias("key"), "content")
     pairs = f.select("key", F.col("content").alias("ref")).join(f.select((F.col("key") - 1).alias("key"), F.col("content").alias("hyp")), "key")
-    tokens = pairs.select("key", codebleu_tokens(F.col("ref")).alias("ref"), codebleu_tokens(F.col("hyp")).alias("hyp"))
-    plain = metrics.ngram_overlap(tokens, "key", "ref", "hyp").withColumnRenamed("score", "ngram")
-    heavy = metrics.ngram_overlap(tokens.select("key", metrics.keyword_weighted(F.col("ref")).alias("ref"), metrics.keyword_weighted(F.col("hyp")).alias("hyp")), "key", "ref", "hyp").withColumnRenamed("score", "weighted")
-    match = pairs.select("key", metrics.code_match(F.col("ref"), F.col("hyp")).alias("m")).select("key", "m.*")
+    pairs = pairs.withColumns({f"{c}_tokens": codebleu_tokens(F.col(c)) for c in ("ref", "hyp")})
+    pairs = pairs.withColumns({f"{c}_heavy": metrics.keyword_weighted(F.col(f"{c}_tokens")) for c in ("ref", "hyp")})
+    sides, heavy = ({c: F.col(f"{c}_{kind}") for c in ("ref", "hyp")} for kind in ("tokens", "heavy"))
+    counts = {f"{name}_{c}": F.size(t) for name, of in (("ngram", sides), ("weighted", heavy)) for c, t in of.items()}
+    same = {"ngram_same": metrics.clipped_ngrams(*sides.values()), "weighted_same": metrics.clipped_ngrams(*heavy.values())}
+    counted = pairs.select("key", metrics.code_match(F.col("ref"), F.col("hyp")).alias("m"), *(c.alias(n) for n, c in (counts | same).items()))
+    scores = {n: metrics.ngram_score(F.col(f"{n}_same"), F.col(f"{n}_ref"), F.col(f"{n}_hyp")) for n in ("ngram", "weighted")}
+    both = counted.select("key", *(c.alias(n) for n, c in scores.items()), "m.*")
     parts = {"ngram": F.col("ngram"), "weighted": F.col("weighted"), "syntax": F.col("syntax_match"), "flow": F.col("flow_match")}
-    both = plain.join(heavy, "key").join(match, "key")
     return both.withColumn("codebleu", F.round(metrics.codebleu(parts, dict.fromkeys(parts, 0.25)), 6))
 
 

@@ -248,3 +248,11 @@ def test_ngrams_are_counted_in_their_rows(spark):
     assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
     want = [(1, (4 / 5 * 2 / 4 * 1 / 3) ** 0.25), (1, 0.0), (2, (2 / 4 * 1 / 3) ** 0.25), (3, 0.0), (4, 0.0), (5, 0.0), (6, 0.0), (None, 1.0)]
     assert [(r.key, r.score) for r in out.collect()] == [(k, pytest.approx(x, abs=1e-6)) for k, x in want]
+
+
+def test_codebleu_groups_nothing(spark, sf):
+    """Both overlaps and the matches come from one row of a pair: no n-gram is a row of its own."""
+    from spindrift.plans import catalog
+
+    plan = catalog.QUERIES["codebleu"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "Aggregate" not in plan and plan.count("Join") == 1
