@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +15,8 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 #: The limits of a client by default, and the span of time that they hold for.
 REQUESTS, TOKENS, SPAN_MS = 60, 150_000, 60_000
+#: A waiting request's columns, in the order by which they go; rows that a client gives out at a time.
+WAITS, OUT_ROWS = ("arrival", "id", "tokens", "came"), 100_000
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -36,7 +39,8 @@ class Limiter(StatefulProcessor):
     """State of a client: requests that wait for the watermark, those that went in the last minute, the time of the last one.
 
     A request waits until the watermark has passed its arrival, so that requests go in the order of arrival however they came
-    in; a timer at its arrival wakes the client.  One that came too late for that isn't dropped: it arrives at the watermark.
+    in.  A client has one timer, at its first waiting request's arrival: when it is due all go that can, so what waits is read once for a
+    batch, not once for each arrival.  One that came too late for that isn't dropped: it arrives at the watermark.
     """
 
     def __init__(self, requests: int = REQUESTS, tokens: int = TOKENS, span: int = SPAN_MS):
@@ -44,36 +48,49 @@ class Limiter(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", StructType([StructField(c, LongType()) for c in ("arrival", "id", "tokens", "came")]))
+        self.waiting = handle.getListState("waiting", StructType([StructField(c, LongType()) for c in WAITS]))
         self.went = handle.getListState("went", StructType([StructField(c, LongType()) for c in ("at", "tokens")]))
 
+    def wake(self, at: int, now: int) -> None:
+        """The client's timer is at `at`, unless it has an earlier one; those up to now are due in this batch and go by themselves."""
+        timers = [t for t in self.handle.listTimers() if t > now]
+        if not timers or at < min(timers):
+            for t in timers:
+                self.handle.deleteTimer(t)
+            self.handle.registerTimer(at)
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        now, asked = timerValues.getCurrentWatermarkInMs(), set()
+        now, first = timerValues.getCurrentWatermarkInMs(), None
         for part in rows:
-            new = [(max(int(a), now), int(i), int(n), int(a)) for i, a, n in zip(part["id"], part["arrival"], part["tokens"], strict=True)]
-            for row in new:
-                self.waiting.appendValue(row)
-                asked.add(row[0] + 1)
-        for t in asked:
-            self.handle.registerTimer(t)
+            new = [(max(a, now), i, n, a) for i, a, n in zip(part["id"].tolist(), part["arrival"].tolist(), part["tokens"].tolist(), strict=True)]
+            self.waiting.appendList(new)
+            least = min(new)[0]
+            first = least if first is None else min(first, least)
+        if first is not None:
+            self.wake(first + 1, now)
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
-        rows = sorted(tuple(r) for r in self.waiting.get())
-        go = [r for r in rows if r[0] < now]
-        if not go:
+        rows = np.fromiter((tuple(r) for r in self.waiting.get()), dtype=[(c, np.int64) for c in WAITS])
+        go, stay = rows[rows["arrival"] < now], rows[rows["arrival"] >= now]
+        if stay.size:
+            self.waiting.put(stay.tolist())
+            self.wake(int(stay["arrival"].min()) + 1, now)
+        else:
+            self.waiting.clear()
+        if not go.size:
             return
+        go = go[np.lexsort([go[c] for c in reversed(WAITS)])]
         went = deque(tuple(r) for r in self.went.get())
         last = went[-1][0] if went else 0
-        out = []
-        for arrival, i, tokens, came in go:
-            last = admit(went, last, arrival, tokens, *self.limits)
-            out.append((key[0], i, came, tokens, last, last - came))
-        stay = rows[len(go) :]
-        self.waiting.put(stay) if stay else self.waiting.clear()
+        for start in range(0, go.size, OUT_ROWS):
+            some, at = go[start : start + OUT_ROWS], []
+            for arrival, tokens in zip(some["arrival"].tolist(), some["tokens"].tolist(), strict=True):
+                last = admit(went, last, arrival, tokens, *self.limits)
+                at.append(last)
+            yield pd.DataFrame({"client": [key[0]] * some.size, "id": some["id"], "arrival": some["came"], "tokens": some["tokens"], "admitted": at, "delay": np.array(at) - some["came"]})
         self.went.put(list(went))
-        yield pd.DataFrame(out, columns=[f.name for f in OUT.fields])
 
 
 OUT = StructType([StructField("client", StringType()), *(StructField(c, LongType()) for c in ("id", "arrival", "tokens", "admitted", "delay"))])

@@ -5,6 +5,7 @@ import re
 from collections import deque
 
 import numpy as np
+import pandas as pd
 import pytest
 from compare import spark_rows
 from pyspark.sql import functions as F
@@ -131,6 +132,55 @@ def test_limiter_stream(spark, tmp_path):
     assert out == {("a", 0): 0, ("a", 1): 1000, ("a", 2): 60_000, (None, 50): 100, ("a", 3): 61_000, ("a", 7): 120_000, ("a", 4): 121_000, ("b", 9): 200_000}
 
 
+def test_limiter_has_one_timer(spark, tmp_path):
+    """However many requests wait a client has one timer, and one that is due is followed by the next, also without new requests."""
+
+    class State(list):
+        reads, get, exists = 0, lambda self: setattr(self, "reads", self.reads + 1) or iter(list(self)), lambda self: bool(self)
+        appendList, appendValue, put = list.extend, list.append, lambda self, rows: self.__setitem__(slice(None), rows)
+
+    class Handle:
+        def __init__(self):
+            self.lists, self.timers, self.made = {}, set(), 0
+            self.listTimers, self.deleteTimer = lambda: iter(sorted(self.timers)), self.timers.discard
+
+        def getListState(self, name, schema):
+            return self.lists.setdefault(name, State())
+
+        def registerTimer(self, t):
+            self.made += 1
+            self.timers.add(t)
+
+    class Times:
+        def __init__(self, now):
+            self.getCurrentWatermarkInMs = lambda: now
+
+    one, handle = limiter.Limiter(3, 100, 50), Handle()
+    one.init(handle)
+    asked = [(i, 7 * i % 1000, 1 + i % 60) for i in range(1000)]
+    frame = pd.DataFrame(asked, columns=["id", "arrival", "tokens"])
+    list(one.handleInputRows(("a",), iter([frame[:600], frame[600:]]), Times(0)))
+    assert handle.timers == {1} and handle.made == 1
+    out = []
+    for now in (400, 2000):
+        due = [t for t in handle.timers if t <= now]
+        assert len(due) == 1
+        for t in due:
+            out += [r for part in one.handleExpiredTimer(("a",), Times(now), t) for r in part.itertuples(index=False)]
+            handle.timers.discard(t)
+    assert handle.made == 2 and handle.lists["waiting"].reads == 2 and not handle.timers
+    order = sorted((a, i, n) for i, a, n in asked)
+    assert [(r.arrival, r.id, r.tokens) for r in out] == order
+    assert [r.admitted for r in out] == plain_admissions([(a, n) for a, _, n in order], 3, 100, 50)
+    # In a stream: the second part has other clients only, yet what client a left waiting goes.
+    schema = "client string, id long, arrival long, tokens long"
+    for n, part in enumerate(([("a", i, 1000 * i, 1) for i in range(5)], [("b", 9, 100_000, 1)])):
+        spark.createDataFrame(part, schema).write.parquet(f"{tmp_path}/in/{n}")
+        stream = spark.readStream.schema(schema).parquet(f"file://{tmp_path}/in/*")
+        limiter.run_limited(limiter.limit(stream, "2 seconds"), f"file://{tmp_path}/out", f"file://{tmp_path}/cp").awaitTermination()
+    assert {(r.client, r.id): r.admitted for r in spark.read.schema(limiter.OUT).parquet(f"file://{tmp_path}/out").collect()} == {("a", i): 1000 * i for i in range(5)}
+
+
 # Call graph
 
 FILES = {
