@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -16,6 +18,8 @@ from spindrift.tables import cut, reading, release
 RUN = 64
 #: Rows that a walk may begin at, by hash; each query begins at the best of them.
 ENTRIES = 64
+#: Meetings that a task scores before it gives their pairs out; bytes of query vectors that are broadcast at most.
+MEETINGS, QUERY_BYTES = 256, 64 << 20
 
 
 def _score(a: Column, b: Column, metric: str) -> Column:
@@ -27,10 +31,45 @@ def _best(pairs: DataFrame, k: int, by: str = "a", other: str = "b") -> DataFram
     return pairs.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k).drop("n")
 
 
-def _scored(pairs: DataFrame, rows: DataFrame, metric: str) -> DataFrame:
-    """pairs(a, b) -> a, b, score: vectors are joined to the pairs, first to one end, then to the other."""
-    left, right = rows.select(F.col("doc").alias("a"), F.col("v").alias("va")), rows.select(F.col("doc").alias("b"), F.col("v").alias("vb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", _score(F.col("va"), F.col("vb"), metric).alias("score"))
+def _met(links: DataFrame, rows: DataFrame, graph: DataFrame, degree: int, metric: str) -> DataFrame:
+    """links(a, b) -> a, b, score: at each row those that link to it meet those that it links to; at most `degree` for each that are
+    nearer than its farthest neighbour.
+
+    Vectors are sent twice for each link, as they are stored, not once for each pair.  A meeting is scored as one matrix: it has 2 * degree rows that
+    are linked to and as many that link there; a hub has several meetings.
+    """
+    full = F.count("*") >= degree
+    worst = graph.groupBy("a").agg(F.when(full, F.min("score")).otherwise(float("-inf")).alias("worst"))
+    known = rows.select("doc", "v").join(worst.withColumnRenamed("a", "doc"), "doc", "left").withColumn("worst", F.coalesce("worst", F.lit(float("-inf"))))
+    n = F.row_number().over(Window.partitionBy("b").orderBy("a"))
+    coming = links.join(known.withColumnRenamed("doc", "a"), "a").withColumn("part", F.floor((n - 1) / (2 * degree)))
+    coming = coming.groupBy("b", "part").agg(F.collect_list(F.struct("a", "worst", "v")).alias("m"))
+    there = links.select(F.col("a").alias("b"), F.col("b").alias("doc")).join(rows.select("doc", "v"), "doc").groupBy("b").agg(F.collect_list(F.struct("doc", "v")).alias("o"))
+    meetings = coming.join(there, "b").select("m", "o")
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, MEETINGS):
+                out = [[], [], []]
+                for m, o in zip(batch.column("m").slice(at, MEETINGS), batch.column("o").slice(at, MEETINGS), strict=True):
+                    m, o = m.values, o.values
+                    ids, worst, to = m.field("a"), m.field("worst").to_numpy(), o.field("doc")
+                    v, w = (x.field("v").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(x), -1) for x in (m, o))
+                    near = v @ w.T
+                    if metric != "ip":
+                        near = 2 * near - (v * v).sum(1)[:, None] - (w * w).sum(1)[None, :]
+                    same = np.asarray(ids.to_pylist(), dtype=object)[:, None] == np.asarray(to.to_pylist(), dtype=object)[None, :]
+                    near[same | (near <= worst[:, None])] = -np.inf
+                    k = min(degree, len(to))
+                    best = np.argpartition(-near, k - 1, axis=1)[:, :k]
+                    score = np.take_along_axis(near, best, 1)
+                    x, y = np.nonzero(score > -np.inf)
+                    for column, part in zip(out, (ids.take(pa.array(x)), to.take(pa.array(best[x, y])), pa.array(score[x, y])), strict=True):
+                        column.append(part)
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in out], ["a", "b", "score"])
+
+    kind = rows.schema["doc"].dataType.simpleString()
+    return meetings.mapInArrow(run, f"a {kind}, b {kind}, score double")
 
 
 def _direction(v: Column, seed: int) -> Column:
@@ -54,17 +93,18 @@ def build(rows: DataFrame, degree: int = 24, rounds: int = 4, begins: int = 3, m
 
     Begun by runs along `begins` directions; in each round a row meets its neighbours' neighbours, in both directions of an edge, and keeps
     the best.  Of the edges that point at a row the best `degree` count, so a row that all point at makes no more candidates than others.
-    A round is three joins on ids and a table in the shared folder; no row is collected.  Rows without a usable vector are left out.
+    A round sends a vector twice for each of its links and pairs as two ids and a score; no row is collected.  Rows without a usable vector are left out.
     """
-    rows = rows.where(usable(F.col("v"))).select("doc", F.transform("v", lambda x: x.cast("double")).alias("v"))
-    first = reduce(DataFrame.unionByName, (begin(rows, degree, metric, seed + i) for i in range(begins)))
+    rows = rows.where(usable(F.col("v"))).select("doc", "v")
+    double = rows.withColumn("v", F.transform("v", lambda x: x.cast("double")))
+    first = reduce(DataFrame.unionByName, (begin(double, degree, metric, seed + i) for i in range(begins)))
     graph = cut(_best(first.distinct(), degree))
     for _ in range(rounds):
         back = _best(graph.select(F.col("b").alias("a"), F.col("a").alias("b"), "score"), degree)
-        links = cut(graph.unionByName(back).select("a", "b").distinct())
-        two = links.join(links.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").where(F.col("a") != F.col("c")).select("a", F.col("c").alias("b")).distinct()
-        new = two.unionByName(links).distinct().join(graph.select("a", "b"), ["a", "b"], "left_anti")
-        better = cut(_best(graph.unionByName(_scored(new, rows, metric)), degree))
+        known = graph.unionByName(back)
+        links = cut(known.select("a", "b").distinct())
+        every = known.unionByName(_met(links, rows, graph, degree, metric))
+        better = cut(_best(every.groupBy("a", "b").agg(F.max("score").alias("score")), degree))
         release(graph, links)
         graph = better
     return reading(graph, graph)
@@ -87,6 +127,8 @@ def search(rows: DataFrame, graph: DataFrame, queries: DataFrame, k: int = 10, b
     score = _score(F.col("v"), F.col("qv"), metric)
     start = asked.crossJoin(F.broadcast(entries)).select("query", "doc", score.alias("score"), F.lit(False).alias("followed"))
     seen = cut(start)
+    held = asked.agg(F.sum(8 * F.size("qv") + 16)).first()[0] or 0
+    asked = F.broadcast(asked) if held <= QUERY_BYTES else asked
     made = [seen]
     for _ in range(most):
         top = _best(seen, beam, "query", "doc")

@@ -11,7 +11,7 @@ from compare import spark_rows
 from pyspark.sql import functions as F
 
 from spindrift import session, tables
-from spindrift.operators import callgraph, dense, explore, explorer, tokens, vector_index
+from spindrift.operators import callgraph, dense, explore, explorer, tokens, vector_graph, vector_index
 from spindrift.plans import catalog
 from spindrift.streaming import limiter
 
@@ -88,6 +88,25 @@ def test_package_as_zip(tmp_path):
     assert path in said.stdout, said.stderr
 
 
+def test_graph_sends_vectors_by_links(spark):
+    """A round joins no vectors to pairs, its graph is near to the exact one, and a row that all are near to has no larger meeting."""
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(400, 8))
+    v[0] = 0.01
+    rows = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)] + [(900, None), (901, [float("nan")] * 8)], "doc long, v array<float>")
+    for metric, score in (("ip", v @ v.T), ("l2", -((v[:, None] - v[None]) ** 2).sum(2))):
+        graph = vector_graph.build(rows, degree=8, rounds=3, metric=metric)
+        score = score - np.diag(np.full(400, np.inf))
+        want = {(a, int(b)) for a in range(400) for b in np.argsort(-score[a])[:8]}
+        got = {(r.a, r.b): r.score for r in graph.collect()}
+        assert len(got.keys() & want) >= 0.9 * len(want) and len(got) == 3200
+        assert all(abs(s - score[a, b]) < 1e-5 for (a, b), s in got.items())
+        links = graph.select("a", "b")
+        met = vector_graph._met(links, rows.where("doc < 400"), graph, 8, metric)._jdf.queryExecution().optimizedPlan().toString()
+        assert "MapInArrow" in met and met.count("Join") == 4
+        tables.release(graph)
+
+
 # Limiter
 
 
