@@ -5,10 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
+from spindrift.operators import blocks
 from spindrift.operators.sparse import top_k
 
 
@@ -52,21 +56,74 @@ def lookup(rows: DataFrame, doc) -> DataFrame:
     return rows.where(F.col("doc") == F.lit(doc))
 
 
+def regular(col: Column, dim: int) -> Column:
+    """Vectors of dim finite components."""
+    return F.coalesce((F.size(col) == dim) & F.forall(col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
+
+
+def nearest_rows(rows: DataFrame, queries: DataFrame, k: int, metric: str, dim: int, probes: dict[int, np.ndarray] | None = None, asked: pa.Table | None = None) -> DataFrame:
+    """rows(v, doc, ...) x queries(qv, query, ...), all vectors regular -> both tables' columns but the vectors, and score: of each batch
+    of rows each query's k best, among them the k best of all.
+
+    probes: a row's cell -> positions of the queries that meet it; without it all do.  The queries (asked: their rows, if at hand) are sent to
+    the tasks.
+    """
+    asked = (queries.toArrow() if asked is None else asked).combine_chunks()
+    there = [c for c in asked.column_names if c != "qv"]
+    sent = asked.select(there).to_batches()
+    vectors = blocks.matrix(asked["qv"].combine_chunks(), dim)
+    shared = rows.sparkSession.sparkContext.broadcast((vectors, sent[0] if sent else None, probes))
+    here = [c for c in rows.columns if c != "v"]
+    out = StructType([*(rows.schema[c] for c in here), *(queries.schema[c] for c in there), StructField("score", DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q, facts, probes = shared.value
+        floor = np.full(len(q), -np.inf)
+        for batch in batches if len(q) else ():
+            v, place = blocks.matrix(batch.column("v"), dim), blocks.places(batch.column("doc"))
+            if probes is None:
+                groups = [(slice(None), np.arange(len(q)))]
+            else:
+                cell = batch.column("cell").to_numpy()
+                groups = [(np.flatnonzero(cell == c), probes[c]) for c in np.unique(cell) if c in probes]
+            for at, some in groups:
+                least, which = floor[some], np.arange(len(v))[at]
+                for row, query, score in blocks.nearest(v[at], q[some], place[at], k, metric, least):
+                    mine, theirs = pa.array(which[row]), pa.array(some[query])
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c).take(mine) for c in here), *(facts.column(c).take(theirs) for c in there), pa.array(score)], names=out.names)
+                floor[some] = least
+
+    return rows.mapInArrow(run, out)
+
+
 def search(rows: DataFrame, queries: DataFrame, k: int = 10, metric: str = "ip", keep: Column | None = None, limit_first: bool = False) -> DataFrame:
     """rows(doc, v, ...) x queries(query, qv, ...) -> query, doc, score, rank.
 
-    Every query meets every row, as it must for an exact answer: the query set is broadcast if its bytes, counted first, are
-    BROADCAST_BYTES at most; a larger one is cut by hash into so many parts that each is, and rows are read once for each.
-    metric 'l2' scores by the negative squared distance.  keep: which pairs count; with limit_first it applies after the top k.
+    Every query meets every row, as it must for an exact answer: the query set is sent to all tasks if its bytes, counted first, are
+    BROADCAST_BYTES at most; a larger one is cut by hash into so many parts that each is, and rows are read once for each.  Vectors
+    meet as matrices and a batch of rows hands on each query's best only.  Null, ragged and infinite vectors, and what `keep` has to
+    see before the limit, meet pair by pair.
+    keep: which pairs count; with limit_first it applies after the top k.
     """
-    size = queries.agg(F.sum(F.size("qv") * 8 + 64)).first()[0] or 0
-    parts = -(-size // BROADCAST_BYTES)
+    first = keep is not None and not limit_first
+    size, dim = queries.agg(F.sum(F.size("qv") * 8 + 64), F.max(F.size("qv"))).first()
+    parts = -(-(size or 0) // BROADCAST_BYTES)
     score = dot(F.col("v"), F.col("qv")) if metric == "ip" else -squared_distance(F.col("v"), F.col("qv"))
 
+    def pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+        return left.join(F.broadcast(right), keep if first else F.lit(True)).withColumn("score", score).drop("v", "qv")
+
     def one(some: DataFrame) -> DataFrame:
-        pairs = rows.join(F.broadcast(some), keep if keep is not None and not limit_first else F.lit(True))
-        top = top_k(pairs.withColumn("score", F.round(score, 6)), k)
-        return (top.where(keep) if limit_first and keep is not None else top).drop("v", "qv")
+        if first or not dim or dim < 1:
+            found = pairs(rows, some)
+        else:
+            ours, theirs = regular(F.col("v"), dim), regular(F.col("qv"), dim)
+            found = nearest_rows(rows.where(ours), some.where(theirs), k, metric, dim)
+            found = found.unionByName(pairs(rows.where(~ours), some))
+            if not some.where(~theirs).isEmpty():
+                found = found.unionByName(pairs(rows.where(ours), some.where(~theirs)))
+        top = top_k(found.withColumn("score", F.round("score", 6)), k)
+        return top.where(keep) if limit_first and keep is not None else top
 
     found = [one(queries.where(F.pmod(F.xxhash64("query"), F.lit(parts)) == i)) for i in range(parts)] if parts > 1 else [one(queries)]
     return reduce(DataFrame.unionByName, found)
