@@ -49,7 +49,7 @@ class Chain:
             found = sparse.search_index(index, items, fetch, "query", "text", tokenizer=tokenizer)
         found = fusion.threshold(found, how["min_score"])
         if again["name"] == "overlap":
-            tokens = found.join(docs.select("doc", tokenizer(F.col("content")).alias("dt")), "doc").join(items.select("query", tokenizer(F.col("text")).alias("qt")), "query")
+            tokens = found.join(docs.select("doc", "content"), "doc").join(items.select("query", tokenizer(F.col("text")).alias("qt")), "query").withColumn("dt", tokenizer(F.col("content"))).drop("content")
             found = fusion.rerank(tokens, fusion.overlap_score(F.col("qt"), F.col("dt")), again["rerank_k"], again["top_k"])
         elif again["name"]:
             raise KeyError(f"no reranker named {again['name']}")

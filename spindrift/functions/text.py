@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Fixed value: what a token of code is.
-CODE_TOKEN = r"[a-zA-Z_][a-zA-Z0-9_]*|[0-9]+|[{}()\[\];,.=+\-*/<>!&|]+"
+#: Fixed value: what a token of code is; identifiers and operator runs of one character are none.
+CODE_TOKEN = r"[a-zA-Z_][a-zA-Z0-9_]+|[0-9]+|[{}()\[\];,.=+\-*/<>!&|]{2,}"
 CHARS_PER_TOKEN = 4
 
 
@@ -20,14 +20,15 @@ def lines(c: Column) -> Column:
 
 
 def code_tokens(c: Column, lowercase: bool = True, split_camel: bool = True) -> Column:
-    """Identifiers, numbers and operator runs; camelCase is split; one-character tokens go unless digits."""
-    found = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(CODE_TOKEN), F.lit(0))
+    """Identifiers, numbers and operator runs; camelCase is split; one-character tokens go unless digits.
+
+    The whole text is split at capitals, which are inside identifiers only: its parts are again identifiers, or one letter.
+    """
+    text = F.coalesce(c, F.lit(""))
     if split_camel:
-        parts = lambda t: F.when(t.rlike("[A-Z]"), F.split(F.regexp_replace(F.regexp_replace(t, "([A-Z]+)", " $1"), "([A-Z][a-z]+)", " $1"), " +")).otherwise(F.array(t))
-        found = F.flatten(F.transform(found, parts))
-    if lowercase:
-        found = F.transform(found, F.lower)
-    return F.filter(found, lambda t: (F.length(t) > 1) | t.rlike("^[0-9]$"))
+        text = F.regexp_replace(F.regexp_replace(text, "([A-Z]+)", " $1"), "([A-Z][a-z]+)", " $1")
+    found = F.regexp_extract_all(text, F.lit(CODE_TOKEN), F.lit(0))
+    return F.transform(found, F.lower) if lowercase else found
 
 
 def whitespace_tokens(c: Column, lowercase: bool = True) -> Column:

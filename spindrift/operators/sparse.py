@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 from pyspark.sql.window import Window
 
 from spindrift.functions.text import code_tokens
-from spindrift.tables import cut, reading
+from spindrift.operators import blocks
+from spindrift.tables import cut, reading, release
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
@@ -47,7 +52,9 @@ def token_rows(docs: DataFrame, id_col: str, fields: dict[str, int], tokenizer=c
     def bag(i: int, weight: int) -> Column:
         return F.transform(f"_{i}", lambda t: F.struct(t.alias("term"), F.lit(weight).alias("n")))
 
-    return rows.select("doc", dl.alias("dl"), F.inline(F.concat(*(bag(i, w) for i, w in enumerate(held.values())))))
+    # dl comes before the rows are made: after that each of them would carry its document's whole array along.
+    counted = rows.select("doc", dl.alias("dl"), *(f"_{i}" for i in range(len(held))))
+    return counted.select("doc", "dl", F.inline(F.concat(*(bag(i, w) for i, w in enumerate(held.values())))))
 
 
 def postings(rows: DataFrame) -> DataFrame:
@@ -72,23 +79,64 @@ def build(docs: DataFrame, id_col: str = "doc_id", fields: dict[str, int] | None
     return Index(post, terms, cut(stats))
 
 
+#: Rows (query, term) that one pass over the postings answers; they are sent to every task.
+PASS_ROWS = 2_000_000
+
+
+def _pass(postings: DataFrame, wanted: DataFrame, avgdl: float, k: int, k1: float, b: float) -> DataFrame:
+    """query, doc, score: the k best of each block of documents, among them the k best of all.
+
+    The wanted terms' postings come together by document, whatever the number of queries; a task adds them up for all queries.
+    """
+    spark = postings.sparkSession
+    rows = wanted.toArrow().combine_chunks()
+    term, query = (rows[c].combine_chunks().dictionary_encode(null_encoding="encode") for c in ("term", "query"))
+    weights = blocks.Weights(term.indices.to_numpy(), query.indices.to_numpy(), rows["w"].to_numpy(), len(term.dictionary), len(query.dictionary))
+    shared = spark.sparkContext.broadcast((weights, query.dictionary))
+    ids = spark.createDataFrame(pa.table({"term": term.dictionary, "_t": pa.array(range(len(term.dictionary)), pa.int32())}))
+    x = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(avgdl)))
+    needed = postings.join(F.broadcast(ids), "term").select("doc", "_t", x.alias("x")).repartition("doc").sortWithinPartitions("doc")
+    out = StructType([wanted.schema["query"], postings.schema["doc"], StructField("score", DoubleType())])
+    most = blocks.SCORES
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, queries = shared.value
+        held = blocks.Scores(weights, k, most)
+
+        def found() -> Iterator[tuple]:
+            for batch in batches:
+                if batch.num_rows:
+                    yield from held.add(batch.column(0), batch.column(1).to_numpy(), batch.column(2).to_numpy())
+            yield from held.flush()
+
+        for doc, query, score in found():
+            yield pa.RecordBatch.from_arrays([queries.take(pa.array(query)), doc, pa.array(score)], ["query", "doc", "score"])
+
+    return needed.mapInArrow(run, out)
+
+
 def search_index(index: Index, queries: DataFrame, k: int = 10, query_id: str = "item_id", query_text: str = "text", k1: float = K1, b: float = B, tokenizer=code_tokens) -> DataFrame:
-    """query, doc, score, rank: the k best of each query, positive scores only, ties by doc.
+    """query, doc, score, rank: the k best of each query, positive scores only, ties by doc; a table in the shared folder.
 
-    All queries are answered by one join on the term, before which no posting is shuffled if the query terms are few
-    (Spark broadcasts them by their size); partial sums of a query and document are combined before the shuffle.
+    Postings are shuffled once by document, queries are sent to the tasks (PASS_ROWS at a time), and what is shuffled of pairs is
+    each block's best: k rows of a query for blocks.SCORES scores.
     """
     asked = queries.select(F.col(query_id).alias("query"), F.explode(tokenizer(F.col(query_text))).alias("term")).groupBy("query", "term").agg(F.count("*").alias("qtf"))
-    wanted = index.terms.join(asked, "term").select("query", "term", "qtf", "idf")
-    hits = index.postings.join(wanted, "term").crossJoin(F.broadcast(index.stats.select("avgdl")))  # one row
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = hits.groupBy("query", "doc").agg(F.round(F.sum(part), 6).alias("score")).where("score > 0")
-    return reading(top_k(scored, k), index.postings, index.terms, index.stats)
+    wanted = cut(index.terms.join(asked, "term").select("query", "term", (F.col("qtf") * F.col("idf")).alias("w")))
+    parts = max(1, -(-wanted.count() // PASS_ROWS))
+    avgdl = (index.stats.first() or {"avgdl": None})["avgdl"] or 1.0  # without a token there are no postings
+    found = [_pass(index.postings, wanted.where(F.pmod(F.xxhash64("query"), F.lit(parts)) == i) if parts > 1 else wanted, avgdl, k, k1, b) for i in range(parts)]
+    hits = cut(top_k(reduce(DataFrame.unionByName, found).withColumn("score", F.round("score", 6)).where("score > 0"), k))
+    release(wanted)
+    return reading(hits, hits)
 
 
 def search(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_id", fields: dict[str, int] | None = None, query_id: str = "item_id", query_text: str = "text", k1: float = K1, b: float = B, tokenizer=code_tokens) -> DataFrame:
-    """search_index() of an index made for it."""
-    return search_index(build(docs, id_col, fields, tokenizer), queries, k, query_id, query_text, k1, b, tokenizer)
+    """search_index() of an index made for it, which goes when the hits are written."""
+    index = build(docs, id_col, fields, tokenizer)
+    hits = search_index(index, queries, k, query_id, query_text, k1, b, tokenizer)
+    release(index.postings, index.terms, index.stats)
+    return hits
 
 
 def retrieve(index: Index, queries: DataFrame, k: int = 10, min_score: float = 0.0, predicate: Column | None = None, key: DataFrame | None = None, fetch: int | None = None, **how) -> DataFrame:

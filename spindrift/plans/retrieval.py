@@ -260,9 +260,10 @@ def query_merge(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _with_tokens(spark: SparkSession, d: str, k: int) -> DataFrame:
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), T.code_tokens(F.col("text")).alias("dt"), "n_chars")
+    """Hits with the tokens of both texts: of the documents that are hits, not of all."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), "text", "n_chars")
     asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query"), T.code_tokens(F.col("text")).alias("qt"))
-    return _bm25(spark, d, k).join(docs, "doc").join(asked, "query")
+    return _bm25(spark, d, k).join(docs, "doc").join(asked, "query").withColumn("dt", T.code_tokens(F.col("text"))).drop("text")
 
 
 _OVERLAP = f"""o AS (SELECT b.query, b.doc, b.rank, x.n_chars, len(list_intersect(list_distinct({sql_tokens('q.text')}), {sql_tokens('x.text')})) / len(list_distinct({sql_tokens('q.text')})) AS raw FROM bm25 b JOIN documents x ON x.doc_id = b.doc JOIN benchmark q ON q.item_id = b.query)"""
