@@ -44,7 +44,7 @@ def places(ids: pa.Array) -> np.ndarray:
 
 def matrix(vectors: pa.Array, dim: int) -> np.ndarray:
     """Vectors of one length, none null."""
-    return vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+    return vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), dim)
 
 
 def exact(v: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
