@@ -413,7 +413,8 @@ def _vocabulary(spark: SparkSession) -> tokens.Vocabulary:
 def token_windows(spark: SparkSession, d: str) -> DataFrame:
     """Windows of 256 tokens: without overlap they rejoin to the text, with 32 tokens of overlap they cover it without a gap."""
     v, text = _vocabulary(spark), F.coalesce("text", F.lit(""))
-    cuts = table(spark, d, "documents").select("doc_id", text.alias("text"), tokens.windows(text, 256, 0, v).alias("plain"), tokens.windows(text, 256, 32, v).alias("lapped"))
+    both = tokens.all_windows(text, {"plain": (256, 0), "lapped": (256, 32)}, v)
+    cuts = table(spark, d, "documents").select("doc_id", text.alias("text"), both.alias("w")).select("doc_id", "text", "w.plain", "w.lapped")
     covered = F.aggregate("lapped", F.lit(0).cast("long"), lambda at, w: F.when(w["start"] <= at, F.greatest(at, w["stop"])).otherwise(at))
     return cuts.select("doc_id", F.md5(F.array_join(tokens.pieces(F.col("text"), F.col("plain")), "")).alias("rejoined_md5"), covered.alias("covered"), (F.size("plain") == 0).alias("empty"))
 

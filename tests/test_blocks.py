@@ -99,3 +99,16 @@ def test_index_ties_by_rounded_score(spark, tmp_path):
         got = vector_index.search(index, asked, 3, probe=1, metric=metric, exact=True)
         assert "Exchange" not in plan(got)
         assert sorted((r["query"], r["rank"], r["doc"]) for r in got.collect()) == [(q, i + 1, i) for q in (1, 2) for i in range(3)]
+
+
+def test_windows_share_a_worker(spark, sf):
+    from spindrift.operators import tokens
+    from spindrift.plans import retrieval
+
+    got = retrieval.token_windows(spark, sf)
+    assert plan(got).count("ArrowEvalPython [") == 1
+    vocabulary = tokens.Vocabulary(tuple((bytes([i]), i) for i in range(256)), r"\w+|\W")
+    texts = spark.createDataFrame([(i, t) for i, t in enumerate([None, "", "ab cd", "é" * 7, *["x" * n for n in range(1, 1200)]])], "i int, s string").coalesce(1)
+    both = texts.select("i", tokens.all_windows(F.col("s"), {"a": (3, 0), "b": (4, 2)}, vocabulary).alias("w"), tokens.windows(F.col("s"), 3, 0, vocabulary).alias("one")).orderBy("i").collect()
+    assert len(both) == 1203 and all(r.w.a == r.one for r in both) and [r.one for r in both[:2]] == [[], []]
+    assert [tuple(x) for x in both[2].w.b] == [(0, 4, 4), (2, 5, 3)]
