@@ -121,5 +121,5 @@ def prompts(problems: DataFrame, blocks: DataFrame, by: str = "query", feedback:
 
 def gather_stats(runs: DataFrame, by: str, order: list[str], value: str, bucket: Column | None = None) -> DataFrame:
     """runs + gathered, mean_so_far: number of contexts gathered and the mean of `value` so far; bucket: as running_sums() has it."""
-    out = running_sums(runs, [by], order, {"gathered": F.lit(1), "_sum": F.col(value)}, bucket)
-    return out.withColumn("mean_so_far", F.col("_sum") / F.col("gathered")).drop("_sum")
+    out = running_sums(runs, [by], order, {"gathered": F.lit(1), "_n": F.when(F.col(value).isNotNull(), 1), "_sum": F.col(value)}, bucket)
+    return out.withColumn("mean_so_far", F.col("_sum") / F.col("_n")).drop("_n", "_sum")

@@ -119,7 +119,7 @@ def line_accuracy(gold: DataFrame, ranges: DataFrame, by: str, tolerance: int =
 def file_sets(rows: DataFrame, by: str, order: list[str], gold: str, pred: str, bucket: Column | None = None) -> DataFrame:
     """by, order, exact, running_rate: whether gold and predicted files are the same set, and the share so far, percent."""
     same = F.sort_array(F.array_distinct(gold)) == F.sort_array(F.array_distinct(pred))
-    out = running_sums(rows.select(by, *order, same.alias("exact")), [by], order, {"_n": F.lit(1), "_k": F.col("exact").cast("int")}, bucket)
+    out = running_sums(rows.select(by, *order, same.alias("exact")), [by], order, {"_n": F.when(F.col("exact").isNotNull(), 1), "_k": F.col("exact").cast("int")}, bucket)
     return out.withColumn("running_rate", F.round(F.col("_k") / F.col("_n") * 100, 6)).drop("_n", "_k")
 
 

@@ -69,9 +69,10 @@ def grid(rows: DataFrame, by: str, across: str, values: list, agg: Column, empty
 
 
 def running(rows: DataFrame, by: str, order: list[str], resolved: str, bucket: Column | None = None) -> DataFrame:
-    """Instances so far, resolved so far and the running rate; bucket: as running_sums() has it."""
-    out = running_sums(rows, [by], order, {"seen": F.lit(1), "resolved_so_far": F.col(resolved).cast("int")}, bucket)
-    return out.withColumn("running_rate", F.round(F.col("resolved_so_far") / F.col("seen") * 100, 6))
+    """Instances so far, resolved so far and the running rate of those that are not null; bucket: as running_sums() has it."""
+    known = F.when(F.col(resolved).isNotNull(), 1)
+    out = running_sums(rows, [by], order, {"seen": F.lit(1), "_known": known, "resolved_so_far": F.col(resolved).cast("int")}, bucket)
+    return out.withColumn("running_rate", F.round(F.col("resolved_so_far") / F.col("_known") * 100, 6)).drop("_known")
 
 
 def unpivot(rows: DataFrame, ids: list[str], metrics: list[str]) -> DataFrame:

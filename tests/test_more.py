@@ -1,3 +1,4 @@
+import datetime as dt
 import json
 
 import numpy as np
@@ -226,6 +227,20 @@ def test_running_sums_in_buckets(spark):
     assert last == {k: sum(v or 0 for j, _, v in rows if j == k) for k in ("a", "b", None)}
 
 
+def test_running_queries_pass_over_nulls(spark, tmp_path):
+    """As their SQL does: null times last, no sum before the first value, nulls not counted in a mean."""
+    from compare import duck_rows, spark_rows
+
+    from spindrift.plans import catalog
+
+    at = dt.datetime(2024, 1, 1)
+    rows = [(i, None if i % 6 == 5 else at + dt.timedelta(minutes=25 * (i // 2)), i, "a" if i % 2 else "b", None if i < 4 or i % 5 == 0 else float(20 * i), None if i < 6 or i % 7 == 0 else f'{{"k": {i}}}') for i in range(24)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").coalesce(1).write.parquet(str(tmp_path / "written"))
+    next((tmp_path / "written").glob("*.parquet")).rename(tmp_path / "events.parquet")
+    for name in ("cost_per_resolved", "running_progress", "running_apply_rate", "gather_stats"):
+        assert spark_rows(catalog.QUERIES[name](spark, str(tmp_path))) == duck_rows(catalog.ORACLES[name], str(tmp_path)), name
+
+
 def test_experiments_below_a_folder(spark, tmp_path):
     for name, resolved in (("one", True), ("two", False)):
         (tmp_path / name).mkdir()
