@@ -86,6 +86,20 @@ class Weights:
         self.ptr = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=terms))]).astype(np.int64)
         self.query, self.weight, self.queries = query[order].astype(np.int64), weight[order], queries
 
+    def add(self, sums: np.ndarray, doc: np.ndarray, term: np.ndarray, value: np.ndarray) -> None:
+        """Adds each posting's value, by the weights of its term, to its document's row of sums; postings come document after document."""
+        counts = self.ptr[term + 1] - self.ptr[term]
+        upto = np.cumsum(counts)
+        a = 0
+        while a < len(term):
+            b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + PAIRS, side="right")))
+            c = counts[a:b]
+            pair = np.arange(c.sum()) + np.repeat(self.ptr[term[a:b]] - (np.cumsum(c) - c), c)
+            low, wide = doc[a], self.queries
+            added = np.bincount(np.repeat((doc[a:b] - low) * wide, c) + self.query[pair], weights=np.repeat(value[a:b], c) * self.weight[pair], minlength=int(doc[b - 1] - low + 1) * wide)
+            sums[low : doc[b - 1] + 1] += added.reshape(-1, wide)
+            a = b
+
 
 class Scores:
     """Scores of a task's documents by all queries; the documents' postings come one document after the other, in order of the id."""
@@ -96,19 +110,6 @@ class Scores:
         self.docs: list[pa.Array] = []
         self.n, self.last = 0, None
 
-    def _add(self, doc: np.ndarray, term: np.ndarray, value: np.ndarray) -> None:
-        counts = self.w.ptr[term + 1] - self.w.ptr[term]
-        upto = np.cumsum(counts)
-        a = 0
-        while a < len(term):
-            b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + PAIRS, side="right")))
-            c = counts[a:b]
-            pair = np.arange(c.sum()) + np.repeat(self.w.ptr[term[a:b]] - (np.cumsum(c) - c), c)
-            low, wide = doc[a], self.w.queries
-            added = np.bincount(np.repeat((doc[a:b] - low) * wide, c) + self.w.query[pair], weights=np.repeat(value[a:b], c) * self.w.weight[pair], minlength=int(doc[b - 1] - low + 1) * wide)
-            self.sums[low : doc[b - 1] + 1] += added.reshape(-1, wide)
-            a = b
-
     def add(self, ids: pa.Array, term: np.ndarray, value: np.ndarray) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
         """Takes postings; a full block gives (documents, queries, scores) of each query's k best and is emptied."""
         runs = pc.run_end_encode(ids)
@@ -122,7 +123,7 @@ class Scores:
                 yield from self.flush()
                 continue
             stop = ends[i + take - 1]
-            self._add(np.repeat(np.arange(base, base + take), np.diff(ends[i : i + take], prepend=at)), term[at:stop], value[at:stop])
+            self.w.add(self.sums, np.repeat(np.arange(base, base + take), np.diff(ends[i : i + take], prepend=at)), term[at:stop], value[at:stop])
             self.docs.append(values.slice(i + same, take - same))
             self.n, i, at = base + take, i + take, stop
             self.last = values[i - 1].as_py()

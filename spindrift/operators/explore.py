@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ast
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from spindrift.functions.text import basename, lines, strip
+from spindrift.operators import holding
 from spindrift.operators.querygen import distinct_by_lower
 from spindrift.tables import cut, reading, release
 
@@ -121,58 +123,68 @@ def problem_keywords(text: Column, variant: str = "refined") -> Column:
     return F.slice(distinct_by_lower(F.filter(found, lambda w: F.length(w) > 2)), 1, MOST_KEYWORDS[variant])
 
 
-def line_hits(files: DataFrame, keywords: DataFrame, id_col: str = "doc", text_col: str = "text", at_once: int = 200) -> DataFrame:
-    """keywords(query, word), files -> query, doc, word, lines: lines of each file that hold the word, whatever its case.
+def _repeated(files: DataFrame) -> DataFrame | None:
+    """The values of doc that several rows have; None if there are none."""
+    twice = files.groupBy(F.col("doc").alias("_twice")).agg(F.count("*").alias("_n")).where("_n > 1").select("_twice")
+    return None if twice.isEmpty() else twice
 
-    A word that is an identifier of three characters or more is one of the identifiers of a line or part of one, so distinct identifiers
-    of all files meet the distinct words, not lines; other words (quoted ones) meet the lines of files, about at_once of them
+
+def line_hits(files: DataFrame, keywords: DataFrame, id_col: str = "doc", text_col: str = "text", at_once: int = holding.AT_ONCE) -> DataFrame:
+    """keywords(query, word), files -> query, doc, word, lines: number of lines of each file that hold the word, whatever its case.
+
+    A file's lines are counted where it is read; only (file, word) rows leave the task.  Words are sent to the tasks, about at_once of them
     in one pass over the files.
     """
     words = cut(keywords.select("query", F.lower("word").alias("word")).where("word <> ''").distinct())
     plain = words.select("word").distinct()
-    ident = F.col("word").rlike("^[a-z0-9_]{3,}$")
-    ls = files.select(F.col(id_col).alias("doc"), F.posexplode(lines(F.lower(text_col))).alias("line", "x"))
-    tokens = cut(ls.select("doc", "line", F.explode(F.array_distinct(F.regexp_extract_all("x", F.lit("[a-z0-9_]+"), F.lit(0)))).alias("token")).groupBy("doc", "line", "token").agg(F.lit(1).alias("one")).drop("one"))
-    # An identifier holds those words that are among its parts from a place to its end at the place's start: by their
-    # first three characters and length, not by comparing all with all.
-    three = F.substring("word", 1, 3)
-    vocabulary = tokens.select("token").distinct()
-    parts = vocabulary.select("token", F.explode(F.when(F.length("token") >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("token") - 2), lambda i: F.substring(F.col("token"), i, F.lit(3))))).otherwise(F.array("token"))).alias("three"))
-    holds = parts.join(plain.where(ident).select("word", three.alias("three")), "three").where(F.contains("token", "word")).select("token", "word").distinct()
-    found = tokens.join(holds, "token").groupBy("doc", "word").agg(F.count_distinct("line").alias("lines"))
-    phrases = plain.where(~ident)
-    passes = -(-phrases.count() // at_once)
-    for i in range(passes):
-        some = [r["word"] for r in phrases.where(F.pmod(F.xxhash64("word"), F.lit(passes)) == i).collect()]
-        if some:
-            each = F.filter(F.array(*map(F.lit, some)), lambda w: F.contains(F.col("x"), w))
-            found = found.unionByName(ls.select("doc", F.explode(each).alias("word")).groupBy("doc", "word").agg(F.count("*").alias("lines")))
-    return reading(found.join(words, "word").select("query", "doc", "word", "lines"), words, tokens)
-
-
-def file_scores(files: DataFrame, keywords: DataFrame, tests: DataFrame | None = None, id_col: str = "doc", text_col: str = "text", k: int = 5, layered: bool = False) -> DataFrame:
+    rows = files.select(F.col(id_col).alias("doc"), F.lower(text_col).alias("text"))
+    parts = holding.passes(plain, "word", at_once)
+    found = []
+    for i in range(parts):
+        counted = holding.line_counts(rows, plain.where(holding.part_of("word", i, parts)).toArrow()["word"].to_pylist())
+        found.append(counted if parts == 1 else cut(counted))
+    every = reduce(DataFrame.unionByName, found)
+    if _repeated(rows) is not None:
+        every = every.groupBy("doc", "word").agg(F.sum("lines").alias("lines"))
+    return reading(every.join(words, "word").select("query", "doc", "word", "lines"), words, *found)
+
+
+def file_scores(files: DataFrame, keywords: DataFrame, tests: DataFrame | None = None, id_col: str = "doc", text_col: str = "text", k: int = 5, layered: bool = False, at_once: int = holding.AT_ONCE) -> DataFrame:
     """keywords(query, word), tests(query, test) -> query, doc, score, rank: the k best files.
 
     1 for each line that holds a keyword, half a point more if the file's path does, and 2 for each file that a part of a failing test's name
     with _ or a capital names.  layered: 1.5 for a line, 2 more if the file's name holds the keyword, and 1.5 for each
     file named by a part of over 3 characters.
+
+    Files are scored where they are read, and a batch hands on each query's k best; queries are sent to the tasks, those of about at_once
+    words in one pass over the files.
     """
-    path = F.lower(F.col("doc").cast("string"))
-    name = F.replace(basename(path), F.lit(".py"), F.lit(""))
-    more = F.when(F.contains(name if layered else path, F.col("word")), 2.0 if layered else 0.5).otherwise(0.0)
-    hits = line_hits(files, keywords, id_col, text_col)
-    scored = hits.select("query", "doc", (F.col("lines") * ((1.5 if layered else 1.0) + more)).alias("score"))
+    line, named, part = (1.5, 2.0, 1.5) if layered else (1.0, 0.5, 2.0)
+    asked = keywords.select("query", F.lower("word").alias("word")).where("word <> ''").distinct().withColumn("tested", F.lit(False))
     if tests is not None:
-        part = tests.select("query", F.explode(F.split("test", r"\.")).alias("part"))
-        part = part.where(F.length("part") > 3 if layered else F.contains("part", F.lit("_")) | F.col("part").rlike("^[A-Z]")).withColumn("part", F.lower("part"))
-        paths = files.select(F.col(id_col).alias("doc"))
-        # Paths by the three-character pieces that they hold; a shorter part is too common to name a file.
-        pieces = paths.select("doc", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(path) - 2, F.lit(1))), lambda i: F.substring(path, i, F.lit(3))))).alias("three"))
-        named = part.withColumn("three", F.substring("part", 1, 3)).join(pieces, "three").where(F.contains(path, F.col("part")))
-        scored = scored.unionByName(named.select("query", "doc", F.lit(1.5 if layered else 2.0).alias("score")))
+        parts = tests.select("query", F.explode(F.split("test", r"\.")).alias("word"))
+        parts = parts.where(F.length("word") > 3 if layered else F.contains("word", F.lit("_")) | F.col("word").rlike("^[A-Z]"))
+        asked = asked.unionByName(parts.select("query", F.lower("word").alias("word"), F.lit(True).alias("tested")))
+    asked = cut(asked)
+    path = F.lower(F.col("doc").cast("string"))
+    rows = files.select(F.col(id_col).alias("doc"), F.lower(text_col).alias("text")).withColumn("path", path)
+    rows = rows.withColumn("name", F.replace(basename(path), F.lit(".py"), F.lit("")) if layered else path)
+    twice = _repeated(rows)
+    if twice is None:
+        rows = rows.withColumn("again", F.lit(False))
+    else:
+        rows = rows.join(twice.withColumn("again", F.lit(True)), F.col("doc").eqNullSafe(F.col("_twice")), "left").withColumn("again", F.coalesce("again", F.lit(False)))
+    n = holding.passes(asked, "word", at_once)
+    best = []
+    for i in range(n):
+        some, shared = holding.best_files(rows, asked.where(holding.part_of("query", i, n)), k, line, named, part)
+        best.append(some if n == 1 else cut(some))
+        if n > 1:
+            shared.destroy()
     w = Window.partitionBy("query").orderBy(F.desc("score"), "doc")
-    out = scored.groupBy("query", "doc").agg(F.sum("score").alias("score")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    return reading(out, hits)
+    out = reduce(DataFrame.unionByName, best).groupBy("query", "doc").agg(F.sum("score").alias("score")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    release(asked)
+    return reading(out, *best)
 
 
 def _name_hits(table: DataFrame, keywords: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql.types import StructType
 from spindrift import __main__ as cli
 from spindrift import library, registry, tables
 from spindrift.functions import text as T
-from spindrift.operators import chunking, context, dense, explore, fusion, metrics, querygen, report, sparse
+from spindrift.operators import chunking, context, dense, explore, fusion, holding, metrics, querygen, report, sparse
 from spindrift.sources import records
 from spindrift.streaming import progress
 
@@ -93,6 +93,51 @@ def test_line_hits_by_containment(spark):
         assert {tuple(r) for r in explore.line_hits(files, keywords, at_once=at_once).collect()} == want
 
 
+@pytest.mark.parametrize("layered", [False, True])
+def test_file_scores_by_a_plain_computation(spark, layered):
+    """Ids that come again, null ids and texts, short and repeated parts of test names, words of all kinds; in one pass and in several."""
+    rng = np.random.default_rng(7)
+    some = ["row", "parse_row", "rows", "é!", "a b", "x", "_", "été", "errors", "it's", "zz9"]
+    texts = ["\n".join(" ".join(rng.choice(some, 3)) for _ in range(int(rng.integers(1, 5)))) for _ in range(60)]
+    rows = [(f"src/{['Row', 'a_b', 'X'][i % 3]}_{i % 50}.py", None if i == 9 else t) for i, t in enumerate(texts)] + [(None, "row\nrow"), (None, "x"), ("", "")]
+    words = [(1, "ROW"), (1, "row"), (1, "a b"), (2, "É!"), (2, "r"), (2, "it's"), (2, "row\nx"), (None, "Errors"), (None, ""), (3, None), (4, "_"), (4, "!")]
+    tests = [(1, "pkg.A_.Row_1"), (2, "Row_1.Row_1.x"), (5, "A_.src.XX"), (5, None)]
+    line, more, part = (1.5, 2.0, 1.5) if layered else (1.0, 0.5, 2.0)
+    want = {}
+    for doc, text in rows:
+        path = (doc or "").lower()
+        name = path.rpartition("/")[2].replace(".py", "") if layered else path
+        for q, w in {(q, w.lower()) for q, w in words if w}:
+            n = sum(w in x for x in text.lower().split("\n")) if text is not None else 0
+            want[q, doc] = want.get((q, doc), 0) + n * (line + (more if doc is not None and w in name else 0))
+        for q, p in ((q, p) for q, t in tests if t for p in t.split(".")):
+            if (len(p) > 3 if layered else "_" in p or p[:1].isupper()) and doc is not None and p.lower() in path:
+                want[q, doc] = want.get((q, doc), 0) + part
+    files, asked = spark.createDataFrame(rows, "doc string, text string").repartition(3), spark.createDataFrame(words, "query int, word string")
+    best = {}
+    for (q, doc), v in sorted(((x for x in want.items() if x[1])), key=lambda x: (-x[1], x[0][1] is not None, x[0][1] or "")):
+        best.setdefault(q, []).append((q, doc, v, len(best.get(q, [])) + 1))
+    for at_once in (1 << 15, 1):
+        got = explore.file_scores(files, asked, spark.createDataFrame(tests, "query int, test string"), layered=layered, at_once=at_once)
+        assert sorted(map(tuple, got.collect()), key=str) == sorted((r for rs in best.values() for r in rs[:5]), key=str)
+
+
+def test_file_scores_hand_on_the_best_of_a_batch(spark):
+    files = spark.range(400).select(F.concat(F.lit("f"), F.col("id").cast("string")).alias("doc"), F.lit("row of rows\nrow").alias("text")).repartition(4)
+    files = files.withColumns({"name": F.col("doc"), "path": F.col("doc"), "again": F.lit(False)})
+    wanted = spark.createDataFrame([(q, "row", False) for q in range(3)], "query int, word string, tested boolean")
+    found, _ = holding.best_files(files, wanted, 5, 1.0, 0.5, 2.0)
+    assert found.count() == 4 * 3 * 5 and {r.score for r in found.collect()} == {2.0}
+    none = explore.file_scores(files.select("doc", "text"), spark.createDataFrame([], "query int, word string"))
+    assert none.collect() == [] and none.columns == ["query", "doc", "score", "rank"]
+
+
+def test_line_hits_of_files_that_come_again(spark):
+    files = spark.createDataFrame([("a", "row"), ("a", "row\nrow"), ("b", None)], "doc string, text string")
+    hits = explore.line_hits(files, spark.createDataFrame([(1, "Row")], "query int, word string"))
+    assert [tuple(r) for r in hits.collect()] == [(1, "a", "row", 3)]
+
+
 def test_keywords_of_problems(spark):
     text = "MyClass fails in parse_row with 'bad input' File \"x/mod.py\" error; loader of ABC a_b"
     got = {v: one(spark, explore.problem_keywords(F.col("t"), v), t=text) for v in explore.MOST_KEYWORDS}
