@@ -24,17 +24,23 @@ _IDENTIFIERS = re.compile("[a-z0-9_]+").findall
 
 
 class Pieces(dict):
-    """string -> numbers of the words that it holds, by its pieces of the words' lengths; remembered."""
+    """string -> numbers of the words that it holds, by the words' first three characters at each of its places; remembered."""
 
     def __init__(self, number: dict[str, int]):
         super().__init__()
-        self.number, self.sizes = number, sorted({len(w) for w in number})
+        sizes: dict[str, set[int]] = {}
+        for w in number:
+            sizes.setdefault(w[:3], set()).add(len(w))
+        self.number, self.begin, self.widths = number, {b: tuple(z) for b, z in sizes.items()}, sorted({len(b) for b in sizes})
 
     def __missing__(self, s: str) -> tuple[int, ...]:
         if len(self) >= REMEMBERED:
             self.clear()
-        n, at = len(s), self.number.get
-        found = {at(s[i : i + size]) for size in self.sizes if size <= n for i in range(n - size + 1)}
+        found, begin, at = set(), self.begin.get, self.number.get
+        for width in self.widths:
+            for i in range(len(s) - width + 1):
+                for size in begin(s[i : i + width], ()):
+                    found.add(at(s[i : i + size]))
         found.discard(None)
         out = self[s] = tuple(found)
         return out
