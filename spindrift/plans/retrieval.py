@@ -422,9 +422,8 @@ def token_windows(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def token_counts(spark: SparkSession, d: str) -> DataFrame:
     """Tokens of each text, and the lengths of its first and last hundred; tested against the tokenizer's library."""
-    v = _vocabulary(spark)
-    t = table(spark, d, "documents")
-    return t.select("doc_id", tokens.count(F.col("text"), v).alias("tokens"), F.length(tokens.truncate(F.col("text"), 100, v)).alias("first_chars"), F.length(tokens.truncate(F.col("text"), 100, v, "left")).alias("last_chars"))
+    t = table(spark, d, "documents").select("doc_id", tokens.count_and_cut(F.col("text"), 100, _vocabulary(spark)).alias("t"))
+    return t.select("doc_id", "t.tokens", F.length("t.first").alias("first_chars"), F.length("t.last").alias("last_chars"))
 
 
 @query(f"""WITH {sql_bm25(k=40)}, h AS (SELECT query, doc, score, rank AS r, md5(x.text) AS key FROM bm25 b JOIN documents x ON x.doc_id = b.doc WHERE score >= 2 AND doc % 3 <> 0),

@@ -310,3 +310,30 @@ def test_token_columns(spark):
         tokens.windows(c, 2, 2, vocabulary)
     with pytest.raises(ValueError):
         tokens.truncate(c, 2, vocabulary, "middle")
+
+
+def test_texts_are_encoded_once(spark, sf):
+    """One Python worker makes all three columns, which are those of the separate functions."""
+    plan = catalog.QUERIES["token_counts"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("EvalPython") == 1
+    _, vocabulary = library()
+    d = spark.createDataFrame([(1, None), (2, ""), (3, "one two three four"), (3, "one two three four"), (4, "日本語 👍🏽 x" * 3)], "id long, text string")
+    c = F.col("text")
+    for n in (0, 2, 100):
+        both = d.select(tokens.count_and_cut(c, n, vocabulary).alias("t"), tokens.count(c, vocabulary).alias("n"), tokens.truncate(c, n, vocabulary).alias("a"), tokens.truncate(c, n, vocabulary, "left").alias("b")).collect()
+        assert [tuple(r.t) for r in both] == [(r.n, r.a, r.b) for r in both]
+
+
+def test_new_pieces_are_merged_together(monkeypatch):
+    """Pieces of several lengths, long ones and ones forgotten in between have the library's tokens; texts keep their order."""
+    encoding, vocabulary = library()
+    want = lambda t: [len(b) for b in encoding.decode_tokens_bytes(encoding.encode_ordinary(t))]
+    monkeypatch.setattr(tokens, "REMEMBERED", 5)
+    monkeypatch.setattr(tokens, "TOGETHER", 3)
+    monkeypatch.setattr(tokens, "AT_HAND", 40)
+    texts = [f"qx{i}zzv wq{'vk' * (i % 40)}j éß{'ñ' * i} {'ab' * i}" for i in range(60)] + [None, "", "x" * 48 + " " + "y" * 49]
+    encoder = tokens.Encoder(vocabulary)
+    for t, pieces in encoder.cut(texts):
+        assert encoder.count(pieces) == len(want(t or ""))
+        assert [n for p in pieces for n in encoder.known[p]] == want(t or "")
+    assert [t for t, _ in encoder.cut(texts)] == texts
